@@ -4,7 +4,7 @@ Every filter is a window partitioned by context over observed
 candidates (at most V rows per context), so a hot context is bounded.
 Generation iterates only on the frontier (one row per prompt), joins it
 to a per-context candidate table measured before it is broadcast, and
-cuts lineage with a reliable checkpoint each step.
+writes the frontier to the shared checkpoint folder every few steps.
 """
 
 from __future__ import annotations
@@ -110,13 +110,16 @@ def _pick(frontier: DataFrame, table: DataFrame, ctx_col: str, small: bool) -> D
 def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_sample: bool = True,
              temperature: float = 1.0, k: int = 50, p: float = 0.9, eos_id: int = EOS_ID,
              seed: int = 42, keys: tuple = ("doc_id",), col: str = "ids",
-             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, checkpoint_every: int = 8) -> DataFrame:
     """Continue every prompt up to ``max_new_tokens`` tokens.
 
     Greedy (``do_sample=False`` or T = 0, D9) takes the arg-max per
     context; sampled draws from ``next_token_dist``.  Each row stops at
     its own EOS (kept in the output); a context never seen in training
     yields EOS.  Output ``(keys..., ids, n_new)`` including the prompt.
+    The frontier is written to the shared checkpoint folder every
+    ``checkpoint_every`` steps (bounded lineage, early stop when all rows
+    are done).
     """
     greedy = (not do_sample) or temperature == 0
     if greedy:
@@ -133,17 +136,23 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
         *keys, F.col(col).alias("ids"), F.element_at(col, -1).alias("last"),
         F.lit(False).alias("done"), F.lit(0).alias("n_new"))
     front = cut_lineage(front)
-    # The frontier keeps one partition layout: without the coalesce the
-    # union of finished and advancing rows would double it every step.
-    parts = max(1, front.rdd.getNumPartitions())
-    for step in range(int(max_new_tokens)):
-        active = front.where(~F.col("done"))
-        if active.limit(1).count() == 0:
-            break
+    steps = int(max_new_tokens)
+    for step in range(steps):
+        # One join per step over the whole frontier; finished rows pass
+        # through unchanged, so the plan stays a straight chain (no
+        # self-union) and several steps run as one pipelined stage.
         u = F.lit(0.0) if greedy else uniform_draw(seed, *keys, F.lit(step))
-        picked = _pick(active.withColumn("_u", u), table, "last", small)
+        picked = _pick(front.withColumn("_u", u), table, "last", small)
+        done = F.col("done")
         nxt = F.coalesce(F.col("next_token"), F.lit(int(eos_id)))
-        moved = picked.select(*keys, append_col("ids", nxt).alias("ids"), nxt.alias("last"),
-                              (nxt == F.lit(int(eos_id))).alias("done"), (F.col("n_new") + 1).alias("n_new"))
-        front = cut_lineage(front.where(F.col("done")).unionByName(moved).coalesce(parts))
+        front = picked.select(
+            *keys,
+            F.when(done, F.col("ids")).otherwise(append_col("ids", nxt)).alias("ids"),
+            F.when(done, F.col("last")).otherwise(nxt).alias("last"),
+            (done | (nxt == F.lit(int(eos_id)))).alias("done"),
+            F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new"))
+        if (step + 1) % checkpoint_every == 0 or step + 1 == steps:
+            front = cut_lineage(front)
+            if front.where(~F.col("done")).limit(1).count() == 0:
+                break
     return front.select(*keys, "ids", "n_new")

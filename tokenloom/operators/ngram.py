@@ -18,8 +18,8 @@ from ..functions.mathx import nll_col, perplexity_col
 def id_pairs(ids: DataFrame, col: str = "ids", eos_id: int | None = None,
              keep: tuple = ("doc_id",)) -> DataFrame:
     """Adjacent (ctx, target) pairs of each id array (optionally ending in EOS)."""
-    return ids.select(*keep, F.posexplode(consecutive_pairs_col(col, eos_id)).alias("pos", "p")).select(
-        *keep, "pos", F.col("p.ctx").alias("ctx"), F.col("p.target").alias("target"))
+    return ids.select(*keep, F.posexplode_outer(consecutive_pairs_col(col, eos_id)).alias("pos", "p")).where(
+        F.col("p").isNotNull()).select(*keep, "pos", F.col("p.ctx").alias("ctx"), F.col("p.target").alias("target"))
 
 
 def fit_bigram(pairs: DataFrame) -> DataFrame:

@@ -56,7 +56,8 @@ def shifted_pairs(seqs: DataFrame, ignore_index: int = IGNORE_INDEX, past_len: i
     ``past_len``).  Built with array slices and one explode; no window.
     """
     s = label_mask(seqs, ignore_index)
-    pairs = s.select(*keep, F.posexplode(shifted_pairs_col("input_ids", "labels")).alias("pos", "p"))
+    pairs = s.select(*keep, F.posexplode_outer(shifted_pairs_col("input_ids", "labels")).alias("pos", "p")).where(
+        F.col("p").isNotNull())
     return pairs.select(*keep, (F.col("pos") + F.lit(int(past_len))).alias("pos"),
                         F.col("p.ctx").alias("ctx"), F.col("p.target").alias("target")
                         ).where(F.col("target") != F.lit(int(ignore_index)))

@@ -23,7 +23,9 @@ def token_counts(tokens: DataFrame, col: str = "tokens") -> DataFrame:
     Partial aggregation runs before the shuffle, so a hot token leaves
     each map task as a single row.
     """
-    return (tokens.select(F.explode(col).alias("tok"))
+    # explode_outer + explicit filter: a plain explode makes Catalyst infer a
+    # size(...) > 0 filter that would evaluate the tokenizer regex again.
+    return (tokens.select(F.explode_outer(col).alias("tok")).where(F.col("tok").isNotNull())
             .groupBy("tok").agg(F.count(F.lit(1)).alias("count")))
 
 

@@ -19,7 +19,7 @@ from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evalua
 from ..operators import udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
 from ..sources.sinks import manifest
-from .prepare import PrepConfig, documents, table, tokenized
+from .prepare import PrepConfig, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
 
 # Query parameters (the shipped training configuration where it has one).
@@ -73,7 +73,8 @@ def _txt(c):
 
 
 def _prompts(spark, sf, vocab):
-    conv = table(spark, sf, "conversations").where((F.col("role") == "user") & nonblank_col("text"))
+    conv = spread(table(spark, sf, "conversations").where((F.col("role") == "user") & nonblank_col("text")),
+                  "conv_id")
     toks = conv.select("conv_id", "turn", tokens_col("text").alias("tokens"))
     return vc.encode(toks, vocab, id_col="conv_id", keep=("turn",))
 

@@ -30,9 +30,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-spread an input that arrives in fewer partitions than there are cores.
+
+    A large corpus already scans as many splits and is left alone; a file
+    with a single row group would otherwise run tokenization in one task.
+    Spreading by the document key also pre-clusters the rows for the
+    per-document regroup after the id lookup, so that step adds no shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text", "lang", "source")) -> DataFrame:
     """Non-blank documents (P2); the text is kept unstripped."""
-    return table(spark, sf_dir, "documents").select(*cols).where(nonblank_col("text"))
+    return spread(table(spark, sf_dir, "documents").select(*cols).where(nonblank_col("text")), "doc_id")
 
 
 def tokenized(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
