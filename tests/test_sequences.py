@@ -78,3 +78,13 @@ def test_encode_salted_shuffle_path_equals_broadcast(spark):
     a = {r.doc_id: r.ids for r in encode(toks, vocab).collect()}
     b = {r.doc_id: r.ids for r in encode(toks, vocab, broadcast_limit=0).collect()}
     assert a == b
+
+
+def test_vocab_threshold_path_equals_direct_topk(spark):
+    rows = [(i, [f"t{(i * j) % 23}" for j in range(1, 30)]) for i in range(60)]
+    toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    direct = sorted(tuple(r) for r in build_vocab(toks, 12).collect())
+    via_threshold = sorted(tuple(r) for r in build_vocab(toks, 12, merge_limit_rows=0).collect())
+    assert direct == via_threshold and len(direct) == 12
+    everything = build_vocab(toks, 1000, merge_limit_rows=0).count()
+    assert everything == 23 + 2

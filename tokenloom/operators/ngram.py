@@ -56,7 +56,9 @@ def pair_nll(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
     agg = eval_pairs.groupBy(*by, "ctx", "target").agg(F.count(F.lit(1)).alias("n"))
     seen = model.select("ctx", F.col("token").alias("target"), F.col("count").alias("_c"))
     tot = context_totals(model).withColumnRenamed("ctx_total", "_t")
-    j = agg.join(seen, ["ctx", "target"], "left").join(tot, ["ctx"], "left")
+    # Contexts are vocabulary ids, so this table has at most V rows: a
+    # proven bound, broadcast so a hot context cannot skew a shuffle.
+    j = agg.join(seen, ["ctx", "target"], "left").join(F.broadcast(tot), ["ctx"], "left")
     a, V = float(alpha), float(vocab_size or 0)
     num = F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(a)
     den = F.coalesce(F.col("_t"), F.lit(0)).cast("double") + F.lit(a * V)

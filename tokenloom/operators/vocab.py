@@ -29,20 +29,42 @@ def token_counts(tokens: DataFrame, col: str = "tokens") -> DataFrame:
             .groupBy("tok").agg(F.count(F.lit(1)).alias("count")))
 
 
-def build_vocab(tokens: DataFrame, size: int, col: str = "tokens", materialize: bool = True) -> DataFrame:
+def count_threshold(counts: DataFrame, keep: int) -> int:
+    """Largest count c such that at least ``keep`` tokens occur >= c times (0 if fewer tokens).
+
+    Exact, from a histogram of counts: one row per distinct count value,
+    a table far smaller than the token table.
+    """
+    hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n"))
+    run = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = (hist.withColumn("_cum", F.sum("_n").over(run)).where(F.col("_cum") >= F.lit(int(keep)))
+           .agg(F.max("count").alias("c")).first())
+    return int(row["c"]) if row and row["c"] is not None else 0
+
+
+def build_vocab(tokens: DataFrame, size: int, col: str = "tokens", materialize: bool = True,
+                merge_limit_rows: int = 20_000_000) -> DataFrame:
     """P5: (tok STRING, id INT, count BIGINT), at most ``size`` rows.
 
     Top ``size - 2`` tokens come from Spark's top-k (per-task partial
-    top-k, then one bounded merge); ids are assigned over that bounded
-    result only.  ``materialize`` checkpoints the small table once into
-    the shared folder so later size checks and joins do not recount the
-    corpus.
+    top-k, then one merge of at most partitions x k rows).  When that
+    merge bound exceeds ``merge_limit_rows`` the token counts are stored
+    once and an exact count threshold (``count_threshold``) first cuts
+    them to the tokens that can make the vocabulary, so the merge sees
+    about ``size`` rows.  Ids are assigned over the bounded result only.
+    ``materialize`` stores the small table once in the shared folder so
+    later size checks and joins do not recount the corpus.
     """
     spark = tokens.sparkSession
     keep = int(size) - len(SPECIAL_TOKENS)
     if keep < 0:
         raise ValueError("vocabulary size must cover the special tokens")
-    top = token_counts(tokens, col).orderBy(F.desc("count"), F.asc("tok")).limit(keep)
+    counts = token_counts(tokens, col)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts * keep > merge_limit_rows:
+        counts = cut_lineage(counts)
+        counts = counts.where(F.col("count") >= F.lit(count_threshold(counts, keep)))
+    top = counts.orderBy(F.desc("count"), F.asc("tok")).limit(keep)
     # Window over <= size rows: one partition is bounded by the parameter.
     ranked = top.select("tok", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("tok")))
                                 + F.lit(len(SPECIAL_TOKENS) - 1)).cast("int").alias("id"),

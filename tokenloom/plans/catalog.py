@@ -18,6 +18,7 @@ from ..operators import decode, ngram, rank, sequence, split as sp, telemetry as
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evaluate_batches, rank_reduce
 from ..operators import udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
+from ..session import cut_lineage
 from ..sources.sinks import manifest
 from .prepare import PrepConfig, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
@@ -50,22 +51,32 @@ def _vocab(spark, sf):
     return vc.build_vocab(_toks(spark, sf), V)
 
 
-def _ids(spark, sf, vocab=None):
+def _ids(spark, sf, vocab=None, materialize=False):
+    """Encoded documents; ``materialize`` stores them once (as the tokenized
+    table of the preparation job) when several branches read them."""
     toks = _toks(spark, sf)
-    return vc.encode(toks, vocab if vocab is not None else vc.build_vocab(toks, V), max_length=N)
+    ids = vc.encode(toks, vocab if vocab is not None else vc.build_vocab(toks, V), max_length=N)
+    return cut_lineage(ids) if materialize else ids
 
 
 def _seqs(ids):
     return sequence.label_mask(sequence.to_sequences(ids, N))
 
 
-def _split(spark, sf):
-    return sp.exact_split(_docs(spark, sf).select("doc_id"), CFG.frac, CFG.seed)
+def _split(spark, sf, materialize=False):
+    s = sp.exact_split(_docs(spark, sf).select("doc_id"), CFG.frac, CFG.seed)
+    return cut_lineage(s) if materialize else s
 
 
-def _model(ids, split, eos_id=None):
+def _model(ids, split, eos_id=None, materialize=False):
     train = ids.join(split.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    return ngram.fit_bigram(ngram.id_pairs(train, eos_id=eos_id))
+    m = ngram.fit_bigram(ngram.id_pairs(train, eos_id=eos_id))
+    return cut_lineage(m) if materialize else m
+
+
+def _shared(spark, sf, vocab=None):
+    """Encoded ids and split, each stored once, for queries that read them in several branches."""
+    return _ids(spark, sf, vocab, materialize=True), _split(spark, sf, materialize=True)
 
 
 def _txt(c):
@@ -216,19 +227,19 @@ def q_bigram_fit(spark, sf):
 
 
 def q_cross_entropy(spark, sf):
-    ids, s = _ids(spark, sf), _split(spark, sf)
+    ids, s = _shared(spark, sf)
     train = _seqs(ids).join(s.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    ce = ngram.cross_entropy(sequence.shifted_pairs(train), _model(ids, s))
+    ce = ngram.cross_entropy(sequence.shifted_pairs(train), _model(ids, s, materialize=True))
     return ce.select(F.round("loss", 9).alias("loss"), F.round("perplexity", 6).alias("perplexity"), "n_tokens")
 
 
 def _val_nll(ids, s):
     val = _seqs(ids).join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
-    return ngram.pair_nll(sequence.shifted_pairs(val), _model(ids, s), ALPHA, V, by=("doc_id",))
+    return ngram.pair_nll(sequence.shifted_pairs(val), _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
 
 
 def q_doc_perplexity(spark, sf):
-    ids, s = _ids(spark, sf), _split(spark, sf)
+    ids, s = _shared(spark, sf)
     nll = _val_nll(ids, s)
     per_doc = nll.groupBy("doc_id").agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("loss"),
                                         F.sum("n").cast("bigint").alias("n_tokens"))
@@ -237,7 +248,7 @@ def q_doc_perplexity(spark, sf):
 
 
 def _batch_losses(spark, sf):
-    ids, s = _ids(spark, sf), _split(spark, sf)
+    ids, s = _shared(spark, sf)
     return batch_losses(val_batches(s, CFG), doc_loss_sums(_val_nll(ids, s)))
 
 
@@ -270,7 +281,7 @@ def q_perplexity(spark, sf):
 # ---------------------------------------------------------------- next-token selection and generation
 def _gen_model(spark, sf):
     v = _vocab(spark, sf)
-    return v, _model(_ids(spark, sf, v), _split(spark, sf), eos_id=vc.EOS_ID)
+    return v, _model(_ids(spark, sf, v), _split(spark, sf), eos_id=vc.EOS_ID, materialize=True)
 
 
 def q_greedy_next(spark, sf):
@@ -294,7 +305,7 @@ def q_next_token_dist(spark, sf):
 
 def q_sample_next(spark, sf):
     v = _vocab(spark, sf)
-    ids, s = _ids(spark, sf, v), _split(spark, sf)
+    ids, s = _shared(spark, sf, v)
     m = _model(ids, s, eos_id=vc.EOS_ID)
     val = ids.join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
     front = val.select("doc_id", F.element_at("ids", -1).alias("last"))
