@@ -87,3 +87,10 @@ def test_generate_sampled_reproducible(spark, model):
     assert a == b
     assert all(len(ids) <= 7 for _, ids in a)
     assert not math.isnan(len(a))
+
+
+def test_generate_shuffle_join_path_equals_broadcast(spark, model):
+    prompts = spark.createDataFrame([(i, [1 + i % 5]) for i in range(12)], "doc_id long, ids array<int>")
+    a = sorted((r.doc_id, tuple(r.ids)) for r in generate(prompts, model, 5, seed=9).collect())
+    b = sorted((r.doc_id, tuple(r.ids)) for r in generate(prompts, model, 5, seed=9, broadcast_limit=0).collect())
+    assert a == b

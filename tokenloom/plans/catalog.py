@@ -247,6 +247,19 @@ def q_doc_perplexity(spark, sf):
                           F.round(perplexity_col("loss"), 6).alias("perplexity"), "n_tokens")
 
 
+def q_benchmark_perplexity(spark, sf):
+    """L4 on a second corpus: each benchmark item scored by the table fitted on the documents' train split."""
+    v = _vocab(spark, sf)
+    ids, s = _shared(spark, sf, v)
+    items = spread(table(spark, sf, "benchmark").where(nonblank_col("text")), "item_id")
+    item_ids = vc.encode(items.select("item_id", tokens_col("text").alias("tokens")), v, max_length=N,
+                         id_col="item_id")
+    pairs = sequence.shifted_pairs(_seqs(item_ids.withColumnRenamed("item_id", "doc_id")))
+    ce = ngram.cross_entropy(pairs, _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
+    return ce.select(F.col("doc_id").alias("item_id"), F.round("loss", 9).alias("loss"),
+                     F.round("perplexity", 6).alias("perplexity"), "n_tokens")
+
+
 def _batch_losses(spark, sf):
     ids, s = _shared(spark, sf)
     return batch_losses(val_batches(s, CFG), doc_loss_sums(_val_nll(ids, s)))
@@ -451,6 +464,7 @@ QUERIES = {
     "bigram_fit": q_bigram_fit,
     "cross_entropy": q_cross_entropy,
     "doc_perplexity": q_doc_perplexity,
+    "benchmark_perplexity": q_benchmark_perplexity,
     "eval_batch_mean": q_eval_batch_mean,
     "eval_rank_reduce": q_eval_rank_reduce,
     "evaluate_split": q_evaluate_split,

@@ -206,6 +206,22 @@ SQL["doc_perplexity"] = w(*MODEL_BASE, *VAL_NLL) + (
     "SELECT doc_id, round(nll_sum / n_targets, 9) AS loss, "
     "round(CASE WHEN nll_sum / n_targets < 100 THEN exp(nll_sum / n_targets) ELSE 'inf'::DOUBLE END, 6) AS perplexity, "
     "CAST(n_targets AS BIGINT) AS n_tokens FROM dsum")
+SQL["benchmark_perplexity"] = w(*MODEL_BASE) + f""",
+bt AS (SELECT item_id, list_slice(regexp_extract_all(text, '{TP}'), 1, {N}) AS t FROM benchmark
+       WHERE regexp_matches(text, '{NB}')),
+bex AS (SELECT item_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS tok FROM bt),
+bids AS (SELECT item_id AS doc_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids
+         FROM bex LEFT JOIN vocab v ON v.tok = bex.tok GROUP BY item_id),
+{PAIRS("bids", "bp")},
+bagg AS (SELECT doc_id, ctx, target, count(*) AS n FROM bp GROUP BY doc_id, ctx, target),
+bctx AS (SELECT ctx, max(ctx_total) AS t FROM model GROUP BY ctx),
+bprob AS (SELECT a.doc_id, a.n,
+   (coalesce(m.count, 0) + {C.ALPHA}::DOUBLE) / (coalesce(c.t, 0) + {C.ALPHA}::DOUBLE * {V}) AS p
+ FROM bagg a LEFT JOIN model m ON m.ctx = a.ctx AND m.token = a.target LEFT JOIN bctx c ON c.ctx = a.ctx),
+bl2 AS (SELECT doc_id, sum(n * CASE WHEN p > 0 THEN -ln(p) ELSE 'inf'::DOUBLE END) / sum(n) AS loss,
+        CAST(sum(n) AS BIGINT) AS n_tokens FROM bprob GROUP BY doc_id)
+SELECT doc_id AS item_id, round(loss, 9) AS loss,
+  round(CASE WHEN loss < 100 THEN exp(loss) ELSE 'inf'::DOUBLE END, 6) AS perplexity, n_tokens FROM bl2"""
 SQL["eval_batch_mean"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + (
     "SELECT rank, batch_id, round(loss, 9) AS loss, n_targets FROM blo")
 SQL["eval_rank_reduce"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + (

@@ -38,8 +38,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     Spreading by the document key also pre-clusters the rows for the
     per-document regroup after the id lookup, so that step adds no shuffle.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
         return df
     return df.repartition(target, key) if key else df.repartition(target)
 
