@@ -20,7 +20,7 @@ def hash_key(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[c.cast("string") for c in cols]))
 
 
-def md5_bucket(key: Column | str, prefix_len: int = 3) -> Column:
+def md5_bucket(key: Column | str, prefix_len: int = 4) -> Column:
     """Monotone bucket of an md5 hex key: its first ``prefix_len`` hex digits."""
     c = F.col(key) if isinstance(key, str) else key
     return F.conv(F.substring(c, 1, int(prefix_len)), 16, 10).cast("int")
@@ -28,12 +28,15 @@ def md5_bucket(key: Column | str, prefix_len: int = 3) -> Column:
 
 def global_rank(df: DataFrame, key: str, tie: str, bucket: Column | None = None,
                 partition_cols: tuple = (), rank_col: str = "rank",
-                total_col: str | None = "n_rows", prefix_len: int = 3) -> DataFrame:
+                total_col: str | None = "n_rows", prefix_len: int = 4) -> DataFrame:
     """Add ``rank_col`` = 0-based position of each row in order (key, tie).
 
     With ``partition_cols`` the rank restarts per group.  ``bucket`` must
-    be a non-decreasing function of ``key`` (default: md5 prefix);
-    ``total_col`` (optional) carries the group's row count along.
+    be a non-decreasing function of ``key`` (default: the first
+    ``prefix_len`` hex digits of an md5 key, 16**4 = 65,536 even buckets:
+    about 150k rows per bucket at 10**10 rows, and an offsets table of at
+    most 65,536 rows); ``total_col`` (optional) carries the group's row
+    count along.
     """
     parts = list(partition_cols)
     b = bucket if bucket is not None else md5_bucket(key, prefix_len)
