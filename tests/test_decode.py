@@ -94,3 +94,24 @@ def test_generate_shuffle_join_path_equals_broadcast(spark, model):
     a = sorted((r.doc_id, tuple(r.ids)) for r in generate(prompts, model, 5, seed=9).collect())
     b = sorted((r.doc_id, tuple(r.ids)) for r in generate(prompts, model, 5, seed=9, broadcast_limit=0).collect())
     assert a == b
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 9), st.integers(1, 20)), min_size=1, max_size=25,
+                unique_by=lambda t: (t[0], t[1])),
+       st.integers(0, 6), st.floats(0.0, 1.0), st.floats(0.0, 1.0))
+def test_filter_properties(spark, rows, k, p1, p2):
+    m = spark.createDataFrame(rows, "ctx int, token int, count long").withColumn("w", F.col("count").cast("double"))
+    ctxs = {c for c, _, _ in rows}
+    if k > 0:
+        per = {}
+        for r in top_k(m, k, score="w").collect():
+            per[r.ctx] = per.get(r.ctx, 0) + 1
+        assert max(per.values()) <= k and set(per) == ctxs
+    lo, hi = sorted((p1, p2))
+    a = {(r.ctx, r.token) for r in top_p(m, lo).collect()}
+    b = {(r.ctx, r.token) for r in top_p(m, hi).collect()}
+    assert a <= b and {c for c, _ in a} == ctxs  # monotone in p, >= 1 row per context

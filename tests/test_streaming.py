@@ -8,7 +8,8 @@ from tokenloom.operators.telemetry import log_windows, micro_batches
 from tokenloom.operators.vocab import build_vocab, encode
 from tokenloom.operators.sequence import label_mask, to_sequences
 from tokenloom.plans.prepare import documents, tokenized
-from tokenloom.streaming import finish_log_windows, stream_ingest, stream_log_windows, stream_tokenize
+from tokenloom.streaming import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
+                                 stream_tokenize)
 
 from conftest import SF001
 
@@ -51,3 +52,14 @@ def test_stream_log_windows_equals_batch(spark, tmp_path):
            for r in finish_log_windows(spark, str(tmp_path / "out"), 1, 4, 8).collect()}
     want = {(r.run_id, r.step): round(r.loss, 9) for r in log_windows(log, 1, 4, 8).collect()}
     assert got == want and len(got) > 0
+
+
+def test_stream_metrics_appends_once(spark, tmp_path):
+    src = str(tmp_path / "src")
+    rows = spark.createDataFrame([(r % 3, r, float(r)) for r in range(30)], "run_id long, step long, loss double")
+    _split_files(rows, src, 3)
+    dst, ck = str(tmp_path / "metrics"), str(tmp_path / "ck")
+    stream_metrics(spark, src, dst, ck)
+    stream_metrics(spark, src, dst, ck)  # restart: nothing new to append
+    back = spark.read.parquet(dst)
+    assert back.count() == 30 and back.select("run_id").distinct().count() == 3

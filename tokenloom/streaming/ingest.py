@@ -115,3 +115,23 @@ def finish_log_windows(spark: SparkSession, dst: str, every: int, accumulation:
                     rate(F.lit(float(every)) / dt).alias("steps_per_sec"),
                     rate(F.lit(float(span * int(batch_size) * int(world))) / dt).alias("samples_per_sec"),
                     rate(dt * F.lit(1000.0) / F.lit(float(every))).alias("ms_per_step"))
+
+
+def stream_metrics(spark: SparkSession, src: str, dst: str, checkpoint: str,
+                   schema: StructType | str | None = None, fmt: str = "parquet", max_files_per_trigger: int = 1):
+    """S8 for a stream: append metric rows (run_id, step, ...) to the Parquet table at ``dst``.
+
+    ``foreachBatch`` with the batch sink.  Each micro-batch overwrites its
+    own ``batch_id=`` folder, so a retried batch replaces its rows instead
+    of appending them twice; the checkpoint records consumed files, so a
+    restart skips them.
+    """
+    s = _source(spark, src, schema, fmt, max_files_per_trigger)
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("run_id").parquet(f"{dst}/batch_id={int(batch_id)}")
+
+    q = (s.writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
