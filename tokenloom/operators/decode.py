@@ -110,7 +110,7 @@ def _pick(frontier: DataFrame, table: DataFrame, ctx_col: str, small: bool) -> D
 def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_sample: bool = True,
              temperature: float = 1.0, k: int = 50, p: float = 0.9, eos_id: int = EOS_ID,
              seed: int = 42, keys: tuple = ("doc_id",), col: str = "ids",
-             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, checkpoint_every: int = 8) -> DataFrame:
+             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, checkpoint_every: int = 10) -> DataFrame:
     """Continue every prompt up to ``max_new_tokens`` tokens.
 
     Greedy (``do_sample=False`` or T = 0, D9) takes the arg-max per
@@ -137,20 +137,23 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
         F.lit(False).alias("done"), F.lit(0).alias("n_new"))
     front = cut_lineage(front)
     steps = int(max_new_tokens)
+    cols = keys + ["ids", "last", "done", "n_new"]
     for step in range(steps):
-        # One join per step over the whole frontier; finished rows pass
-        # through unchanged, so the plan stays a straight chain (no
-        # self-union) and several steps run as one pipelined stage.
+        # One join and one projection per step over the whole frontier;
+        # finished rows pass through unchanged, so the plan stays a straight
+        # chain (no self-union) and several steps run as one pipelined stage.
         u = F.lit(0.0) if greedy else uniform_draw(seed, *keys, F.lit(step))
-        picked = _pick(front.withColumn("_u", u), table, "last", small)
+        j = sized_join(front.withColumnRenamed("last", "_ctx"), table, "_ctx", "left", small_fits=small)
+        hit = F.filter("_cands", lambda c: c["cum_prob"] > u)
+        drawn = F.coalesce(F.element_at(hit, 1)["token"], F.element_at("_cands", -1)["token"])
         done = F.col("done")
-        nxt = F.coalesce(F.col("next_token"), F.lit(int(eos_id)))
-        front = picked.select(
+        nxt = F.coalesce(drawn, F.lit(int(eos_id)))
+        front = j.select(
             *keys,
             F.when(done, F.col("ids")).otherwise(append_col("ids", nxt)).alias("ids"),
-            F.when(done, F.col("last")).otherwise(nxt).alias("last"),
+            F.when(done, F.col("_ctx")).otherwise(nxt).alias("last"),
             (done | (nxt == F.lit(int(eos_id)))).alias("done"),
-            F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new"))
+            F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new")).select(*cols)
         if (step + 1) % checkpoint_every == 0 or step + 1 == steps:
             front = cut_lineage(front)
             if front.where(~F.col("done")).limit(1).count() == 0:
