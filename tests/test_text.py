@@ -57,3 +57,11 @@ def test_null_text_is_not_blank_error(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.where(nonblank_col("t")).count() == 0
     assert df.select(F.size(tokens_col("t"))).first()[0] in (None, -1)
+
+
+def test_nonblank_agrees_with_python_on_every_bmp_character(spark):
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(i, f" {ch} ") for i, ch in enumerate(chars)], "i int, t string")
+    got = {r.i for r in df.where(nonblank_col("t")).select("i").collect()}
+    want = {i for i, ch in enumerate(chars) if f" {ch} ".strip()}
+    assert got == want
