@@ -40,12 +40,18 @@ def _block_count(df: DataFrame, block_rows: int) -> int:
 
 
 def dot_scores_topk(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "vec_id",
-                    v_key: str = "vec_id", col: str = "embedding", block_rows: int = 2048) -> DataFrame:
+                    v_key: str = "vec_id", col: str = "embedding", block_rows: int | None = None,
+                    q_block_rows: int = 2048, t_block_rows: int = 8192) -> DataFrame:
     """J5 + W2: (query, token, score) -- the k highest inner products per query.
 
-    Ties by token id.  Scores are computed in float64.
+    Ties by token id.  Scores are computed in float64.  Each query row is
+    shuffled once per table block and each table row once per query block,
+    so table blocks are the larger (fewer query copies); one task holds at
+    most one query block and one table block.  ``block_rows`` sets both.
     """
-    nq, nt = _block_count(queries, block_rows), _block_count(vectors, block_rows)
+    if block_rows is not None:
+        q_block_rows = t_block_rows = int(block_rows)
+    nq, nt = _block_count(queries, q_block_rows), _block_count(vectors, t_block_rows)
     q = queries.select(F.col(q_key).cast("long").alias("query"), F.col(col).alias("vec"),
                        F.pmod(F.xxhash64(q_key), F.lit(nq)).cast("int").alias("qb"))
     q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
