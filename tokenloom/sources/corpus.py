@@ -73,9 +73,10 @@ def read_tokenized(spark: SparkSession, path: str, keep=("doc_id",)) -> DataFram
 def nth_smallest(df: DataFrame, key: str, n: int, rel_err: float = 1e-4):
     """Exact value of the n-th smallest ``key`` (1-based); None if fewer rows.
 
-    Two distributed passes over the key column only: an approximate
-    quantile brackets the answer, an exact count fixes the offset, and
-    only the (small) bracket is sorted.  No pass moves more than the
+    Distributed passes over the key column only (column pruning keeps the
+    scan narrow): a count, an approximate quantile that brackets the
+    answer, an exact count below the bracket, and a sort of only the
+    bracket (about 6 * rel_err of the rows).  No pass moves more than the
     bracket to one task.
     """
     keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
