@@ -93,8 +93,10 @@ def nth_smallest(df: DataFrame, key: str, n: int, rel_err: float = 1e-4):
     need = n - below
     if need <= 0:  # quantile overshot; fall back to the full column
         below, band, need = 0, keys, n
-    row = band.orderBy("k").limit(need).agg(F.max("k")).first()
-    return row[0]
+    row = band.orderBy("k").limit(need).agg(F.max("k").alias("m"), F.count(F.lit(1)).alias("c")).first()
+    if row["c"] < need:  # bracket too narrow (outside the quantile guarantee): use the whole column
+        row = keys.orderBy("k").limit(n).agg(F.max("k").alias("m"), F.count(F.lit(1)).alias("c")).first()
+    return row["m"]
 
 
 def ingest_bounded(df: DataFrame, num_shards: int, rows_per_shard: int = ROWS_PER_SHARD,
