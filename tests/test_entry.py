@@ -33,3 +33,18 @@ def test_query_matches_duckdb(spark, name):
     want = sorted(tuple(str(r[cols.index(c)]) for c in sorted(cols)) for r in res.fetchall())
     got = sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["train_val_split", "next_token_dist", "generate_sampled"])
+def test_results_independent_of_shuffle_partitions(spark, name):
+    def rows():
+        df = E.queries()[name](spark, SF001)
+        return sorted(tuple(str(r[c]) for c in sorted(df.columns)) for r in df.collect())
+
+    base = rows()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = rows()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert base == other

@@ -156,6 +156,6 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
             F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new")).select(*cols)
         if (step + 1) % checkpoint_every == 0 or step + 1 == steps:
             front = cut_lineage(front)
-            if front.where(~F.col("done")).limit(1).count() == 0:
+            if step + 1 < steps and front.where(~F.col("done")).limit(1).count() == 0:
                 break
     return front.select(*keys, "ids", "n_new")
