@@ -79,3 +79,23 @@ def test_step_plan(spark):
     assert (r.n_train, r.samples_per_rank, r.batches_per_epoch, r.updates_per_epoch, r.total_steps) == (800, 400, 50, 6, 6)
     r2 = step_plan(s, world=1, batch_size=8, accumulation=8, max_steps=50000).first()
     assert r2.total_steps == 50000
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.integers(1, 40), st.integers(1, 6), st.integers(1, 5))
+def test_shard_batch_properties(spark, n, world, bsize):
+    rows = shard(_order(spark, n), world).collect()
+    per_rank = {}
+    for r in rows:
+        per_rank.setdefault(r.rank, []).append(r.pos)
+    assert len(per_rank) == min(world, len(rows)) or len(per_rank) == world
+    sizes = {len(v) for v in per_rank.values()}
+    assert len(sizes) == 1 and sizes.pop() == -(-n // world)  # equal work, ceil(N/W) each
+    assert {r.doc_id for r in rows} == set(range(n))  # union covers every row
+    assert all(sorted(v) == list(range(len(v))) for v in per_rank.values())
+    kept = batch(shard(_order(spark, n), world), bsize, drop_last=True).collect()
+    full = (-(-n // world)) // bsize * bsize
+    assert len(kept) == full * world
