@@ -9,11 +9,13 @@ filter, a positional filter and a suffix filter, and the ones that survive
 are compared once, on whole sets.
 
 Nothing lists all pairs of a group.  Every n-gram's members are first compared
-with one of them only (the smallest class); further rounds compare members that
-are still in other components with another representative, and what then
-remains of an n-gram's members across different components is joined directly.
-Members of one component need no comparison, so the result is the exact set of
-components whatever the group sizes.
+with one of them only (the one whose own n-grams are most frequent, which among
+copies of one text is the text nearest to all others); further rounds compare
+members that are still in other components with another representative, and
+what then remains of an n-gram's members across different components is joined
+directly.  Members of one component need no comparison.  A pair that is similar
+always passes the filters at its first common n-gram, so the result is the exact
+set of components whatever the group sizes.
 
 Exact copies (equal sets) are one class from the start.
 """
@@ -40,7 +42,8 @@ SLICE = 1 << 16           # counters in one shuffled piece of a task's sketch
 HOT = 20_000              # n-grams from buckets above this count are spread over salts
 SALTS = 16
 SUFFIX_BINS = 16
-OUT_ROWS = 1 << 16
+FILTER_BITS = 20          # bits of the filter that thins the texts before they are joined with wanted classes
+OUT_ROWS = 1 << 15
 BATCH_TEXTS = 256
 
 
@@ -138,7 +141,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _prefixes(size: int, percent: int, frequency):
     """Row -> one row per prefix n-gram of each class that the task meets for the first time."""
-    names = ["gram", "salt", "cls", "n", "pos"]
+    names = ["gram", "salt", "core", "cls", "n", "pos"]
 
     def run(batches):
         freq = frequency.value
@@ -162,6 +165,7 @@ def _prefixes(size: int, percent: int, frequency):
                 hot = count[order] > HOT
                 held.append([grams[order].view(np.int64),
                              np.where(hot, 1 + (cls % SALTS), 0).astype(np.int32),
+                             np.full(k, -int(count.mean()), dtype=np.int64),
                              np.full(k, cls, dtype=np.int64), np.full(k, len(grams), dtype=np.int32),
                              np.arange(k, dtype=np.int32)])
                 rows += k
@@ -178,16 +182,19 @@ PAIR, MEMBER, HEAD = 0, 1, 2
 MET = "kind int, gram bigint, a bigint, b bigint, na int, nb int, pa int, pb int"
 
 
-def _fits_length(na, nb, percent):
+def _may_match(na, nb, pa_, pb, percent):
+    """Length and positional filter of rows that meet at positions pa_, pb of sets of na, nb n-grams."""
     na, nb = na.astype(np.int64), nb.astype(np.int64)
-    return np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent
+    rest = np.minimum(na - pa_, nb - pb)
+    return ((np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+            & (rest * (100 + percent) >= percent * (na + nb)))
 
 
 def _meet(percent: int):
     """Sorted member rows -> pairs with each n-gram's first member, members of larger groups, heads of salted groups.
 
-    Input is sorted by (gram, salt, cls) and streams past; only the first two
-    members of the current n-gram are held.
+    Input is sorted by (gram, salt, core, cls) and streams past; only the first
+    two members of the current n-gram are held.
     """
     names = [c.split()[0] for c in MET.split(", ")]
 
@@ -200,7 +207,7 @@ def _meet(percent: int):
         # the open group: its key, first two members (cls, n, pos), number of distinct members, last class
         key, first, count, last_cls = None, [], 0, None
         for batch in batches:
-            gram, salt, cls, n, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            gram, salt, cls, n, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4, 5))
             if not len(gram):
                 continue
             new_key = np.concatenate(([True], (gram[1:] != gram[:-1]) | (salt[1:] != salt[:-1])))
@@ -229,7 +236,7 @@ def _meet(percent: int):
             rank = np.arange(len(gram)) - head
             sizes = np.bincount(group)
             fresh = np.arange(len(gram)) >= held
-            pair = (rank > 0) & fresh & _fits_length(n[head], n, percent)
+            pair = (rank > 0) & fresh & _may_match(n[head], n, pos[head], pos, percent)
             if pair.any():
                 h = head[pair]
                 yield emit(PAIR, gram[pair], cls[h], cls[pair], n[h], n[pair], pos[h], pos[pair])
@@ -255,16 +262,12 @@ def _needed(na, nb, percent: int):
     return F.ceil((F.lit(percent) * (na + nb)) / F.lit(100 + percent))
 
 
-def _distinct_pairs(pairs: DataFrame, percent: int) -> DataFrame:
-    """One row per pair, after the positional filter.
-
-    Of two sets that first meet at positions p and q, at most
-    ``min(p, q) + 1 + min(rest)`` n-grams are shared.
-    """
-    one = (pairs.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"),
-                                       F.min("pa").alias("pa"), F.min("pb").alias("pb")))
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    return one.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    """One row per pair, smaller class first."""
+    return (pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"),
+                         F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("nx"),
+                         F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("ny"))
+            .distinct().toDF("a", "b", "na", "nb"))
 
 
 def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -329,8 +332,8 @@ class _Join:
     def meet(self) -> None:
         prefixes = self.docs.select("text").mapInArrow(
             _prefixes(self.size, self.percent, self.frequency),
-            "gram bigint, salt int, cls bigint, n int, pos int")
-        met = (prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "cls")
+            "gram bigint, salt int, core bigint, cls bigint, n int, pos int")
+        met = (prefixes.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "core", "cls")
                .mapInArrow(_meet(self.percent), MET))
         self.met, self.met_path = self.scratch.store(met)
 
@@ -339,34 +342,52 @@ class _Join:
                 .select("gram", F.col("a").alias("cls"), F.col("na").alias("n"), F.col("pa").alias("pos")))
 
     def head_pairs(self) -> DataFrame:
-        """Pairs with an n-gram's first member; the heads of a salted n-gram's parts meet its first head."""
+        """Pairs with an n-gram's first member; the heads of a salted n-gram's parts meet the smallest of them."""
         heads = self.met.where(F.col("kind") == HEAD)
         low = heads.groupBy("gram").agg(F.min(F.struct("a", "na", "pa")).alias("f"))
         across = (heads.select("gram", F.col("b"), "nb", "pb").join(low, "gram")
                   .select(F.col("f.a").alias("a"), "b", F.col("f.na").alias("na"), "nb", F.col("f.pa").alias("pa"), "pb")
-                  .where(F.col("a") != F.col("b")).where(self.lengths()))
+                  .where(F.col("a") != F.col("b")).where(self.may_match()))
         return self.met.where(F.col("kind") == PAIR).select("a", "b", "na", "nb", "pa", "pb").union(across)
 
-    def lengths(self):
-        return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent
+    def may_match(self):
+        """Length filter; positional filter: two sets whose first common n-gram is at pa and pb share no more
+        than what is left of each from there.  A similar pair passes where its first common n-gram is met."""
+        total = (F.col("na") + F.col("nb")).cast("bigint")
+        rest = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")).cast("bigint")
+        return ((F.least("na", "nb").cast("bigint") * 100 >= F.greatest("na", "nb").cast("bigint") * self.percent)
+                & (rest * (100 + self.percent) >= total * self.percent))
+
+    def texts_of(self, wanted: DataFrame) -> DataFrame:
+        """(cls, text) of wanted (cls, key) rows.  A bitmap of hashed keys, of one size for any input, thins
+        the texts before the join; what it lets through wrongly, the join drops."""
+        slot = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
+        bits = (wanted.select(slot("key").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i"))
+                .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect())
+        bitmap = bytearray((1 << FILTER_BITS) // 8 + 4096)
+        for row in bits:
+            bitmap[(row["i"] - 1) * 4096:row["i"] * 4096] = row["m"]
+        at = F.bitmap_bucket_number(slot("key")) * 32768 - 32768 + F.bitmap_bit_position(slot("key"))
+        byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+        near = self.docs.where(F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1)
+        return near.join(wanted, near["key"].eqNullSafe(wanted["key"])).select("cls", "text")
 
     def verify(self, pairs: DataFrame) -> bool:
         """Compare new pairs on whole sets; True if there is a new link."""
-        pairs = _suffix_filter(_distinct_pairs(pairs, self.percent), self.classes, self.percent)
+        pairs = _suffix_filter(_distinct_pairs(pairs), self.classes, self.percent)
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs, pairs_path = self.scratch.store(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted = wanted.join(self.classes.select("cls", "key"), "cls")
-        texts = self.docs.join(wanted, self.docs["key"].eqNullSafe(wanted["key"])).select("cls", "text")
+        wanted, wanted_path = self.scratch.store(wanted.join(self.classes.select("cls", "key"), "cls"))
         sets, sets_path = self.scratch.store(
-            texts.mapInArrow(_load_sets(self.size), "cls bigint, grams binary").dropDuplicates(["cls"]))
+            self.texts_of(wanted).mapInArrow(_load_sets(self.size), "cls bigint, grams binary").dropDuplicates(["cls"]))
         left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
         right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
         checked, path = self.scratch.store(
             pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
             .mapInArrow(_similar(self.percent), "a bigint, b bigint, similar boolean"))
-        self.scratch.drop(pairs_path, sets_path)
+        self.scratch.drop(pairs_path, wanted_path, sets_path)
         new = checked.where("similar").select("a", "b")
         self.tested = checked.select("a", "b") if self.tested is None else self.tested.union(checked.select("a", "b"))
         self.links = new if self.links is None else self.links.union(new)
@@ -394,13 +415,10 @@ class _Join:
         """Members against one representative of their n-gram from another component."""
         rep = rest.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "pos",
                                                       "comp")).alias("r"))
-        met = rest.join(rep, "gram").where(F.col("comp") != F.col("r.comp"))
-        first = F.col("cls") < F.col("r.cls")
-        return met.select(F.least("cls", "r.cls").alias("a"), F.greatest("cls", "r.cls").alias("b"),
-                          F.when(first, F.col("n")).otherwise(F.col("r.n")).alias("na"),
-                          F.when(first, F.col("r.n")).otherwise(F.col("n")).alias("nb"),
-                          F.when(first, F.col("pos")).otherwise(F.col("r.pos")).alias("pa"),
-                          F.when(first, F.col("r.pos")).otherwise(F.col("pos")).alias("pb")).where(self.lengths())
+        return (rest.join(rep, "gram").where(F.col("comp") != F.col("r.comp"))
+                .select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.n").alias("na"),
+                        F.col("n").alias("nb"), F.col("r.pos").alias("pa"), F.col("pos").alias("pb"))
+                .where(self.may_match()))
 
     def all_pairs(self, rest: DataFrame) -> DataFrame:
         """What is left: members of one n-gram in different components, each pair through the filters."""
@@ -408,7 +426,7 @@ class _Join:
         return (side("x").join(side("y"), "gram").where("xcls < ycls and xcomp != ycomp")
                 .select(F.col("xcls").alias("a"), F.col("ycls").alias("b"), F.col("xn").alias("na"),
                         F.col("yn").alias("nb"), F.col("xpos").alias("pa"), F.col("ypos").alias("pb"))
-                .where(self.lengths()))
+                .where(self.may_match()))
 
     def run(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         self.classify()

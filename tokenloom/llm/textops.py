@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 WHITESPACE = bytes([0x20, *range(0x09, 0x0E)])
-GROUP_BYTES = 4 << 20  # texts are hashed in groups of about this size
+GROUP_BYTES = 1 << 20  # texts are hashed in groups of about this size
 
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
