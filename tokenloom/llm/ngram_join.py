@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import connected_components
-from .storage import Scratch
+from .storage import Scratch, fresh_name
 from .textops import as_bytes, mix, whole_hash, window_hashes, word_hashes
 
 WORDS = 5
@@ -481,6 +481,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
                     .otherwise(F.col("least")).alias("component")))
 
 
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS,
+                     percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """The rows of ``docs``, unchanged: one of each component, the one with the smallest key (nulls last; of
+    equal keys one by hash).  Rows without words are linked with nothing and stay.
+    """
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    mark = fresh_name(docs.columns, "mark")
+    marked = docs.withColumn(mark, F.struct(F.col(key).isNull().alias("missing"), F.col(key).alias("key"),
+                                            F.xxhash64(whole).alias("h1"), F.xxhash64(whole, F.lit(1)).alias("h2")))
+    rows, _, comp = ngram_components(marked, mark, text, size, percent)
+    lab = (rows.where("cls is not null").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+           .groupBy(F.coalesce("component", "cls").alias("group")).agg(F.min("key").alias(mark)).select(mark))
+    empty = rows.where("cls is null").select(F.col("key").alias(mark))
+    # equal rows have equal marks: one of them stays, while rows without words all stay
+    number = fresh_name(docs.columns + [mark], "number")
+    kept = marked.join(lab.union(empty.distinct()), mark, "left_semi")
+    order = Window.partitionBy(mark).orderBy(F.lit(1))
+    wordless = ~F.coalesce(F.col(text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return (kept.withColumn(number, F.row_number().over(order)).where((F.col(number) == 1) | wordless)
+            .drop(mark, number))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
