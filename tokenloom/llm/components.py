@@ -29,10 +29,10 @@ def connected_components(links: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = (both.where(F.col("b") > F.col("a")).join(low, "a")
+        large = (both.where(F.col("b") > F.col("a")).join(low.hint("merge"), "a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low2, "a").select(F.explode(F.array(
+        small = (large.join(low2.hint("merge"), "a").select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
             F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a != b").distinct())

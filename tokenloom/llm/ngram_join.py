@@ -17,7 +17,8 @@ directly.  Members of one component need no comparison.  A pair that is similar
 always passes the filters at its first common n-gram, so the result is the exact
 set of components whatever the group sizes.
 
-Exact copies (equal sets) are one class from the start.
+Exact copies (equal sets) are one class from the start.  Joins between tables
+that grow with the input are merge joins at every size.
 """
 
 from __future__ import annotations
@@ -275,7 +276,7 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
     left = classes.select(F.col("cls").alias("a"), F.col("bins").alias("ba"))
     right = classes.select(F.col("cls").alias("b"), F.col("bins").alias("bb"))
     most = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
             .where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b"))
 
 
@@ -370,22 +371,22 @@ class _Join:
         at = F.bitmap_bucket_number(slot("key")) * 32768 - 32768 + F.bitmap_bit_position(slot("key"))
         byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
         near = self.docs.where(F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1)
-        return near.join(wanted, near["key"].eqNullSafe(wanted["key"])).select("cls", "text")
+        return near.join(wanted.hint("merge"), near["key"].eqNullSafe(wanted["key"])).select("cls", "text")
 
     def verify(self, pairs: DataFrame) -> bool:
         """Compare new pairs on whole sets; True if there is a new link."""
         pairs = _suffix_filter(_distinct_pairs(pairs), self.classes, self.percent)
         if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         pairs, pairs_path = self.scratch.store(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted, wanted_path = self.scratch.store(wanted.join(self.classes.select("cls", "key"), "cls"))
+        wanted, wanted_path = self.scratch.store(wanted.join(self.classes.select("cls", "key").hint("merge"), "cls"))
         sets, sets_path = self.scratch.store(
             self.texts_of(wanted).mapInArrow(_load_sets(self.size), "cls bigint, grams binary").dropDuplicates(["cls"]))
         left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
         right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
         checked, path = self.scratch.store(
-            pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb")
+            pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb")
             .mapInArrow(_similar(self.percent), "a bigint, b bigint, similar boolean"))
         self.scratch.drop(pairs_path, wanted_path, sets_path)
         new = checked.where("similar").select("a", "b")
@@ -397,14 +398,24 @@ class _Join:
         self.component, _ = connected_components(self.links, self.scratch)
 
     def labelled(self) -> DataFrame:
-        return (self.members().join(self.component.withColumnRenamed("node", "cls"), "cls", "left")
+        return (self.members().join(self.component.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
                 .select("gram", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp")))
 
     def open_members(self) -> tuple[DataFrame, str, int, int]:
-        """Members of n-grams whose members are in different components, and how many pairs these leave."""
+        """Members of n-grams whose members are in different components, and how many pairs these leave.
+
+        A member stays only if some partner could pass the filters: the smallest set it may match leaves it
+        enough after its position, and some member has enough left for a set of its size.
+        """
         lab = self.labelled()
-        spread = lab.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-        rest, path = self.scratch.store(lab.join(spread.select("gram"), "gram", "left_semi"))
+        per = 100 + self.percent
+        left = (F.col("n") - F.col("pos")).cast("bigint") * per - F.col("n").cast("bigint") * self.percent
+        spread = (lab.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"),
+                                          F.max(left).alias("most")).where("lo != hi").drop("lo", "hi"))
+        partner = F.greatest(F.ceil(F.col("n") * self.percent / 100), F.col("least")) * self.percent
+        rest, path = self.scratch.store(
+            lab.join(spread.hint("merge"), "gram").where((left >= partner) & (F.col("most") >= F.col("n") * self.percent))
+            .select("gram", "cls", "n", "pos", "comp"))
         by_comp = rest.groupBy("gram", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
         per_gram = by_comp.groupBy("gram").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"),
                                                F.sum("c").alias("c"))
@@ -415,7 +426,7 @@ class _Join:
         """Members against one representative of their n-gram from another component."""
         rep = rest.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "pos",
                                                       "comp")).alias("r"))
-        return (rest.join(rep, "gram").where(F.col("comp") != F.col("r.comp"))
+        return (rest.join(rep.hint("merge"), "gram").where(F.col("comp") != F.col("r.comp"))
                 .select(F.col("r.cls").alias("a"), F.col("cls").alias("b"), F.col("r.n").alias("na"),
                         F.col("n").alias("nb"), F.col("r.pos").alias("pa"), F.col("pos").alias("pb"))
                 .where(self.may_match()))
@@ -423,7 +434,7 @@ class _Join:
     def all_pairs(self, rest: DataFrame) -> DataFrame:
         """What is left: members of one n-gram in different components, each pair through the filters."""
         side = lambda s: rest.select("gram", *[F.col(c).alias(s + c) for c in ("cls", "n", "pos", "comp")])
-        return (side("x").join(side("y"), "gram").where("xcls < ycls and xcomp != ycomp")
+        return (side("x").join(side("y").hint("merge"), "gram").where("xcls < ycls and xcomp != ycomp")
                 .select(F.col("xcls").alias("a"), F.col("ycls").alias("b"), F.col("xn").alias("na"),
                         F.col("yn").alias("nb"), F.col("xpos").alias("pa"), F.col("ypos").alias("pb"))
                 .where(self.may_match()))
@@ -473,10 +484,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     """(key, n, group, component) per row: ``group`` is the component's class (null for the empty set),
     ``component`` the smallest non-null key in the component, the row's own key for the empty set."""
     rows, _, comp = ngram_components(docs, key, text, size, percent)
-    lab = (rows.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+    lab = (rows.join(comp.withColumnRenamed("node", "cls").hint("merge"), "cls", "left")
            .select("key", "n", F.coalesce("component", "cls").alias("group")))
     least = lab.where("group is not null").groupBy("group").agg(F.min("key").alias("least"))
-    return (lab.join(least, "group", "left")
+    return (lab.join(least.hint("merge"), "group", "left")
             .select("key", "n", "group", F.when(F.col("group").isNull(), F.col("key"))
                     .otherwise(F.col("least")).alias("component")))
 
