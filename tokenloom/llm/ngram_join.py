@@ -280,31 +280,26 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
             .where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b"))
 
 
-def _load_sets(size: int):
-    """(wanted class, text) -> (class, sorted n-gram hashes) where the text is of that class."""
-    def run(batches):
-        for piece, texts in _pieces(batches, 1):
-            wanted = piece.column(0).to_pylist()
-            cls, blobs = [], []
-            for want, grams in zip(wanted, _sets(texts, size)):
-                if _class_of(grams) == want:
-                    cls.append(want)
-                    blobs.append(grams.tobytes())
-            yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(blobs, pa.binary())], names=["cls", "grams"])
-    return run
-
-
-def _similar(percent: int):
+def _similar(size: int, percent: int):
+    """(class, class, text, text) -> whether the sets of the texts are similar; each distinct text of a piece is cut once."""
     def run(batches):
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(ok, pa.bool_())],
-                                  names=["a", "b", "similar"])
+            for at in range(0, batch.num_rows, BATCH_TEXTS):
+                piece = batch.slice(at, BATCH_TEXTS)
+                a, b = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+                left, right = as_bytes(piece.column(2)), as_bytes(piece.column(3))
+                texts = list({*left, *right})
+                sets = dict(zip(texts, _sets(texts, size)))
+                classes = {t: _class_of(g) for t, g in sets.items()}
+                rows = []
+                for p, q, s, t in zip(a, b, left, right):
+                    if classes[s] == p and classes[t] == q:
+                        x, y = sets[s], sets[t]
+                        shared = len(np.intersect1d(x, y, assume_unique=True))
+                        rows.append((p, q, 100 * shared >= percent * (len(x) + len(y) - shared)))
+                cols = list(zip(*rows)) if rows else [(), (), ()]
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                                       pa.array(cols[2], pa.bool_())], names=["a", "b", "similar"])
     return run
 
 
@@ -360,18 +355,20 @@ class _Join:
                 & (rest * (100 + self.percent) >= total * self.percent))
 
     def texts_of(self, wanted: DataFrame) -> DataFrame:
-        """(cls, text) of wanted (cls, key) rows.  A bitmap of hashed keys, of one size for any input, thins
-        the texts before the join; what it lets through wrongly, the join drops."""
-        slot = lambda key: F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS))
-        bits = (wanted.select(slot("key").alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i"))
+        """(cls, text) of wanted (cls, slot) rows, slot being a hash of the key.  A bitmap of slots, of one size
+        for any input, thins the texts before the join; what it lets through wrongly, the join drops.  Another
+        text under the same key or slot may come along; ``_similar`` drops it by its class."""
+        cut = lambda: F.pmod(F.col("slot"), F.lit(1 << FILTER_BITS))
+        bits = (wanted.select(cut().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i"))
                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect())
         bitmap = bytearray((1 << FILTER_BITS) // 8 + 4096)
         for row in bits:
             bitmap[(row["i"] - 1) * 4096:row["i"] * 4096] = row["m"]
-        at = F.bitmap_bucket_number(slot("key")) * 32768 - 32768 + F.bitmap_bit_position(slot("key"))
+        at = F.bitmap_bucket_number(cut()) * 32768 - 32768 + F.bitmap_bit_position(cut())
         byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
-        near = self.docs.where(F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1)
-        return near.join(wanted.hint("merge"), near["key"].eqNullSafe(wanted["key"])).select("cls", "text")
+        near = (self.docs.select(F.xxhash64("key").alias("slot"), "text")
+                .where(F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1))
+        return near.join(wanted.hint("merge"), "slot").select("slot", "cls", "text").distinct().select("cls", "text")
 
     def verify(self, pairs: DataFrame) -> bool:
         """Compare new pairs on whole sets; True if there is a new link."""
@@ -380,15 +377,15 @@ class _Join:
             pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         pairs, pairs_path = self.scratch.store(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        wanted, wanted_path = self.scratch.store(wanted.join(self.classes.select("cls", "key").hint("merge"), "cls"))
-        sets, sets_path = self.scratch.store(
-            self.texts_of(wanted).mapInArrow(_load_sets(self.size), "cls bigint, grams binary").dropDuplicates(["cls"]))
-        left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga"))
-        right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
+        slots = self.classes.select("cls", F.xxhash64("key").alias("slot"))
+        wanted, wanted_path = self.scratch.store(wanted.join(slots.hint("merge"), "cls"))
+        texts, texts_path = self.scratch.store(self.texts_of(wanted))
+        left = texts.select(F.col("cls").alias("a"), F.col("text").alias("ta"))
+        right = texts.select(F.col("cls").alias("b"), F.col("text").alias("tb"))
         checked, path = self.scratch.store(
-            pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ga", "gb")
-            .mapInArrow(_similar(self.percent), "a bigint, b bigint, similar boolean"))
-        self.scratch.drop(pairs_path, wanted_path, sets_path)
+            pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb")
+            .mapInArrow(_similar(self.size, self.percent), "a bigint, b bigint, similar boolean"))
+        self.scratch.drop(pairs_path, wanted_path, texts_path)
         new = checked.where("similar").select("a", "b")
         self.tested = checked.select("a", "b") if self.tested is None else self.tested.union(checked.select("a", "b"))
         self.links = new if self.links is None else self.links.union(new)
