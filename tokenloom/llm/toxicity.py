@@ -55,8 +55,8 @@ def fold_words(text: str) -> list[str]:
             continue
         if word[0] in SYMBOLS and word[1:len(core) + 1] == core:
             core = word[0] + core
-        out.append(core.translate(_FOLD))
-    return out
+        out.append(core)
+    return " ".join(out).translate(_FOLD).split(" ") if out else []  # folding makes no space
 
 
 def terms_of(words: set[str]) -> set[str]:
