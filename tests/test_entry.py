@@ -17,7 +17,8 @@ def test_entry_schema(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    # optional queries may have none where SQL cannot express them
+    assert set(E.QUERIES) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 @pytest.mark.parametrize("name", ["build_vocab", "train_val_split", "bigram_fit", "run_log", "nucleus_next",

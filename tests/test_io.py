@@ -56,3 +56,14 @@ def test_append_metrics(spark, tmp_path):
     append_metrics(rows.withColumn("step", F.lit(20).cast("long")), p)
     back = spark.read.parquet(p)
     assert back.count() == 4 and set(r.run_id for r in back.collect()) == {1, 2}
+
+
+def test_jsonl_without_ids_keeps_one_row_per_line_and_stable_ids(spark, tmp_path):
+    lines = ['{"text": "a b"}', '{"text": "a b"}', '{"content": "c d"}', '{"text": "e"}'] + \
+        ['{"text": "row %d"}' % i for i in range(500)]
+    for name, parts in (("one", 1), ("many", 7)):
+        for k in range(parts):
+            (tmp_path / name).mkdir(exist_ok=True)
+            (tmp_path / name / f"p{k}.jsonl").write_text("\n".join(lines[k::parts]))
+    ids = [sorted(r["doc_id"] for r in read_corpus(spark, str(tmp_path / n), fmt="json").collect()) for n in ("one", "many")]
+    assert ids[0] == ids[1] and len(set(ids[0])) == len(lines)

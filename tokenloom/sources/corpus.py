@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, text_fallback_col
@@ -41,7 +41,8 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
     line fails the read instead of becoming an empty row (D1).  ``text``
     falls back to ``content`` and then to ''.  Blank rows (Python
     ``strip()`` semantics) are dropped unless ``drop_blank`` is False;
-    the kept text is not stripped.
+    the kept text is not stripped.  Rows without an id get one from their
+    content (``_with_content_ids``).
     """
     fmt = fmt or ("json" if path.endswith((".jsonl", ".json")) else "parquet")
     if fmt == "json":
@@ -52,15 +53,30 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
     cols = raw.columns
     keep = [c for c in cols if c not in ("text", "content")]
     df = raw.select(*keep, text_fallback_col(cols).alias("text"))
-    if id_col is not None and id_col not in df.columns:
-        # Rows have no key of their own: give each a stable id from its
-        # file and position (no shuffle, no driver round trip).
-        df = df.withColumn(id_col, F.monotonically_increasing_id())
+    if id_col is not None:
+        if id_col not in df.columns:
+            df = _with_content_ids(df, id_col)
+        elif not df.where(F.col(id_col).isNull()).isEmpty():
+            df = _with_content_ids(df, id_col)
     if drop_blank:
         df = df.where(nonblank_col("text"))
     return df
 
 
+def _with_content_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """Ids for rows without one: a hash of the row, numbered among equal rows.
+
+    Independent of files' splits and of the cluster; equal rows are
+    interchangeable, so their numbers are stable as a set.
+    """
+    others = [F.col(c) for c in df.columns if c != id_col]
+    keyed = df.withColumn("_h1", F.xxhash64(*others)).withColumn("_h2", F.xxhash64(*others, F.lit(1)))
+    nth = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_h1"))
+    made = F.xxhash64("_h1", "_h2", nth)
+    given = F.col(id_col) if id_col in df.columns else F.lit(None).cast("bigint")
+    return keyed.withColumn(id_col, F.coalesce(given, made)).drop("_h1", "_h2")
+
+
 def read_tokenized(spark: SparkSession, path: str, keep=("doc_id",)) -> DataFrame:
     """S3: only the token columns (plus ids we keep), pruned at the scan."""
     df = spark.read.parquet(path)
