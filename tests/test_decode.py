@@ -115,3 +115,18 @@ def test_filter_properties(spark, rows, k, p1, p2):
     a = {(r.ctx, r.token) for r in top_p(m, lo).collect()}
     b = {(r.ctx, r.token) for r in top_p(m, hi).collect()}
     assert a <= b and {c for c, _ in a} == ctxs  # monotone in p, >= 1 row per context
+
+
+def test_next_token_dist_extreme_temperature_and_empty_mass(spark):
+    m = spark.createDataFrame([(0, 2, 10**7), (0, 3, 10**6), (1, 2, 0), (1, 3, 0)], "ctx int, token int, count long")
+    got = {(r.ctx, r.token): r.prob for r in next_token_dist(m, temperature=0.02, k=0, p=1.0).collect()}
+    assert got == {(0, 2): 1.0, (0, 3): pytest.approx(0.1 ** 50), (1, 2): 0.5, (1, 3): 0.5}
+
+
+def test_next_token_dist_over_real_scores(spark):
+    rows = [(0, 2, -3.0), (0, 3, -4.0), (1, 2, float("nan")), (1, 3, -900.0), (2, 2, float("nan")), (2, 3, None)]
+    m = spark.createDataFrame(rows, "ctx int, token int, score double")
+    got = {(r.ctx, r.token): r.prob for r in next_token_dist(m, 0.5, k=0, p=1.0, score="score").collect()}
+    e = math.exp(-2.0)
+    assert got[0, 2] == pytest.approx(1 / (1 + e)) and got[0, 3] == pytest.approx(e / (1 + e))
+    assert (got[1, 2], got[1, 3], got[2, 2], got[2, 3]) == (0.0, 1.0, 0.5, 0.5)

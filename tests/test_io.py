@@ -49,6 +49,14 @@ def test_ingest_bounded_exact_first_rows(spark):
     assert nth_smallest(big, "k", 12345) == 3 * 12344
 
 
+def test_ingest_bounded_with_repeated_keys_keeps_exactly_the_bound(spark):
+    rows = [(1, "a"), (2, "b"), (2, "c"), (2, "c"), (2, "d"), (3, "e")]
+    d = spark.createDataFrame(rows, "k long, v string")
+    for n in range(1, 7):
+        got = [tuple(r) for r in ingest_bounded(d, 1, rows_per_shard=n, order_by="k").collect()]
+        assert len(got) == n and sorted(k for k, _ in got) == sorted(k for k, _ in rows)[:n]
+
+
 def test_append_metrics(spark, tmp_path):
     p = str(tmp_path / "metrics")
     rows = spark.createDataFrame([(1, 10, 2.5), (2, 10, 3.0)], "run_id long, step long, loss double")

@@ -31,11 +31,11 @@ def test_dot_topk_matches_numpy_across_blocks(spark):
     assert {(r.query, r.token) for r in got} == want
 
 
-def test_gather_inner(spark):
+def test_gather_keeps_and_flags_ids_without_a_vector(spark):
     ids = spark.createDataFrame([(0, 1), (0, 10**9)], "doc_id long, id long")
     e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "label")
-    g = gather(ids, e).collect()
-    assert len(g) == 1 and g[0].id == 1
+    g = {r.id: (r.found, r.label is None) for r in gather(ids, e).collect()}
+    assert g == {1: (True, False), 10**9: (False, True)}
 
 
 def test_map_batches_keeps_ids(spark):

@@ -53,18 +53,30 @@ def top_p(dist: DataFrame, p: float, ctx: str = "ctx", weight: str = "w", token:
 
 
 def next_token_dist(model: DataFrame, temperature: float = 1.0, k: int = 50, p: float = 0.9,
-                    alpha: float = 0.0) -> DataFrame:
+                    alpha: float = 0.0, score: str | None = None) -> DataFrame:
     """Temperature -> top-k -> top-p -> renormalise, per context.
 
-    Input ``(ctx, token, count)``; scores are log-probabilities, so
-    softmax(log p / T) is proportional to (count + alpha) ** (1/T).
-    T <= 0 leaves scores unscaled (as the reference does).  Output
+    Input ``(ctx, token, count)``, or with ``score`` the name of a column of
+    real scores (log-probabilities, dot products; any sign).  Counts score
+    ln(count + alpha).  Weights are exp((s - max s) / T): the largest is 1,
+    so none overflows at a small T.  T <= 0 leaves scores unscaled.  A NaN,
+    null or minus-infinite score has weight 0; a context without any mass
+    becomes uniform over its candidates.  Output
     ``(ctx, token, prob, cum_prob, rank)`` over surviving candidates,
     ``cum_prob`` inclusive and ``rank`` 1-based in score order.
     """
-    base = F.col("count").cast("double") + F.lit(float(alpha))
-    w = F.pow(base, F.lit(1.0 / temperature)) if temperature > 0 else base
-    d = model.select("ctx", "token", w.alias("w"))
+    none = F.lit(float("-inf"))
+    if score is None:
+        base = F.col("count").cast("double") + F.lit(float(alpha))
+        s = F.when(base > 0, F.ln(base)).otherwise(none)
+    else:
+        s = F.col(score).cast("double")
+        s = F.when(F.isnan(s) | s.isNull(), none).otherwise(s)
+    d = model.select("ctx", "token", s.alias("_s"))
+    gap = F.col("_s") - F.max("_s").over(Window.partitionBy("ctx"))
+    scaled = gap / F.lit(float(temperature)) if temperature > 0 else gap
+    # inf - inf is NaN: all candidates at -inf (no mass), or those at +inf (all of it).
+    d = d.select("ctx", "token", F.when(F.isnan(gap), F.lit(1.0)).otherwise(F.exp(scaled)).alias("w"))
     d = top_k(d, k, score="w")
     d = top_p(d, p)
     order = Window.partitionBy("ctx").orderBy(F.desc("w"), F.asc("token"))
@@ -136,15 +148,17 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
         *keys, F.col(col).alias("ids"), F.element_at(col, -1).alias("last"),
         F.lit(False).alias("done"), F.lit(0).alias("n_new"))
     front = cut_lineage(front)
-    steps = int(max_new_tokens)
+    steps, finished = int(max_new_tokens), []
     cols = keys + ["ids", "last", "done", "n_new"]
     for step in range(steps):
         # One join and one projection per step over the whole frontier;
         # finished rows pass through unchanged, so the plan stays a straight
         # chain (no self-union) and several steps run as one pipelined stage.
+        # The draw is a column below the join, so it is hashed once a row and not once a candidate.
         u = F.lit(0.0) if greedy else uniform_draw(seed, *keys, F.lit(step))
-        j = sized_join(front.withColumnRenamed("last", "_ctx"), table, "_ctx", "left", small_fits=small)
-        hit = F.filter("_cands", lambda c: c["cum_prob"] > u)
+        j = sized_join(front.withColumnRenamed("last", "_ctx").withColumn("_u", u), table, "_ctx", "left",
+                       small_fits=small)
+        hit = F.filter("_cands", lambda c: c["cum_prob"] > F.col("_u"))
         drawn = F.coalesce(F.element_at(hit, 1)["token"], F.element_at("_cands", -1)["token"])
         done = F.col("done")
         nxt = F.coalesce(drawn, F.lit(int(eos_id)))
@@ -156,6 +170,10 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
             F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new")).select(*cols)
         if (step + 1) % checkpoint_every == 0 or step + 1 == steps:
             front = cut_lineage(front)
-            if step + 1 < steps and front.where(~F.col("done")).limit(1).count() == 0:
+            finished.append(front.where(F.col("done")))  # finished rows leave the loop here
+            front = front.where(~F.col("done"))
+            if step + 1 < steps and front.isEmpty():
                 break
+    for part in finished:
+        front = front.unionByName(part)
     return front.select(*keys, "ids", "n_new")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import consecutive_pairs_col
 from ..functions.mathx import nll_col, perplexity_col
+from ..session import DEFAULT_BROADCAST_LIMIT
 
 
 def id_pairs(ids: DataFrame, col: str = "ids", eos_id: int | None = None,
@@ -44,21 +45,43 @@ def context_totals(model: DataFrame) -> DataFrame:
     return model.groupBy("ctx").agg(F.max("ctx_total").alias("ctx_total"))
 
 
+HOT_SHARE = 0.01  # a pair with more of the rows than this is joined by broadcast
+SPREAD_KEYS = 4096
+
+
+def _join_counts(agg: DataFrame, seen: DataFrame, by: tuple) -> DataFrame:
+    """``agg`` with the model's count ``_c`` of each pair; no join key holds over HOT_SHARE of the rows."""
+    floor = agg.count() * HOT_SHARE
+    hot = (agg.groupBy("ctx", "target").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(floor))
+           .join(seen, ["ctx", "target"], "left")
+           .select("ctx", "target", F.col("_c").alias("_hot_c"), F.lit(True).alias("_hot")))
+    rows = agg.join(F.broadcast(hot), ["ctx", "target"], "left")
+    spare = (-1 - F.pmod(F.xxhash64(*by), F.lit(SPREAD_KEYS))).cast("int")
+    rows = rows.withColumn("_key", F.when(F.col("_hot"), spare).otherwise(F.col("ctx")))
+    found = rows.join(seen.withColumnRenamed("ctx", "_key"), ["_key", "target"], "left")
+    return found.select(*by, "ctx", "target", "n", F.coalesce("_hot_c", "_c").alias("_c"))
+
+
 def pair_nll(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
              vocab_size: int | None = None, by: tuple = ()) -> DataFrame:
     """(by..., ctx, target, n, nll) with unseen pairs/contexts smoothed.
 
-    Evaluation pairs are counted per (by, ctx, target) first, so a hot
-    pair becomes one row before either join.  Both joins are left
-    joins: an unseen pair keeps alpha / (total + alpha*V); an unseen
-    context gets 1/V (or +inf when alpha = 0).
+    Evaluation pairs are counted per (by, ctx, target) first.  A pair that
+    many groups share still has a row in each, so pairs with over
+    ``HOT_SHARE`` of these rows (at most 1 / HOT_SHARE pairs) get their
+    counts from a broadcast and are spread over spare keys in the shuffle
+    join.  Both joins are left joins: an unseen pair keeps
+    alpha / (total + alpha*V); an unseen context gets 1/V (or +inf when
+    alpha = 0).
     """
     agg = eval_pairs.groupBy(*by, "ctx", "target").agg(F.count(F.lit(1)).alias("n"))
     seen = model.select("ctx", F.col("token").alias("target"), F.col("count").alias("_c"))
     tot = context_totals(model).withColumnRenamed("ctx_total", "_t")
-    # Contexts are vocabulary ids, so this table has at most V rows: a
-    # proven bound, broadcast so a hot context cannot skew a shuffle.
-    j = agg.join(seen, ["ctx", "target"], "left").join(F.broadcast(tot), ["ctx"], "left")
+    # Contexts are vocabulary ids, so this table has at most V rows of about
+    # 16 bytes; broadcast when that proves it small, else Spark chooses.
+    if vocab_size and int(vocab_size) * 16 <= DEFAULT_BROADCAST_LIMIT:
+        tot = F.broadcast(tot)
+    j = (_join_counts(agg, seen, by) if by else agg.join(seen, ["ctx", "target"], "left")).join(tot, ["ctx"], "left")
     a, V = float(alpha), float(vocab_size or 0)
     num = F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(a)
     den = F.coalesce(F.col("_t"), F.lit(0)).cast("double") + F.lit(a * V)
@@ -66,6 +89,14 @@ def pair_nll(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
     return j.select(*by, "ctx", "target", "n", nll_col(p).alias("nll"))
 
 
+def in_sample_loss(model: DataFrame) -> DataFrame:
+    """L2 on the pairs the table was fitted on: (loss, perplexity, n_tokens) from its counts alone."""
+    nll = nll_col(F.col("count") / F.col("ctx_total"))
+    out = model.agg((F.sum(F.col("count") * nll) / F.sum("count")).alias("loss"),
+                    F.sum("count").cast("bigint").alias("n_tokens"))
+    return out.select("loss", perplexity_col("loss").alias("perplexity"), "n_tokens")
+
+
 def cross_entropy(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
                   vocab_size: int | None = None, by: tuple = ()) -> DataFrame:
     """L2/L4: token-weighted mean -ln P(target | ctx) per ``by`` group.

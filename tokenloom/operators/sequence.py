@@ -32,6 +32,12 @@ def to_sequences(ids: DataFrame, max_length: int, pad_id: int | None = None,
                       mask_col(t, max_length).alias("attention_mask"))
 
 
+def whole_sequences(ids: DataFrame, col: str = "ids", keep: tuple = ("doc_id",)) -> DataFrame:
+    """(keep..., input_ids, attention_mask) over every id of a row: no cut, no padding, mask 1 throughout."""
+    return ids.select(*keep, F.col(col).alias("input_ids"),
+                      F.transform(col, lambda _: F.lit(1)).alias("attention_mask"))
+
+
 def label_mask(seqs: DataFrame, ignore_index: int = IGNORE_INDEX) -> DataFrame:
     """labels = input_ids with ``ignore_index`` where mask = 0; a supplied ``labels`` column wins."""
     if "labels" in seqs.columns:

@@ -30,9 +30,10 @@ def rms_normalize(vectors: DataFrame, col: str = "embedding", eps: float = 1e-6,
 
 def gather(ids: DataFrame, vectors: DataFrame, id_col: str = "id", key: str = "vec_id",
            broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Attach the vector row of each id (inner equi-join; broadcast only when measured small)."""
-    v = vectors.withColumnRenamed(key, id_col)
-    return sized_join(ids, v, id_col, "inner", limit_bytes=broadcast_limit)
+    """Every id with its vector row; ``found`` is false (and the vector null) where there is none."""
+    v = vectors.withColumnRenamed(key, id_col).withColumn("found", F.lit(True))
+    joined = sized_join(ids, v, id_col, "left", limit_bytes=broadcast_limit)
+    return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def _block_count(df: DataFrame, block_rows: int) -> int:

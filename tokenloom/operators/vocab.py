@@ -100,13 +100,12 @@ def encode(tokens: DataFrame, vocab: DataFrame, max_length: int | None = None,
 def detokenize(ids: DataFrame, vocab: DataFrame, col: str = "ids", id_col: str = "doc_id",
                skip_special: bool = True, sep: str = " ",
                broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Ids -> text (tokens joined by ``sep``), special ids skipped."""
+    """Ids -> text (tokens joined by ``sep``); ``<eos>``/pad is skipped, ``<unk>`` stays visible."""
     ex = ids.select(id_col, F.posexplode_outer(col).alias("_pos", "id"))
     lut = vocab.select(F.col("id").cast("int").alias("id"), "tok")
     joined = sized_join(ex, lut, "id", "left", limit_bytes=broadcast_limit)
     if skip_special:
-        specials = [i for _, i in SPECIAL_TOKENS]
-        joined = joined.withColumn("tok", F.when(F.col("id").isin(specials), F.lit(None)).otherwise(F.col("tok")))
+        joined = joined.withColumn("tok", F.when(F.col("id") != EOS_ID, F.col("tok")))
     entry = F.when(F.col("tok").isNotNull(), F.struct("_pos", "tok"))
     grouped = joined.groupBy(id_col).agg(F.collect_list(entry).alias("_e"))
     return grouped.select(id_col, F.array_join(F.transform(F.array_sort("_e"), lambda e: e["tok"]), sep).alias("text"))

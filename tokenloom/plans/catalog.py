@@ -8,6 +8,7 @@ engines print the same values.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,20 +21,22 @@ from ..operators import udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
 from ..session import cut_lineage
 from ..sources.sinks import manifest
-from .prepare import PrepConfig, documents, spread, table, tokenized
+from .prepare import DEFAULT_VOCAB_SIZE, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
 
 # Query parameters (the shipped training configuration where it has one).
-V = 5000            # vocabulary size incl. <eos>, <unk>
-N = 2048            # training sequence length
+V = DEFAULT_VOCAB_SIZE  # vocabulary size incl. <eos>, <unk>
+N = 2048            # training sequence length, only of the fixed-length queries (P7-P12)
 RETRUNC = 512       # second, load-time cut
 SEED = 42
 ALPHA = 0.01        # add-alpha smoothing for held-out scoring
 TEMP, TOP_K, TOP_P = 0.7, 50, 0.9
+DOT_K = 10          # candidates of a query over dot products
 NEW_TOKENS = 30
-TOKENIZER = "tokenloom-regex-v5000"
+TOKENIZER = f"tokenloom-regex-v{V}"
 CFG = TrainConfig()
-PREP = PrepConfig(vocab_size=V, max_length=N)
+INGEST_SHARDS, SHARD_ROWS = 5, 100   # S5: bound of the bounded ingest
+EVAL_CAP = 4        # O3: batches per rank of the capped evaluation
 LOG_EVERY, LOG_ACCUM, LOG_BATCH = 1, 8, 8
 WINDOW_EVERY, WINDOW_ACCUM = 2, 4
 
@@ -51,16 +54,23 @@ def _vocab(spark, sf):
     return vc.build_vocab(_toks(spark, sf), V)
 
 
-def _ids(spark, sf, vocab=None, materialize=False):
-    """Encoded documents; ``materialize`` stores them once (as the tokenized
-    table of the preparation job) when several branches read them."""
+def _ids(spark, sf, vocab=None, materialize=False, max_length=None):
+    """Encoded documents, whole unless ``max_length`` cuts them; ``materialize``
+    stores them once (as the tokenized table of the preparation job) when
+    several branches read them."""
     toks = _toks(spark, sf)
-    ids = vc.encode(toks, vocab if vocab is not None else vc.build_vocab(toks, V), max_length=N)
+    ids = vc.encode(toks, vocab if vocab is not None else vc.build_vocab(toks, V), max_length=max_length)
     return cut_lineage(ids) if materialize else ids
 
 
-def _seqs(ids):
-    return sequence.label_mask(sequence.to_sequences(ids, N))
+def _seqs(spark, sf):
+    """Fixed-length sequences: cut, padded and masked at N (the feature of P7-P12)."""
+    return sequence.label_mask(sequence.to_sequences(_ids(spark, sf, max_length=N), N))
+
+
+def _whole(ids):
+    """Sequences over every id of a text: no cut, no padding."""
+    return sequence.label_mask(sequence.whole_sequences(ids))
 
 
 def _split(spark, sf, materialize=False):
@@ -125,27 +135,27 @@ def q_truncate_tokens(spark, sf):
 
 
 def q_pad_tokens(spark, sf):
-    return _seqs(_ids(spark, sf)).select("doc_id", _txt("input_ids").alias("input_ids"))
+    return _seqs(spark, sf).select("doc_id", _txt("input_ids").alias("input_ids"))
 
 
 def q_attention_mask(spark, sf):
-    s = _seqs(_ids(spark, sf))
+    s = _seqs(spark, sf)
     n_real = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m)
     return s.select("doc_id", n_real.alias("n_real"), _txt("attention_mask").alias("attention_mask"))
 
 
 def q_label_mask(spark, sf):
-    return _seqs(_ids(spark, sf)).select("doc_id", _txt("labels").alias("labels"))
+    return _seqs(spark, sf).select("doc_id", _txt("labels").alias("labels"))
 
 
 def q_retruncate(spark, sf):
-    s = sequence.retruncate(_seqs(_ids(spark, sf)), RETRUNC)
+    s = sequence.retruncate(_seqs(spark, sf), RETRUNC)
     return s.select("doc_id", _txt("input_ids").alias("input_ids"), _txt("attention_mask").alias("attention_mask"),
                     _txt("labels").alias("labels"))
 
 
 def q_shifted_pairs(spark, sf):
-    p = sequence.shifted_pairs(_seqs(_ids(spark, sf)))
+    p = sequence.shifted_pairs(_whole(_ids(spark, sf)))
     return p.select("doc_id", F.col("pos").cast("int").alias("pos"), "ctx", "target")
 
 
@@ -156,18 +166,27 @@ def q_detokenize(spark, sf):
 
 def q_ingest_bounded(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return ingest_bounded(d, num_shards=5)
+    return ingest_bounded(d, INGEST_SHARDS, SHARD_ROWS)
 
 
 def q_dataset_manifest(spark, sf):
-    return manifest(_seqs(_ids(spark, sf)), N, TOKENIZER)
+    return manifest(_seqs(spark, sf), N, TOKENIZER)
 
 
 def q_token_counts(spark, sf):
     t = tokenized(_docs(spark, sf), keep=("doc_id", "lang", "source"))
     return t.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.sum(F.least(F.size("tokens"), F.lit(N))).cast("bigint").alias("n_tokens"))
+        F.sum(F.size("tokens")).cast("bigint").alias("n_tokens"))
+
+
+def q_unk_counts(spark, sf):
+    """Tokens outside the vocabulary per language and source."""
+    toks = tokenized(_docs(spark, sf), keep=("doc_id", "lang", "source"))
+    ids = vc.encode(toks, vc.build_vocab(toks, V), keep=("lang", "source"))
+    unk = F.size(F.filter("ids", lambda i: i == F.lit(vc.UNK_ID)))
+    return ids.groupBy("lang", "source").agg(F.sum(F.size("ids")).cast("bigint").alias("n_tokens"),
+                                             F.sum(unk).cast("bigint").alias("n_unk"))
 
 
 # ---------------------------------------------------------------- rank / split / shard / batch
@@ -227,14 +246,14 @@ def q_bigram_fit(spark, sf):
 
 
 def q_cross_entropy(spark, sf):
-    ids, s = _shared(spark, sf)
-    train = _seqs(ids).join(s.where(F.col("split") == "train").select("doc_id"), "doc_id", "left_semi")
-    ce = ngram.cross_entropy(sequence.shifted_pairs(train), _model(ids, s, materialize=True))
+    ce = ngram.in_sample_loss(_model(_ids(spark, sf), _split(spark, sf)))
     return ce.select(F.round("loss", 9).alias("loss"), F.round("perplexity", 6).alias("perplexity"), "n_tokens")
 
 
-def _val_nll(ids, s):
-    val = _seqs(ids).join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
+def _val_nll(ids, s, docs=None):
+    """Pair losses of the validation documents, or of those named in ``docs``."""
+    chosen = s.where(F.col("split") == "val") if docs is None else docs
+    val = _whole(ids).join(chosen.select("doc_id"), "doc_id", "left_semi")
     return ngram.pair_nll(sequence.shifted_pairs(val), _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
 
 
@@ -252,9 +271,8 @@ def q_benchmark_perplexity(spark, sf):
     v = _vocab(spark, sf)
     ids, s = _shared(spark, sf, v)
     items = spread(table(spark, sf, "benchmark").where(nonblank_col("text")), "item_id")
-    item_ids = vc.encode(items.select("item_id", tokens_col("text").alias("tokens")), v, max_length=N,
-                         id_col="item_id")
-    pairs = sequence.shifted_pairs(_seqs(item_ids.withColumnRenamed("item_id", "doc_id")))
+    item_ids = vc.encode(items.select("item_id", tokens_col("text").alias("tokens")), v, id_col="item_id")
+    pairs = sequence.shifted_pairs(_whole(item_ids.withColumnRenamed("item_id", "doc_id")))
     ce = ngram.cross_entropy(pairs, _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
     return ce.select(F.col("doc_id").alias("item_id"), F.round("loss", 9).alias("loss"),
                      F.round("perplexity", 6).alias("perplexity"), "n_tokens")
@@ -275,12 +293,22 @@ def q_eval_rank_reduce(spark, sf):
     return r.select(F.round("loss", 9).alias("loss"), "n_batches")
 
 
-def q_evaluate_split(spark, sf):
-    e = evaluate_batches(_batch_losses(spark, sf), CFG.eval_batches * CFG.accumulation)
+def _eval_row(e):
     return e.select(F.round("loss", 9).alias("loss"), F.round("perplexity", 6).alias("perplexity"),
                     F.col("n_batches").cast("bigint").alias("n_batches"))
 
 
+def q_evaluate_split(spark, sf):
+    return _eval_row(evaluate_batches(_batch_losses(spark, sf)))
+
+
+def q_evaluate_capped(spark, sf):
+    """O3: the first EVAL_CAP batches of each rank; only their documents are scored."""
+    ids, s = _shared(spark, sf)
+    first = val_batches(s, CFG).where(F.col("batch_id") < EVAL_CAP)
+    return _eval_row(evaluate_batches(batch_losses(first, doc_loss_sums(_val_nll(ids, s, first)))))
+
+
 def q_perplexity(spark, sf):
     """A7 per event (value = loss): capped flag, and exp(loss) as mantissa x 10^exponent."""
     e = table(spark, sf, "events").select("event_id", perplexity_col("value").alias("ppl"))
@@ -320,8 +348,7 @@ def q_sample_next(spark, sf):
     v = _vocab(spark, sf)
     ids, s = _shared(spark, sf, v)
     m = _model(ids, s, eos_id=vc.EOS_ID)
-    val = ids.join(s.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
-    front = val.select("doc_id", F.element_at("ids", -1).alias("last"))
+    front = ids.select("doc_id", F.element_at("ids", -1).alias("last"))
     dist = decode.next_token_dist(m, TEMP, TOP_K, TOP_P)
     out = decode.sample_next(front, dist, decode.uniform_draw(SEED, "doc_id", F.lit(0)))
     return out.select("doc_id", F.coalesce("next_token", F.lit(vc.EOS_ID)).alias("token"))
@@ -395,9 +422,14 @@ def q_rms_normalize(spark, sf):
 
 def q_gather_vectors(spark, sf):
     ids = _ids(spark, sf).select("doc_id", F.posexplode("ids").alias("pos", "id"))
-    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     g = vectors.gather(ids, e, id_col="id")
-    return g.select("doc_id", "pos", F.col("id").alias("vec_id"), "label")
+    x = F.col("embedding")
+    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return g.select("doc_id", "pos", F.col("id").alias("vec_id"), "found", "label",
+                    F.when(F.col("found"), F.size(x)).cast("bigint").alias("dims"),
+                    F.element_at(x, 1).cast("double").alias("first"), F.element_at(x, -1).cast("double").alias("last"),
+                    F.round(total, 6).alias("total"))
 
 
 def q_dot_scores_topk(spark, sf):
@@ -406,6 +438,14 @@ def q_dot_scores_topk(spark, sf):
     return s.select("query", "token", F.round("score", 6).alias("score"), F.round("prob", 6).alias("prob"))
 
 
+def q_dot_next_dist(spark, sf):
+    """L5 over real scores: temperature and nucleus filter on each query's dot products."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    s = vectors.dot_scores_topk(e, e, DOT_K).withColumnRenamed("query", "ctx")
+    d = decode.next_token_dist(s, TEMP, DOT_K, TOP_P, score="score")
+    return d.select("ctx", "token", F.round("prob", 6).alias("prob"), F.col("rank").cast("int").alias("rank"))
+
+
 # ---------------------------------------------------------------- UDF surface
 def _text_stats(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"n_chars": pdf["text"].str.len().astype("int64"),
@@ -417,22 +457,42 @@ def q_map_batches(spark, sf):
     return udf.map_batches(d, _text_stats, "doc_id long, n_chars long, n_lines long", keep=("doc_id",))
 
 
-def _load_length_scorer():
-    import numpy as np
+def _unigram_scorer(vocab, size):
+    """A loader for U2: mean -ln of add-one unigram probabilities of a sequence's targets.
 
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        masks = pdf["attention_mask"]
-        n_real = np.array([int(np.sum(m)) for m in masks], dtype=np.int64)
-        last = np.array([int(ids[k - 1]) if k > 0 else -1 for ids, k in zip(pdf["input_ids"], n_real)],
-                        dtype=np.int32)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("int64"), "n_real": n_real, "last_id": last})
+    The table has one number per vocabulary id, so it is bounded by ``size``.
+    """
+    rows = vocab.select("id", "count").toPandas()
+    counts = np.zeros(int(rows["id"].max()) + 1)
+    counts[rows["id"].to_numpy()] = rows["count"].to_numpy()
+    losses = vocab.sparkSession.sparkContext.broadcast(-np.log((counts + 1.0) / (counts.sum() + size)))
 
-    return score
+    def load():
+        nll = losses.value
+
+        def score(pdf: pd.DataFrame) -> pd.DataFrame:
+            lengths = pdf["input_ids"].str.len().to_numpy()
+            owner = np.repeat(np.arange(len(pdf)), lengths)
+            labels, mask = np.concatenate(pdf["labels"].to_list()), np.concatenate(pdf["attention_mask"].to_list())
+            target = (labels >= 0) & (mask == 1)
+            target[(np.cumsum(lengths) - lengths)[lengths > 0]] = False  # nothing predicts the first id
+            n = np.bincount(owner[target], minlength=len(pdf))
+            total = np.bincount(owner[target], weights=nll[labels[target]], minlength=len(pdf))
+            with np.errstate(invalid="ignore"):
+                loss = np.where(n > 0, total / n, np.nan)
+            return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "loss": loss, "n_targets": n.astype("int64")})
+
+        return score
+
+    return load
 
 
 def q_score_batches(spark, sf):
-    return udf.score_batches(_seqs(_ids(spark, sf)), _load_length_scorer,
-                             "doc_id long, n_real long, last_id int")
+    """(input_ids, attention_mask, labels) of whole texts -> loss per document."""
+    v = _vocab(spark, sf)
+    seqs = _whole(_ids(spark, sf, v))
+    scored = udf.score_batches(seqs, _unigram_scorer(v, V), "doc_id long, loss double, n_targets long")
+    return scored.select("doc_id", F.round("loss", 9).alias("loss"), "n_targets")
 
 
 QUERIES = {
@@ -451,6 +511,7 @@ QUERIES = {
     "ingest_bounded": q_ingest_bounded,
     "dataset_manifest": q_dataset_manifest,
     "token_counts": q_token_counts,
+    "unk_counts": q_unk_counts,
     "global_rank": q_global_rank,
     "epoch_shuffle": q_epoch_shuffle,
     "train_val_split": q_train_val_split,
@@ -468,6 +529,7 @@ QUERIES = {
     "eval_batch_mean": q_eval_batch_mean,
     "eval_rank_reduce": q_eval_rank_reduce,
     "evaluate_split": q_evaluate_split,
+    "evaluate_capped": q_evaluate_capped,
     "perplexity": q_perplexity,
     "greedy_next": q_greedy_next,
     "topk_next": q_topk_next,
@@ -486,6 +548,7 @@ QUERIES = {
     "rms_normalize": q_rms_normalize,
     "gather_vectors": q_gather_vectors,
     "dot_scores_topk": q_dot_scores_topk,
+    "dot_next_dist": q_dot_next_dist,
     "map_batches": q_map_batches,
     "score_batches": q_score_batches,
 }

@@ -11,7 +11,6 @@ from . import catalog as C
 
 V, N, R, SEED = C.V, C.N, C.RETRUNC, C.SEED
 W, B, G = C.CFG.world, C.CFG.batch_size, C.CFG.accumulation
-INV_T = repr(1.0 / C.TEMP)
 
 DOCS = f"docs AS (SELECT doc_id, text, lang, source FROM documents WHERE regexp_matches(text, '{NB}'))"
 TOKS = f"toks AS (SELECT doc_id, lang, source, regexp_extract_all(text, '{TP}') AS tokens FROM docs)"
@@ -19,15 +18,14 @@ VOCAB = f"""cnt AS (SELECT tok, count(*) AS c FROM (SELECT unnest(tokens) AS tok
 top_tok AS (SELECT tok, CAST(row_number() OVER (ORDER BY c DESC, tok) + 1 AS INTEGER) AS id, CAST(c AS BIGINT) AS count
             FROM cnt QUALIFY row_number() OVER (ORDER BY c DESC, tok) <= {V - 2}),
 vocab AS (SELECT * FROM top_tok UNION ALL SELECT '<eos>', 0, CAST(0 AS BIGINT) UNION ALL SELECT '<unk>', 1, CAST(0 AS BIGINT))"""
-ENC = f"""tr AS (SELECT doc_id, list_slice(tokens, 1, {N}) AS t FROM toks),
-ex AS (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS tok FROM tr),
+ENC = """ex AS (SELECT doc_id, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS tok FROM toks),
 enc AS (SELECT ex.doc_id, list(coalesce(v.id, 1) ORDER BY ex.pos) AS ids
         FROM ex LEFT JOIN vocab v ON v.tok = ex.tok GROUP BY ex.doc_id)"""
 SEQS = f"""seqs AS (SELECT doc_id, ids,
    list_concat(ids, list_transform(range({N} - len(ids)), lambda x: 0)) AS input_ids,
    list_transform(range({N}), lambda i: CASE WHEN i < len(ids) THEN 1 ELSE 0 END) AS attention_mask,
    list_concat(ids, list_transform(range({N} - len(ids)), lambda x: -100)) AS labels
- FROM enc)"""
+ FROM (SELECT doc_id, list_slice(ids, 1, {N}) AS ids FROM enc))"""
 SPLIT = f"""sp0 AS (SELECT doc_id, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS r,
                 count(*) OVER () AS nn FROM docs),
 sp1 AS (SELECT doc_id, r, nn, CAST(floor(0.8::DOUBLE * nn) AS BIGINT) AS nt FROM sp0),
@@ -88,7 +86,8 @@ VAL_BATCH = ("vsrc AS (SELECT doc_id, idx, split_n AS n FROM split WHERE split =
 blo AS (SELECT rank, batch_id, CASE WHEN n_targets > 0 THEN s / n_targets ELSE 'nan'::DOUBLE END AS loss, n_targets FROM bl)""")
 
 GEN_MODEL = BASE + (SPLIT, TRAIN_IDS, PAIRS("trids", "gp", eos=True), MODEL("gp", "gmodel"))
-DIST = f"""w0 AS (SELECT ctx, token, pow(CAST(count AS DOUBLE), {INV_T}::DOUBLE) AS w FROM gmodel),
+DIST = f"""w0 AS (SELECT ctx, token, exp((ln(CAST(count AS DOUBLE)) - max(ln(CAST(count AS DOUBLE))) OVER (PARTITION BY ctx))
+    / {C.TEMP}::DOUBLE) AS w FROM gmodel),
 k1 AS (SELECT * FROM w0 QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY w DESC, token) <= {C.TOP_K}),
 p1 AS (SELECT * FROM k1 QUALIFY coalesce(sum(w) OVER (PARTITION BY ctx ORDER BY w DESC, token
           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= {C.TOP_P}::DOUBLE * sum(w) OVER (PARTITION BY ctx)),
@@ -164,15 +163,19 @@ SQL["retruncate"] = w(*BASE, SEQS) + (
 SQL["shifted_pairs"] = w(*BASE, PAIRS("enc", "pr")) + (
     "SELECT doc_id, CAST(pos AS INTEGER) AS pos, ctx, target FROM pr")
 SQL["detokenize"] = w(*BASE) + """, dex AS (SELECT doc_id, unnest(range(1, len(ids) + 1)) AS pos, unnest(ids) AS id FROM enc)
-SELECT d.doc_id, coalesce(array_to_string(list(v.tok ORDER BY d.pos) FILTER (WHERE d.id > 1), ' '), '') AS text
+SELECT d.doc_id, coalesce(array_to_string(list(v.tok ORDER BY d.pos) FILTER (WHERE d.id > 0), ' '), '') AS text
 FROM dex d LEFT JOIN vocab v ON v.id = d.id GROUP BY d.doc_id"""
-SQL["ingest_bounded"] = "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50000"
+SQL["ingest_bounded"] = f"SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT {C.INGEST_SHARDS * C.SHARD_ROWS}"
 SQL["dataset_manifest"] = w(*BASE) + (
     f"SELECT CAST(count(*) AS BIGINT) AS samples, CAST({N} AS INTEGER) AS max_length, "
     f"'{C.TOKENIZER}' AS tokenizer FROM enc")
 SQL["token_counts"] = w(DOCS, TOKS) + (
-    f"SELECT lang, source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(least(len(tokens), {N})) AS BIGINT) AS n_tokens "
+    f"SELECT lang, source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(tokens)) AS BIGINT) AS n_tokens "
     "FROM toks GROUP BY lang, source")
+SQL["unk_counts"] = w(DOCS, TOKS, VOCAB) + (
+    "SELECT lang, source, CAST(count(*) AS BIGINT) AS n_tokens, "
+    "CAST(count(*) FILTER (WHERE tok NOT IN (SELECT tok FROM vocab)) AS BIGINT) AS n_unk "
+    "FROM (SELECT lang, source, unnest(tokens) AS tok FROM toks) GROUP BY lang, source")
 
 SQL["global_rank"] = w(DOCS) + (
     f"SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('{SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS BIGINT) AS rank FROM docs")
@@ -207,7 +210,7 @@ SQL["doc_perplexity"] = w(*MODEL_BASE, *VAL_NLL) + (
     "round(CASE WHEN nll_sum / n_targets < 100 THEN exp(nll_sum / n_targets) ELSE 'inf'::DOUBLE END, 6) AS perplexity, "
     "CAST(n_targets AS BIGINT) AS n_tokens FROM dsum")
 SQL["benchmark_perplexity"] = w(*MODEL_BASE) + f""",
-bt AS (SELECT item_id, list_slice(regexp_extract_all(text, '{TP}'), 1, {N}) AS t FROM benchmark
+bt AS (SELECT item_id, regexp_extract_all(text, '{TP}') AS t FROM benchmark
        WHERE regexp_matches(text, '{NB}')),
 bex AS (SELECT item_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS tok FROM bt),
 bids AS (SELECT item_id AS doc_id, list(coalesce(v.id, 1) ORDER BY pos) AS ids
@@ -227,10 +230,12 @@ SQL["eval_batch_mean"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + (
 SQL["eval_rank_reduce"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + (
     "SELECT round(CASE WHEN count(*) > 0 THEN sum(loss) / count(*) ELSE 0.0 END, 9) AS loss, "
     "CAST(count(*) AS BIGINT) AS n_batches FROM blo")
-SQL["evaluate_split"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + f""", ev AS (
+EVAL_ROW = """, ev AS (
   SELECT CASE WHEN count(*) > 0 THEN sum(loss) / count(*) ELSE 0.0 END AS loss, CAST(count(*) AS BIGINT) AS n_batches
-  FROM blo WHERE batch_id < {C.CFG.eval_batches * G})
+  FROM blo WHERE {only})
 SELECT round(loss, 9) AS loss, round(CASE WHEN loss < 100 THEN exp(loss) ELSE 'inf'::DOUBLE END, 6) AS perplexity, n_batches FROM ev"""
+SQL["evaluate_split"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + EVAL_ROW.format(only="true")
+SQL["evaluate_capped"] = w(*MODEL_BASE, *VAL_NLL, *VAL_BATCH) + EVAL_ROW.format(only=f"batch_id < {C.EVAL_CAP}")
 SQL["perplexity"] = """WITH p AS (SELECT event_id, CASE WHEN value < 100 THEN exp(value) ELSE 'inf'::DOUBLE END AS ppl
   FROM events)
 SELECT event_id, NOT (ppl < 'inf'::DOUBLE) AS capped,
@@ -246,9 +251,9 @@ SQL["nucleus_next"] = w(*MODEL_BASE) + (
     f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= {C.TOP_P}::DOUBLE * sum(count) OVER (PARTITION BY ctx)")
 SQL["next_token_dist"] = (w(*MODEL_BASE) + ", " + DIST.replace("FROM gmodel", "FROM model") +
                           "\nSELECT ctx, token, round(prob, 9) AS prob, CAST(rank AS INTEGER) AS rank FROM dist")
-SQL["sample_next"] = w(*GEN_MODEL, DIST, VAL_IDS) + f"""SELECT v.doc_id,
+SQL["sample_next"] = w(*GEN_MODEL, DIST) + f"""SELECT v.doc_id,
   coalesce(list_filter(c.cs, lambda x: x.cum > {_u('0', 'v.doc_id')})[1].token, c.cs[-1].token, 0) AS token
-FROM vids v LEFT JOIN cands c ON c.ctx = v.ids[-1]"""
+FROM enc v LEFT JOIN cands c ON c.ctx = v.ids[-1]"""
 
 _GEN_HEAD = "WITH RECURSIVE " + ",\n".join(GEN_MODEL + (PROMPTS,))
 SQL["generate_greedy"] = _GEN_HEAD + f""",
@@ -294,13 +299,26 @@ r AS (SELECT vec_id, x, 1.0 / sqrt(list_sum(list_transform(x, lambda v: v * v))
 ex AS (SELECT vec_id, inv, unnest(range(0, len(x))) AS dim, unnest(x) AS v FROM r)
 SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(v * inv, 6) AS value FROM ex"""
 SQL["gather_vectors"] = w(*BASE) + """, gex AS (SELECT doc_id, unnest(range(0, len(ids))) AS pos, unnest(ids) AS id FROM enc)
-SELECT g.doc_id, CAST(g.pos AS INTEGER) AS pos, g.id AS vec_id, e.label FROM gex g JOIN embeddings e ON e.vec_id = g.id"""
+SELECT g.doc_id, CAST(g.pos AS INTEGER) AS pos, g.id AS vec_id, e.vec_id IS NOT NULL AS found, e.label,
+  CAST(len(e.embedding) AS BIGINT) AS dims, CAST(e.embedding[1] AS DOUBLE) AS first,
+  CAST(e.embedding[-1] AS DOUBLE) AS last, round(list_sum(CAST(e.embedding AS DOUBLE[])), 6) AS total
+FROM gex g LEFT JOIN embeddings e ON e.vec_id = g.id"""
 SQL["dot_scores_topk"] = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 s AS (SELECT a.vec_id AS query, b.vec_id AS token, list_dot_product(a.x, b.x) AS score FROM e a, e b),
 t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, token) <= 5),
 p AS (SELECT query, token, score, exp(score - max(score) OVER (PARTITION BY query)) AS ex FROM t)
 SELECT query, token, round(score, 6) AS score, round(ex / sum(ex) OVER (PARTITION BY query), 6) AS prob FROM p"""
+SQL["dot_next_dist"] = f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT a.vec_id AS ctx, b.vec_id AS token, list_dot_product(a.x, b.x) AS score FROM e a, e b),
+k1 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY ctx ORDER BY score DESC, token) <= {C.DOT_K}),
+w1 AS (SELECT ctx, token, exp((score - max(score) OVER (PARTITION BY ctx)) / {C.TEMP}::DOUBLE) AS w FROM k1),
+p1 AS (SELECT * FROM w1 QUALIFY coalesce(sum(w) OVER (PARTITION BY ctx ORDER BY w DESC, token
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= {C.TOP_P}::DOUBLE * sum(w) OVER (PARTITION BY ctx))
+SELECT ctx, token, round(w / sum(w) OVER (PARTITION BY ctx), 6) AS prob,
+  CAST(row_number() OVER (PARTITION BY ctx ORDER BY w DESC, token) AS INTEGER) AS rank FROM p1"""
 SQL["map_batches"] = ("SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, "
                       "CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS n_lines FROM documents")
-SQL["score_batches"] = w(*BASE) + (
-    "SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_real, CAST(ids[-1] AS INTEGER) AS last_id FROM enc")
+SQL["score_batches"] = w(*BASE) + f""", uni AS (SELECT id, -ln((count + 1.0::DOUBLE) / ((SELECT sum(count) FROM vocab) + {V})) AS nll FROM vocab),
+tg AS (SELECT doc_id, unnest(ids[2:]) AS id FROM enc),
+ts AS (SELECT doc_id, avg(nll) AS loss, CAST(count(*) AS BIGINT) AS n FROM tg JOIN uni USING (id) GROUP BY doc_id)
+SELECT e.doc_id, round(ts.loss, 9) AS loss, coalesce(ts.n, 0) AS n_targets FROM enc e LEFT JOIN ts USING (doc_id)"""

@@ -11,16 +11,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, tokens_col
 from ..operators.sequence import label_mask, to_sequences
 from ..operators.vocab import EOS_ID, build_vocab, encode
 
 
+DEFAULT_VOCAB_SIZE = 151_936
+
+
 @dataclass(frozen=True)
 class PrepConfig:
-    vocab_size: int = 5000
+    vocab_size: int = DEFAULT_VOCAB_SIZE
     max_length: int = 2048
     pad_id: int | None = None  # None -> eos (P9)
     eos_id: int = EOS_ID
@@ -74,8 +76,3 @@ def prepared_sequences(spark: SparkSession, sf_dir: str, cfg: PrepConfig = PrepC
     """Flagship query: (doc_id, input_ids, attention_mask, labels) for every non-blank document."""
     _, _, seqs = prepare(documents(spark, sf_dir, ("doc_id", "text")), cfg)
     return seqs
-
-
-def array_text(col: str):
-    """Readable, engine-neutral form of an int array: ids joined by spaces."""
-    return F.array_join(F.col(col), " ")

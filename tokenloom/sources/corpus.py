@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, text_fallback_col
+from ..operators.rank import global_rank, hash_key
 
 JSONL_SCHEMA = "text string, content string"
 PRETOKENIZED_COLUMNS = ("input_ids", "attention_mask")
@@ -121,11 +122,18 @@ def ingest_bounded(df: DataFrame, num_shards: int, rows_per_shard: int = ROWS_PE
 
     Fewer when the source is shorter.  The cut is a pushed-down range
     filter on the key, so Parquet skips row groups past it and no task
-    ever holds the whole prefix.  ``order_by`` must be unique (a primary
-    key, as ``doc_id`` is).
+    ever holds the whole prefix.  Rows that share the key at the cut are
+    ranked by a hash of the row, so exactly the bound is kept.
     """
     n = int(num_shards) * int(rows_per_shard)
     cut = nth_smallest(df, order_by, n)
     if cut is None:
         return df.limit(0)
-    return df.where(F.col(order_by) <= F.lit(cut))
+    tied = df.where(F.col(order_by) == F.lit(cut))
+    room = n - df.where(F.col(order_by) < F.lit(cut)).count()
+    if tied.limit(room + 1).count() <= room:
+        return df.where(F.col(order_by) <= F.lit(cut))
+    key = hash_key(0, F.xxhash64(*df.columns))
+    some = global_rank(tied.withColumn("_h", key), "_h", order_by, total_col=None, rank_col="_r")
+    return df.where(F.col(order_by) < F.lit(cut)).unionByName(
+        some.where(F.col("_r") < F.lit(room)).select(*df.columns))
