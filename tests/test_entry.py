@@ -22,7 +22,8 @@ def test_every_query_has_oracle():
 
 
 @pytest.mark.parametrize("name", ["build_vocab", "train_val_split", "bigram_fit", "run_log", "nucleus_next",
-                                  "evaluate_split", "dot_scores_topk"])
+                                  "evaluate_split", "dot_scores_topk", "read_jsonl", "pretokenized_scan",
+                                  "user_tokenizer", "stream_metrics", "score_batches", "gather_vectors"])
 def test_query_matches_duckdb(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -3,10 +3,12 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators.sequence import label_mask, to_sequences
 from tokenloom.plans.prepare import PrepConfig, documents, prepare
+from tokenloom.plans.jobs import preparation_job, regex_tokenizer, training_sequences
 from tokenloom.sources.corpus import ingest_bounded, nth_smallest, read_corpus, read_tokenized, source_kind
 from tokenloom.sources.sinks import append_metrics, write_manifest, write_tokenized
 
@@ -75,3 +77,18 @@ def test_jsonl_without_ids_keeps_one_row_per_line_and_stable_ids(spark, tmp_path
             (tmp_path / name / f"p{k}.jsonl").write_text("\n".join(lines[k::parts]))
     ids = [sorted(r["doc_id"] for r in read_corpus(spark, str(tmp_path / n), fmt="json").collect()) for n in ("one", "many")]
     assert ids[0] == ids[1] and len(set(ids[0])) == len(lines)
+
+
+def test_preparation_job_routes_and_counts(spark, tmp_path):
+    src, dst = str(tmp_path / "in.jsonl"), str(tmp_path / "job")
+    lines = spark.createDataFrame([("a b",), ("c a a",), (" ",), (None,)], "text string")
+    lines.write.json(src)
+    cfg = PrepConfig(vocab_size=10, max_length=4)
+    assert preparation_job(spark, src, dst, cfg).first().samples == 2
+    stored = sorted((r.input_ids, r.labels) for r in training_sequences(spark, dst + "/data", cfg).collect())
+    direct = sorted((r.input_ids, r.labels) for r in training_sequences(spark, src, cfg).collect())
+    own = prepare(read_corpus(spark, src), cfg, tokenizer=regex_tokenizer)[2]
+    assert stored == direct == sorted((r.input_ids, r.labels) for r in own.collect())
+    assert preparation_job(spark, src, dst + "2", cfg, drop_blank=False).first().samples == 4
+    with pytest.raises(ValueError):
+        training_sequences(spark, str(tmp_path / "x.pt"), cfg)

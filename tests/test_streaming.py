@@ -23,9 +23,9 @@ def test_stream_ingest_limit(spark, tmp_path):
     src = str(tmp_path / "src")
     d = spark.read.parquet(SF001 + "/documents.parquet").select("doc_id", "text")
     _split_files(d, src, 4)
-    stream_ingest(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), limit=150)
+    stream_ingest(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), limit=150, max_files_per_trigger=1)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 150
-    stream_ingest(spark, src, str(tmp_path / "out2"), str(tmp_path / "ck2"), limit=10_000)
+    stream_ingest(spark, src, str(tmp_path / "out2"), str(tmp_path / "ck2"), limit=10_000, max_files_per_trigger=1)
     assert spark.read.parquet(str(tmp_path / "out2")).count() == d.count()
 
 
@@ -36,7 +36,8 @@ def test_stream_tokenize_equals_batch(spark, tmp_path):
     docs = documents(spark, SF001, ("doc_id", "text"))
     toks = tokenized(docs)
     vocab = build_vocab(toks, 500)
-    stream_tokenize(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), vocab, max_length=32)
+    stream_tokenize(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), vocab, max_length=32,
+                    max_files_per_trigger=1)
     got = {r.doc_id: (r.input_ids, r.labels) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     ref = label_mask(to_sequences(encode(toks, vocab, max_length=32), 32))
     want = {r.doc_id: (r.input_ids, r.labels) for r in ref.collect()}
@@ -47,7 +48,8 @@ def test_stream_log_windows_equals_batch(spark, tmp_path):
     src = str(tmp_path / "src")
     log = micro_batches(spark.read.parquet(SF001 + "/events.parquet"))
     _split_files(log, src, 3)
-    stream_log_windows(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), every=1, accumulation=4)
+    stream_log_windows(spark, src, str(tmp_path / "out"), str(tmp_path / "ck"), every=1, accumulation=4,
+                       max_files_per_trigger=1)
     got = {(r.run_id, r.step): round(r.loss, 9)
            for r in finish_log_windows(spark, str(tmp_path / "out"), 1, 4, 8).collect()}
     want = {(r.run_id, r.step): round(r.loss, 9) for r in log_windows(log, 1, 4, 8).collect()}
@@ -59,7 +61,7 @@ def test_stream_metrics_appends_once(spark, tmp_path):
     rows = spark.createDataFrame([(r % 3, r, float(r)) for r in range(30)], "run_id long, step long, loss double")
     _split_files(rows, src, 3)
     dst, ck = str(tmp_path / "metrics"), str(tmp_path / "ck")
-    stream_metrics(spark, src, dst, ck)
-    stream_metrics(spark, src, dst, ck)  # restart: nothing new to append
+    stream_metrics(spark, src, dst, ck, max_files_per_trigger=1)
+    stream_metrics(spark, src, dst, ck, max_files_per_trigger=1)  # restart: nothing new to append
     back = spark.read.parquet(dst)
     assert back.count() == 30 and back.select("run_id").distinct().count() == 3

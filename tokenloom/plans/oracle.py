@@ -322,3 +322,18 @@ SQL["score_batches"] = w(*BASE) + f""", uni AS (SELECT id, -ln((count + 1.0::DOU
 tg AS (SELECT doc_id, unnest(ids[2:]) AS id FROM enc),
 ts AS (SELECT doc_id, avg(nll) AS loss, CAST(count(*) AS BIGINT) AS n FROM tg JOIN uni USING (id) GROUP BY doc_id)
 SELECT e.doc_id, round(ts.loss, 9) AS loss, coalesce(ts.n, 0) AS n_targets FROM enc e LEFT JOIN ts USING (doc_id)"""
+
+SQL["read_jsonl"] = ("SELECT md5(text) AS text_md5, count(*) AS n_lines, count(*) AS n_ids FROM documents "
+                     f"WHERE regexp_matches(text, '{NB}') GROUP BY md5(text)")
+SQL["read_columnar"] = SQL["nonblank_documents"]
+_STORED = "SELECT doc_id, array_to_string(input_ids, ' ') AS input_ids, array_to_string(labels, ' ') AS labels FROM seqs"
+SQL["pretokenized_scan"] = w(*BASE, SEQS) + _STORED
+SQL["prepared_manifest"] = w(DOCS) + (
+    f"SELECT CAST(count(*) AS BIGINT) AS samples, CAST({N} AS INTEGER) AS max_length, 'tokenloom-regex' AS tokenizer FROM docs")
+SQL["user_tokenizer"] = SQL["tokenize_documents"]
+SQL["stream_ingest"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
+SQL["stream_tokenize"] = SQL["pretokenized_scan"]
+SQL["stream_log_windows"] = w(MICRO, WINDOWS(1, 8)) + (
+    f"SELECT run_id, step, round(s / 8.0, 9) AS loss, round({_rate('dt * 1000.0 / 1.0')}, 6) AS ms_per_step FROM win2")
+SQL["stream_metrics"] = w(*UPDATES) + (
+    "SELECT run_id, CAST(step AS BIGINT) AS step, round(loss_sum, 9) AS loss_sum FROM upd")

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, tokens_col
 from ..operators.sequence import label_mask, to_sequences
@@ -54,18 +56,24 @@ def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text", "lang",
     return spread(table(spark, sf_dir, "documents").select(*cols).where(nonblank_col("text")), "doc_id")
 
 
-def tokenized(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """P4 (+P3): (keep..., tokens)."""
-    return docs.select(*keep, tokens_col("text").alias("tokens"))
+def tokenized(docs: DataFrame, keep=("doc_id",), tokenizer=None) -> DataFrame:
+    """P4 (+P3): (keep..., tokens); ``tokenizer`` (U1) maps a pandas Series of texts to one of token lists."""
+    if tokenizer is None:
+        return docs.select(*keep, tokens_col("text").alias("tokens"))
 
+    def run(texts: pd.Series) -> pd.Series:
+        return tokenizer(texts)
 
-def prepare(docs: DataFrame, cfg: PrepConfig = PrepConfig(), keep=("doc_id",)):
+    return docs.select(*keep, F.pandas_udf(run, "array<string>")("text").alias("tokens"))
+
+
+def prepare(docs: DataFrame, cfg: PrepConfig = PrepConfig(), keep=("doc_id",), tokenizer=None):
     """Full preparation: returns (vocab, ids, seqs).
 
     ``ids`` = (doc_id, ids) truncated to ``max_length``; ``seqs`` =
     (doc_id, input_ids, attention_mask, labels).
     """
-    toks = tokenized(docs, keep)
+    toks = tokenized(docs, keep, tokenizer)
     vocab = build_vocab(toks, cfg.vocab_size)
     ids = encode(toks, vocab, max_length=cfg.max_length, keep=tuple(k for k in keep if k != "doc_id"))
     seqs = label_mask(to_sequences(ids, cfg.max_length, cfg.pad_id, cfg.eos_id, keep=tuple(keep)))

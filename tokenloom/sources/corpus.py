@@ -7,8 +7,6 @@ a key without a single-task global sort.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +24,7 @@ def source_kind(spark: SparkSession, path: str) -> str:
     A ``.pt`` file or a directory holding ``tokenized_data.pt`` is the
     reference's tensor format, which cannot be read here (see README).
     """
-    if path.endswith(".pt") or (os.path.isdir(path) and os.path.exists(os.path.join(path, "tokenized_data.pt"))):
+    if path.endswith(".pt") or _exists(spark, f"{path.rstrip('/')}/tokenized_data.pt"):
         return "tensor"
     if path.endswith(".jsonl") or path.endswith(".json"):
         return "text"
@@ -34,6 +32,12 @@ def source_kind(spark: SparkSession, path: str) -> str:
     return "pretokenized" if "input_ids" in cols else "text"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the file system that it names (shared or object store)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
                 id_col: str = "doc_id", drop_blank: bool = True) -> DataFrame:
     """S1/S2 + P1 + P2: (doc_id, text, ...) from JSONL or Parquet.

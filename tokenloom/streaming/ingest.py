@@ -28,7 +28,7 @@ def _source(spark: SparkSession, src: str, schema: StructType | str | None, fmt:
 
 def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, limit: int | None,
                   schema: StructType | str | None = None, fmt: str = "parquet",
-                  max_files_per_trigger: int = 1):
+                  max_files_per_trigger: int = 1000):
     """ST1: copy at most ``limit`` rows of a file stream into a Parquet table.
 
     The limit is a stateful streaming limit (kept in the checkpoint), so
@@ -47,7 +47,7 @@ def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, limi
 
 def stream_tokenize(spark: SparkSession, src: str, dst: str, checkpoint: str, vocab: DataFrame,
                     max_length: int, schema: StructType | str | None = None, fmt: str = "parquet",
-                    max_files_per_trigger: int = 1, id_col: str = "doc_id"):
+                    max_files_per_trigger: int = 1000, id_col: str = "doc_id"):
     """ST2: text stream -> P1/P2/P4 -> frozen-vocabulary encode -> sequences, per micro-batch.
 
     The regroup after the id lookup is an aggregation per document, which
@@ -74,7 +74,7 @@ def stream_tokenize(spark: SparkSession, src: str, dst: str, checkpoint: str, vo
 
 def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str, every: int,
                        accumulation: int, schema: StructType | str | None = None, fmt: str = "parquet",
-                       max_files_per_trigger: int = 1):
+                       max_files_per_trigger: int = 1000):
     """ST3: streaming roll-up of a micro-batch log (run_id, n, ts, loss) into log windows.
 
     A stateful streaming aggregation by (run, window) in update mode; each
@@ -118,7 +118,7 @@ def finish_log_windows(spark: SparkSession, dst: str, every: int, accumulation:
 
 
 def stream_metrics(spark: SparkSession, src: str, dst: str, checkpoint: str,
-                   schema: StructType | str | None = None, fmt: str = "parquet", max_files_per_trigger: int = 1):
+                   schema: StructType | str | None = None, fmt: str = "parquet", max_files_per_trigger: int = 1000):
     """S8 for a stream: append metric rows (run_id, step, ...) to the Parquet table at ``dst``.
 
     ``foreachBatch`` with the batch sink.  Each micro-batch overwrites its
