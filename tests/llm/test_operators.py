@@ -349,3 +349,12 @@ def test_query_digests(spark):
         assert r["spans"] == listed or r["n_random"]
     for r in quality.op6_quality(spark, SF).collect():
         assert tuple(r[c] for c in quality.STATS[:5]) == brute_stats(docs[r["doc_id"]])[:5]
+
+
+def test_some_labels_nulls_ties_and_bound(spark):
+    rows = [(1, 0), (1, 1), (1, 1), (2, 0), (3, None), (None, 1), (4, None), (4, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+    assert {tuple(r) for r in toxicity.some_labels(labels).collect()} == {(1, 1), (2, 0), (4, 0)}
+    many = spark.range(20000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    assert 900 < toxicity.some_labels(many, rows=1000).count() < 1100
+    assert toxicity.some_labels(labels.limit(0)).count() == 0
