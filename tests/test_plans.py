@@ -4,6 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tokenloom.plans import catalog
 from tokenloom.plans.prepare import PrepConfig, documents, prepare
 from tokenloom.plans.training import (TrainConfig, evaluate_split, fit_on_train, split_table, train_batches,
                                       val_batches)
@@ -32,3 +33,10 @@ def test_prepare_split_batches_evaluate(spark):
     assert math.isfinite(ev.loss) and ev.perplexity == math.exp(ev.loss)
     tight = TrainConfig(world=2, batch_size=4, accumulation=1, eval_batches=1)
     assert evaluate_split(seqs, split, model, 0.1, 400, tight).first().n_batches == 2
+
+
+def test_split_plans_read_no_text(spark):
+    for name in ("train_val_split", "epoch_shuffle", "batches_train", "global_rank"):
+        df = catalog.QUERIES[name](spark, SF001)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "doc_id" in plan and "text#" not in plan, name

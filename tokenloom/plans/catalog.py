@@ -73,9 +73,14 @@ def _whole(ids):
     return sequence.label_mask(sequence.whole_sequences(ids))
 
 
-def _split(spark, sf, materialize=False):
-    s = sp.exact_split(_docs(spark, sf).select("doc_id"), CFG.frac, CFG.seed)
-    return cut_lineage(s) if materialize else s
+def _doc_ids(spark, sf):
+    """Ids of the non-blank documents, stored once: ranks read them several times, the texts once."""
+    return cut_lineage(_docs(spark, sf).select("doc_id"))
+
+
+def _split(spark, sf):
+    """The split, stored once; orders, shards and batches read it and no text."""
+    return cut_lineage(sp.exact_split(_doc_ids(spark, sf), CFG.frac, CFG.seed))
 
 
 def _model(ids, split, eos_id=None, materialize=False):
@@ -86,7 +91,7 @@ def _model(ids, split, eos_id=None, materialize=False):
 
 def _shared(spark, sf, vocab=None):
     """Encoded ids and split, each stored once, for queries that read them in several branches."""
-    return _ids(spark, sf, vocab, materialize=True), _split(spark, sf, materialize=True)
+    return _ids(spark, sf, vocab, materialize=True), _split(spark, sf)
 
 
 def _txt(c):
@@ -191,7 +196,7 @@ def q_unk_counts(spark, sf):
 
 # ---------------------------------------------------------------- rank / split / shard / batch
 def q_global_rank(spark, sf):
-    d = _docs(spark, sf).select("doc_id").withColumn("_k", rank.hash_key(SEED, F.col("doc_id")))
+    d = _doc_ids(spark, sf).withColumn("_k", rank.hash_key(SEED, F.col("doc_id")))
     return rank.global_rank(d, "_k", "doc_id", total_col=None).select("doc_id", "rank")
 
 
