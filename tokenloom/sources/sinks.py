@@ -36,7 +36,7 @@ EVAL_LOG_COLUMNS = ("eval_loss", "eval_perplexity")
 def append_metrics(df: DataFrame, path: str, partition_by: str = "run_id") -> None:
     """Append metric rows keyed by (run_id, step) to a Parquet table.
 
-    Append mode is idempotent per Spark job commit; a streaming producer
-    uses ``foreachBatch`` with this function.
+    Each call adds its rows, so a repeated call adds them twice; a stream
+    uses ``stream_metrics``, whose retried batches replace their rows.
     """
     df.write.mode("append").partitionBy(partition_by).parquet(path)

@@ -118,9 +118,13 @@ def finish_log_windows(spark: SparkSession, dst: str, every: int, accumulation:
 
 
 def stream_metrics(spark: SparkSession, src: str, dst: str, checkpoint: str,
-                   schema: StructType | str | None = None, fmt: str = "parquet", max_files_per_trigger: int = 1000):
+                   schema: StructType | str | None = None, fmt: str = "parquet", max_files_per_trigger: int = 1000,
+                   partition_by: tuple = ()):
     """S8 for a stream: append metric rows (run_id, step, ...) to the Parquet table at ``dst``.
 
+    Rows are sorted by run inside each file, so Parquet statistics prune a
+    run; ``partition_by`` columns make folders and suit few values only.
+
     ``foreachBatch`` with the batch sink.  Each micro-batch overwrites its
     own ``batch_id=`` folder, so a retried batch replaces its rows instead
     of appending them twice; the checkpoint records consumed files, so a
@@ -129,7 +133,8 @@ def stream_metrics(spark: SparkSession, src: str, dst: str, checkpoint: str,
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("run_id").parquet(f"{dst}/batch_id={int(batch_id)}")
+        rows = batch.sortWithinPartitions("run_id", "step")
+        rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{dst}/batch_id={int(batch_id)}")
 
     q = (s.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
