@@ -49,6 +49,11 @@ def test_ingest_bounded_exact_first_rows(spark):
     assert ingest_bounded(d, 5).count() == d.count()  # shorter source: everything
     big = spark.range(0, 200000, 3).withColumnRenamed("id", "k")
     assert nth_smallest(big, "k", 12345) == 3 * 12344
+    odd = spark.range(3000).select((F.col("id") % 3).alias("k"))
+    for n in (1, 1000, 1001, 2000, 2001, 3000, 9999):
+        assert nth_smallest(odd, "k", n, sort_rows=10) == min((n - 1) // 1000, 2)
+    uneven = spark.range(500).select((F.col("id") * F.col("id")).alias("k"))
+    assert [nth_smallest(uneven, "k", n, rel_err=0.05, sort_rows=3) for n in (1, 250, 500)] == [0, 249 ** 2, 499 ** 2]
 
 
 def test_ingest_bounded_with_repeated_keys_keeps_exactly_the_bound(spark):

@@ -71,20 +71,32 @@ def test_vocab_encode_decode_roundtrip(spark):
     assert text == {0: "b a b <unk>", 1: "a b <unk>"}
 
 
-def test_encode_salted_shuffle_path_equals_broadcast(spark):
-    toks = spark.createDataFrame([(i, ["x", "y", "x", "q"][: (i % 4) + 1]) for i in range(40)],
+def test_encode_null_arrays_null_tokens_and_empty_input(spark):
+    toks = spark.createDataFrame([(0, ["x", None, "y"]), (1, None), (2, []), (3, ["new"])],
                                  "doc_id long, tokens array<string>")
-    vocab = build_vocab(toks, 5)
-    a = {r.doc_id: r.ids for r in encode(toks, vocab).collect()}
-    b = {r.doc_id: r.ids for r in encode(toks, vocab, broadcast_limit=0).collect()}
-    assert a == b
+    vocab = build_vocab(toks.where("doc_id < 3"), 5)
+    ids = {r.doc_id: r.ids for r in encode(toks, vocab).collect()}
+    assert ids == {0: [2, 1, 3], 1: [], 2: [], 3: [1]}
+    back = {r.doc_id: r.text for r in detokenize(encode(toks, vocab), vocab).collect()}
+    assert back == {0: "x <unk> y", 1: "", 2: "", 3: "<unk>"}
+    assert encode(toks.limit(0), vocab).count() == 0
+
 
+def test_encode_does_not_shuffle(spark):
+    toks = spark.createDataFrame([(0, ["x", "y"])], "doc_id long, tokens array<string>")
+    plan = encode(toks, build_vocab(toks, 5))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
-def test_vocab_threshold_path_equals_direct_topk(spark):
-    rows = [(i, [f"t{(i * j) % 23}" for j in range(1, 30)]) for i in range(60)]
+
+def test_vocab_equals_a_full_sort_at_every_size(spark):
+    rows = [(i, [f"t{(i * j) % 23}" for j in range(1, 30)] + [f"é{i % 7}", f"once{i}"]) for i in range(60)]
     toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
-    direct = sorted(tuple(r) for r in build_vocab(toks, 12).collect())
-    via_threshold = sorted(tuple(r) for r in build_vocab(toks, 12, merge_limit_rows=0).collect())
-    assert direct == via_threshold and len(direct) == 12
-    everything = build_vocab(toks, 1000, merge_limit_rows=0).count()
-    assert everything == 23 + 2
+    counts = {}
+    for _, words in rows:
+        for t in words:
+            counts[t] = counts.get(t, 0) + 1
+    order = sorted(counts, key=lambda t: (-counts[t], t.encode()))
+    for size in (2, 3, 12, 26, 40, 1000):
+        got = {r.tok: r.id for r in build_vocab(toks, size).collect() if r.id > 1}
+        assert got == {t: i + 2 for i, t in enumerate(order[:size - 2])}
+

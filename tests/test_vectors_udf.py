@@ -19,7 +19,9 @@ def test_rms_normalize(spark):
 
 def test_dot_topk_matches_numpy_across_blocks(spark):
     e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "embedding")
-    got = dot_scores_topk(e, e, 3, block_rows=64).collect()  # many blocks on both sides
+    got = dot_scores_topk(e, e, 3, block_rows=64, pass_bytes=50_000).collect()  # many blocks, several passes
+    whole = dot_scores_topk(e, e, 3).collect()
+    assert {(r.query, r.token) for r in got} == {(r.query, r.token) for r in whole}
     pdf = e.toPandas()
     M = np.stack(pdf.embedding.map(lambda v: np.asarray(v, dtype=np.float64)))
     ids = pdf.vec_id.to_numpy()
@@ -31,6 +33,13 @@ def test_dot_topk_matches_numpy_across_blocks(spark):
     assert {(r.query, r.token) for r in got} == want
 
 
+def test_dot_topk_ties_nulls_and_empty_tables(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(9, 0, -1)] + [(0, None)], "vec_id long, embedding array<float>")
+    got = sorted((r.query, r.token) for r in dot_scores_topk(v.where("vec_id < 3"), v, 2, block_rows=4).collect())
+    assert got == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert dot_scores_topk(v, v.limit(0), 2).count() == 0 and dot_scores_topk(v.limit(0), v, 2).count() == 0
+
+
 def test_gather_keeps_and_flags_ids_without_a_vector(spark):
     ids = spark.createDataFrame([(0, 1), (0, 10**9)], "doc_id long, id long")
     e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "label")

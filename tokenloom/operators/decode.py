@@ -4,7 +4,7 @@ Every filter is a window partitioned by context over observed
 candidates (at most V rows per context), so a hot context is bounded.
 Generation iterates only on the frontier (one row per prompt), joins it
 to a per-context candidate table measured before it is broadcast, and
-writes the frontier to the shared checkpoint folder every few steps.
+writes the new tokens to the shared checkpoint folder every few steps.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import append_col
 from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
 from .joins import fits_broadcast, sized_join
 from .rank import hash_key
@@ -102,7 +101,7 @@ def uniform_draw(seed: int, *keys: Column | str) -> Column:
 def sample_next(frontier: DataFrame, dist: DataFrame, u: Column, ctx_col: str = "last",
                 broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
     """Inverse-CDF draw -- the first candidate whose cumulative prob exceeds u."""
-    table = candidate_table(dist)
+    table = cut_lineage(candidate_table(dist))  # stored, then measured
     return _pick(frontier.withColumn("_u", u), table, ctx_col, fits_broadcast(table, broadcast_limit))
 
 
@@ -129,9 +128,10 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
     context; sampled draws from ``next_token_dist``.  Each row stops at
     its own EOS (kept in the output); a context never seen in training
     yields EOS.  Output ``(keys..., ids, n_new)`` including the prompt.
-    The frontier is written to the shared checkpoint folder every
-    ``checkpoint_every`` steps (bounded lineage, early stop when all rows
-    are done).
+    The loop carries each live prompt's last token alone.  Every
+    ``checkpoint_every`` steps the new tokens are written to the shared
+    checkpoint folder, finished prompts leave and the loop stops when none
+    is left; the parts are put together once, by prompt (keys are unique).
     """
     greedy = (not do_sample) or temperature == 0
     if greedy:
@@ -143,37 +143,26 @@ def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_
         table = candidate_table(next_token_dist(model, temperature, k, p))
     table = cut_lineage(table)
     small = fits_broadcast(table, broadcast_limit)
-    keys = list(keys)
-    front = prompts.where(F.size(col) > 0).select(
-        *keys, F.col(col).alias("ids"), F.element_at(col, -1).alias("last"),
-        F.lit(False).alias("done"), F.lit(0).alias("n_new"))
-    front = cut_lineage(front)
-    steps, finished = int(max_new_tokens), []
-    cols = keys + ["ids", "last", "done", "n_new"]
-    for step in range(steps):
-        # One join and one projection per step over the whole frontier;
-        # finished rows pass through unchanged, so the plan stays a straight
-        # chain (no self-union) and several steps run as one pipelined stage.
-        # The draw is a column below the join, so it is hashed once a row and not once a candidate.
-        u = F.lit(0.0) if greedy else uniform_draw(seed, *keys, F.lit(step))
-        j = sized_join(front.withColumnRenamed("last", "_ctx").withColumn("_u", u), table, "_ctx", "left",
-                       small_fits=small)
-        hit = F.filter("_cands", lambda c: c["cum_prob"] > F.col("_u"))
-        drawn = F.coalesce(F.element_at(hit, 1)["token"], F.element_at("_cands", -1)["token"])
-        done = F.col("done")
-        nxt = F.coalesce(drawn, F.lit(int(eos_id)))
-        front = j.select(
-            *keys,
-            F.when(done, F.col("ids")).otherwise(append_col("ids", nxt)).alias("ids"),
-            F.when(done, F.col("_ctx")).otherwise(nxt).alias("last"),
-            (done | (nxt == F.lit(int(eos_id)))).alias("done"),
-            F.when(done, F.col("n_new")).otherwise(F.col("n_new") + 1).alias("n_new")).select(*cols)
-        if (step + 1) % checkpoint_every == 0 or step + 1 == steps:
-            front = cut_lineage(front)
-            finished.append(front.where(F.col("done")))  # finished rows leave the loop here
-            front = front.where(~F.col("done"))
-            if step + 1 < steps and front.isEmpty():
-                break
-    for part in finished:
-        front = front.unionByName(part)
-    return front.select(*keys, "ids", "n_new")
+    keys, eos = list(keys), F.lit(int(eos_id))
+    texts = cut_lineage(prompts.where(F.size(col) > 0).select(*keys, F.col(col).alias("ids")))
+    live = texts.select(*keys, F.element_at("ids", -1).alias("last"))
+    out, steps = texts, int(max_new_tokens)
+    for start in range(0, steps, checkpoint_every):
+        made = []
+        for step in range(start, min(start + checkpoint_every, steps)):
+            # The draw is a column below the join, so it is hashed once a row and not once a candidate.
+            u = F.lit(0.0) if greedy else uniform_draw(seed, *keys, F.lit(step))
+            live = _pick(live.withColumn("_u", u), table, "last", small)
+            nxt = F.when(F.col("last").isNotNull() & (F.col("last") != eos), F.coalesce("next_token", eos))
+            if not made:  # a prompt may end in EOS and still goes on
+                nxt = F.coalesce("next_token", eos)
+            made.append(f"_t{step}")
+            live = live.select(*keys, *made[:-1], nxt.alias(made[-1]), nxt.alias("last"))
+        part = cut_lineage(live.select(*keys, F.array_compact(F.array(*made)).alias(f"_part{start}"), "last"))
+        out = out.join(part.drop("last"), keys, "left")
+        live = part.where(F.col("last").isNotNull() & (F.col("last") != eos)).select(*keys, "last")
+        if start + checkpoint_every < steps and live.isEmpty():
+            break
+    parts = [F.coalesce(F.col(c), F.array().cast("array<int>")) for c in out.columns if c.startswith("_part")]
+    new = F.concat(*parts) if parts else F.array().cast("array<int>")
+    return out.select(*keys, F.concat("ids", new).alias("ids"), F.size(new).alias("n_new"))

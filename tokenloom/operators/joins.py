@@ -26,20 +26,21 @@ def fits_broadcast(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_LIMIT) ->
 
 
 def sized_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner",
-               limit_bytes: int = DEFAULT_BROADCAST_LIMIT, small_fits: bool | None = None,
-               salts: int = 16) -> DataFrame:
-    """Join ``big`` to a bounded ``small`` side.
-
-    Broadcast when ``small`` is measured under ``limit_bytes``; otherwise
-    a shuffle join where every ``small`` row is replicated over ``salts``
-    buckets and each ``big`` row picks one by a hash of its own values
-    (deterministic, so task retries agree), spreading a hot key on the
-    big side over ``salts`` tasks.
+               limit_bytes: int = DEFAULT_BROADCAST_LIMIT, small_fits: bool | None = None) -> DataFrame:
+    """Join ``big`` to a stored ``small``: broadcast when measured under ``limit_bytes``, salted otherwise."""
+    fits = fits_broadcast(small, limit_bytes) if small_fits is None else small_fits
+    return big.join(F.broadcast(small), on, how) if fits else salted_join(big, small, on, how)
+
+
+def salted_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str = "inner",
+                salts: int = 16) -> DataFrame:
+    """Join with every ``small`` row in ``salts`` copies, so a hot key of ``big`` is split over as many tasks.
+
+    Each ``big`` row picks a copy by a hash of its own values
+    (deterministic, so task retries agree).  Spark may still broadcast
+    ``small`` by its own statistics.
     """
     on = [on] if isinstance(on, str) else list(on)
-    fits = fits_broadcast(small, limit_bytes) if small_fits is None else small_fits
-    if fits:
-        return big.join(F.broadcast(small), on, how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")

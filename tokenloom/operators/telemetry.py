@@ -45,38 +45,50 @@ def update_log(log: DataFrame, accumulation: int) -> DataFrame:
     return agg.where(F.col("_c") == G).select("run_id", (F.col("_g") + 1).alias("step"), "loss_sum", "ts")
 
 
-def log_windows(log: DataFrame, every: int, accumulation: int, batch_size: int, world: int = 1,
-                learning_rate: float = 5e-4, warmup: int = 100, total_steps: int = 50_000,
-                schedule: str = "cosine") -> DataFrame:
-    """One row per ``every`` updates of each run.
+def window_sums(log: DataFrame, span: int) -> DataFrame:
+    """(run_id, m, loss_sum, n_micro, ts) of each window of ``span`` micro-batches, whole or not."""
+    return log.groupBy("run_id", F.expr(f"n div {int(span)}").alias("m")).agg(
+        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n_micro"), F.max("ts").alias("ts"))
+
+
+def window_rows(sums: DataFrame, every: int, accumulation: int, batch_size: int, world: int = 1) -> DataFrame:
+    """A8/W5 of complete windows: (run_id, step, loss, steps_per_sec, samples_per_sec, ms_per_step, ts).
 
     loss = sum of the window's micro-batch losses / (every * G) (fixed
     divisor); steps/s, samples/s, ms/step from the clock difference to
     the previous log row of the run (NULL for the first, D10; 0 when the
-    difference is not positive); learning rate = lr * lambda(step).
+    difference is not positive).
     """
-    L, G = int(every), int(accumulation)
-    span = L * G
-    agg = log.groupBy("run_id", (F.col("n") / F.lit(span)).cast("long").alias("_m")).agg(
-        F.sum("loss").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("ts").alias("ts"))
-    done = agg.where(F.col("_c") == span)
-    prev = done.select("run_id", (F.col("_m") + 1).alias("_m"), F.col("ts").alias("_prev_ts"))
-    j = done.join(prev, ["run_id", "_m"], "left")
+    L, span = int(every), int(every) * int(accumulation)
+    done = sums.where(F.col("n_micro") == span)
+    prev = done.select("run_id", (F.col("m") + 1).alias("m"), F.col("ts").alias("_prev_ts"))
     dt = (_micros("ts") - _micros("_prev_ts")).cast("double") / F.lit(1e6)
-    samples = float(L * G * int(batch_size) * int(world))
 
     def rate(x):
         return F.when(F.col("_prev_ts").isNull(), F.lit(None).cast("double")).when(dt > 0, x).otherwise(F.lit(0.0))
 
-    step = ((F.col("_m") + 1) * F.lit(L)).cast("long")
-    return j.select(
-        "run_id", step.alias("step"), F.lit(0).alias("epoch"),
-        (F.col("_s") / F.lit(float(span))).alias("loss"),
-        (F.lit(float(learning_rate)) * schedule_factor_col(step, int(warmup), int(total_steps), schedule)).alias("learning_rate"),
+    return done.join(prev, ["run_id", "m"], "left").select(
+        "run_id", ((F.col("m") + 1) * F.lit(L)).cast("long").alias("step"),
+        (F.col("loss_sum") / F.lit(float(span))).alias("loss"),
         rate(F.lit(float(L)) / dt).alias("steps_per_sec"),
-        rate(F.lit(samples) / dt).alias("samples_per_sec"),
-        rate(dt * F.lit(1000.0) / F.lit(float(L))).alias("ms_per_step"),
-        "ts")
+        rate(F.lit(float(span * int(batch_size) * int(world))) / dt).alias("samples_per_sec"),
+        rate(dt * F.lit(1000.0) / F.lit(float(L))).alias("ms_per_step"), "ts")
+
+
+def log_windows(log: DataFrame, every: int, accumulation: int, batch_size: int, world: int = 1,
+                learning_rate: float = 5e-4, warmup: int = 100, total_steps: int = 50_000,
+                schedule: str = "cosine", steps_per_epoch: int | None = None) -> DataFrame:
+    """One row per ``every`` updates of each run (``window_rows``).
+
+    learning rate = lr * lambda(step); ``epoch`` (0-based) is that of the
+    row's step, 0 throughout without ``steps_per_epoch``.
+    """
+    rows = window_rows(window_sums(log, int(every) * int(accumulation)), every, accumulation, batch_size, world)
+    step = F.col("step")
+    epoch = F.expr(f"(step - 1) div {int(steps_per_epoch)}").cast("int") if steps_per_epoch else F.lit(0)
+    rate = F.lit(float(learning_rate)) * schedule_factor_col(step, int(warmup), int(total_steps), schedule)
+    return rows.select("run_id", "step", epoch.alias("epoch"), "loss", rate.alias("learning_rate"),
+                       "steps_per_sec", "samples_per_sec", "ms_per_step", "ts")
 
 
 def scheduled_rate(updates: DataFrame, learning_rate: float, warmup: int, schedule: str = "cosine",

@@ -1,10 +1,8 @@
 """Vector tables: RMS normalisation, id gather, blocked dot-product top-k.
 
-``dot_scores_topk`` is a block matrix product: both sides are hashed
-into blocks, each query block meets each table block exactly once in a
-cogrouped task (the fragment-replicate pattern Spark's block matrices
-use), numpy scores the block pair and only the per-query top-k leaves
-the task.  No pair row is ever materialised.
+``dot_scores_topk`` sends the vectors to the tasks in parts of bounded size
+and streams the queries past them once a part; numpy scores blocks and only
+each query's best k leave the task.  No pair row is ever materialised.
 """
 
 from __future__ import annotations
@@ -17,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import rms_normalize_col
-from ..session import DEFAULT_BROADCAST_LIMIT
+from ..session import cut_lineage
 from .decode import softmax, top_k
-from .joins import sized_join
+from .joins import salted_join
 
 
 def rms_normalize(vectors: DataFrame, col: str = "embedding", eps: float = 1e-6,
@@ -28,59 +26,76 @@ def rms_normalize(vectors: DataFrame, col: str = "embedding", eps: float = 1e-6,
     return vectors.withColumn(col, rms_normalize_col(col, eps, weight))
 
 
-def gather(ids: DataFrame, vectors: DataFrame, id_col: str = "id", key: str = "vec_id",
-           broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
+def gather(ids: DataFrame, vectors: DataFrame, id_col: str = "id", key: str = "vec_id", salts: int = 16) -> DataFrame:
     """Every id with its vector row; ``found`` is false (and the vector null) where there is none."""
     v = vectors.withColumnRenamed(key, id_col).withColumn("found", F.lit(True))
-    joined = sized_join(ids, v, id_col, "left", limit_bytes=broadcast_limit)
+    joined = salted_join(ids, v, id_col, "left", salts)
     return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def _block_count(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / max(1, int(block_rows))))
+SCORES = "query long, token long, score double"
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
+    """The k highest scores of each row, ties by id."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    first = np.searchsorted(rows, rows)  # where each row's candidates begin
+    near = np.arange(len(rows)) - first < k
+    return rows[near], ids[near], scores[near]
+
+
+def _score_part(sent, k: int, block_rows: int):
+    """Batches of (query, vec) -> the best k of the sent vectors, one block of them at a time."""
+    def run(batches):
+        ids, table = sent.value
+        for batch in batches:
+            for at in range(0, len(batch), block_rows):
+                part = batch.iloc[at:at + block_rows]
+                q = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
+                best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+                for t in range(0, len(ids), block_rows):
+                    s = q @ table[t:t + block_rows].T.astype(np.float64)
+                    # all that reach the k-th score: ties at the cut go on to the comparison by id
+                    cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
+                    r, c = np.nonzero(s >= cut[:, None])
+                    best = _best(*(np.concatenate(x) for x in zip(best, (r, ids[t + c], s[r, c]))), k)
+                yield pd.DataFrame({"query": part["query"].to_numpy()[best[0]], "token": best[1], "score": best[2]})
+    return run
 
 
 def dot_scores_topk(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "vec_id",
-                    v_key: str = "vec_id", col: str = "embedding", block_rows: int | None = None,
-                    q_block_rows: int = 2048, t_block_rows: int = 8192) -> DataFrame:
+                    v_key: str = "vec_id", col: str = "embedding", block_rows: int = 1024,
+                    pass_bytes: int = 256 * 1024 * 1024) -> DataFrame:
     """J5 + W2: (query, token, score) -- the k highest inner products per query.
 
-    Ties by token id.  Scores are computed in float64.  Each query row is
-    shuffled once per table block and each table row once per query block,
-    so table blocks are the larger (fewer query copies); one task holds at
-    most one query block and one table block.  ``block_rows`` sets both.
+    Ties by token id.  Scores are computed in float64.  Queries stay where
+    they are read.  The vectors (a vocabulary's table) are sent to the
+    tasks in parts of at most ``pass_bytes``: one pass over the queries a
+    part, each leaving k rows a query.  Null vectors take no part.
     """
-    if block_rows is not None:
-        q_block_rows = t_block_rows = int(block_rows)
-    nq, nt = _block_count(queries, q_block_rows), _block_count(vectors, t_block_rows)
-    q = queries.select(F.col(q_key).cast("long").alias("query"), F.col(col).alias("vec"),
-                       F.pmod(F.xxhash64(q_key), F.lit(nq)).cast("int").alias("qb"))
-    q = q.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(nt - 1))))
-    t = vectors.select(F.col(v_key).cast("long").alias("token"), F.col(col).alias("vec"),
-                       F.pmod(F.xxhash64(v_key), F.lit(nt)).cast("int").alias("tb"))
-    t = t.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-    kk = int(k)
-
-    def score_block(qpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or tpdf.empty:
-            return pd.DataFrame({"query": pd.Series([], dtype="int64"), "token": pd.Series([], dtype="int64"),
-                                 "score": pd.Series([], dtype="float64")})
-        Q = np.stack([np.asarray(v, dtype=np.float64) for v in qpdf["vec"]])
-        T = np.stack([np.asarray(v, dtype=np.float64) for v in tpdf["vec"]])
-        ids = tpdf["token"].to_numpy()
-        order = np.argsort(ids, kind="stable")  # ties resolve to the lowest token id
-        T, ids = T[order], ids[order]
-        S = Q @ T.T
-        m = min(kk, S.shape[1])
-        # stable sort on -score keeps the lower token id first among ties
-        idx = np.argsort(-S, axis=1, kind="stable")[:, :m]
-        rows = np.repeat(qpdf["query"].to_numpy(), m)
-        return pd.DataFrame({"query": rows, "token": ids[idx].ravel(),
-                             "score": np.take_along_axis(S, idx, axis=1).ravel()})
-
-    partial = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(
-        score_block, schema="query long, token long, score double")
-    return top_k(partial, kk, ctx="query", score="score", token="token")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spark = vectors.sparkSession
+    q = queries.where(F.col(col).isNotNull()).select(F.col(q_key).cast("long").alias("query"), F.col(col).alias("vec"))
+    v = vectors.where(F.col(col).isNotNull()).select(F.col(v_key).cast("long").alias("token"), F.col(col).alias("vec"))
+    size = v.agg(F.coalesce(F.sum(F.size("vec") + F.lit(2)), F.lit(0)).alias("n")).first()["n"] * 4
+    parts = max(1, math.ceil(1.25 * size / pass_bytes))  # hashed parts are uneven
+    found = None
+    for p in range(parts):
+        here = v.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == p).toPandas().sort_values("token", kind="stable")
+        if here.empty:
+            continue
+        table = np.stack([np.asarray(x) for x in here["vec"]])
+        sent = spark.sparkContext.broadcast((here["token"].to_numpy(), table))
+        best = q.mapInPandas(_score_part(sent, int(k), int(block_rows)), SCORES)
+        if parts > 1:  # stored before the next part is sent
+            best = cut_lineage(best)
+            sent.unpersist()
+        found = best if found is None else found.unionByName(best)
+    if found is None:
+        return spark.createDataFrame([], SCORES)
+    return top_k(found, int(k), ctx="query", score="score", token="token")
 
 
 def dot_softmax_topk(queries: DataFrame, vectors: DataFrame, k: int, **kw) -> DataFrame:

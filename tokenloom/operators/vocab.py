@@ -6,11 +6,14 @@ corpus tokens by count descending, token ascending.  Case-sensitive.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
-from .joins import fits_broadcast, sized_join
+from ..session import cut_lineage
+from .rank import global_rank
 
 EOS_ID = 0
 UNK_ID = 1
@@ -29,83 +32,94 @@ def token_counts(tokens: DataFrame, col: str = "tokens") -> DataFrame:
             .groupBy("tok").agg(F.count(F.lit(1)).alias("count")))
 
 
-def count_threshold(counts: DataFrame, keep: int) -> int:
-    """Largest count c such that at least ``keep`` tokens occur >= c times (0 if fewer tokens).
+def _largest(counts: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` rows of (tok, count) that come first by count descending, token ascending.
 
-    Exact, from a histogram of counts: one row per distinct count value,
-    a table far smaller than the token table.
+    Counts fall into classes of 64 an octave, so the histogram of classes has a
+    few thousand rows at any corpus size.  Classes above the one where
+    ``keep`` is reached are taken whole; inside that class rows are ranked by
+    buckets of (count, first two bytes of the token), never in one task.
     """
-    hist = counts.groupBy("count").agg(F.count(F.lit(1)).alias("_n"))
-    run = Window.orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    row = (hist.withColumn("_cum", F.sum("_n").over(run)).where(F.col("_cum") >= F.lit(int(keep)))
-           .agg(F.max("count").alias("c")).first())
-    return int(row["c"]) if row and row["c"] is not None else 0
-
-
-def build_vocab(tokens: DataFrame, size: int, col: str = "tokens", materialize: bool = True,
-                merge_limit_rows: int = 20_000_000) -> DataFrame:
+    counts = counts.withColumn("_class", F.floor(F.log2("count") * 64).cast("int"))
+    above, edge = 0, None
+    for row in counts.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_class")).collect():
+        if above + row["n"] > keep:
+            edge = row["_class"]
+            break
+        above += row["n"]
+    if edge is None:
+        return counts.drop("_class")
+    order = F.concat(F.lpad(F.hex(F.lit(2 ** 62) - F.col("count")), 16, "0"), F.hex(F.encode("tok", "utf-8")))
+    ranked = global_rank(counts.where(F.col("_class") == edge).withColumn("_o", order), "_o", "tok",
+                         bucket=F.substring("_o", 1, 20), total_col=None, rank_col="_r")
+    return (counts.where(F.col("_class") > edge).select("tok", "count")
+            .unionByName(ranked.where(F.col("_r") < keep - above).select("tok", "count")))
+
+
+def build_vocab(tokens: DataFrame, size: int, col: str = "tokens") -> DataFrame:
     """P5: (tok STRING, id INT, count BIGINT), at most ``size`` rows.
 
-    Top ``size - 2`` tokens come from Spark's top-k (per-task partial
-    top-k, then one merge of at most partitions x k rows).  When that
-    merge bound exceeds ``merge_limit_rows`` the token counts are stored
-    once and an exact count threshold (``count_threshold``) first cuts
-    them to the tokens that can make the vocabulary, so the merge sees
-    about ``size`` rows.  Ids are assigned over the bounded result only.
-    ``materialize`` stores the small table once in the shared folder so
-    later size checks and joins do not recount the corpus.
+    Token counts are stored once and cut to the vocabulary (``_largest``);
+    ids are assigned over those at most ``size`` rows.  The result is a
+    stored table, so that no reader counts the corpus again.
     """
-    spark = tokens.sparkSession
     keep = int(size) - len(SPECIAL_TOKENS)
     if keep < 0:
         raise ValueError("vocabulary size must cover the special tokens")
-    counts = token_counts(tokens, col)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if parts * keep > merge_limit_rows:
-        counts = cut_lineage(counts)
-        counts = counts.where(F.col("count") >= F.lit(count_threshold(counts, keep)))
-    top = counts.orderBy(F.desc("count"), F.asc("tok")).limit(keep)
+    top = _largest(cut_lineage(token_counts(tokens, col)), keep)
     # Window over <= size rows: one partition is bounded by the parameter.
     ranked = top.select("tok", (F.row_number().over(Window.orderBy(F.desc("count"), F.asc("tok")))
                                 + F.lit(len(SPECIAL_TOKENS) - 1)).cast("int").alias("id"),
                         F.col("count").cast("bigint").alias("count"))
-    specials = spark.createDataFrame([(t, i, 0) for t, i in SPECIAL_TOKENS], "tok string, id int, count bigint")
-    vocab = specials.unionByName(ranked)
-    return cut_lineage(vocab) if materialize else vocab
+    specials = tokens.sparkSession.createDataFrame([(t, i, 0) for t, i in SPECIAL_TOKENS],
+                                                   "tok string, id int, count bigint")
+    return cut_lineage(specials.unionByName(ranked))
+
+
+def _send(vocab: DataFrame):
+    """(tokens, ids) of a vocabulary, sent to every task; its rows are bounded by the vocabulary size."""
+    table = vocab.select("tok", F.col("id").cast("int").alias("id")).toArrow()
+    return vocab.sparkSession.sparkContext.broadcast(tuple(c.combine_chunks() for c in table.columns))
+
+
+def _list_like(lists: pa.Array, values: pa.Array) -> pa.Array:
+    """``values`` in lists of the lengths of ``lists``; a null list is empty."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def encode(tokens: DataFrame, vocab: DataFrame, max_length: int | None = None,
-           col: str = "tokens", id_col: str = "doc_id", unk_id: int = UNK_ID,
-           broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, keep: tuple = ()) -> DataFrame:
-    """P6 (+P7 first): (id_col, ids ARRAY<INT>) with unknown tokens -> ``unk_id``.
-
-    Truncation happens before the lookup (word -> id is 1:1), so at most
-    ``max_length`` tokens per row are exploded.  The lookup is a broadcast
-    hash join when the vocabulary is measured small, else a salted
-    shuffle join; order is restored by sorting the carried position.
+           col: str = "tokens", id_col: str = "doc_id", unk_id: int = UNK_ID, keep: tuple = ()) -> DataFrame:
+    """P6 (+P7 first): (id_col, keep..., ids ARRAY<INT>) with unknown tokens -> ``unk_id``.
+
+    Tokens never leave their row: a dictionary lookup over each Arrow batch
+    maps them, so there is no shuffle and no hot token.  Truncation comes
+    before the lookup (word -> id is 1:1).  Null tokens are unknown, a null
+    array is empty.
     """
     toks = F.col(col) if max_length is None else F.slice(F.col(col), 1, int(max_length))
-    base = tokens.select(id_col, *keep, toks.alias("_toks"))
-    ex = base.select(id_col, *keep, F.posexplode_outer("_toks").alias("_pos", "tok"))
-    lut = vocab.select("tok", F.col("id").alias("_id"))
-    small = fits_broadcast(lut, broadcast_limit)
-    joined = sized_join(ex, lut, "tok", "left", small_fits=small)
-    entry = F.when(F.col("_pos").isNotNull(),
-                   F.struct(F.col("_pos"), F.coalesce(F.col("_id"), F.lit(int(unk_id))).alias("id")))
-    grouped = joined.groupBy(id_col, *keep).agg(F.collect_list(entry).alias("_e"))
-    return grouped.select(id_col, *keep,
-                          F.transform(F.array_sort("_e"), lambda e: e["id"]).alias("ids"))
+    sent = _send(vocab)
+
+    def run(lists: pa.Array) -> pa.Array:
+        words, ids = sent.value
+        found = pc.take(ids, pc.index_in(lists.flatten(), value_set=words))
+        return _list_like(lists, pc.fill_null(found, unk_id))
+
+    return tokens.select(id_col, *keep, F.arrow_udf(run, "array<int>")(toks).alias("ids"))
 
 
 def detokenize(ids: DataFrame, vocab: DataFrame, col: str = "ids", id_col: str = "doc_id",
-               skip_special: bool = True, sep: str = " ",
-               broadcast_limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """Ids -> text (tokens joined by ``sep``); ``<eos>``/pad is skipped, ``<unk>`` stays visible."""
-    ex = ids.select(id_col, F.posexplode_outer(col).alias("_pos", "id"))
-    lut = vocab.select(F.col("id").cast("int").alias("id"), "tok")
-    joined = sized_join(ex, lut, "id", "left", limit_bytes=broadcast_limit)
-    if skip_special:
-        joined = joined.withColumn("tok", F.when(F.col("id") != EOS_ID, F.col("tok")))
-    entry = F.when(F.col("tok").isNotNull(), F.struct("_pos", "tok"))
-    grouped = joined.groupBy(id_col).agg(F.collect_list(entry).alias("_e"))
-    return grouped.select(id_col, F.array_join(F.transform(F.array_sort("_e"), lambda e: e["tok"]), sep).alias("text"))
+               skip_special: bool = True, sep: str = " ") -> DataFrame:
+    """Ids -> text (tokens joined by ``sep``); ``<eos>``/pad is skipped, ``<unk>`` stays visible.
+
+    Ids that the vocabulary lacks are skipped too.
+    """
+    sent = _send(vocab)
+
+    def run(lists: pa.Array) -> pa.Array:
+        words, known = sent.value
+        return _list_like(lists, pc.take(words, pc.index_in(lists.flatten(), value_set=known)))
+
+    chosen = F.filter(F.col(col), lambda i: i != EOS_ID) if skip_special else F.col(col)
+    words = F.arrow_udf(run, "array<string>")(chosen.cast("array<int>"))
+    return ids.select(id_col, F.array_join(words, sep).alias("text"))

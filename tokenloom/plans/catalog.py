@@ -37,6 +37,7 @@ TOKENIZER = f"tokenloom-regex-v{V}"
 CFG = TrainConfig()
 INGEST_SHARDS, SHARD_ROWS = 5, 100   # S5: bound of the bounded ingest
 EVAL_CAP = 4        # O3: batches per rank of the capped evaluation
+EPOCH_STEPS = 5     # T1: updates of an epoch of the run log
 LOG_EVERY, LOG_ACCUM, LOG_BATCH = 1, 8, 8
 WINDOW_EVERY, WINDOW_ACCUM = 2, 4
 
@@ -271,6 +272,17 @@ def q_doc_perplexity(spark, sf):
                           F.round(perplexity_col("loss"), 6).alias("perplexity"), "n_tokens")
 
 
+def q_group_perplexity(spark, sf):
+    """L4 per language and source of the validation documents."""
+    ids, s = _shared(spark, sf)
+    groups = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    sums = doc_loss_sums(_val_nll(ids, s)).join(groups, "doc_id")
+    loss = F.sum("nll_sum") / F.sum("n_targets")
+    per = sums.groupBy("lang", "source").agg(loss.alias("loss"), F.sum("n_targets").cast("bigint").alias("n_tokens"))
+    return per.select("lang", "source", F.round("loss", 9).alias("loss"),
+                      F.round(perplexity_col("loss"), 6).alias("perplexity"), "n_tokens")
+
+
 def q_benchmark_perplexity(spark, sf):
     """L4 on a second corpus: each benchmark item scored by the table fitted on the documents' train split."""
     v = _vocab(spark, sf)
@@ -386,7 +398,8 @@ def q_log_window_loss(spark, sf):
 
 def q_run_log(spark, sf):
     w = tm.log_windows(_micro(spark, sf), LOG_EVERY, LOG_ACCUM, LOG_BATCH, world=1,
-                       learning_rate=5e-4, warmup=100, total_steps=50_000, schedule="cosine")
+                       learning_rate=5e-4, warmup=100, total_steps=50_000, schedule="cosine",
+                       steps_per_epoch=EPOCH_STEPS)
     return w.select("run_id", "step", "epoch", F.round("loss", 9).alias("loss"),
                     F.round("learning_rate", 12).alias("learning_rate"),
                     F.round("steps_per_sec", 6).alias("steps_per_sec"),
@@ -530,6 +543,7 @@ QUERIES = {
     "bigram_fit": q_bigram_fit,
     "cross_entropy": q_cross_entropy,
     "doc_perplexity": q_doc_perplexity,
+    "group_perplexity": q_group_perplexity,
     "benchmark_perplexity": q_benchmark_perplexity,
     "eval_batch_mean": q_eval_batch_mean,
     "eval_rank_reduce": q_eval_rank_reduce,

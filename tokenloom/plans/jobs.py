@@ -123,6 +123,18 @@ def q_stream_ingest(spark, sf):
     return spark.read.parquet(out).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
+def q_stream_ingest_bounded(spark, sf):
+    """ST1 with its bound, which the third micro-batch passes: rows kept, their ids, those equal to the source."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    src, out, progress = _stream_files(spark, docs, "bounded")
+    total = docs.count()
+    stream_ingest(spark, src, out, progress, limit=total * 5 // 8, max_files_per_trigger=1)
+    source = docs.select("doc_id", F.col("text").alias("_t"))
+    kept = spark.read.parquet(out).join(source, "doc_id", "left")
+    return kept.agg(F.count(F.lit(1)).alias("n_kept"), F.count_distinct("doc_id").alias("n_ids"),
+                    F.count(F.when(F.col("text").eqNullSafe(F.col("_t")), 1)).alias("n_own"))
+
+
 def q_stream_tokenize(spark, sf):
     """ST2: documents as a stream, encoded with the vocabulary of the whole corpus."""
     docs = read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "text")
@@ -159,6 +171,7 @@ QUERIES = {
     "prepared_manifest": q_prepared_manifest,
     "user_tokenizer": q_user_tokenizer,
     "stream_ingest": q_stream_ingest,
+    "stream_ingest_bounded": q_stream_ingest_bounded,
     "stream_tokenize": q_stream_tokenize,
     "stream_log_windows": q_stream_log_windows,
     "stream_metrics": q_stream_metrics,

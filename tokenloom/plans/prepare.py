@@ -1,9 +1,7 @@
 """Corpus preparation: read -> non-blank -> tokenize -> vocabulary -> encode -> fixed-length sequences.
 
-Spark form of the ingest/tokenize/save job: the only shuffles are the
-token count (vocabulary) and the per-document regroup after the id
-lookup; the vocabulary is materialised once and broadcast when measured
-small.
+Spark form of the ingest/tokenize/save job: the only shuffle is the token
+count of the vocabulary, which is stored once and sent to the tasks.
 """
 
 from __future__ import annotations
@@ -34,21 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-spread an input that arrives in fewer partitions than there are cores.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` hashed by ``key`` into as many partitions as the session's ``spark.tokenloom.partitions`` names.
 
-    A large corpus already scans as many splits and is left alone; a file
-    with a single row group would otherwise run tokenization in one task.
-    Spreading by the document key also pre-clusters the rows for the
-    per-document regroup after the id lookup, so that step adds no shuffle.
+    For sources in fewer splits than the cluster has cores; without the
+    setting rows stay where they are read.
     """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # no RDD view (e.g. a remote session): leave the plan as is
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+    parts = df.sparkSession.conf.get("spark.tokenloom.partitions", None)
+    return df.repartition(int(parts), key) if parts else df
 
 
 def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text", "lang", "source")) -> DataFrame:

@@ -91,33 +91,35 @@ def read_tokenized(spark: SparkSession, path: str, keep=("doc_id",)) -> DataFram
     return df.select(*cols)
 
 
-def nth_smallest(df: DataFrame, key: str, n: int, rel_err: float = 1e-4):
-    """Exact value of the n-th smallest ``key`` (1-based); None if fewer rows.
-
-    Distributed passes over the key column only (column pruning keeps the
-    scan narrow): a count, an approximate quantile that brackets the
-    answer, an exact count below the bracket, and a sort of only the
-    bracket (about 6 * rel_err of the rows).  No pass moves more than the
-    bracket to one task.
+def nth_smallest(df: DataFrame, key: str, n: int, rel_err: float = 1e-4, sort_rows: int = 10_000):
+    """Exact value of the n-th smallest numeric ``key`` (1-based); the largest if there are fewer rows.
+
+    Passes over the key column narrow an interval that holds the answer:
+    quantiles propose two bounds, exact counts tell which side of them the
+    answer is on.  A round leaves about 6 * rel_err of the rows; at most
+    ``sort_rows`` are sorted in the end.  None without rows or for n <= 0.
     """
-    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull())
+    k = F.col("k")
+    keys = df.select(F.col(key).alias("k")).where(k.isNotNull())
     total = keys.count()
     if n <= 0 or total == 0:
         return None
-    if n >= total:
-        return keys.agg(F.max("k")).first()[0]
-    q = n / total
-    lo_q, hi_q = max(0.0, q - 3 * rel_err), min(1.0, q + 3 * rel_err)
-    lo, hi = keys.approxQuantile("k", [lo_q, hi_q], rel_err)
-    below = keys.where(F.col("k") < lo).count()
-    band = keys.where((F.col("k") >= lo) & (F.col("k") <= hi))
-    need = n - below
-    if need <= 0:  # quantile overshot; fall back to the full column
-        below, band, need = 0, keys, n
-    row = band.orderBy("k").limit(need).agg(F.max("k").alias("m"), F.count(F.lit(1)).alias("c")).first()
-    if row["c"] < need:  # bracket too narrow (outside the quantile guarantee): use the whole column
-        row = keys.orderBy("k").limit(n).agg(F.max("k").alias("m"), F.count(F.lit(1)).alias("c")).first()
-    return row["m"]
+    n = min(n, total)
+    while total > sort_rows:
+        lo, hi = keys.approxQuantile("k", [max(0.0, n / total - 3 * rel_err), min(1.0, n / total + 3 * rel_err)], rel_err)
+        below, to_lo, below_hi, to_hi = keys.agg(*[
+            F.count(F.when(c, 1)) for c in (k < lo, k <= lo, k < hi, k <= hi)]).first()
+        if below < n <= to_lo:
+            return keys.where(k == lo).first()[0]
+        if below_hi < n <= to_hi:
+            return keys.where(k == hi).first()[0]
+        if n <= below:
+            keys, total = keys.where(k < lo), below
+        elif n <= below_hi:
+            keys, total, n = keys.where((k > lo) & (k < hi)), below_hi - to_lo, n - to_lo
+        else:
+            keys, total, n = keys.where(k > hi), total - to_hi, n - to_hi
+    return keys.orderBy("k").limit(n).agg(F.max("k")).first()[0]
 
 
 def ingest_bounded(df: DataFrame, num_shards: int, rows_per_shard: int = ROWS_PER_SHARD,

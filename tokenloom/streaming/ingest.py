@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.text import nonblank_col, text_fallback_col, tokens_col
+from ..operators.rank import global_rank, hash_key
 from ..operators.sequence import label_mask, to_sequences
-from ..operators.telemetry import _micros
+from ..operators.telemetry import window_rows, window_sums
 from ..operators.vocab import encode
 
 
@@ -29,17 +30,28 @@ def _source(spark: SparkSession, src: str, schema: StructType | str | None, fmt:
 def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, limit: int | None,
                   schema: StructType | str | None = None, fmt: str = "parquet",
                   max_files_per_trigger: int = 1000):
-    """ST1: copy at most ``limit`` rows of a file stream into a Parquet table.
+    """ST1: copy at most ``limit`` rows of a file stream into the Parquet table at ``dst``.
 
-    The limit is a stateful streaming limit (kept in the checkpoint), so
-    it holds across micro-batches and restarts.  Which rows are kept
-    follows arrival order; the count is min(limit, source rows).
+    Each micro-batch writes its own ``batch_id=`` folder, so a replayed one
+    replaces its rows.  The room left is the limit less the rows of earlier
+    folders, and holds across restarts; the batch that passes it keeps its first rows by a
+    hash of the row, ranked in buckets and never in one task.
     """
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
-    if limit is not None:
-        s = s.limit(int(limit))
-    q = (s.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).option("path", dst)
+    cols = s.columns
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        out = f"{dst}/batch_id={int(batch_id)}"
+        if limit is not None:
+            room = int(limit)
+            if batch_id > 0:
+                room -= spark.read.parquet(dst).where(F.col("batch_id") < int(batch_id)).count()
+            keyed = batch.withColumn("_h", hash_key(F.xxhash64(*cols)))
+            ranked = global_rank(keyed, "_h", cols[0], rank_col="_r", total_col=None)
+            batch = ranked.where(F.col("_r") < room).select(*cols)
+        batch.write.mode("overwrite").parquet(out)
+
+    q = (s.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -50,10 +62,8 @@ def stream_tokenize(spark: SparkSession, src: str, dst: str, checkpoint: str, vo
                     max_files_per_trigger: int = 1000, id_col: str = "doc_id"):
     """ST2: text stream -> P1/P2/P4 -> frozen-vocabulary encode -> sequences, per micro-batch.
 
-    The regroup after the id lookup is an aggregation per document, which
-    a stream cannot run without state, so it runs inside ``foreachBatch``
-    on each micro-batch.  Each batch overwrites its own ``batch_id=``
-    folder, so a replayed batch replaces rather than duplicates.
+    Every step is row-local.  Each micro-batch overwrites its own
+    ``batch_id=`` folder, so a replayed batch replaces rather than duplicates.
     """
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
     cols = s.columns
@@ -77,22 +87,18 @@ def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str,
                        max_files_per_trigger: int = 1000):
     """ST3: streaming roll-up of a micro-batch log (run_id, n, ts, loss) into log windows.
 
-    A stateful streaming aggregation by (run, window) in update mode; each
-    micro-batch appends the windows that became complete (exactly
-    ``every * accumulation`` micro-batches).  Throughput needs the previous
-    window (``lag`` is not allowed on a stream), so ``finish_log_windows``
-    computes it from the written table.
+    The stream keeps no state: each micro-batch writes the partial sums of
+    its windows to its own ``batch_id=`` folder (replayed batches replace
+    theirs), however long runs are and however late rows come.
+    ``finish_log_windows`` adds the parts up and returns whole windows.
     """
     span = int(every) * int(accumulation)
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
-    agg = s.groupBy("run_id", (F.col("n") / F.lit(span)).cast("long").alias("m")).agg(
-        F.sum("loss").alias("loss_sum"), F.count(F.lit(1)).alias("n_micro"), F.max("ts").alias("ts"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        done = batch.where(F.col("n_micro") == span)
-        done.write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
+        window_sums(batch, span).write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(write_batch)
+    q = (s.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -100,21 +106,10 @@ def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str,
 
 def finish_log_windows(spark: SparkSession, dst: str, every: int, accumulation: int, batch_size: int,
                        world: int = 1) -> DataFrame:
-    """Batch step after ST3: (run_id, step, loss, steps_per_sec, samples_per_sec, ms_per_step)."""
-    span = int(every) * int(accumulation)
-    w = spark.read.parquet(dst).select("run_id", "m", "loss_sum", "ts")
-    prev = w.select("run_id", (F.col("m") + 1).alias("m"), F.col("ts").alias("_prev_ts"))
-    j = w.join(prev, ["run_id", "m"], "left")
-    dt = (_micros("ts") - _micros("_prev_ts")).cast("double") / F.lit(1e6)
-
-    def rate(x):
-        return F.when(F.col("_prev_ts").isNull(), F.lit(None).cast("double")).when(dt > 0, x).otherwise(F.lit(0.0))
-
-    return j.select("run_id", ((F.col("m") + 1) * F.lit(int(every))).cast("long").alias("step"),
-                    (F.col("loss_sum") / F.lit(float(span))).alias("loss"),
-                    rate(F.lit(float(every)) / dt).alias("steps_per_sec"),
-                    rate(F.lit(float(span * int(batch_size) * int(world))) / dt).alias("samples_per_sec"),
-                    rate(dt * F.lit(1000.0) / F.lit(float(every))).alias("ms_per_step"))
+    """Whole windows of the parts that ST3 wrote, as ``window_rows``."""
+    sums = spark.read.parquet(dst).groupBy("run_id", "m").agg(
+        F.sum("loss_sum").alias("loss_sum"), F.sum("n_micro").alias("n_micro"), F.max("ts").alias("ts"))
+    return window_rows(sums, every, accumulation, batch_size, world)
 
 
 def stream_metrics(spark: SparkSession, src: str, dst: str, checkpoint: str,
