@@ -358,3 +358,14 @@ def test_some_labels_nulls_ties_and_bound(spark):
     many = spark.range(20000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
     assert 900 < toxicity.some_labels(many, rows=1000).count() < 1100
     assert toxicity.some_labels(labels.limit(0)).count() == 0
+
+
+def test_toxicity_word_beginning_with_one_toxic_word_alone_is_no_entry(spark):
+    rows = [(1, f"plain text {i} you zzloser now") for i in range(30)] + \
+        [(1, f"plain text {i} what trumpery{i % 7}") for i in range(30)] + \
+        [(0, f"plain text {i} of zzlos{'abcdef'[i % 6]}ana here") for i in range(12)] + \
+        [(0, f"plain text {i} and nothing else") for i in range(300)]
+    scorer = toxicity.learn(spark.createDataFrame(rows, "toxic int, text string"))
+    assert "zzioser" in scorer.lexicon and "zzios*" not in scorer.lexicon
+    assert any(t.startswith("trum") and t.endswith("*") for t in scorer.lexicon)
+    assert scorer.score(*scorer.features("plain text of zzlosbana zzloscana here")[:2]) < 0.5

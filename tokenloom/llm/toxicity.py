@@ -176,6 +176,28 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in b)
 
 
+def _own_evidence(chosen: list, pos: int, neg: int) -> list:
+    """Lexicon rows without the word beginnings that owe their weight to one whole word.
+
+    A beginning stays when it speaks for label 1 in the documents beyond
+    those of its most frequent whole word as well, or when there is nothing
+    beyond them.
+    """
+    words: dict[str, tuple[int, int]] = {}
+    for r in chosen:
+        if not r["term"].endswith("*"):
+            for k in STEMS:
+                if len(r["term"]) > k:
+                    words[r["term"][:k]] = max(words.get(r["term"][:k], (0, 0)), (r["pos"], r["neg"]))
+    kept = []
+    for r in chosen:
+        p, n = words.get(r["term"][:-1], (0, 0)) if r["term"].endswith("*") else (0, 0)
+        p, n = max(0, r["pos"] - p), max(0, r["neg"] - n)
+        if (p, n) == (0, 0) or (p + 0.5) * (neg + 1) > (n + 0.5) * (pos + 1):
+            kept.append(r)
+    return kept
+
+
 def learn(labelled: DataFrame, label: str = "toxic", text: str = "text", rows: int = LABELLED_ROWS) -> Scorer:
     """Learn a scorer from (label, text) rows; null labels do not count, null texts are empty.
 
@@ -203,7 +225,7 @@ def learn(labelled: DataFrame, label: str = "toxic", text: str = "text", rows: i
     counted = kept.mapInArrow(_count_terms, "term string, pos bigint, neg bigint")
     chosen = (weighed(counted).where((F.col("pos") >= MIN_DOCS) & (F.col("weight") >= MIN_WEIGHT) & (F.col("z") >= MIN_Z))
               .orderBy(F.desc("z"), "term").limit(LEXICON_SIZE).collect())
-    lexicon = {r["term"]: r["weight"] for r in chosen}
+    lexicon = {r["term"]: r["weight"] for r in _own_evidence(chosen, pos, neg)}
     near = kept.mapInArrow(_count_phrases(set(lexicon)), "term string, pos bigint, neg bigint")
     excused = (weighed(near).where((F.col("neg") >= MIN_DOCS) & (F.col("weight") <= 0))
                .orderBy("z", "term").limit(PHRASES).collect()) if lexicon else []
