@@ -40,3 +40,13 @@ def test_split_plans_read_no_text(spark):
         df = catalog.QUERIES[name](spark, SF001)
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "doc_id" in plan and "text#" not in plan, name
+
+
+def test_intermediate_tables_are_deleted_at_the_end_of_the_block(spark):
+    import os
+    from tokenloom.session import cut_lineage, intermediate_tables
+    with intermediate_tables(spark):
+        df = cut_lineage(spark.range(5))
+        path = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+        assert df.count() == 5 and os.path.isdir(path)
+    assert not os.path.exists(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import consecutive_pairs_col
 from ..functions.mathx import nll_col, perplexity_col
-from ..session import DEFAULT_BROADCAST_LIMIT
+from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
 
 
 def id_pairs(ids: DataFrame, col: str = "ids", eos_id: int | None = None,
@@ -51,6 +51,7 @@ SPREAD_KEYS = 4096
 
 def _join_counts(agg: DataFrame, seen: DataFrame, by: tuple) -> DataFrame:
     """``agg`` with the model's count ``_c`` of each pair; no join key holds over HOT_SHARE of the rows."""
+    agg = cut_lineage(agg)  # read three times
     floor = agg.count() * HOT_SHARE
     hot = (agg.groupBy("ctx", "target").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(floor))
            .join(seen, ["ctx", "target"], "left")

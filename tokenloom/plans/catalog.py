@@ -8,6 +8,8 @@ engines print the same values.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,8 @@ from ..operators import decode, ngram, rank, sequence, split as sp, telemetry as
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evaluate_batches, rank_reduce
 from ..operators import udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
-from ..session import cut_lineage
-from ..sources.sinks import manifest
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest
 from .prepare import DEFAULT_VOCAB_SIZE, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
 
@@ -326,6 +328,17 @@ def q_evaluate_capped(spark, sf):
     return _eval_row(evaluate_batches(batch_losses(first, doc_loss_sums(_val_nll(ids, s, first)))))
 
 
+def q_eval_records(spark, sf):
+    """The evaluation after one epoch as a record of its run and step, appended to a metrics table and read back."""
+    ids, s = _shared(spark, sf)
+    last = train_batches(s, 0, CFG).agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]
+    row = evaluate_batches(batch_losses(val_batches(s, CFG), doc_loss_sums(_val_nll(ids, s))))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/evaluations-{uuid.uuid4().hex}"
+    append_metrics(eval_records(row, run_id=0, step=last), path)
+    back = spark.read.parquet(path)
+    return back.select("run_id", "step", *[F.round(c, d).alias(c) for c, d in zip(EVAL_LOG_COLUMNS, (9, 6))])
+
+
 def q_perplexity(spark, sf):
     """A7 per event (value = loss): capped flag, and exp(loss) as mantissa x 10^exponent."""
     e = table(spark, sf, "events").select("event_id", perplexity_col("value").alias("ppl"))
@@ -549,6 +562,7 @@ QUERIES = {
     "eval_rank_reduce": q_eval_rank_reduce,
     "evaluate_split": q_evaluate_split,
     "evaluate_capped": q_evaluate_capped,
+    "eval_records": q_eval_records,
     "perplexity": q_perplexity,
     "greedy_next": q_greedy_next,
     "topk_next": q_topk_next,

@@ -338,6 +338,9 @@ SQL["prepared_manifest"] = w(DOCS) + (
 SQL["user_tokenizer"] = SQL["tokenize_documents"]
 SQL["stream_ingest"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 SQL["stream_tokenize"] = SQL["pretokenized_scan"]
+SQL["eval_records"] = (
+    f"SELECT CAST(0 AS INTEGER) AS run_id, (SELECT CAST(max(step) AS BIGINT) FROM ({SQL['update_groups']})) AS step, "
+    f"loss AS eval_loss, perplexity AS eval_perplexity FROM ({SQL['evaluate_split']})")
 SQL["stream_ingest_bounded"] = ("SELECT count(*) * 5 // 8 AS n_kept, count(*) * 5 // 8 AS n_ids, "
                                 "count(*) * 5 // 8 AS n_own FROM documents")
 SQL["stream_log_windows"] = w(MICRO, WINDOWS(1, 8)) + (

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+_stored: list[str] = []
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession):
+    """Delete the tables that ``cut_lineage`` writes inside the block when it ends.
+
+    Results must be written or collected inside the block; a lazy result
+    that is read later still needs its tables.
+    """
+    start = len(_stored)
+    try:
+        yield
+    finally:
+        for path in _stored[start:]:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        del _stored[start:]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder and read it back.
 
@@ -83,5 +104,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tokenloom-tables/{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)

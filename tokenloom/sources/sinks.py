@@ -28,11 +28,15 @@ def write_manifest(spark: SparkSession, path: str, max_length: int, tokenizer: s
     return m
 
 
-TRAIN_LOG_COLUMNS = ("loss", "learning_rate", "epoch", "global_step",
-                     "steps_per_sec", "samples_per_sec", "ms_per_step")
 EVAL_LOG_COLUMNS = ("eval_loss", "eval_perplexity")
 
 
+def eval_records(evaluation: DataFrame, run_id: int, step: int) -> DataFrame:
+    """(run_id, step, eval_loss, eval_perplexity) of an evaluation row (loss, perplexity)."""
+    return evaluation.select(F.lit(int(run_id)).alias("run_id"), F.lit(int(step)).cast("bigint").alias("step"),
+                             *[F.col(c).alias(name) for c, name in zip(("loss", "perplexity"), EVAL_LOG_COLUMNS)])
+
+
 def append_metrics(df: DataFrame, path: str, partition_by: str = "run_id") -> None:
     """Append metric rows keyed by (run_id, step) to a Parquet table.
 
