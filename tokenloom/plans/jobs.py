@@ -21,7 +21,7 @@ from ..sources.corpus import ingest_bounded, read_corpus, read_tokenized, source
 from ..sources.sinks import write_manifest, write_tokenized
 from ..streaming.ingest import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
                                 stream_tokenize)
-from .prepare import PrepConfig, prepare, table, tokenized
+from .prepare import PrepConfig, prepare, spread, table, tokenized
 
 TOKENS = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x09-\x0D\x20]")  # as functions.text, in Python's notation
 FILES = 4  # files of a stream's source, read one per micro-batch
@@ -43,7 +43,7 @@ def preparation_job(spark: SparkSession, src: str, dst: str, cfg: PrepConfig = P
     docs = read_corpus(spark, src, drop_blank=drop_blank)
     if num_shards is not None:
         docs = ingest_bounded(docs, num_shards)
-    _, _, seqs = prepare(docs, cfg, tokenizer=tokenizer)
+    _, _, seqs = prepare(spread(docs, "doc_id"), cfg, tokenizer=tokenizer)
     write_tokenized(seqs.drop("labels"), f"{dst}/data")
     return write_manifest(spark, f"{dst}/data", cfg.max_length, tokenizer_name, f"{dst}/manifest")
 
@@ -58,7 +58,7 @@ def training_sequences(spark: SparkSession, path: str, cfg: PrepConfig = PrepCon
         raise ValueError(f"tensor files cannot be read: {path}")
     if kind == "pretokenized":
         return label_mask(read_tokenized(spark, path))
-    return prepare(read_corpus(spark, path), cfg)[2]
+    return prepare(spread(read_corpus(spark, path), "doc_id"), cfg)[2]
 
 
 def regex_tokenizer(texts: pd.Series) -> pd.Series:
@@ -140,7 +140,7 @@ def q_stream_tokenize(spark, sf):
     docs = read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "text")
     src, out, progress = _stream_files(spark, docs, "tokenize")
     cfg = PrepConfig()
-    vocab = build_vocab(tokenized(docs), cfg.vocab_size)
+    vocab = build_vocab(tokenized(spread(docs, "doc_id")), cfg.vocab_size)
     stream_tokenize(spark, src, out, progress, vocab, cfg.max_length, max_files_per_trigger=1)
     return spark.read.parquet(out).select("doc_id", _joined("input_ids").alias("input_ids"),
                                           _joined("labels").alias("labels"))
