@@ -91,6 +91,15 @@ def test_ngram_join_meeting_is_the_same_in_any_batches():
     assert out(1) == out(2) == out(7) == out(1000)
 
 
+def test_ngram_join_finds_a_class_whose_key_hashes_to_slot_0(spark):
+    text = sentence(random.Random(9), 80)
+    table = spark.createDataFrame([(587600, text), (600000, text + " tail")], "doc_id bigint, text string")
+    slot = table.selectExpr("pmod(xxhash64(doc_id), 1 << 20) AS s").where("s = 0")
+    assert slot.count() == 1
+    got = {r["key"]: r["component"] for r in ngram_join.near_duplicates(table).collect()}
+    assert got == {587600: 587600, 600000: 587600}
+
+
 def test_keep_one_of_each(docs, rows):
     kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns

@@ -358,13 +358,13 @@ class _Join:
         """(cls, text) of wanted (cls, slot) rows, slot being a hash of the key.  A bitmap of slots, of one size
         for any input, thins the texts before the join; what it lets through wrongly, the join drops.  Another
         text under the same key or slot may come along; ``_similar`` drops it by its class."""
-        cut = lambda: F.pmod(F.col("slot"), F.lit(1 << FILTER_BITS))
-        bits = (wanted.select(cut().alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i"))
+        at = F.pmod(F.col("slot"), F.lit(1 << FILTER_BITS))
+        # Spark numbers the bits of its bitmaps from 1
+        bits = (wanted.select((at + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("i"))
                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect())
-        bitmap = bytearray((1 << FILTER_BITS) // 8 + 4096)
+        bitmap = bytearray((1 << FILTER_BITS) // 8)
         for row in bits:
             bitmap[(row["i"] - 1) * 4096:row["i"] * 4096] = row["m"]
-        at = F.bitmap_bucket_number(cut()) * 32768 - 32768 + F.bitmap_bit_position(cut())
         byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10)
         near = (self.docs.select(F.xxhash64("key").alias("slot"), "text")
                 .where(F.getbit(byte.cast("bigint"), (at % 8).cast("int")) == 1))
