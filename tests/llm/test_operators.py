@@ -300,6 +300,21 @@ def test_pseudo_likelihood_equals_direct_evaluation_and_prefers_one_language(spa
     assert abs(total - real[0][1]) < 1e-2 * len(h)
 
 
+def test_pseudo_likelihood_uses_the_own_count_of_a_word_beyond_the_vocabulary(spark):
+    common = " ".join(f"common{i}" for i in range(language_model.VOCABULARY))
+    rare = {f"rare{i}": 1 + 6 * (i % 2) for i in range(300)}
+    rows = [(common,)] * 9 + [(w,) for w, n in rare.items() for _ in range(n)] + [(None,)]
+    table = spark.createDataFrame(rows, "text string")
+    out, name = language_model.score_documents(table, *language_model.train(table))
+    scored = [(r["text"], r[name]["log_likelihood"]) for r in out.collect()]
+    assert len(scored) == len(rows)
+    score = {t: s for t, s in scored}
+    assert score[None] == 0
+    unit = {w: int(language_model.shared_units(next(language_model.word_hashes([w.encode()]))[2])[0]) for w in rare}
+    pairs = [(a, b) for a in rare for b in rare if unit[a] == unit[b] and rare[a] > rare[b]]
+    assert pairs and all(abs(score[a] - score[b] - np.log(7)) < 1e-6 for a, b in pairs)
+
+
 def test_licences(spark):
     notice = licenses.TEMPLATES["apache-2.0-notice"]
     words = notice.split()

@@ -4,7 +4,9 @@ Every word is predicted from the two words before and the two after it.  The
 network (numpy) gives the probability of the word's unit: frequent words are
 units of their own, all other words share hashed units.  Corpus counts give the
 probability of the word within its unit, so each word has a proper conditional
-probability.  A document's score is the sum of the logarithms.
+probability.  A document's score is the sum of the logarithms.  The counts of the
+VOCABULARY most frequent words go to the tasks; those of all other words stay in
+a stored table that grows with the input and are joined to a document's words.
 
 The network is trained on every document: each input split trains a copy on
 every STRIDE-th word of its texts, and the copies are averaged by words seen.
@@ -68,10 +70,14 @@ def _count_words(batches):
 
 
 class Vocabulary:
-    """Ids, units and within-unit log-probabilities of words by their hash; bounded by VOCABULARY and UNITS."""
+    """Ids, units and within-unit log-probabilities of words by their hash; bounded by VOCABULARY and UNITS.
 
-    def __init__(self, top: list[tuple[int, int]], unit_total: np.ndarray, rare_total: np.ndarray, rare_words: np.ndarray):
-        """top: (hash, count) by count; totals per unit: all words, words outside top, distinct words outside top."""
+    A word outside the table of frequent words is taken as seen once; ``counts`` has its own count.
+    """
+
+    def __init__(self, top: list[tuple[int, int]], unit_total: np.ndarray, counts: DataFrame | None = None):
+        """top: (hash, count) by count; unit_total: count of all words per unit; counts: stored (word, n) of all words."""
+        self.counts = counts
         hashes = np.array([h for h, _ in top], dtype=np.int64).view(np.uint64)
         counts = np.array([n for _, n in top], dtype=np.float64)
         order = np.argsort(hashes)
@@ -81,19 +87,22 @@ class Vocabulary:
         self.unit = unit
         total = np.maximum(unit_total, 1.0)
         self.inside = np.log(np.maximum(counts, 1.0) / total[unit]) if len(top) else np.zeros(0)
-        self.rare = np.log(np.maximum(rare_total, 1.0) / total / np.maximum(rare_words, 1.0))
+        self.once = -np.log(total)
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "counts": None}  # tasks do without the table
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(embedding ids, units, log-probability of the word within its unit)."""
         if not len(self.hashes):
             unit = shared_units(h)
-            return VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64), unit, self.rare[unit]
+            return VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64), unit, self.once[unit]
         near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[near] == h
         rank = self.ids[near].astype(np.int64)
         unit = np.where(known, self.unit[rank], shared_units(h))
         ids = np.where(known, rank, VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64))
-        return ids, unit, np.where(known, self.inside[rank], self.rare[unit])
+        return ids, unit, np.where(known, self.inside[rank], self.once[unit])
 
 
 def shared_units(h: np.ndarray) -> np.ndarray:
@@ -106,24 +115,18 @@ def shared_unit(h: int) -> int:
 
 def build_vocabulary(docs: DataFrame, text: str, scratch: Scratch) -> Vocabulary:
     """Counts of all words of all documents; what reaches the driver is VOCABULARY + UNITS rows."""
-    counts, path = scratch.store(docs.select(F.col(text).cast("string")).mapInArrow(_count_words, "word bigint, n bigint")
-                                 .groupBy("word").agg(F.sum("n").alias("n")))
+    counts, _ = scratch.store(docs.select(F.col(text).cast("string")).mapInArrow(_count_words, "word bigint, n bigint")
+                              .groupBy("word").agg(F.sum("n").alias("n")))
     top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    frequent = {h % (1 << 64): i for i, (h, _) in enumerate(top[:FREQUENT_UNITS])}
-    listed = docs.sparkSession.createDataFrame([(h, i) for i, (h, _) in enumerate(top)], "word bigint, rank int")
+    listed = docs.sparkSession.createDataFrame([(h, i) for i, (h, _) in enumerate(top[:FREQUENT_UNITS])],
+                                               "word bigint, rank int")
     # the unsigned shift and remainder of shared_unit, on signed 64-bit words
     shared = F.pmod(F.shiftrightunsigned("word", 20), F.lit(UNITS - FREQUENT_UNITS)) + FREQUENT_UNITS
-    unit = F.when(F.col("rank") < FREQUENT_UNITS, F.col("rank")).otherwise(shared)
-    rare = F.col("rank").isNull()
-    rows = (counts.join(F.broadcast(listed), "word", "left").groupBy(unit.alias("unit"))
-            .agg(F.sum("n").alias("n"), F.sum(F.when(rare, F.col("n")).otherwise(0)).alias("rare"),
-                 F.sum(rare.cast("bigint")).alias("words")).collect())
-    totals = np.zeros((3, UNITS))
-    for r in rows:
-        totals[:, int(r["unit"])] = r["n"], r["rare"], r["words"]
-    scratch.drop(path)
-    assert len(frequent) == min(len(top), FREQUENT_UNITS)
-    return Vocabulary(top, *totals)
+    totals = np.zeros(UNITS)
+    for r in (counts.join(F.broadcast(listed), "word", "left").groupBy(F.coalesce("rank", shared).alias("unit"))
+              .agg(F.sum("n").alias("n")).collect()):
+        totals[int(r["unit"])] = r["n"]
+    return Vocabulary(top, totals, counts)
 
 
 def initial_parameters() -> dict[str, np.ndarray]:
@@ -273,9 +276,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, dict[str, np
     return vocabulary, q
 
 
-def score_texts(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]) -> list[tuple[int, float]]:
-    """(words, summed conditional log-probability) of each text."""
-    out = []
+def _scored(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]):
+    """(words, summed conditional log-probability, distinct rare words, times of each) of each text."""
     for _, offsets, h in word_hashes(texts):
         ids, unit, inside = vocabulary.lookup(h)
         padded, place = _padded(ids, offsets)
@@ -287,35 +289,58 @@ def score_texts(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndar
             logits += q["c"]
             logp[at:end] = _log_softmax_at(logits, unit[at:end]) + inside[at:end]
         total = np.concatenate(([0.0], np.cumsum(logp)))
-        out += [(int(b - a), float(total[b] - total[a])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-    return out
+        rare = ids >= VOCABULARY
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            words, times = np.unique(h[a:b][rare[a:b]], return_counts=True)
+            yield b - a, float(total[b] - total[a]), words.view(np.int64), times
 
 
-RESULT = "struct<n_words:bigint,log_likelihood:double>"
+def score_texts(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]) -> list[tuple[int, float]]:
+    """(words, summed conditional log-probability) of each text, rare words taken as seen once."""
+    return [(n, s) for n, s, _, _ in _scored(texts, vocabulary, q)]
+
 
+SCORED = "struct<n_words:bigint,log_likelihood:double,words:array<bigint>,times:array<bigint>>"
 
-def score_documents(docs: DataFrame, vocabulary: Vocabulary, q: dict[str, np.ndarray], text: str = "text") \
-        -> tuple[DataFrame, str]:
-    """(docs with one more column, its name): struct of n_words and log_likelihood.
 
-    A null or empty text has no words and log-likelihood 0.  Every input column
-    stays; each row is scored by its text alone, so equal texts score the same.
+def score_documents(docs: DataFrame, vocabulary: Vocabulary, q: dict[str, np.ndarray], text: str = "text",
+                    keep: tuple[str, ...] | None = None) -> tuple[DataFrame, str]:
+    """(table of the ``keep`` columns, all by default, and one more, its name): struct of n_words and log_likelihood.
+
+    A null or empty text has no words and log-likelihood 0.  One row per input
+    row; each is scored by its text alone.  A rare word's own count comes from a
+    join of the (row, word) pairs with the counts; a word without a count is taken as seen once.
     """
-    name = fresh_name(docs.columns, "pseudo_likelihood")
+    kept = list(docs.columns if keep is None else keep)
+    name = fresh_name(kept, "pseudo_likelihood")
+    row = fresh_name([*kept, name], "row")
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, q))
 
     def run(column: pa.Array) -> pa.Array:
-        scored = score_texts(as_bytes(column), *held.value)
-        return pa.array([{"n_words": n, "log_likelihood": s} for n, s in scored],
-                        pa.struct([("n_words", pa.int64()), ("log_likelihood", pa.float64())]))
-
-    return docs.withColumn(name, F.arrow_udf(run, RESULT)(F.col(text).cast("string"))), name
+        n, s, words, times = zip(*_scored(as_bytes(column), *held.value)) if len(column) else ((),) * 4
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)))
+                 for x in (words, times)]
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(s, pa.float64()), *lists],
+                                          names=["n_words", "log_likelihood", "words", "times"])
+
+    # stored, so that the network runs once and a row's number is the same on both sides of the join
+    scored, _ = Scratch(docs.sparkSession, "pseudo-likelihood").store(docs.select(
+        *kept, F.monotonically_increasing_id().alias(row), F.arrow_udf(run, SCORED)(F.col(text).cast("string")).alias(name)))
+    pairs = scored.select(row, F.explode(F.arrays_zip(F.col(name)["words"].alias("word"), F.col(name)["times"].alias("times")))
+                          .alias("p")).select(row, F.col("p.word").alias("word"), F.col("p.times").alias("times"))
+    own = fresh_name([*kept, name, row], "own")
+    counts = vocabulary.counts.where("n > 1")  # log 1 adds nothing
+    logs = pairs.join(counts.hint("merge"), "word").groupBy(row).agg(F.sum(F.col("times") * F.log("n")).alias(own))
+    return (scored.join(logs.hint("merge"), row, "left").select(*kept, F.struct(
+        F.col(name)["n_words"].alias("n_words"),
+        (F.col(name)["log_likelihood"] + F.coalesce(own, F.lit(0.0))).alias("log_likelihood")).alias(name))), name
 
 
 def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_words, log_likelihood, mean_log_likelihood (null without words)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored, name = score_documents(docs, *train(docs))
+    scored, name = score_documents(docs, *train(docs), keep=("doc_id",))
     s = F.col(name)
     return scored.select("doc_id", s["n_words"].alias("n_words"), F.round(s["log_likelihood"], 6).alias("log_likelihood"),
                          F.when(s["n_words"] > 0, F.round(s["log_likelihood"] / s["n_words"], 9)).alias("mean_log_likelihood"))
