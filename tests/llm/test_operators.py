@@ -315,6 +315,41 @@ def test_pseudo_likelihood_uses_the_own_count_of_a_word_beyond_the_vocabulary(sp
     assert pairs and all(abs(score[a] - score[b] - np.log(7)) < 1e-6 for a, b in pairs)
 
 
+def test_pseudo_likelihood_trains_on_every_word(monkeypatch):
+    import types
+
+    import pyarrow as pa
+    texts = ["a b c", "d", "", "e f g h i"]
+    _, _, h = next(language_model.word_hashes([" ".join(texts).encode()]))
+    vocabulary = language_model.Vocabulary([(int(x), 1) for x in h.view(np.int64)], np.ones(language_model.UNITS))
+    held = types.SimpleNamespace(value=(vocabulary, language_model.initial_parameters()))
+    targets = []
+    monkeypatch.setattr(language_model.Trainer, "batch", lambda self, context, target: targets.extend(target.tolist()))
+    for turn in range(language_model.ROUNDS):
+        list(language_model._train(held, turn)([pa.record_batch([pa.array(texts)], names=["text"])]))
+    assert sorted(targets) == list(range(len(h)))
+
+
+def test_pseudo_likelihood_training_step_equals_plain_gradient():
+    rng = np.random.default_rng(1)
+    q = language_model.initial_parameters()
+    context, target = rng.integers(0, language_model.PAD + 1, (50, 4)), rng.integers(0, language_model.UNITS, 50)
+    steps = {}
+    for scale in (1, 40):  # with and without the shift of large numbers
+        p = {k: v.copy() for k, v in q.items()}
+        p["w"] *= scale
+        trainer = language_model.Trainer(p)
+        trainer._step = steps.__setitem__
+        trainer.batch(context, target)
+        h = np.tanh(sum(p["e"][context[:, j]] * p["p"][j] for j in range(4)) + p["b"])
+        y = (h @ p["w"] + p["c"]).astype(float)
+        y = np.exp(y - y.max(axis=1, keepdims=True))
+        d = (y / y.sum(axis=1, keepdims=True) - np.eye(language_model.UNITS)[target]) / len(target)
+        dz = d @ p["w"].T * (1 - h * h)
+        assert np.allclose(steps["w"], h.T @ d, atol=1e-5) and np.allclose(steps["c"], d.sum(axis=0), atol=1e-5)
+        assert np.allclose(steps["p"], [(p["e"][context[:, j]] * dz).sum(axis=0) for j in range(4)], atol=1e-4)
+
+
 def test_licences(spark):
     notice = licenses.TEMPLATES["apache-2.0-notice"]
     words = notice.split()

@@ -8,8 +8,9 @@ probability.  A document's score is the sum of the logarithms.  The counts of th
 VOCABULARY most frequent words go to the tasks; those of all other words stay in
 a stored table that grows with the input and are joined to a document's words.
 
-The network is trained on every document: each input split trains a copy on
-every STRIDE-th word of its texts, and the copies are averaged by words seen.
+The network is trained on every word: in each round, each input split trains a
+copy on every ROUNDS-th word of its texts, and the copies are averaged by words
+seen; the rounds together take every word as a target once.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ FREQUENT_UNITS = 127   # most frequent words that are units of their own
 UNITS = 256
 DIM = 32
 REACH = 2              # words on either side
-ROUNDS = 2             # rounds of training and averaging
-STRIDE = 16            # a round trains on every STRIDE-th word, each round on others
+ROUNDS = 2             # rounds of training and averaging, each on every ROUNDS-th word, each on others
 BATCH = 2048
 RATE = 0.15
 SEED = 5
 PIECE = 1 << 16        # numbers of a copy's parameters in one shuffled row
 FLUSH = 1_500_000
-SCORE_WORDS = 8192
+SCORE_WORDS = 2048
+SAFE = 80.0            # exponentials of numbers up to this size are finite in 32 bits
 PAD = VOCABULARY + HASHED
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
@@ -160,15 +161,28 @@ def _padded(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, place
 
 
-def _hidden(q, context: np.ndarray) -> np.ndarray:
-    total = np.broadcast_to(q["b"], (len(context), DIM)).copy()
-    for j in range(len(_OFFSETS)):
-        total += q["e"][context[:, j]] * q["p"][j]
-    return np.tanh(total)
+def _embedded(q, context: np.ndarray) -> list[np.ndarray]:
+    return [q["e"][context[:, j]] for j in range(len(_OFFSETS))]
+
+
+def _hidden(q, embedded: list[np.ndarray]) -> np.ndarray:
+    total = embedded[0] * q["p"][0]
+    for j in range(1, len(_OFFSETS)):
+        total += embedded[j] * q["p"][j]
+    total += q["b"]
+    return np.tanh(total, out=total)
+
+
+def _logits(q, h: np.ndarray) -> np.ndarray:
+    """Numbers whose exponentials are finite, in proportion to the probabilities of the units."""
+    logits = h @ q["w"]
+    logits += q["c"]
+    if not np.max(np.abs(q["w"]).sum(axis=0) + np.abs(q["c"])) < SAFE:  # |h| <= 1 bounds every number by this
+        logits -= logits.max(axis=1, keepdims=True)
+    return logits
 
 
 def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
     picked = logits[np.arange(len(target)), target]
     np.exp(logits, out=logits)
     return picked - np.log(logits.sum(axis=1))
@@ -187,17 +201,18 @@ class Trainer:
 
     def batch(self, context: np.ndarray, target: np.ndarray) -> None:
         q, n = self.q, np.float32(len(target))
-        h = _hidden(q, context)
-        d = h @ q["w"] + q["c"]
-        d -= d.max(axis=1, keepdims=True)
+        embedded = _embedded(q, context)
+        h = _hidden(q, embedded)
+        d = _logits(q, h)
         np.exp(d, out=d)
-        d /= d.sum(axis=1, keepdims=True)
-        d[np.arange(len(target)), target] -= 1
-        d /= n
-        dz = (d @ q["w"].T) * (1 - h * h)
-        grads = {"w": h.T @ d, "c": d.sum(axis=0), "b": dz.sum(axis=0),
-                 "p": np.stack([(q["e"][context[:, j]] * dz).sum(axis=0) for j in range(len(_OFFSETS))])}
-        rows = context.T.ravel()
+        total = d.sum(axis=1)
+        # the gradient is d / total / n; the rows are scaled where they are narrow
+        d[np.arange(len(target)), target] -= total
+        scale = 1 / (total * n)
+        dz = (d @ q["w"].T) * (scale[:, None] * (1 - h * h))
+        grads = {"w": (h * scale[:, None]).T @ d, "c": scale @ d, "b": dz.sum(axis=0),
+                 "p": np.stack([np.einsum("ij,ij->j", x, dz) for x in embedded])}
+        rows = context.T.ravel().astype(np.int16)  # PAD fits; 16-bit numbers sort fast
         values = np.concatenate([dz * q["p"][j] for j in range(len(_OFFSETS))])
         order = np.argsort(rows, kind="stable")
         start = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
@@ -222,7 +237,7 @@ def _train(held, turn: int):
                     continue
                 ids, unit, _ = vocabulary.lookup(h)
                 padded, place = _padded(ids, offsets)
-                pick = np.arange(turn * (STRIDE // ROUNDS) % STRIDE, len(h), STRIDE)
+                pick = np.arange(turn, len(h), ROUNDS)
                 contexts.append(np.stack([padded[place[pick] + o] for o in _OFFSETS], axis=1))
                 targets.append(unit[pick])
                 waiting += len(pick)
@@ -285,8 +300,7 @@ def _scored(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]
         for at in range(0, len(h), SCORE_WORDS):
             end = min(len(h), at + SCORE_WORDS)
             context = np.stack([padded[place[at:end] + o] for o in _OFFSETS], axis=1)
-            logits = _hidden(q, context) @ q["w"]
-            logits += q["c"]
+            logits = _logits(q, _hidden(q, _embedded(q, context)))
             logp[at:end] = _log_softmax_at(logits, unit[at:end]) + inside[at:end]
         total = np.concatenate(([0.0], np.cumsum(logp)))
         rare = ids >= VOCABULARY
