@@ -260,6 +260,15 @@ def test_quality_statistics_and_outliers(docs, spark):
     assert [i for i, k in kept.items() if not k] == [i for i in kept if i % 20 == 0]
 
 
+def test_quality_estimate_is_not_moved_by_two_fifths_of_odd_documents(spark):
+    rng = random.Random(4)
+    texts = [sentence(rng, rng.randrange(60, 300)) for _ in range(200)]
+    data = [(i, t.replace(" ", " #$") if i % 5 < 2 else t, "en", "a") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(data, "doc_id int, text string, lang string, source string")
+    kept = {r["doc_id"]: r["quality"]["kept"] for r in quality.judge_quality(table)[0].collect()}
+    assert [i for i, k in sorted(kept.items()) if not k] == [i for i in range(200) if i % 5 < 2]
+
+
 def test_language_mixture(spark):
     out = language.op9_language(spark, "/root/testdata/sf0.01")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")

@@ -1,8 +1,9 @@
 """Quality rules with robust multivariate outliers (operator 6).
 
 Each document has a vector of transformed text statistics.  Per language and
-source a minimum-covariance-determinant estimate (FAST-MCD concentration
-steps) gives a centre and a scatter that no minority of odd documents can
+source a minimum-covariance-determinant estimate (FAST-MCD: several starts,
+concentration steps on half of the rows, the lowest determinant, one reweighted
+step) gives a centre and a scatter that a minority of odd documents does not
 move, and documents whose Mahalanobis distance is beyond the cut-off are
 rejected.  Every step is an aggregate over the narrow table of statistics, so a
 group may hold any share of all documents.
@@ -26,10 +27,13 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 DIMENSIONS = 5
 FLOORS = (0.25, 0.05, 0.10, 0.15, 0.15)  # least standard deviation that each transformed statistic is taken to have
-KEPT_SHARE = 0.75      # share of a group that its estimate rests on
-STEPS = 4              # concentration steps
-CUTOFF = 32.9          # 0.999996 quantile of chi-squared with 5 degrees of freedom
-MEDIAN = 4.351         # its median
+KEPT_SHARE = 0.5       # share of a group that a concentration step rests on
+STEPS = 6              # concentration steps of each start
+RANDOM_STARTS = 2      # starts from a fifth of the rows, besides the quartiles and all rows
+CUTOFF = 20.515        # 0.999 quantile of chi-squared with 5 degrees of freedom
+WITHIN = 12.833        # 0.975 quantile: rows of the reweighted step
+WITHIN_SCALE = 1.055   # variance of normal rows over that of the ones within
+MEDIAN = 4.351         # the median
 MIN_GROUP = 50         # smaller groups are judged with the other small sources of their language
 BIN = 32               # distance bins per octave
 BATCH_TEXTS = 256
@@ -98,11 +102,12 @@ def _invert(batches):
             second[np.triu_indices(DIMENSIONS)] = np.array(row.squares) / row.n
             second = second + np.triu(second, 1).T
             cov = second - np.outer(m, m) + np.diag(np.square(FLOORS))
-            out.append((row.grp, np.round(m, 9).tolist(), np.round(np.linalg.inv(cov), 6).ravel().tolist(), 1.0))
-        yield pd.DataFrame(out, columns=["grp", "m", "inv", "scale"])
+            out.append((row.grp, row.start, np.round(m, 9).tolist(), np.round(np.linalg.inv(cov), 6).ravel().tolist(), 1.0,
+                        round(float(np.linalg.slogdet(cov)[1]), 9)))
+        yield pd.DataFrame(out, columns=["grp", "start", "m", "inv", "scale", "volume"])
 
 
-ESTIMATE = "grp string, m array<double>, inv array<double>, scale double"
+ESTIMATE = "grp string, start int, m array<double>, inv array<double>, scale double, volume double"
 
 
 def _distance() -> Column:
@@ -120,21 +125,22 @@ def _distance_bin() -> Column:
 
 
 def _quantile_bins(table: DataFrame, estimate: DataFrame, share: float) -> DataFrame:
-    """(grp, cut): the lowest distance bin up to which each group has ``share`` of its rows.
+    """(grp, start, cut): the lowest distance bin up to which each estimate of a group has ``share`` of its rows.
 
     Counted from a histogram per group, so a group is a bounded number of rows whatever its size.
     """
-    counts = (table.join(estimate, "grp").groupBy("grp", _distance_bin().alias("b")).agg(F.count(F.lit(1)).alias("c")))
-    run = Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = F.sum("c").over(Window.partitionBy("grp"))
-    return (counts.select("grp", "b", F.sum("c").over(run).alias("cum"), total.alias("n"))
-            .where(F.col("cum") >= F.col("n") * share).groupBy("grp").agg(F.min("b").alias("cut")))
+    counts = (table.join(estimate, "grp").groupBy("grp", "start", _distance_bin().alias("b"))
+              .agg(F.count(F.lit(1)).alias("c")))
+    run = Window.partitionBy("grp", "start").orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum("c").over(Window.partitionBy("grp", "start"))
+    return (counts.select("grp", "start", "b", F.sum("c").over(run).alias("cum"), total.alias("n"))
+            .where(F.col("cum") >= F.col("n") * share).groupBy("grp", "start").agg(F.min("b").alias("cut")))
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
     v = F.col("v")
     squares = [F.sum(v[i] * v[j]) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-    sums = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"),
+    sums = rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"),
                                    F.array(*[F.sum(v[i]) for i in range(DIMENSIONS)]).alias("sums"),
                                    F.array(*squares).alias("squares"))
     return sums.mapInPandas(_invert, ESTIMATE)
@@ -143,29 +149,36 @@ def _estimate(rows: DataFrame) -> DataFrame:
 def robust_estimates(table: DataFrame, scratch: Scratch) -> DataFrame:
     """(grp, m, inv, scale) of a table (grp, v): the MCD centre, inverse scatter and consistency scale.
 
-    The start is the median and the spread of each coordinate; each step
-    keeps the rows nearest to the last estimate and estimates again.
+    The starts are the median and spread of each coordinate, all rows, and
+    random fifths of the rows.  Each step keeps the half of the rows nearest to
+    a start's last estimate and estimates again; the start that ends with the
+    lowest determinant counts, and a last step takes all rows near to it.
     """
     v = F.col("v")
     diagonal = [F.pow(F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])), F.lit(-2.0))
                 for i in range(DIMENSIONS)]
     start = (table.groupBy("grp").agg(*[F.percentile_approx(v[i], [0.25, 0.5, 0.75], 1000).alias(f"q{i}")
                                         for i in range(DIMENSIONS)])
-             .select("grp", F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("m"),
+             .select("grp", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] for i in range(DIMENSIONS)]).alias("m"),
                      F.array(*[diagonal[i] if i == j else F.lit(0.0) for i in range(DIMENSIONS)
-                               for j in range(DIMENSIONS)]).alias("inv"), F.lit(1.0).alias("scale")))
-    estimate, path = scratch.store(start)
+                               for j in range(DIMENSIONS)]).alias("inv"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("volume")))
+    fifths = [F.when(F.pmod(F.xxhash64("v", F.lit(k)), F.lit(5)) == 0, F.lit(2 + k)) for k in range(RANDOM_STARTS)]
+    others = table.select("grp", "v", F.explode(F.array(F.lit(1), *fifths)).alias("start")).where("start is not null")
+    estimate, path = scratch.store(start.union(_estimate(others)))
     for _ in range(STEPS):
         cut = _quantile_bins(table, estimate, KEPT_SHARE)
-        near = table.join(estimate.join(cut, "grp"), "grp").where(_distance_bin() <= F.col("cut"))
-        estimate, new = scratch.store(_estimate(near.select("grp", "v")))
+        near = table.join(estimate.join(cut, ["grp", "start"]), "grp").where(_distance_bin() <= F.col("cut"))
+        estimate, new = scratch.store(_estimate(near.select("grp", "start", "v")))
         scratch.drop(path)
         path = new
-    # the scatter of the inner rows is too small; make the median distance that of the normal distribution
-    middle = _quantile_bins(table, estimate, 0.5)
-    scaled = estimate.join(middle, "grp").select("grp", "m", "inv", F.greatest(
-        F.lit(1.0), (F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BIN) - 1) / MEDIAN).alias("scale"))
-    return scratch.store(scaled)[0]
+    best = estimate.groupBy("grp").agg(F.min(F.struct("volume", "start", "m", "inv", "scale")).alias("b")).select("grp", "b.*")
+    # the scatter of the inner rows is not that of all; make the median distance that of the normal distribution
+    middle = _quantile_bins(table, best, 0.5)
+    scaled = best.join(middle, ["grp", "start"]).select(
+        "grp", "start", "m", "inv", ((F.pow(F.lit(2.0), (F.col("cut") + 0.5) / BIN) - 1) / MEDIAN).alias("scale"))
+    scaled, _ = scratch.store(scaled)
+    near = table.join(scaled, "grp").where(_distance() <= WITHIN).select("grp", "start", "v")
+    return scratch.store(_estimate(near).select("grp", "m", "inv", F.lit(WITHIN_SCALE).alias("scale")))[0]
 
 
 def judge_quality(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang",
