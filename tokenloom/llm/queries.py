@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import oracle
+from .bpe import op11_bpe
 from .decontaminate import op1_decontaminate
 from .language import op9_language
 from .language_model import op4_pseudo_likelihood
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
+    "op11_bpe": op11_bpe,
 }
 
 # The other queries have no SQL form; tests hold them against brute force or held-out labels.
