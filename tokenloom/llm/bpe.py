@@ -26,7 +26,8 @@ from .wordblocks import GROUP_BYTES, pack, store_blocks, unpack, word_rows
 TOKENIZER = "byte_bpe_50k.json"
 ENCODE_WORDS = 1 << 14   # words handed to the tokenizer at once
 RETURN_WORDS = 1 << 17   # words whose ids are gathered before they go back to their blocks
-GATHER_WORDS = 1 << 20   # positions of a block that are put in order at once
+DECODE_ROWS = 64         # lists decoded at once
+GATHER_WORDS = 1 << 18   # positions of a block that are put in order at once
 
 _END, _SPACE, _LETTER, _NUMBER, _OTHER, _UNKNOWN = range(6)
 _QUOTE, _BLANK = 0x27, 0x20
@@ -188,8 +189,8 @@ class _Splitter:
             if special:
                 start[edges[i] + 1:edges[i + 1]] = False
         at = np.flatnonzero(start)
-        width = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
-        place = np.concatenate(([0], np.cumsum(width)))
+        width = 1 + (codes > 0x7F).astype(np.uint8) + (codes > 0x7FF) + (codes > 0xFFFF)
+        place = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
         data = text.encode()
         offsets = np.concatenate((place[at], [len(data)])).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
@@ -253,7 +254,9 @@ def _encode_words(sent):
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (size[0] of them), then those of begin[1], ..."""
     ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(begin - ends + size, size)
+    return out
 
 
 def _gather(docs: pa.Table, words: pa.Table) -> pa.Table:
@@ -282,6 +285,7 @@ def _gather(docs: pa.Table, words: pa.Table) -> pa.Table:
         texts = np.concatenate(([0], np.cumsum([len(p) for p in part])))
         ids = pa.ListArray.from_arrays(pa.array(ends[texts].astype(np.int32)), pa.array(flat[_ranges(begin[sequence], n)]))
         out.append(pa.RecordBatch.from_arrays([rows.slice(first, row - first), ids], names=["row", "ids"]))
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_batches(out)
 
 
@@ -342,25 +346,32 @@ def decode(encoded: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "
 
     def run(column: pa.Array) -> pa.Array:
         place, values = sent.value
-        found = []
-        for at in range(0, len(column), 64):
-            part = column.slice(at, 64)
-            flat = part.flatten().to_numpy(zero_copy_only=False)
-            known = (flat >= 0) & (flat < len(place) - 1)
-            row = np.where(known, place[np.where(known, flat, 0)], -1)
-            texts = pc.take(values, pa.array(row[row >= 0]))
-            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
-            kept = np.concatenate(([0], np.cumsum(row >= 0)))[np.concatenate(([0], np.cumsum(sizes)))]
-            offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1, offset=texts.offset * 8) \
-                if len(texts) else np.zeros(1, np.int64)
-            data = texts.buffers()[2].to_pybytes() if len(texts) and texts.buffers()[2] else b""
-            bounds = offsets[kept]
-            found += [data[a:e].decode("utf-8", "replace") for a, e in zip(bounds[:-1], bounds[1:])]
-        return pa.array(found, pa.string())
+        return pa.concat_arrays([_decode_lists(column.slice(at, DECODE_ROWS), place, values)
+                                 for at in range(0, len(column), DECODE_ROWS)] or [pa.array([], pa.string())])
 
     return encoded.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))
 
 
+def _decode_lists(ids: pa.Array, place: np.ndarray, values: pa.Array) -> pa.Array:
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    known = (flat >= 0) & (flat < len(place) - 1)
+    row = np.where(known, place[np.where(known, flat, 0)], -1)
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    kept = np.concatenate(([0], np.cumsum(row >= 0)))[np.concatenate(([0], np.cumsum(sizes)))]
+    texts = pc.take(values, pa.array(row[row >= 0]))
+    if not len(texts):
+        return pa.array([""] * len(ids), pa.string())
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64, count=len(texts) + 1)
+    bounds, data = offsets[kept], texts.buffers()[2] or pa.py_buffer(b"")
+    whole = pa.StringArray.from_buffers(len(ids), pa.py_buffer(bounds.astype(np.int32).tobytes()), data)
+    try:
+        whole.validate(full=True)
+        return whole
+    except pa.ArrowInvalid:  # some row is no UTF-8
+        data = data.to_pybytes()
+        return pa.array([data[a:e].decode("utf-8", "replace") for a, e in zip(bounds[:-1], bounds[1:])], pa.string())
+
+
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -23,7 +23,7 @@ from .storage import Scratch
 
 BLOCK_WORDS = 1 << 19   # a block closes when it has so many distinct words
 BLOCK_BYTES = 32 << 20  # or so many bytes of text; a longer text is a block of its own
-GROUP_BYTES = 1 << 20   # texts are split in groups of about this size
+GROUP_BYTES = 1 << 19   # texts are split in groups of about this size
 LIST_WORDS = 1 << 14    # words of a block in one stored row
 MOST_BUCKETS = 20_000
 
