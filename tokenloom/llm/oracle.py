@@ -39,3 +39,47 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
        least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id)
 """
+
+_FIELD = "coalesce(concat(octet_length(encode(CAST({0} AS VARCHAR))), ':', {0}), '-')"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CRC32 = """xor(4294967295, list_reduce(
+  list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf('text')} AS leaf,
+         CASE WHEN ({_CRC32}) % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_UPPER.lower()}')")}
+              ELSE {_leaf('text')} END AS claimed
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS c,
+             dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree FROM d),
+n AS (SELECT tree, 0 AS level, i, leaf AS h, c FROM l UNION ALL
+      SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max((c + 7) // 8) FROM n
+      WHERE c > 1 GROUP BY tree, level, i // 8),
+s AS (SELECT tree, h FROM n WHERE c = 1),
+t AS (SELECT 0 AS level, tree - 1 AS i, h, (SELECT count(*) FROM s) AS c FROM s UNION ALL
+      SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), max((c + 7) // 8) FROM t
+      WHERE c > 1 GROUP BY level, i // 8),
+r AS (SELECT tree, level, i // 8 AS run, list(h ORDER BY i) AS hs FROM n WHERE c > 1 GROUP BY ALL
+      UNION ALL SELECT 0, level, i // 8, list(h ORDER BY i) FROM t WHERE c > 1 GROUP BY ALL),
+up AS (SELECT doc_id, leaf, tree AS own, tree, 0 AS level, i, claimed AS folded, '' AS proof FROM l UNION ALL
+       SELECT doc_id, leaf, own, CASE WHEN len(hs) IS NULL THEN 0 ELSE up.tree END,
+              CASE WHEN len(hs) IS NULL THEN 0 ELSE up.level + 1 END,
+              CASE WHEN len(hs) IS NULL THEN own - 1 ELSE i // 8 END,
+              CASE WHEN len(hs) IS NULL THEN folded
+                   ELSE sha256(array_to_string(hs[1:i % 8], '') || folded || array_to_string(hs[i % 8 + 2:], '')) END,
+              proof || coalesce(array_to_string(hs[1:i % 8], '') || array_to_string(hs[i % 8 + 2:], ''), '')
+       FROM up LEFT JOIN r ON up.tree = r.tree AND up.level = r.level AND up.i // 8 = r.run
+       WHERE r.tree IS NOT NULL OR up.tree > 0)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = t.h AS verified
+FROM up JOIN s ON s.tree = own JOIN t ON t.c = 1
+WHERE up.tree = 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.tree = 0 AND r.level = up.level AND r.run = up.i // 8)
+"""

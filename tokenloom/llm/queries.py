@@ -8,6 +8,7 @@ from .decontaminate import op1_decontaminate
 from .language import op9_language
 from .language_model import op4_pseudo_likelihood
 from .licenses import op8_licenses
+from .merkle import op12_merkle
 from .mixing import op5_mix
 from .ngram_join import op7_ngram_join
 from .quality import op6_quality
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_language": op9_language,
     "op10_url_filter": op10_url_filter,
     "op11_bpe": op11_bpe,
+    "op12_merkle": op12_merkle,
 }
 
 # The other queries have no SQL form; tests hold them against brute force or held-out labels.
 SQL = {
     "op1_decontaminate": oracle.OP1,
     "op7_ngram_join": oracle.OP7,
+    "op12_merkle": oracle.OP12,
 }

@@ -17,7 +17,8 @@ from ..session import ensure_checkpoint_dir
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{self.name}"
         self.count = 0
 
     def store(self, df: DataFrame) -> tuple[DataFrame, str]:
