@@ -55,6 +55,8 @@ def test_long_texts_repeated_rows_and_empty_tables(spark, library):
     want = library.encode(long, add_special_tokens=False).ids
     assert sorted(len(r["ids"]) for r in got) == sorted(2 * [len(want)] + 2 * [1])
     assert all(list(r["ids"]) == want for r in got if r["row"]["doc_id"] == 1)
+    both = bpe.encode(docs, pieces=bpe.piece_table(spark))
+    assert sorted(r["decoded"] for r in both.collect()) == sorted(r.text for r in docs.collect())
     none = bpe.decode(bpe.encode(docs.limit(0)), bpe.piece_table(spark))
     assert none.collect() == [] and none.columns == ["row", "ids", "decoded"]
 

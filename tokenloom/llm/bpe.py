@@ -259,8 +259,8 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def _gather(docs: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of a block's documents: the ids of its words, in the order of the positions."""
+def _gather(docs: pa.Table, words: pa.Table, pieces: tuple[np.ndarray, pa.Array] | None) -> pa.Table:
+    """Ids (and texts, with pieces) of a block's documents: the ids of its words, in the order of the positions."""
     numbers = [unpack(x) for x in words.column("numbers").to_pylist()]
     sizes = [unpack(x) for x in words.column("sizes").to_pylist()]
     flat = [unpack(x) for x in words.column("ids").to_pylist()]
@@ -284,15 +284,19 @@ def _gather(docs: pa.Table, words: pa.Table) -> pa.Table:
         ends = np.concatenate(([0], np.cumsum(n)))
         texts = np.concatenate(([0], np.cumsum([len(p) for p in part])))
         ids = pa.ListArray.from_arrays(pa.array(ends[texts].astype(np.int32)), pa.array(flat[_ranges(begin[sequence], n)]))
-        out.append(pa.RecordBatch.from_arrays([rows.slice(first, row - first), ids], names=["row", "ids"]))
-    pa.default_memory_pool().release_unused()
+        texts = [_decode_lists(ids, *pieces)] if pieces else []
+        out.append(pa.RecordBatch.from_arrays([rows.slice(first, row - first), ids, *texts],
+                                              names=["row", "ids", "decoded"][:2 + len(texts)]))
     return pa.Table.from_batches(out)
 
 
 def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("doc_id",), text: str = "text",
-           scratch: Scratch | None = None) -> DataFrame:
+           pieces: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(row struct of the ``keep`` columns, ids array<int>): whole texts as ids of a byte-level BPE file.
 
+    With ``pieces`` (id, piece) the ids are decoded in the same pass, to a further column
+    ``decoded``, as ``decode`` does for any table.
+
     Ids are those that the tokenizers library gives for the text without added
     special tokens; a special token's own string in a text is that token.  One row per input
     row: a null or empty text has no ids, equal rows stay separate, an
@@ -310,8 +314,15 @@ def encode(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ("d
            .mapInArrow(_encode_words(sent), "block bigint, numbers binary, sizes binary, ids binary"))
     schema = T.StructType([T.StructField("row", sequences.schema["row"].dataType),
                            T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    table = None
+    if pieces is not None:
+        schema, table = schema.add("decoded", T.StringType()), _send(pieces)
+
+    def join(docs: pa.Table, words: pa.Table) -> pa.Table:
+        return _gather(docs, words, table and table.value)
+
     return (sequences.select("block", "row", "seq").groupBy("block").cogroup(ids.groupBy("block"))
-            .applyInArrow(_gather, schema))
+            .applyInArrow(join, schema))
 
 
 def _lazy_splitter(sent, special: list[str]):
@@ -330,6 +341,15 @@ def piece_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(Vocabulary.load(path or default_path()).pieces(), "id int, piece binary")
 
 
+def _send(pieces: DataFrame):
+    """(row of each id, pieces), sent to the tasks; as many as the vocabulary file has."""
+    table = pieces.select(F.col("id").cast("int"), F.col("piece").cast("binary")).toArrow().combine_chunks()
+    place = np.full(max(table.column(0).to_pylist(), default=-1) + 2, -1, dtype=np.int64)
+    place[table.column(0).to_numpy()] = np.arange(table.num_rows)
+    values = table.column(1).combine_chunks().cast(pa.large_binary())
+    return pieces.sparkSession.sparkContext.broadcast((place, values))
+
+
 def decode(encoded: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids: each id joined with its (id, piece) row, in order.
 
@@ -338,15 +358,10 @@ def decode(encoded: DataFrame, pieces: DataFrame, ids: str = "ids", out: str = "
     without a piece add nothing; bytes that are no UTF-8 become U+FFFD; null and
     empty lists give the empty text.
     """
-    table = pieces.select(F.col("id").cast("int"), F.col("piece").cast("binary")).toArrow().combine_chunks()
-    place = np.full(max(table.column(0).to_pylist(), default=-1) + 2, -1, dtype=np.int64)
-    place[table.column(0).to_numpy()] = np.arange(table.num_rows)
-    values = table.column(1).combine_chunks().cast(pa.large_binary())
-    sent = encoded.sparkSession.sparkContext.broadcast((place, values))
+    sent = _send(pieces)
 
     def run(column: pa.Array) -> pa.Array:
-        place, values = sent.value
-        return pa.concat_arrays([_decode_lists(column.slice(at, DECODE_ROWS), place, values)
+        return pa.concat_arrays([_decode_lists(column.slice(at, DECODE_ROWS), *sent.value)
                                  for at in range(0, len(column), DECODE_ROWS)] or [pa.array([], pa.string())])
 
     return encoded.withColumn(out, F.arrow_udf(run, "string")(F.col(ids)))
@@ -375,7 +390,7 @@ def _decode_lists(ids: pa.Array, place: np.ndarray, values: pa.Array) -> pa.Arra
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded whole text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode(encode(docs), piece_table(spark))
+    coded = encode(docs, pieces=piece_table(spark))
     return coded.select(F.col("row.doc_id").alias("doc_id"), F.size("ids").cast("bigint").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
