@@ -18,16 +18,16 @@ from .storage import Scratch
 
 RUN = 8               # neighbours that share a parent
 SALT_LEAVES = 1 << 12  # a run with more leaves below it is read from several copies
+NEAR_LEAVES = 1 << 12  # neighbours whose proofs are gathered by one task
 TOP = -1              # the tree over the groups' roots
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
 class Manifest(NamedTuple):
-    """leaves: n (order), row, leaf, folded, tree, first link; runs: the trees; groups: tree, subroot; root: hex or None."""
+    """leaves: n (order), row, leaf, folded, subroot, link; runs: the trees; root: hex, None without leaves."""
 
     leaves: DataFrame
     runs: DataFrame
-    groups: DataFrame
     root: str | None
 
 
@@ -50,13 +50,14 @@ def leaf_digest(fields: list[Column]) -> Column:
 def _numbered(df: DataFrame, order: list[str], scratch: Scratch) -> DataFrame:
     """Stored ``df`` with n = 0, 1, 2, ... in the order of the columns: ranges, numbered each after those before it."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged, _ = scratch.store(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    ranged, path = scratch.store(df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
     before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("c"))
     before = before.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
     within = Window.partitionBy("part").orderBy(*order)
     numbered, _ = scratch.store(ranged.join(F.broadcast(before), "part")  # a row a partition
                                 .withColumn("n", F.row_number().over(within) - 1 + F.col("before"))
                                 .drop("part", "before"))
+    scratch.drop(path)
     return numbered
 
 
@@ -122,11 +123,12 @@ def build_manifest(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     scratch = scratch or Scratch(docs.sparkSession, "merkle")
     claimed = claimed or {}
     grp = F.coalesce(F.concat(F.lit("s"), F.col(group).cast("string")), F.lit("n"))
-    rows, _ = scratch.store(docs.select(
+    rows, path = scratch.store(docs.select(
         F.struct(*[F.col(c) for c in keep]).alias("row"), grp.alias("grp"), F.col(key).alias("key"),
         leaf_digest([F.col(f) for f in fields]).alias("leaf"),
         leaf_digest([claimed.get(f, F.col(f)) for f in fields]).alias("folded")))
     rows = _numbered(rows.withColumn("at", F.monotonically_increasing_id()), ["grp", "key", "leaf", "at"], scratch)
+    scratch.drop(path)
     groups = rows.groupBy("grp").agg(F.min("n").alias("tree"), F.count(F.lit(1)).alias("width"))
     groups = _numbered(groups, ["grp"], scratch).withColumnRenamed("n", "place")
     total = groups.agg(F.count(F.lit(1)), F.sum("width")).first()
@@ -161,8 +163,9 @@ def build_manifest(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), group:
     first = F.struct(*_link(F.col("tree"), 0, i, F.col("width")))
     first = F.when(F.col("width") > 1, first)
     first = first.otherwise(top) if top is not None else first
-    leaves, _ = scratch.store(leaves.withColumn("up", first).select("n", "row", "leaf", "folded", "tree", "up.*"))
-    return Manifest(leaves, stored, groups.select("tree", "subroot"), found[0] if found else None)
+    leaves, _ = scratch.store(leaves.withColumn("up", first).join(groups.select("tree", "subroot"), "tree")
+                              .select("n", "row", "leaf", "folded", "subroot", "up.*"))
+    return Manifest(leaves, stored, found[0] if found else None)
 
 
 CLIMB = """
@@ -179,7 +182,10 @@ SELECT n, step, folded, siblings FROM climb
 
 
 def climb(manifest: Manifest, scratch: Scratch) -> DataFrame:
-    """(n, step, folded, siblings): the recursive ascent of every leaf, one row a level, stored."""
+    """Leaves with proof (siblings level by level) and folded (the digest that came out on top) of the recursive ascent.
+
+    The rows of neighbouring leaves are gathered together, since they share the siblings of all upper levels.
+    """
     spark = manifest.leaves.sparkSession
     names = {"leaves": f"leaves_{scratch.name}", "runs": f"runs_{scratch.name}"}
     manifest.leaves.createOrReplaceTempView(names["leaves"])
@@ -188,7 +194,15 @@ def climb(manifest: Manifest, scratch: Scratch) -> DataFrame:
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")  # a guard against endless recursion; links only lead upwards
     try:
-        return scratch.store(spark.sql(CLIMB.format(**names)))[0]
+        steps = spark.sql(CLIMB.format(**names)).unionByName(
+            manifest.leaves.select("n", F.struct("row", "leaf", "subroot").alias("of")), allowMissingColumns=True)
+        near = F.floor(F.col("n") / NEAR_LEAVES).alias("near")
+        steps = steps.select("*", near).repartition("near").groupBy("near", "n").agg(
+            F.sort_array(F.collect_list(F.when(F.col("step").isNotNull(), F.struct("step", "siblings", "folded"))))
+            .alias("s"), F.first("of", ignorenulls=True).alias("of"))  # one a level
+        proof = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["siblings"]))
+        return scratch.store(steps.select("n", "of.*", proof.alias("proof"), F.element_at("s", -1)["folded"].alias("folded"))
+                             .sortWithinPartitions("n"), compression="zstd")[0]
     finally:
         spark.conf.set(limit, before)
         for name in names.values():
@@ -201,15 +215,11 @@ def prove(manifest: Manifest, scratch: Scratch | None = None) -> DataFrame:
     proof is the leaf's siblings, from its run up to the root's, left to right.  verified says whether the
     claimed leaf, folded with these siblings, gives the root.
     """
-    scratch = scratch or Scratch(manifest.leaves.sparkSession, "merkle")
-    steps = climb(manifest, scratch).groupBy("n").agg(
-        F.sort_array(F.collect_list(F.struct("step", "siblings", "folded"))).alias("s"))  # one a level
-    proof = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["siblings"]))
-    proofs = steps.select("n", to_hex(proof).alias("proof"), to_hex(F.element_at("s", -1)["folded"]).alias("folded_root"))
+    climbed = climb(manifest, scratch or Scratch(manifest.leaves.sparkSession, "merkle"))
+    hexed = {c: to_hex(F.col(c)) for c in ("leaf", "subroot", "proof")} | {"folded_root": to_hex(F.col("folded"))}
     root = F.lit(manifest.root).cast("string")
-    return (manifest.leaves.select("n", "row", "leaf", "tree").join(proofs, "n").join(manifest.groups, "tree")
-            .select("row", to_hex(F.col("leaf")).alias("leaf"), to_hex(F.col("subroot")).alias("subroot"),
-                    root.alias("root"), "proof", "folded_root", (F.col("folded_root") == root).alias("verified")))
+    return (climbed.withColumns(hexed).withColumns({"root": root, "verified": F.col("folded_root") == root})
+            .select("row", "leaf", "subroot", "root", "proof", "folded_root", "verified"))
 
 
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,11 @@ class Scratch:
         self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{self.name}"
         self.count = 0
 
-    def store(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def store(self, df: DataFrame, **options: str) -> tuple[DataFrame, str]:
         """Write ``df`` and read it back: (table, path)."""
         path = f"{self.base}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:
