@@ -83,3 +83,29 @@ SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256,
 FROM up JOIN s ON s.tree = own JOIN t ON t.c = 1
 WHERE up.tree = 0 AND NOT EXISTS (SELECT 1 FROM r WHERE r.tree = 0 AND r.level = up.level AND r.run = up.i // 8)
 """
+
+OP13 = f"""
+WITH p AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+                 FROM documents)),
+o AS (SELECT lang, 1 AS k, unnest(w) AS w FROM p UNION ALL
+      SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') FROM (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([2, 3]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, w, k, count(*) AS f FROM o GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, w, k, f, string_split(w, ' ') AS ws FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, w, f, cut, array_to_string(ws[1:cut], ' ') AS lw, array_to_string(ws[cut + 1:], ' ') AS rw
+      FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT x.*, l.f AS l, r.f AS r, (1000000 * x.f::HUGEINT * x.f::HUGEINT) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.w = x.lw JOIN f r ON r.lang = x.lang AND r.w = x.rw),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+h AS (SELECT lang, w, max(f) AS longer FROM (SELECT lang, array_to_string(ws[1:2], ' ') AS w, f FROM c WHERE k = 3 UNION ALL
+      SELECT lang, array_to_string(ws[2:3], ' '), f FROM c WHERE k = 3) GROUP BY lang, w),
+t AS (SELECT b.lang, b.w AS phrase, b.f AS a, l, r, n, CAST(score AS BIGINT) AS score
+      FROM b JOIN n ON b.lang = n.lang LEFT JOIN h ON b.lang = h.lang AND b.w = h.w
+      WHERE longer IS NULL OR 100 * longer < 50 * b.f)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM t)
+WHERE rank <= 2000
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import oracle
 from .bpe import op11_bpe
+from .collocations import op13_collocations
 from .decontaminate import op1_decontaminate
 from .language import op9_language
 from .language_model import op4_pseudo_likelihood
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_bpe": op11_bpe,
     "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 # The other queries have no SQL form; tests hold them against brute force or held-out labels.
@@ -36,4 +38,5 @@ SQL = {
     "op1_decontaminate": oracle.OP1,
     "op7_ngram_join": oracle.OP7,
     "op12_merkle": oracle.OP12,
+    "op13_collocations": oracle.OP13,
 }

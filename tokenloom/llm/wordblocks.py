@@ -130,6 +130,62 @@ def _number(split: Split) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
+def separator_split(texts: list[str], spaces: bytes, breaks: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Words between ASCII ``spaces`` and ``breaks`` with A-Z in lower case, as a ``Split``.
+
+    An empty word stands where a break lies before a word.
+    """
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[list(spaces)], kind[list(breaks)] = 1, 2
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += 32
+    counts, words = np.zeros(len(texts), np.int64), []
+    at, last = 0, np.frombuffer(breaks, np.uint8)[:1]
+    while at < len(texts):
+        group, owners, size = [], [], 0
+        while at < len(texts) and (not group or size < GROUP_BYTES):
+            data = np.frombuffer(texts[at].encode(), dtype=np.uint8)
+            begin = 0
+            while begin < len(data):  # long texts are cut where a word has ended
+                end = min(len(data), begin + GROUP_BYTES)
+                while end < len(data) and not kind[data[end]]:
+                    ahead = kind[data[end:end + GROUP_BYTES]] > 0
+                    end += int(np.argmax(ahead)) if ahead.any() else len(ahead)
+                group.append(data[begin:end])
+                owners.append(at)
+                size += end - begin
+                begin = end
+                if size >= GROUP_BYTES and begin < len(data):
+                    counts += _cut_words(group, owners, kind, fold, last, len(texts), words)
+                    group, owners, size = [], [], 0
+            at += 1
+        if group:
+            counts += _cut_words(group, owners, kind, fold, last, len(texts), words)
+    return np.concatenate(([0], np.cumsum(counts))), pa.concat_arrays(words) if words else pa.array([], pa.large_string())
+
+
+def _cut_words(parts: list[np.ndarray], owners: list[int], kind: np.ndarray, fold: np.ndarray, last: np.ndarray,
+               texts: int, out: list[pa.Array]) -> np.ndarray:
+    """Appends the words of the parts to ``out``; the number of words of each text."""
+    joined = np.concatenate([x for p in parts for x in (p, last)])  # a break ends each part
+    limits = np.cumsum([0] + [len(p) + 1 for p in parts])
+    kinds = kind[joined]
+    inside = kinds == 0
+    edge = np.diff(inside.astype(np.int8), prepend=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    broken = np.concatenate(([0], np.cumsum(kinds == 2)))
+    before = broken[starts] > np.concatenate(([0], broken[ends[:-1]])) if len(starts) else np.zeros(0, bool)
+    # a break before a word is an empty word of its own
+    sizes = np.zeros(len(starts) + int(before.sum()), dtype=np.int64)
+    place = np.arange(len(starts)) + np.cumsum(before)
+    sizes[place] = ends - starts
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    data = fold[joined[inside]].tobytes()
+    out.append(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)))
+    upto = np.concatenate(([0], np.cumsum(1 + before)))[np.searchsorted(starts, limits)]
+    return np.bincount(owners, weights=np.diff(upto), minlength=texts).astype(np.int64)
+
+
 def store_blocks(docs: DataFrame, keep: tuple[str, ...], text: str, grp: F.Column, split: Split,
                  scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
     """(sequences, words, number of buckets) of all documents, from one stored table.
