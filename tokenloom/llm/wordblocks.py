@@ -133,7 +133,7 @@ def _number(split: Split) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 def separator_split(texts: list[str], spaces: bytes, breaks: bytes) -> tuple[np.ndarray, pa.Array]:
     """Words between ASCII ``spaces`` and ``breaks`` with A-Z in lower case, as a ``Split``.
 
-    An empty word stands where a break lies before a word.
+    An empty word stands where a break lies before a word; one may also stand first in a text.
     """
     kind = np.zeros(256, dtype=np.uint8)
     kind[list(spaces)], kind[list(breaks)] = 1, 2
