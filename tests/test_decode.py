@@ -1,10 +1,13 @@
 """Scores, filters, draws, generation."""
 
+import random
+
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from tokenloom.operators import decode
 from tokenloom.operators.decode import (generate, greedy_next, next_token_dist, sample_next, softmax,
                                         top_k, top_p, uniform_draw)
 
@@ -130,3 +133,29 @@ def test_next_token_dist_over_real_scores(spark):
     e = math.exp(-2.0)
     assert got[0, 2] == pytest.approx(1 / (1 + e)) and got[0, 3] == pytest.approx(e / (1 + e))
     assert (got[1, 2], got[1, 3], got[2, 2], got[2, 3]) == (0.0, 1.0, 0.5, 0.5)
+
+
+def test_doubled_paths_and_local_decoding_equal_joins(spark):
+    """Both ways of generation on a random table with end tokens, unseen contexts and prompts that end in EOS."""
+    rng = random.Random(4)
+    rows = [(c, t, rng.randrange(1, 6)) for c in range(0, 25) for t in rng.sample(range(0, 32), 4)]
+    model = spark.createDataFrame(rows, "ctx int, token int, count bigint")
+    prompts = spark.createDataFrame([(i, rng.choices(range(0, 34), k=rng.randrange(1, 5))) for i in range(80)]
+                                    + [(80, [0]), (81, [])], "doc_id int, ids array<int>")
+    for steps in (0, 1, 2, 3, 7, 13):
+        for sample in (False, True):
+            kind = dict(max_new_tokens=steps, do_sample=sample, temperature=0.8, k=3, p=0.95)
+            got = {r.doc_id: (r.ids, r.n_new) for r in decode.generate(prompts, model, **kind).collect()}
+            want = {r.doc_id: (r.ids, r.n_new) for r in decode.generate_by_joins(prompts, model, **kind).collect()}
+            assert got == want and 81 not in got
+
+
+def test_greedy_joins_grow_with_the_digits_of_the_length(spark):
+    model = spark.createDataFrame([(c, (c * 7 + 3) % 50 + 1, 1) for c in range(60)], "ctx int, token int, count bigint")
+    assert len(decode.successor_paths(decode.greedy_next(model), 30)) == 5
+    out = decode.generate(spark.createDataFrame([(1, [5])], "doc_id int, ids array<int>"), model, 30, do_sample=False)
+    last, want = 5, [5]
+    for _ in range(30):
+        last = (last * 7 + 3) % 50 + 1
+        want.append(last)
+    assert out.first().ids == want

@@ -2,18 +2,20 @@
 
 Every filter is a window partitioned by context over observed
 candidates (at most V rows per context), so a hot context is bounded.
-Generation iterates only on the frontier (one row per prompt), joins it
-to a per-context candidate table measured before it is broadcast, and
-writes the new tokens to the shared checkpoint folder every few steps.
+Greedy generation doubles paths over the successor table; sampled
+generation decodes each task's prompts against the sent candidates, or, where these
+are too large, joins the prompts with them token by token.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
-from .joins import fits_broadcast, sized_join
+from .joins import fits_broadcast, salted_join, sized_join
 from .rank import hash_key
 from .vocab import EOS_ID
 
@@ -118,12 +120,125 @@ def _pick(frontier: DataFrame, table: DataFrame, ctx_col: str, small: bool) -> D
     return j.withColumn("next_token", chosen).drop("_ctx", "_cands", "_u")
 
 
+def successor_paths(best: DataFrame, steps: int, eos_id: int = EOS_ID) -> list[DataFrame]:
+    """Greedy continuations of 1, 2, 4, ... tokens of every context: stored (ctx, path), up to ``steps``.
+
+    A path of 2n tokens is a path of n tokens and the path of its last one,
+    so doubling takes one join a power of two.  A path ends at its EOS; a
+    token without a successor is followed by EOS.  Each table has at most a
+    row per context of the model.
+    """
+    eos = F.lit(int(eos_id)).cast("int")
+    paths = [cut_lineage(best.select("ctx", F.array(F.col("token").cast("int")).alias("path")))]
+    while 2 ** len(paths) <= steps:
+        half = paths[-1].withColumn("_last", F.element_at("path", -1))
+        rest = paths[-1].select(F.col("ctx").alias("_last"), F.col("path").alias("_rest"))
+        on = F.when(F.col("_last") == eos, F.array().cast("array<int>")).otherwise(F.coalesce("_rest", F.array(eos)))
+        paths.append(cut_lineage(half.join(rest, "_last", "left").select("ctx", F.concat("path", on).alias("path"))))
+    return paths
+
+
+def _greedy(prompts: DataFrame, model: DataFrame, steps: int, eos_id: int, keys: list) -> DataFrame:
+    """Greedy part of ``generate``: as many joins as ``steps`` has binary digits, whatever the number of tokens."""
+    eos = F.lit(int(eos_id)).cast("int")
+    paths = successor_paths(greedy_next(model), steps, eos_id) if steps > 0 else []
+    live = prompts.select(*keys, F.element_at("ids", -1).alias("_last"), F.array().cast("array<int>").alias("_new"))
+    for power in range(len(paths) - 1, -1, -1):
+        if not steps >> power & 1:
+            continue
+        jump = paths[power].select(F.col("ctx").alias("_last"), F.col("path").alias("_path"))
+        done = (F.size("_new") > 0) & (F.col("_last") == eos)  # a prompt may end in EOS and still goes on
+        path = F.when(done, F.array().cast("array<int>")).otherwise(F.coalesce("_path", F.array(eos)))
+        new = F.concat("_new", path)
+        live = salted_join(live, jump, "_last", "left").select(
+            *keys, F.when(F.size(path) > 0, F.element_at(path, -1)).otherwise(F.col("_last")).alias("_last"), new.alias("_new"))
+    return live.select(*keys, "_new")
+
+
+def _send_candidates(table: DataFrame):
+    """Candidates (ctx, token, cum_prob by rank) as arrays, sent to the tasks."""
+    t = table.select("ctx", "token", "cum_prob", "rank").toArrow()
+    ctx, rank = t.column("ctx").to_numpy(), t.column("rank").to_numpy()
+    order = np.lexsort((rank, ctx))
+    ctx = ctx[order]
+    first = np.flatnonzero(np.diff(ctx, prepend=ctx[:1] - 1)) if len(ctx) else np.zeros(0, np.int64)
+    return table.sparkSession.sparkContext.broadcast((
+        ctx[first], np.append(first, len(ctx)), t.column("token").to_numpy()[order].astype(np.int32),
+        t.column("cum_prob").to_numpy()[order]))
+
+
+def _sampled(prompts: DataFrame, dist: DataFrame, steps: int, eos_id: int, seed: int, keys: list) -> DataFrame:
+    """Sampled part of ``generate`` without joins: every task decodes its prompts against the sent candidates.
+
+    The draws are columns of the prompt; a step is one search for all of a batch's prompts.
+    """
+    sent = _send_candidates(dist)
+
+    def run(last: pa.Array, draws: pa.Array) -> pa.Array:
+        contexts, first, tokens, cum = sent.value
+        now = last.to_numpy(zero_copy_only=False).astype(np.int64)
+        u = draws.flatten().to_numpy(zero_copy_only=False).reshape(len(now), steps)
+        made, live = np.full((len(now), steps), -1, dtype=np.int32), np.ones(len(now), dtype=bool)
+        for step in range(steps):
+            rows = np.flatnonzero(live)
+            if not len(rows):
+                break
+            at = np.searchsorted(contexts, now[rows])
+            known = at < len(contexts)
+            known[known] = contexts[at[known]] == now[rows][known]
+            nxt = np.full(len(rows), eos_id, dtype=np.int64)
+            low, high = first[at[known]].copy(), first[at[known] + 1] - 1
+            end, draw = high.copy(), u[rows[known], step]
+            while (low < high).any():  # first candidate whose cumulative probability exceeds the draw, else the last
+                middle = (low + high) // 2
+                above = cum[middle] > draw
+                high, low = np.where(above, middle, high), np.where(above, low, np.minimum(middle + 1, end))
+            nxt[known] = tokens[low]
+            made[rows, step] = nxt
+            now[rows] = nxt
+            live[rows] = nxt != eos_id
+        sizes = (made >= 0).sum(axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(made[made >= 0]))
+
+    draws = F.array(*[uniform_draw(seed, *keys, F.lit(step)) for step in range(steps)])
+    return prompts.select(*keys, "ids", F.arrow_udf(run, "array<int>")(F.element_at("ids", -1), draws).alias("_new"))
+
+
 def generate(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_sample: bool = True,
              temperature: float = 1.0, k: int = 50, p: float = 0.9, eos_id: int = EOS_ID,
              seed: int = 42, keys: tuple = ("doc_id",), col: str = "ids",
              broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, checkpoint_every: int = 10) -> DataFrame:
     """Continue every prompt up to ``max_new_tokens`` tokens.
 
+    Greedy (``do_sample=False`` or T = 0, D9) takes the arg-max per
+    context, by doubled paths (``successor_paths``): joins logarithmic in the length.  Sampled
+    draws from ``next_token_dist``: candidates that are measured under ``broadcast_limit``
+    go to the tasks, which decode without joins; beyond it the prompts are
+    joined with them token by token (``generate_by_joins``).  Each row stops at
+    its own EOS (kept in the output); a context never seen in training
+    yields EOS.  Output ``(keys..., ids, n_new)`` including the prompt; keys are unique.
+    """
+    keys, steps = list(keys), int(max_new_tokens)
+    texts = prompts.where(F.size(col) > 0).select(*keys, F.col(col).alias("ids"))
+    if not do_sample or temperature == 0:
+        texts = cut_lineage(texts)
+        new = texts.join(_greedy(texts, model, steps, eos_id, keys), keys)
+    else:
+        dist = cut_lineage(next_token_dist(model, temperature, k, p).select("ctx", "token", "cum_prob", "rank"))
+        if steps > 0 and not fits_broadcast(dist, broadcast_limit):
+            return generate_by_joins(prompts, model, steps, True, temperature, k, p, eos_id, seed, tuple(keys), col,
+                                     broadcast_limit, checkpoint_every)
+        new = (_sampled(texts, dist, steps, eos_id, seed, keys) if steps > 0
+               else texts.withColumn("_new", F.array().cast("array<int>")))
+    return new.select(*keys, F.concat("ids", "_new").alias("ids"), F.size("_new").alias("n_new"))
+
+
+def generate_by_joins(prompts: DataFrame, model: DataFrame, max_new_tokens: int = 50, do_sample: bool = True,
+             temperature: float = 1.0, k: int = 50, p: float = 0.9, eos_id: int = EOS_ID,
+             seed: int = 42, keys: tuple = ("doc_id",), col: str = "ids",
+             broadcast_limit: int = DEFAULT_BROADCAST_LIMIT, checkpoint_every: int = 10) -> DataFrame:
+    """``generate`` by one join a token, for candidate tables of any size.
+
     Greedy (``do_sample=False`` or T = 0, D9) takes the arg-max per
     context; sampled draws from ``next_token_dist``.  Each row stops at
     its own EOS (kept in the output); a context never seen in training

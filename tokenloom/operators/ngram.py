@@ -109,3 +109,81 @@ def cross_entropy(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
     out = nll.groupBy(*by).agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("loss"),
                                F.sum("n").cast("bigint").alias("n_tokens"))
     return out.select(*by, "loss", perplexity_col("loss").alias("perplexity"), "n_tokens")
+
+
+# ---------------------------------------------------------------- higher orders with back-off
+def id_bits(vocab_size: int) -> int:
+    return int(vocab_size).bit_length()  # ids 0 .. V - 1 and the start mark V
+
+
+def ngram_rows(ids: DataFrame, order: int, vocab_size: int, col: str = "ids", eos_id: int | None = None,
+               keep: tuple = ()) -> DataFrame:
+    """(keep..., ctx BIGINT, token): every id with the ``order - 1`` ids before it, packed into one number.
+
+    A text starts with ``order - 1`` start marks (id ``vocab_size``); with ``eos_id``
+    it ends in that id.  The contexts are built inside the row, without a window.
+    """
+    bits = id_bits(vocab_size)
+    if bits * (order - 1) > 62:
+        raise ValueError("contexts of this order do not fit a 64-bit number")
+    seq = F.col(col).cast("array<bigint>")
+    if eos_id is not None:
+        seq = F.concat(seq, F.array(F.lit(eos_id).cast("bigint")))
+    before = [F.slice(F.concat(F.array_repeat(F.lit(int(vocab_size)).cast("bigint"), j), seq), 1, F.size(seq))
+              for j in range(order - 1, 0, -1)]
+    zipped = F.arrays_zip(*[c.alias(f"g{j}") for j, c in enumerate([*before, seq])])
+    ctx = F.lit(0).cast("bigint")
+    for j in range(order - 1):
+        ctx = F.shiftleft(ctx, bits).bitwiseOR(F.col(f"_g.g{j}"))
+    return (ids.select(*keep, F.explode_outer(zipped).alias("_g")).where(F.col("_g").isNotNull())
+            .select(*keep, ctx.alias("ctx"), F.col(f"_g.g{order - 1}").cast("int").alias("token")))
+
+
+def fit_ngram(rows: DataFrame, order: int, vocab_size: int) -> list[DataFrame]:
+    """L1 of any order: the tables of an interpolated Kneser-Ney model, highest order first, each stored.
+
+    ``rows`` are ``ngram_rows``.  A table has (ctx, token, count, ctx_total, ctx_types).  The highest
+    order counts occurrences; each lower one counts the distinct words seen
+    before its n-gram, which are the rows of the table above it, so one
+    aggregate a level builds the cascade.  Counts aggregate map-side, and
+    context totals add up counted rows, never occurrences.
+    """
+    bits = id_bits(vocab_size)
+    levels, counts = [], rows.groupBy("ctx", "token").agg(F.count(F.lit(1)).alias("count"))
+    for k in range(order, 0, -1):
+        counts = cut_lineage(counts)
+        totals = counts.groupBy("ctx").agg(F.sum("count").alias("ctx_total"), F.count(F.lit(1)).alias("ctx_types"))
+        levels.append(counts.join(totals if k > 1 else F.broadcast(totals), "ctx"))  # one row at the last level
+        if k > 1:  # one id shorter; ctx 0 is the empty context
+            shorter = F.col("ctx").bitwiseAND(F.lit((1 << (bits * (k - 2))) - 1).cast("bigint"))
+            counts = counts.select(shorter.alias("ctx"), "token").groupBy("ctx", "token").agg(
+                F.count(F.lit(1)).alias("count"))
+    return [cut_lineage(m) for m in levels]
+
+
+def backoff_nll(rows: DataFrame, levels: list[DataFrame], vocab_size: int, discount: float = 0.75,
+                by: tuple = ()) -> DataFrame:
+    """L2 under ``fit_ngram``: (by..., ctx, token, n, nll) of the distinct n-grams of each ``by`` group.
+
+    P_k = max(count - D, 0) / total + D * types / total * P_(k-1), down to
+    1 / V; a context that was never seen passes its whole mass down.  Rows
+    are counted before the joins; each level is one join on (ctx, token)
+    and one on its contexts.
+    """
+    bits, order, d = id_bits(vocab_size), len(levels), float(discount)
+    j = rows.groupBy(*by, "ctx", "token").agg(F.count(F.lit(1)).alias("n"))
+    p = F.lit(1.0 / float(vocab_size))
+    names = j.columns
+    for k, level in zip(range(1, order + 1), reversed(levels)):
+        mask = F.lit((1 << (bits * (k - 1))) - 1).cast("bigint")
+        j = j.withColumn("_ctx", F.col("ctx").bitwiseAND(mask))
+        pairs = level.select(F.col("ctx").alias("_ctx"), "token", F.col("count").alias("_c"))
+        sums = level.select(F.col("ctx").alias("_ctx"), F.col("ctx_total").alias("_t"), F.col("ctx_types").alias("_u")).distinct()
+        if k <= 2 and int(vocab_size) * 32 <= DEFAULT_BROADCAST_LIMIT:  # a row an id: a hot context meets no shuffle
+            sums, pairs = F.broadcast(sums), F.broadcast(pairs) if k == 1 else pairs
+        j = j.join(pairs, ["_ctx", "token"], "left").join(sums, "_ctx", "left")
+        own = F.greatest(F.coalesce(F.col("_c"), F.lit(0)) - F.lit(d), F.lit(0.0)) / F.col("_t")
+        level_p = F.when(F.col("_t").isNull(), p).otherwise(own + F.lit(d) * F.col("_u") / F.col("_t") * p)
+        j = j.withColumn(f"_p{k}", level_p).select(*names, f"_p{k}")
+        p = F.col(f"_p{k}")
+    return j.select(*names, nll_col(p).alias("nll"))

@@ -19,7 +19,7 @@ from ..functions.mathx import perplexity_col, rms_normalize_col
 from ..functions.text import nonblank_col, text_fallback_col, tokens_col
 from ..operators import decode, ngram, rank, sequence, split as sp, telemetry as tm
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evaluate_batches, rank_reduce
-from ..operators import udf, vectors, vocab as vc
+from ..operators import subword, udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest
@@ -197,6 +197,29 @@ def q_unk_counts(spark, sf):
                                              F.sum(unk).cast("bigint").alias("n_unk"))
 
 
+# ---------------------------------------------------------------- subword vocabulary (P5, P6, P16 with a given file)
+def q_subword_round_trip(spark, sf):
+    """Every text as subword ids and back."""
+    ids = subword.encode_subwords(_docs(spark, sf))
+    back = subword.decode_subwords(ids, subword.vocabulary(spark), skip_special=False)
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+def q_subword_sequences(spark, sf):
+    """Fixed-length training sequences of subword ids; the vocabulary's own end-of-text id pads."""
+    ids = subword.encode_subwords(_docs(spark, sf), max_length=N)
+    end = subword.vocabulary(spark).where("special").agg(F.min("id")).first()[0]
+    seqs = sequence.label_mask(sequence.to_sequences(ids, N, pad_id=end))
+    n_real = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, m: a + m)
+    return seqs.select("doc_id", n_real.alias("n_real"), _txt("input_ids").alias("input_ids"))
+
+
+def q_subword_counts(spark, sf):
+    """Occurrences of every id of the vocabulary in the documents."""
+    counts = subword.subword_counts(subword.encode_subwords(_docs(spark, sf)), subword.vocabulary(spark))
+    return counts.select("id", F.hex("piece").alias("piece"), "special", "count")
+
+
 # ---------------------------------------------------------------- rank / split / shard / batch
 def q_global_rank(spark, sf):
     d = _doc_ids(spark, sf).withColumn("_k", rank.hash_key(SEED, F.col("doc_id")))
@@ -258,6 +281,37 @@ def q_cross_entropy(spark, sf):
     return ce.select(F.round("loss", 9).alias("loss"), F.round("perplexity", 6).alias("perplexity"), "n_tokens")
 
 
+ORDER = 3           # L1: ids of an n-gram of the higher-order model
+DISCOUNT = 0.75
+
+
+def _ngrams(ids, s, part, order=ORDER, keep=()):
+    return ngram.ngram_rows(ids.join(s.where(F.col("split") == part).select("doc_id"), "doc_id", "left_semi"),
+                            order, V, keep=keep)
+
+
+def q_trigram_fit(spark, sf):
+    """L1, order 3: the highest table of the back-off model; the start mark is id V."""
+    ids, s = _shared(spark, sf)
+    top = ngram.fit_ngram(_ngrams(ids, s, "train"), ORDER, V)[0]
+    bits = ngram.id_bits(V)
+    return top.select(F.shiftright("ctx", bits).cast("int").alias("first"),
+                      F.col("ctx").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")).cast("int").alias("second"),
+                      "token", "count", "ctx_total", "ctx_types")
+
+
+def q_trigram_perplexity(spark, sf):
+    """L4, order 3: held-out loss and perplexity by language under the back-off model."""
+    toks = tokenized(_docs(spark, sf), keep=("doc_id", "lang"))
+    ids = cut_lineage(vc.encode(toks, vc.build_vocab(toks, V), keep=("lang",)))
+    s = _split(spark, sf)
+    levels = ngram.fit_ngram(_ngrams(ids, s, "train"), ORDER, V)
+    nll = ngram.backoff_nll(_ngrams(ids, s, "val", keep=("lang",)), levels, V, DISCOUNT, by=("lang",))
+    per = nll.groupBy("lang").agg((F.sum(F.col("n") * F.col("nll")) / F.sum("n")).alias("loss"),
+                                  F.sum("n").cast("bigint").alias("n_tokens"))
+    return per.select("lang", F.round("loss", 9).alias("loss"), F.round(perplexity_col("loss"), 5).alias("perplexity"), "n_tokens")
+
+
 def _val_nll(ids, s, docs=None):
     """Pair losses of the validation documents, or of those named in ``docs``."""
     chosen = s.where(F.col("split") == "val") if docs is None else docs
@@ -543,6 +597,9 @@ QUERIES = {
     "dataset_manifest": q_dataset_manifest,
     "token_counts": q_token_counts,
     "unk_counts": q_unk_counts,
+    "subword_round_trip": q_subword_round_trip,
+    "subword_sequences": q_subword_sequences,
+    "subword_counts": q_subword_counts,
     "global_rank": q_global_rank,
     "epoch_shuffle": q_epoch_shuffle,
     "train_val_split": q_train_val_split,
@@ -554,6 +611,8 @@ QUERIES = {
     "step_plan": q_step_plan,
     "val_subset_semi": q_val_subset_semi,
     "bigram_fit": q_bigram_fit,
+    "trigram_fit": q_trigram_fit,
+    "trigram_perplexity": q_trigram_perplexity,
     "cross_entropy": q_cross_entropy,
     "doc_perplexity": q_doc_perplexity,
     "group_perplexity": q_group_perplexity,
@@ -585,3 +644,6 @@ QUERIES = {
     "map_batches": q_map_batches,
     "score_batches": q_score_batches,
 }
+
+#: Queries that SQL cannot express: byte-pair merges.  Tests hold them against the tokenizers library.
+NO_SQL = {"subword_sequences", "subword_counts"}

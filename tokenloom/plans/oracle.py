@@ -201,6 +201,37 @@ SQL["val_subset_semi"] = w(DOCS, SPLIT) + (
 
 SQL["bigram_fit"] = w(*MODEL_BASE) + (
     "SELECT ctx, token, count, ctx_total, round(count / ctx_total, 9) AS p FROM model")
+SQL["subword_round_trip"] = w(DOCS) + (  # lossless: what comes back is the text
+    "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM docs")
+
+
+def _TRIGRAMS(src: str, name: str) -> str:
+    return f"""{name} AS (SELECT doc_id, s[p] AS g1, s[p + 1] AS g2, s[p + 2] AS token FROM (
+  SELECT doc_id, s, unnest(range(1, len(s) - 1)) AS p FROM (SELECT doc_id, list_concat([{V}, {V}], ids) AS s FROM {src})))"""
+
+
+KNESER_NEY = (_TRIGRAMS("trids", "tg"),
+              "k3 AS (SELECT g1, g2, token, CAST(count(*) AS BIGINT) AS c FROM tg GROUP BY ALL)",
+              "k2 AS (SELECT g2, token, CAST(count(*) AS BIGINT) AS c FROM k3 GROUP BY ALL)",
+              "k1 AS (SELECT token, CAST(count(*) AS BIGINT) AS c FROM k2 GROUP BY ALL)",
+              "t3 AS (SELECT g1, g2, CAST(sum(c) AS BIGINT) AS t, CAST(count(*) AS BIGINT) AS u FROM k3 GROUP BY ALL)",
+              "t2 AS (SELECT g2, CAST(sum(c) AS BIGINT) AS t, CAST(count(*) AS BIGINT) AS u FROM k2 GROUP BY ALL)",
+              "t1 AS (SELECT sum(c) AS t, count(*) AS u FROM k1)")
+SQL["trigram_fit"] = w(*BASE, SPLIT, TRAIN_IDS, *KNESER_NEY) + (
+    "SELECT g1 AS first, g2 AS second, token, c AS count, t AS ctx_total, u AS ctx_types FROM k3 JOIN t3 USING (g1, g2)")
+SQL["trigram_perplexity"] = w(*BASE, SPLIT, TRAIN_IDS, VAL_IDS, *KNESER_NEY, _TRIGRAMS("vids", "vg"), f"""
+va AS (SELECT lang, g1, g2, token, count(*) AS n FROM vg JOIN docs USING (doc_id) GROUP BY ALL),
+p1 AS (SELECT va.*, greatest(coalesce(k1.c, 0) - {C.DISCOUNT}, 0) / t1.t + {C.DISCOUNT} * t1.u / t1.t / {V} AS p
+       FROM va CROSS JOIN t1 LEFT JOIN k1 USING (token)),
+p2 AS (SELECT p1.* EXCLUDE (p), CASE WHEN t2.t IS NULL THEN p
+         ELSE greatest(coalesce(k2.c, 0) - {C.DISCOUNT}, 0) / t2.t + {C.DISCOUNT} * t2.u / t2.t * p END AS p
+       FROM p1 LEFT JOIN k2 ON k2.g2 = p1.g2 AND k2.token = p1.token LEFT JOIN t2 ON t2.g2 = p1.g2),
+p3 AS (SELECT p2.* EXCLUDE (p), CASE WHEN t3.t IS NULL THEN p
+         ELSE greatest(coalesce(k3.c, 0) - {C.DISCOUNT}, 0) / t3.t + {C.DISCOUNT} * t3.u / t3.t * p END AS p
+       FROM p2 LEFT JOIN k3 ON k3.g1 = p2.g1 AND k3.g2 = p2.g2 AND k3.token = p2.token
+       LEFT JOIN t3 ON t3.g1 = p2.g1 AND t3.g2 = p2.g2),
+pl AS (SELECT lang, sum(-n * ln(p)) / sum(n) AS loss, CAST(sum(n) AS BIGINT) AS n_tokens FROM p3 GROUP BY lang)""") + (
+    "SELECT lang, round(loss, 9) AS loss, round(exp(loss), 5) AS perplexity, n_tokens FROM pl")
 SQL["cross_entropy"] = w(*MODEL_BASE) + """, tagg AS (SELECT ctx, target, count(*) AS n FROM trp GROUP BY ctx, target),
 tn AS (SELECT a.n, -ln(m.count / m.ctx_total) AS nll FROM tagg a JOIN model m ON m.ctx = a.ctx AND m.token = a.target),
 tl AS (SELECT sum(n * nll) / sum(n) AS loss, CAST(sum(n) AS BIGINT) AS n_tokens FROM tn)
