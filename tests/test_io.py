@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenloom.operators.sequence import label_mask, to_sequences
 from tokenloom.plans.prepare import PrepConfig, documents, prepare
 from tokenloom.plans.jobs import preparation_job, regex_tokenizer, training_sequences
-from tokenloom.sources.corpus import ingest_bounded, nth_smallest, read_corpus, read_tokenized, source_kind
+from tokenloom.sources.corpus import ingest_bounded, nth_key, nth_smallest, read_corpus, read_tokenized, source_kind
 from tokenloom.sources.sinks import append_metrics, write_manifest, write_tokenized
 
 from conftest import SF001
@@ -64,6 +64,32 @@ def test_ingest_bounded_with_repeated_keys_keeps_exactly_the_bound(spark):
         assert len(got) == n and sorted(k for k, _ in got) == sorted(k for k, _ in rows)[:n]
 
 
+def test_ingest_bounded_counts_null_keys(spark):
+    rows = [(None if i % 3 == 0 else i, f"v{i}") for i in range(30)]
+    d = spark.createDataFrame(rows, "k long, v string")
+    for n in (0, 5, 20, 21, 29, 30, 100):
+        got = [r.k for r in ingest_bounded(d, 1, rows_per_shard=n, order_by="k").collect()]
+        want = sorted((k for k, _ in rows), key=lambda k: (k is None, k or 0))[:n]
+        assert sorted(got, key=lambda k: (k is None, k or 0)) == want
+    nothing = spark.createDataFrame([(None, "a"), (None, "b")], "k long, v string")
+    assert [ingest_bounded(nothing, 1, n, "k").count() for n in (1, 2, 3)] == [1, 2, 2]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "int", "bigint", "double", "date", "timestamp_ntz"])
+def test_nth_key_of_any_type(spark, kind):
+    number = F.col("id") * 7919 % 1000 - 500
+    column = {"string": F.concat(F.lit("é" * 3), F.repeat(F.lit("a"), (F.col("id") % 4).cast("int")), number.cast("string")),
+              "binary": F.encode(number.cast("string"), "utf-8"), "date": F.date_add(F.lit("2020-01-01").cast("date"), number.cast("int")),
+              "timestamp_ntz": F.timestamp_seconds(number * 1000).cast("timestamp_ntz")}.get(kind, number.cast(kind))
+    d = spark.range(3000).select(column.alias("k"), "id")
+    want = sorted(r.k if kind != "string" else r.k.encode() for r in d.collect())
+    for n in (1, 2, 999, 1500, 3000):
+        got = nth_key(d, "k", n, sort_rows=5)
+        assert (got if kind != "string" else got.encode()) == want[n - 1]
+    kept = ingest_bounded(d, 1, 1234, "k")
+    assert sorted(r.k if kind != "string" else r.k.encode() for r in kept.collect()) == want[:1234]
+
+
 def test_append_metrics(spark, tmp_path):
     p = str(tmp_path / "metrics")
     rows = spark.createDataFrame([(1, 10, 2.5), (2, 10, 3.0)], "run_id long, step long, loss double")

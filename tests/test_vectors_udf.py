@@ -19,7 +19,7 @@ def test_rms_normalize(spark):
 
 def test_dot_topk_matches_numpy_across_blocks(spark):
     e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "embedding")
-    got = dot_scores_topk(e, e, 3, block_rows=64, pass_bytes=50_000).collect()  # many blocks, several passes
+    got = dot_scores_topk(e, e, 3, block_rows=16, cell_bytes=50_000).collect()  # many blocks, several cells
     whole = dot_scores_topk(e, e, 3).collect()
     assert {(r.query, r.token) for r in got} == {(r.query, r.token) for r in whole}
     pdf = e.toPandas()
@@ -40,6 +40,17 @@ def test_dot_topk_ties_nulls_and_empty_tables(spark):
     assert dot_scores_topk(v, v.limit(0), 2).count() == 0 and dot_scores_topk(v.limit(0), v, 2).count() == 0
 
 
+def test_dot_topk_skips_blocks_and_not_results(spark):
+    """Vectors of very different lengths: most blocks are skipped, the best stay the best."""
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 6)) * (10.0 ** -rng.integers(0, 6, 400))[:, None]
+    m[5] = 0.0
+    e = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {(r.query, r.token) for r in dot_scores_topk(e, e, 4, block_rows=8, cell_bytes=9_000).collect()}
+    s = m @ m.T
+    assert got == {(i, j) for i in range(400) for j in sorted(range(400), key=lambda j: (-s[i, j], j))[:4]}
+
+
 def test_gather_keeps_and_flags_ids_without_a_vector(spark):
     ids = spark.createDataFrame([(0, 1), (0, 10**9)], "doc_id long, id long")
     e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "label")

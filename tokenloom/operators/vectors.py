@@ -1,7 +1,7 @@
 """Vector tables: RMS normalisation, id gather, blocked dot-product top-k.
 
-``dot_scores_topk`` sends the vectors to the tasks in parts of bounded size
-and streams the queries past them once a part; numpy scores blocks and only
+``dot_scores_topk`` cuts both sides into a grid of cells of bounded size;
+numpy scores a cell's blocks, skips those that no query can need, and only
 each query's best k leave the task.  No pair row is ever materialised.
 """
 
@@ -10,12 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.mathx import rms_normalize_col
-from ..session import cut_lineage
 from .decode import softmax, top_k
 from .joins import salted_join
 
@@ -45,57 +44,82 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     return rows[near], ids[near], scores[near]
 
 
-def _score_part(sent, k: int, block_rows: int):
-    """Batches of (query, vec) -> the best k of the sent vectors, one block of them at a time."""
-    def run(batches):
-        ids, table = sent.value
-        for batch in batches:
-            for at in range(0, len(batch), block_rows):
-                part = batch.iloc[at:at + block_rows]
-                q = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-                for t in range(0, len(ids), block_rows):
-                    s = q @ table[t:t + block_rows].T.astype(np.float64)
-                    # all that reach the k-th score: ties at the cut go on to the comparison by id
-                    cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -np.inf)
-                    r, c = np.nonzero(s >= cut[:, None])
-                    best = _best(*(np.concatenate(x) for x in zip(best, (r, ids[t + c], s[r, c]))), k)
-                yield pd.DataFrame({"query": part["query"].to_numpy()[best[0]], "token": best[1], "score": best[2]})
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    vectors = column.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _score_cell(k: int, block_rows: int):
+    """Queries and vectors of one cell of the grid -> the best k of its vectors for each of its queries.
+
+    Vectors are taken by descending norm, a block at a time.  A query whose
+    norm times the block's largest norm stays below its k-th score so far
+    needs no further block: no later vector can reach it.
+    """
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        none = pa.table({"query": pa.array([], pa.int64()), "token": pa.array([], pa.int64()),
+                         "score": pa.array([], pa.float64())})
+        if not left.num_rows or not right.num_rows:
+            return none
+        ids, table = right.column("token").to_numpy(), _matrix(right.column("vec"))
+        norms = np.sqrt((table * table).sum(axis=1))
+        order = np.argsort(-norms, kind="stable")
+        ids, table, norms = ids[order], table[order], norms[order]
+        names, found = left.column("query").to_numpy(), [none]
+        for at in range(0, len(names), block_rows):
+            q = _matrix(left.column("vec").slice(at, block_rows))
+            reach, least = np.sqrt((q * q).sum(axis=1)), np.full(len(q), -np.inf)
+            best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+            for t in range(0, len(ids), block_rows):
+                # a little slack: norms and products are rounded differently
+                open_ = np.flatnonzero(reach * norms[t] * (1 + 1e-9) >= least)
+                if not len(open_):
+                    break
+                s = q[open_] @ table[t:t + block_rows].T
+                # all that reach the k-th score: ties at the cut go on to the comparison by id
+                cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(open_), -np.inf)
+                r, c = np.nonzero(s >= np.maximum(cut, least[open_])[:, None])
+                best = _best(*(np.concatenate(x) for x in zip(best, (open_[r], ids[t + c], s[r, c]))), k)
+                full = np.bincount(best[0], minlength=len(q)) >= k
+                last = np.searchsorted(best[0], np.flatnonzero(full), side="right") - 1
+                least[full] = best[2][last]
+            found.append(pa.table({"query": names[at:at + block_rows][best[0]], "token": best[1], "score": best[2]},
+                                  schema=none.schema))
+        return pa.concat_tables(found)
     return run
 
 
 def dot_scores_topk(queries: DataFrame, vectors: DataFrame, k: int, q_key: str = "vec_id",
                     v_key: str = "vec_id", col: str = "embedding", block_rows: int = 1024,
-                    pass_bytes: int = 256 * 1024 * 1024) -> DataFrame:
+                    cell_bytes: int = 64 * 1024 * 1024) -> DataFrame:
     """J5 + W2: (query, token, score) -- the k highest inner products per query.
 
-    Ties by token id.  Scores are computed in float64.  Queries stay where
-    they are read.  The vectors (a vocabulary's table) are sent to the
-    tasks in parts of at most ``pass_bytes``: one pass over the queries a
-    part, each leaving k rows a query.  Null vectors take no part.
+    Ties by token id.  Scores are computed in float64.  Both sides are cut
+    by id hash into parts of about ``cell_bytes``, and each pair of parts is
+    one cell of a grid: a query row goes to a row of cells, a vector row to a
+    column, no vector pair is ever a row, and nothing passes through the
+    driver.  A cell leaves at most k rows a query, which are merged.
+    Null vectors take no part.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = vectors.sparkSession
     q = queries.where(F.col(col).isNotNull()).select(F.col(q_key).cast("long").alias("query"), F.col(col).alias("vec"))
     v = vectors.where(F.col(col).isNotNull()).select(F.col(v_key).cast("long").alias("token"), F.col(col).alias("vec"))
-    size = v.agg(F.coalesce(F.sum(F.size("vec") + F.lit(2)), F.lit(0)).alias("n")).first()["n"] * 4
-    parts = max(1, math.ceil(1.25 * size / pass_bytes))  # hashed parts are uneven
-    found = None
-    for p in range(parts):
-        here = v.where(F.pmod(F.xxhash64("token"), F.lit(parts)) == p).toPandas().sort_values("token", kind="stable")
-        if here.empty:
-            continue
-        table = np.stack([np.asarray(x) for x in here["vec"]])
-        sent = spark.sparkContext.broadcast((here["token"].to_numpy(), table))
-        best = q.mapInPandas(_score_part(sent, int(k), int(block_rows)), SCORES)
-        if parts > 1:  # stored before the next part is sent
-            best = cut_lineage(best)
-            sent.unpersist()
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return spark.createDataFrame([], SCORES)
-    return top_k(found, int(k), ctx="query", score="score", token="token")
+
+    def parts(df: DataFrame) -> int:
+        size = df.agg(F.coalesce(F.sum(F.size("vec") + F.lit(2)), F.lit(0)).alias("n")).first()["n"] * 8
+        return max(1, math.ceil(size / cell_bytes))
+
+    down = parts(v)
+    across = max(parts(q), math.ceil(spark.sparkContext.defaultParallelism / down))  # a cell for every core
+    q = (q.withColumn("_g", F.pmod(F.xxhash64("query"), F.lit(across)))
+         .withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))))
+    v = (v.withColumn("_h", F.pmod(F.xxhash64("token"), F.lit(down)).cast("int"))
+         .withColumn("_g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(across - 1).cast("bigint")))))
+    found = (q.groupBy("_g", "_h").cogroup(v.groupBy("_g", "_h"))
+             .applyInArrow(_score_cell(int(k), int(block_rows)), SCORES))
+    return top_k(found, int(k), ctx="query", score="score", token="token") if down > 1 else found
 
 
 def dot_softmax_topk(queries: DataFrame, vectors: DataFrame, k: int, **kw) -> DataFrame:

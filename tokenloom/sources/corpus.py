@@ -122,24 +122,74 @@ def nth_smallest(df: DataFrame, key: str, n: int, rel_err: float = 1e-4, sort_ro
     return keys.orderBy("k").limit(n).agg(F.max("k")).first()[0]
 
 
+RADIX_DIGITS = 4  # hex digits a round: at most 65,537 counts reach the driver
+
+
+def _digits(df: DataFrame, key: str):
+    """An order-preserving hex form of a string, binary, integer, date or timestamp column; None for other types."""
+    kind, k = dict(df.dtypes)[key], F.col(key)
+    if kind == "string":
+        return F.hex(F.encode(k, "utf-8"))
+    if kind == "binary":
+        return F.hex(k)
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        k = F.unix_date(k) if kind == "date" else F.unix_micros(k.cast("timestamp"))
+    elif kind not in ("tinyint", "smallint", "int", "bigint"):
+        return None
+    # hex() prints two's complement; with the sign bit turned, its order is that of the numbers
+    return F.lpad(F.hex(k.cast("bigint").bitwiseXOR(F.lit(-2 ** 63).cast("bigint"))), 16, "0")
+
+
+def nth_key(df: DataFrame, key: str, n: int, sort_rows: int = 10_000):
+    """Value of the n-th smallest non-null ``key`` (1-based, n at most their number), by radix selection.
+
+    Each round counts the next digits of the keys that agree with the
+    prefix so far and goes on with the one class that holds the n-th; the
+    few keys left in the end are sorted.  Floats and decimals, which have no such
+    digits here, go to ``nth_smallest``.
+    """
+    digits = _digits(df, key)
+    if digits is None:
+        return nth_smallest(df, key, n, sort_rows=sort_rows)
+    keys, at = df.select(F.col(key).alias("k"), digits.alias("d")).where(F.col(key).isNotNull()), 0
+    while True:
+        part = F.substring("d", at + 1, RADIX_DIGITS)
+        for row in keys.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).orderBy("p").collect():
+            if n <= row["c"]:
+                break
+            n -= row["c"]
+        keys, at = keys.where(part == row["p"]), at + RADIX_DIGITS
+        if row["c"] <= sort_rows:
+            return keys.orderBy("k").limit(n).agg(F.max("k")).first()[0]
+        if len(row["p"]) < RADIX_DIGITS:  # the keys end here, so they are equal
+            return keys.first()["k"]
+
+
 def ingest_bounded(df: DataFrame, num_shards: int, rows_per_shard: int = ROWS_PER_SHARD,
                    order_by: str = "doc_id") -> DataFrame:
-    """Exactly the first ``num_shards * rows_per_shard`` rows by ``order_by``.
+    """Exactly the first ``num_shards * rows_per_shard`` rows by ``order_by``, nulls last.
 
-    Fewer when the source is shorter.  The cut is a pushed-down range
+    All rows when the source is shorter.  The cut is a pushed-down range
     filter on the key, so Parquet skips row groups past it and no task
-    ever holds the whole prefix.  Rows that share the key at the cut are
-    ranked by a hash of the row, so exactly the bound is kept.
+    ever holds the whole prefix.  Rows that share the key at the cut (or have
+    none) are ranked by a hash of the row, so exactly the bound is kept.
     """
-    n = int(num_shards) * int(rows_per_shard)
-    cut = nth_smallest(df, order_by, n)
-    if cut is None:
+    n, k = int(num_shards) * int(rows_per_shard), F.col(order_by)
+    rows, known = df.agg(F.count(F.lit(1)), F.count(k)).first()
+    if n <= 0:
         return df.limit(0)
-    tied = df.where(F.col(order_by) == F.lit(cut))
-    room = n - df.where(F.col(order_by) < F.lit(cut)).count()
-    if tied.limit(room + 1).count() <= room:
-        return df.where(F.col(order_by) <= F.lit(cut))
+    if n >= rows:
+        return df
+    if n >= known:
+        head, tied, room = df.where(k.isNotNull()), df.where(k.isNull()), n - known
+    else:
+        cut = F.lit(nth_key(df, order_by, n))
+        head, tied = df.where(k < cut), df.where(k == cut)
+        room = n - head.count()
+        if tied.limit(room + 1).count() <= room:
+            return df.where(k <= cut)
+    if not room:
+        return head
     key = hash_key(0, F.xxhash64(*df.columns))
-    some = global_rank(tied.withColumn("_h", key), "_h", order_by, total_col=None, rank_col="_r")
-    return df.where(F.col(order_by) < F.lit(cut)).unionByName(
-        some.where(F.col("_r") < F.lit(room)).select(*df.columns))
+    some = global_rank(tied.withColumn("_h", key), "_h", "_h", total_col=None, rank_col="_r")
+    return head.unionByName(some.where(F.col("_r") < F.lit(room)).select(*df.columns))
