@@ -3,8 +3,9 @@
 Words that are frequent enough get ids by rank of frequency.  The plane of id
 pairs is cut into tiles: those of the most frequent words are small and dense and are counted by
 address; the others hold sorted (cell, count) lists.  Blocks of documents count their own tiles, and
-the tiles' lists are added up over all blocks.  Frequent pairs are ranked in turn, and a
-phrase of three words is a pair of a ranked pair and a word, counted in the same way.
+the tiles' lists are added up over all blocks.  Frequent pairs are ranked in turn: blocks list
+what follows their likely pairs under the pairs' tiles, and where the lists of a tile meet, its frequent
+pairs take their ranks as ids and the cells (ranked pair, word) are counted.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ SPLIT_BLOCKS = 1 << 5   # so many blocks add one more split of the tiles outside
 SKETCH_BITS = 1 << 27   # of the set of frequent pairs; it spares work and never decides
 TOP_SALTS = 1 << 6
 
+TRIPLES = "grp string, tile bigint, salt bigint, codes binary, thirds binary, counts binary"
 PACKS = "grp string, tile bigint, salt bigint, codes binary, counts binary"
 
 
@@ -79,16 +81,26 @@ def tile_lists(a: np.ndarray, b: np.ndarray, splits: int) -> Iterator[tuple[int,
     code, n = np.unique((a[~head] << 32) | b[~head], return_counts=True)
     a, b = np.concatenate((cells // HEAD, code >> 32)), np.concatenate((cells % HEAD, code & 0xFFFFFFFF))
     n = np.concatenate((dense[cells], n))
-    (stripe, row), (band, column) = _stripe(a), _band(b)
-    tile = (stripe * 64 + band) * splits + np.where(stripe < _HEAD_STRIPES, 0, a % splits)
-    cell = (a - row) * np.maximum(column, HEAD) + b - column
+    tile, cell = _address(a, b, splits)
     order = np.lexsort((cell, tile))
     tile, cell, n = tile[order], cell[order], n[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(tile)) + 1, [len(tile)])) if len(tile) else [0]
-    for s, e in zip(cuts[:-1], cuts[1:]):
+    for s, e in _runs(tile):
         yield int(tile[s]), cell[s:e], n[s:e]
 
 
+def _address(a: np.ndarray, b: np.ndarray, splits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tile, cell in it) of pairs."""
+    (stripe, row), (band, column) = _stripe(a), _band(b)
+    tile = (stripe * 64 + band) * splits + np.where(stripe < _HEAD_STRIPES, 0, a % splits)
+    return tile, (a - row) * np.maximum(column, HEAD) + b - column
+
+
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(sorted_keys):
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(sorted_keys)) + 1, [len(sorted_keys)]))
+        yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
 def add_lists(tile: int, splits: int, cells: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The sum of sorted lists of one tile: by address in a dense tile, else by one sort."""
     if tile // splits // 64 < _HEAD_STRIPES and tile // splits % 64 == 0:
@@ -118,7 +130,7 @@ def _unpacked(table: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 
 def add_tiles(packs: DataFrame, blocks: int, splits: int, least: int, scratch: Scratch) -> DataFrame:
-    """(grp, a, b, n) of the cells with n >= least; at most about FAN lists of a tile meet in one group."""
+    """(grp, tile, a, b, n) of the cells with n >= least; at most about FAN lists of a tile meet in one group."""
     def some(table: pa.Table) -> pa.Table:
         tile = table.column("tile")[0].as_py()
         cells, n = add_lists(tile, splits, *_unpacked(table))
@@ -130,14 +142,75 @@ def add_tiles(packs: DataFrame, blocks: int, splits: int, least: int, scratch: S
         cells, n = cells[n >= least], n[n >= least]
         row, column, width = _corner(tile, splits)
         grp = table.column("grp")[0].as_py()
-        return pa.table({"grp": pa.array([grp] * len(n), pa.string()), "a": pa.array(row + cells // width, pa.int64()),
+        return pa.table({"grp": pa.array([grp] * len(n), pa.string()), "tile": pa.array([tile] * len(n), pa.int64()),
+                         "a": pa.array(row + cells // width, pa.int64()),
                          "b": pa.array(column + cells % width, pa.int64()), "n": pa.array(n, pa.int64())})
 
+    packs = _in_rounds(packs, blocks, some, PACKS, scratch)
+    return packs.groupBy("grp", "tile").applyInArrow(last, "grp string, tile bigint, a bigint, b bigint, n bigint")
+
+
+def _in_rounds(packs: DataFrame, blocks: int, add, schema: str, scratch: Scratch) -> DataFrame:
+    """Lists of ``blocks`` blocks added up until about FAN lists of a tile are left at most."""
     while blocks > FAN:
         blocks = -(-blocks // FAN)
         packs = packs.withColumn("salt", F.pmod("salt", F.lit(blocks)))
-        packs, _ = scratch.store(packs.groupBy("grp", "tile", "salt").applyInArrow(some, PACKS))
-    return packs.groupBy("grp", "tile").applyInArrow(last, "grp string, a bigint, b bigint, n bigint")
+        packs, _ = scratch.store(packs.groupBy("grp", "tile", "salt").applyInArrow(add, schema))
+    return packs
+
+
+def _triple_pack(grp: str, tile: int, salt: int, cell: np.ndarray, third: np.ndarray, n: np.ndarray) -> tuple:
+    return grp, tile, salt, pack(np.diff(cell, prepend=0)), pack(third), pack(n)
+
+
+def _triple_table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table({c: pa.array([r[i] for r in rows], k)
+                     for i, (c, k) in enumerate(zip(("grp", "tile", "salt", "codes", "thirds", "counts"), kinds))})
+
+
+def _sum_sorted(high: np.ndarray, low: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (high, low) with their summed counts."""
+    order = np.lexsort((low, high))
+    high, low, n = high[order], low[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))) if len(n) else order
+    return high[first], low[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _triple_lists(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (np.concatenate([np.cumsum(unpack(c)) for c in table.column("codes").to_pylist()]),
+            *(np.concatenate([unpack(c) for c in table.column(k).to_pylist()]) for k in ("thirds", "counts")))
+
+
+def add_triples(packs: DataFrame, pairs: DataFrame, blocks: int, splits: int, least: int, scratch: Scratch) -> DataFrame:
+    """(grp, pair, c, n) of the ranked pairs that word c follows, n >= least.
+
+    ``packs`` list pairs by their cells.  Where a tile's lists meet, its frequent pairs (grp, tile, a, b, id) take
+    their ranks as new ids and the others go; the (ranked pair, word) cells are counted there.
+    """
+    def some(table: pa.Table) -> pa.Table:
+        key = [table.column(c)[0].as_py() for c in ("grp", "tile", "salt")]
+        return _triple_table([_triple_pack(*key, *_sum_sorted(*_triple_lists(table)))])
+
+    def last(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("grp", pa.string()), ("pair", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        grp, tile = left.column("grp")[0].as_py(), left.column("tile")[0].as_py()
+        cell, third, n = _triple_lists(left)
+        row, column, width = _corner(tile, splits)
+        known = (right.column("a").to_numpy() - row) * width + right.column("b").to_numpy() - column
+        order = np.argsort(known)
+        known, rank = known[order], right.column("id").to_numpy()[order]
+        at = np.minimum(np.searchsorted(known, cell), len(known) - 1)
+        kept = known[at] == cell
+        pair, third, n = _sum_sorted(rank[at[kept]], third[kept], n[kept])
+        pair, third, n = (x[n >= least] for x in (pair, third, n))
+        return pa.table({"grp": pa.array([grp] * len(n), pa.string()), "pair": pair, "c": third, "n": n}, schema=schema)
+
+    packs = _in_rounds(packs, blocks, some, TRIPLES, scratch)
+    return (packs.groupBy("grp", "tile").cogroup(pairs.select("grp", "tile", "a", "b", "id").groupBy("grp", "tile"))
+            .applyInArrow(last, "grp string, pair bigint, c bigint, n bigint"))
 
 
 # --- blocks ---------------------------------------------------------------------------------------
@@ -148,14 +221,12 @@ def _split_pieces(texts: list[str]) -> tuple[np.ndarray, pa.Array]:
 
 def _ranked_sequences(docs: pa.Table, known: pa.Table) -> Iterator[tuple[str, np.ndarray]]:
     """(grp, word ids of the block's texts of that group); -1 for a break, another word, a text's end."""
-    number, second, ids = (known.column(c).to_numpy() if known.num_rows else np.zeros(0, np.int64)
-                           for c in ("a", "b", "id"))
-    words = second < 0
+    number, rank = (known.column(c).to_numpy() if known.num_rows else np.zeros(0, np.int64) for c in ("number", "id"))
     grps: dict[str, list[int]] = {}
     for i, g in enumerate(docs.column("grp").to_pylist()):
         grps.setdefault(g, []).append(i)
-    lookup = np.full(int(number[words].max(initial=-1)) + 2, -1, dtype=np.int64)
-    lookup[number[words]] = ids[words]
+    lookup = np.full(int(number.max(initial=-1)) + 2, -1, dtype=np.int64)
+    lookup[number] = rank
     end = np.array([len(lookup) - 1])
     seqs = docs.column("seq")
     for g, rows in grps.items():
@@ -186,44 +257,23 @@ def _place_col(grp: Column, a: Column, b: Column) -> Column:
     return (a * 1_000_003 + b * 7_919 + F.crc32(F.encode(grp, "utf-8"))) % SKETCH_BITS
 
 
-def _likely_pairs(sketch) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """(block, grp, a, b): the distinct pairs of a block that may be frequent by the sketch."""
-    def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        bits, out = sketch.value, []
-        for g, ids in _ranked_sequences(docs, known):
-            a, b = _pairs(ids)
-            at = _place(g, a, b)
-            likely = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            code = np.unique((a[likely] << 32) | b[likely])
-            out.append(pa.table({"block": pa.array(np.full(len(code), key[0].as_py()), pa.int64()),
-                                 "grp": pa.array([g] * len(code), pa.string()),
-                                 "a": pa.array(code >> 32, pa.int64()), "b": pa.array(code & 0xFFFFFFFF, pa.int64())}))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _count_triples(splits: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Tiles of (ranked pair, word) where the word's pair with the second word is frequent, too."""
+def _count_triples(splits: int, sketch) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Three words whose two pairs may both be frequent by the sketch, listed in the tile of the first pair."""
     def run(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
-        salt, rows = crc32(str(key[0].as_py()).encode()), []
-        grp = np.array(known.column("grp").to_pylist() if known.num_rows else [], dtype=object)
-        first, second, rank = (known.column(c).to_numpy() if known.num_rows else np.zeros(0, np.int64)
-                               for c in ("a", "b", "id"))
+        bits, salt, rows = sketch.value, crc32(str(key[0].as_py()).encode()), []
         for g, ids in _ranked_sequences(docs, known):
-            own = (second >= 0) & (grp == g)
-            code, pid = (first[own] << 32) | second[own], rank[own]
-            if not len(code):
-                continue
-            order = np.argsort(code)
-            code, pid = code[order], pid[order]
-            whole = (ids[:-1] >= 0) & (ids[1:] >= 0)
-            pair = np.where(whole, (ids[:-1] << 32) | np.maximum(ids[1:], 0), -1)
-            at = np.minimum(np.searchsorted(code, pair), len(code) - 1)
-            pair = np.where(code[at] == pair, pid[at], -1)
-            both = (pair[:-1] >= 0) & (pair[1:] >= 0)
-            rows += [(g, t, salt, c, n) for t, c, n in tile_lists(pair[:-1][both], ids[2:][both], splits)]
-        return _packed(rows)
+            whole = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+            at = _place(g, ids[whole], ids[whole + 1])
+            likely = np.zeros(len(ids), dtype=bool)
+            likely[whole] = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            start = np.flatnonzero(likely[:-1] & likely[1:])
+            a, b, c = ids[start], ids[start + 1], ids[start + 2] if len(start) else ids[:0]
+            tile, cell = _address(a, b, splits)
+            order = np.argsort(tile, kind="stable")
+            tile, cell, c = tile[order], cell[order], c[order]
+            for s, e in _runs(tile):
+                rows.append(_triple_pack(g, int(tile[s]), salt, *_sum_sorted(cell[s:e], c[s:e], np.ones(e - s, np.int64))))
+        return _triple_table(rows)
 
     return run
 
@@ -279,7 +329,7 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", least
     # ids go back to the blocks that have the word
     at_home, _ = scratch.store(located.select("grp", "word", "block", "number").join(
         words.select("grp", "word", "id").hint("merge"), ["grp", "word"])
-        .select("block", "grp", F.col("number").alias("a"), F.lit(-1).cast("bigint").alias("b"), "id"), compression="zstd")
+        .select("block", "number", "id"), compression="zstd")
 
     def in_blocks(known: DataFrame, run, schema: str) -> DataFrame:
         return sequences.select("block", "grp", "seq").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, schema)
@@ -287,11 +337,8 @@ def collocations(docs: DataFrame, text: str = "text", group: str = "lang", least
     pairs = add_tiles(in_blocks(at_home, _count_pairs(splits), PACKS), blocks, splits, least, scratch)
     pairs, _ = scratch.store(pairs)
     pairs, _ = scratch.store(_ranked(pairs, F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("b"), 16, "0")).cast("string")))
-    likely = in_blocks(at_home, _likely_pairs(_sketch(pairs)), "block bigint, grp string, a bigint, b bigint")
-    paired, _ = scratch.store(likely.join(pairs.select("grp", "a", "b", "id").hint("merge"), ["grp", "a", "b"])
-                              .select("block", "grp", "a", "b", "id"), compression="zstd")
-    triples = add_tiles(in_blocks(at_home.unionByName(paired), _count_triples(splits), PACKS), blocks, splits, least, scratch)
-    triples, _ = scratch.store(triples.select("grp", F.col("a").alias("pair"), F.col("b").alias("c"), "n"))
+    triples = in_blocks(at_home, _count_triples(splits, _sketch(pairs)), TRIPLES)
+    triples, _ = scratch.store(add_triples(triples, pairs, blocks, splits, least, scratch))
     return _best(words, pairs, triples, sizes, top)
 
 
