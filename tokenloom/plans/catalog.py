@@ -21,7 +21,7 @@ from ..operators import decode, ngram, rank, sequence, split as sp, telemetry as
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evaluate_batches, rank_reduce
 from ..operators import subword, udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
-from ..session import cut_lineage, ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir, intermediate
 from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest
 from .prepare import DEFAULT_VOCAB_SIZE, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
@@ -114,8 +114,12 @@ def _micro(spark, sf):
 
 # ---------------------------------------------------------------- S / P
 def q_text_fallback(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.length(text_fallback_col(d.columns)).cast("bigint").alias("n_chars"))
+    """P1 over rows that have a text, a content alone, or neither."""
+    i, t = F.col("doc_id"), F.col("text")
+    d = table(spark, sf, "documents").select("doc_id", F.when(i % 3 != 0, t).alias("text"),
+                                             F.when(i % 2 == 0, F.concat(F.lit("content "), t)).alias("content"))
+    text = text_fallback_col(d.columns)
+    return d.select("doc_id", F.length(text).cast("bigint").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
 def q_nonblank_documents(spark, sf):
@@ -387,7 +391,7 @@ def q_eval_records(spark, sf):
     ids, s = _shared(spark, sf)
     last = train_batches(s, 0, CFG).agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]
     row = evaluate_batches(batch_losses(val_batches(s, CFG), doc_loss_sums(_val_nll(ids, s))))
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/evaluations-{uuid.uuid4().hex}"
+    path = intermediate(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/evaluations-{uuid.uuid4().hex}")
     append_metrics(eval_records(row, run_id=0, step=last), path)
     back = spark.read.parquet(path)
     return back.select("run_id", "step", *[F.round(c, d).alias(c) for c, d in zip(EVAL_LOG_COLUMNS, (9, 6))])

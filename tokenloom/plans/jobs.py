@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import telemetry as tm
 from ..operators.sequence import label_mask
 from ..operators.vocab import build_vocab
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, intermediate
 from ..sources.corpus import ingest_bounded, read_corpus, read_tokenized, source_kind
 from ..sources.sinks import write_manifest, write_tokenized
 from ..streaming.ingest import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
@@ -28,7 +28,7 @@ FILES = 4  # files of a stream's source, read one per micro-batch
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/{name}-{uuid.uuid4().hex}"
+    return intermediate(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/{name}-{uuid.uuid4().hex}")
 
 
 def preparation_job(spark: SparkSession, src: str, dst: str, cfg: PrepConfig = PrepConfig(),

@@ -142,7 +142,9 @@ def _rate(expr: str) -> str:
 
 SQL: dict[str, str] = {}
 
-SQL["text_fallback"] = "SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM documents"
+SQL["text_fallback"] = """WITH t AS (SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN doc_id % 3 <> 0 THEN text
+  WHEN doc_id % 2 = 0 THEN 'content ' || text ELSE '' END AS t FROM documents)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS text_md5 FROM t"""
 SQL["nonblank_documents"] = w(DOCS) + "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM docs"
 SQL["tokenize_documents"] = w(DOCS, TOKS) + (
     "SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM toks")

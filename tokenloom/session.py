@@ -77,9 +77,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _stored: list[str] = []
 
 
+def intermediate(path: str) -> str:
+    """Notes a stored table that ``intermediate_tables`` deletes when the work is done."""
+    _stored.append(path)
+    return path
+
+
 @contextmanager
 def intermediate_tables(spark: SparkSession):
-    """Delete the tables that ``cut_lineage`` writes inside the block when it ends.
+    """Delete the intermediate tables that are written inside the block when it ends.
 
     Results must be written or collected inside the block; a lazy result
     that is read later still needs its tables.
@@ -103,7 +109,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tokenloom-tables/{uuid.uuid4().hex}"
-    _stored.append(path)
+    path = intermediate(f"{base}/tokenloom-tables/{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
