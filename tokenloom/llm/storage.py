@@ -11,14 +11,14 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, intermediate
 
 
 class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.name = f"{name}_{uuid.uuid4().hex}"
-        self.base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{self.name}"
+        self.base = intermediate(f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{self.name}")
         self.count = 0
 
     def store(self, df: DataFrame, **options: str) -> tuple[DataFrame, str]:
