@@ -10,6 +10,8 @@ only shuffle of the data is the one that clusters it by bucket.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,45 @@ def epoch_shuffle(df: DataFrame, seed: int, epoch: int, id_col: str = "doc_id",
     keyed = df.withColumn("_k", hash_key(seed, epoch, F.col(id_col)))
     return global_rank(keyed, "_k", id_col, partition_cols=partition_cols, rank_col=rank_col,
                        total_col=total_col).drop("_k")
+
+
+FEISTEL_ROUNDS = 8
+WALK_STEPS = 64  # each leaves the domain with a chance under 1/2; a row that never came back would raise
+
+
+def feistel_keys(seed: int, epoch: int, n: int) -> tuple[int, int, list[int]]:
+    """(high bits, low bits, round keys) of the permutation of 0 .. n - 1; a key's bit 31 and up hold its round."""
+    bits = max(2, (int(n) - 1).bit_length())
+    if bits > 48:
+        raise ValueError("a permutation of at most 2**48 rows")
+    keys = [int(hashlib.md5(f"{seed}:{epoch}:{r}".encode()).hexdigest()[:7], 16) for r in range(FEISTEL_ROUNDS)]
+    return bits - bits // 2, bits // 2, [(r << 31) | k for r, k in enumerate(keys)]
+
+
+def permuted_index(index: Column | str, n: int, seed: int, epoch: int) -> Column:
+    """O1 as arithmetic: the place of row ``index`` (0 .. n - 1) in the order of an epoch.
+
+    A keyed Feistel network permutes the numbers below the next power of
+    two, and a place beyond the rows is permuted again until it is one of them
+    (cycle walking).  The result is a permutation of 0 .. n - 1 that needs no
+    sort, no shuffle and no table; another epoch is another column.
+    """
+    high, low, keys = feistel_keys(seed, epoch, n)
+    rounds = F.array(*[F.lit(k).cast("bigint") for k in keys])
+
+    def mixed(half: Column, key: Column, bits: int) -> Column:
+        m = F.lit(2147483647).cast("bigint")
+        v = (half * F.lit(1103515245) + key.bitwiseAND(m)) % m * F.lit(48271) % m
+        return F.shiftright(v, 7).bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+    def step(x: Column) -> Column:
+        return F.aggregate(rounds, x, lambda v, k: F.when(
+            F.shiftright(k, 31) % 2 == 0,
+            v.bitwiseXOR(mixed(F.shiftright(v, low), k, low))).otherwise(
+            v.bitwiseXOR(F.shiftleft(mixed(v.bitwiseAND(F.lit((1 << low) - 1).cast("bigint")), k, high), low))))
+
+    x = (F.col(index) if isinstance(index, str) else index).cast("bigint")
+    size = F.lit(int(n)).cast("bigint")
+    place = F.aggregate(F.sequence(F.lit(2), F.lit(WALK_STEPS)), step(x),
+                        lambda v, _: F.when(v < size, v).otherwise(step(v)))
+    return F.when(place < size, place).otherwise(F.raise_error(F.lit("no place found for a row")).cast("bigint"))

@@ -237,6 +237,14 @@ def q_epoch_shuffle(spark, sf):
     return e0.unionByName(e1)
 
 
+def q_epoch_order(spark, sf):
+    """O1 without a sort: the places of the train documents in two epochs, by arithmetic on their stored index."""
+    train = _split(spark, sf).where(F.col("split") == "train")
+    n = train.count()
+    places = [rank.permuted_index("idx", n, CFG.sampler_seed, e) for e in (0, 1)]
+    return train.select("doc_id", F.posexplode(F.array(*places)).alias("epoch", "place"))
+
+
 def q_train_val_split(spark, sf):
     return _split(spark, sf).select("doc_id", "split", "idx")
 
@@ -606,6 +614,7 @@ QUERIES = {
     "subword_counts": q_subword_counts,
     "global_rank": q_global_rank,
     "epoch_shuffle": q_epoch_shuffle,
+    "epoch_order": q_epoch_order,
     "train_val_split": q_train_val_split,
     "split_sizes": q_split_sizes,
     "rank_shards": q_rank_shards,
@@ -649,5 +658,6 @@ QUERIES = {
     "score_batches": q_score_batches,
 }
 
-#: Queries that SQL cannot express: byte-pair merges.  Tests hold them against the tokenizers library.
-NO_SQL = {"subword_sequences", "subword_counts"}
+#: Queries without SQL.  Byte-pair merges are held against the tokenizers library by tests.  The keys and widths of
+#: an epoch order depend on the number of rows, which a fixed SQL text cannot know: tests write its SQL for the table's size.
+NO_SQL = {"subword_sequences", "subword_counts", "epoch_order"}

@@ -7,6 +7,7 @@ list functions over the pre-registered parquet views.
 from __future__ import annotations
 
 from ..functions.text import NONBLANK_PATTERN as NB, TOKEN_PATTERN as TP
+from ..operators.rank import feistel_keys
 from . import catalog as C
 
 V, N, R, SEED = C.V, C.N, C.RETRUNC, C.SEED
@@ -203,6 +204,25 @@ SQL["val_subset_semi"] = w(DOCS, SPLIT) + (
 
 SQL["bigram_fit"] = w(*MODEL_BASE) + (
     "SELECT ctx, token, count, ctx_total, round(count / ctx_total, 9) AS p FROM model")
+
+
+def _feistel(x: str, high: int, low: int) -> str:
+    def f(half: str, bits: int) -> str:
+        return f"((((({half}) * 1103515245 + (e & 2147483647)) % 2147483647) * 48271 % 2147483647) >> 7) & {(1 << bits) - 1}"
+    return (f"list_reduce(list_prepend({x}, ks), lambda v, e: CASE WHEN (e >> 31) % 2 = 0 THEN xor(v, {f(f'v >> {low}', low)}) "
+            f"ELSE xor(v, ({f(f'v & {(1 << low) - 1}', high)}) << {low}) END)")
+
+
+def epoch_order_sql(n: int) -> str:
+    """Places of a train split of ``n`` documents in epochs 0 and 1."""
+    high, low, _ = feistel_keys(0, 0, n)
+    parts = [f"SELECT {e} AS epoch, {feistel_keys(C.CFG.sampler_seed, e, n)[2]}::BIGINT[] AS ks" for e in (0, 1)]
+    walk = (f"list_reduce(list_prepend({_feistel('idx', high, low)}, range(63)), "
+            f"lambda y, i: CASE WHEN y < {n} THEN y ELSE {_feistel('y', high, low)} END)")
+    return w(DOCS, SPLIT, "k AS (" + " UNION ALL ".join(parts) + ")") + (
+        f"SELECT doc_id, epoch, {walk} AS place FROM split, k WHERE split = 'train'")
+
+
 SQL["subword_round_trip"] = w(DOCS) + (  # lossless: what comes back is the text
     "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM docs")
 
