@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import consecutive_pairs_col
+from ..functions.arrays import IGNORE_INDEX, consecutive_pairs_col, shifted_pairs_col
 from ..functions.mathx import nll_col, perplexity_col
 from ..session import DEFAULT_BROADCAST_LIMIT, cut_lineage
 
@@ -45,20 +45,42 @@ def context_totals(model: DataFrame) -> DataFrame:
     return model.groupBy("ctx").agg(F.max("ctx_total").alias("ctx_total"))
 
 
-HOT_SHARE = 0.01  # a pair with more of the rows than this is joined by broadcast
+HOT_SHARE = 0.001  # a pair with more of the model's count than this is joined by broadcast: at most 1,000 pairs
 SPREAD_KEYS = 4096
 
 
+def counted_pairs(seqs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
+    """(keep..., ctx, target, n), each distinct pair of a sequence with its count, made inside the row.
+
+    The pairs of a row are packed into one number each and sorted; runs of equal
+    ones are counted.  Nothing is shuffled.  Ignored targets give no pair.
+    """
+    pairs = F.filter(shifted_pairs_col("input_ids", "labels"), lambda p: p["target"] != IGNORE_INDEX)
+    packed = F.transform(pairs, lambda p: F.shiftleft(p["ctx"].cast("bigint"), 32).bitwiseOR(p["target"].cast("bigint")))
+    rows = seqs.select(*keep, F.array_sort(packed).alias("_p")).where(F.size("_p") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("_p") - 1),
+                      lambda i: (i == 0) | (F.get("_p", i) != F.get("_p", F.greatest(i - 1, F.lit(0)))))
+    rows = rows.select(*keep, "_p", starts.alias("_s"))
+    ends = F.concat(F.slice("_s", 2, F.size("_s")), F.array(F.size("_p")))
+    runs = F.zip_with("_s", ends, lambda i, j: F.struct(F.get("_p", i).alias("p"), (j - i).cast("bigint").alias("n")))
+    flat = rows.select(*keep, F.explode_outer(runs).alias("_r")).where(F.col("_r").isNotNull())
+    return flat.select(*keep, F.shiftright("_r.p", 32).cast("int").alias("ctx"),
+                       F.col("_r.p").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("target"),
+                       F.col("_r.n").alias("n"))
+
+
 def _join_counts(agg: DataFrame, seen: DataFrame, by: tuple) -> DataFrame:
-    """``agg`` with the model's count ``_c`` of each pair; no join key holds over HOT_SHARE of the rows."""
-    agg = cut_lineage(agg)  # read three times
-    floor = agg.count() * HOT_SHARE
-    hot = (agg.groupBy("ctx", "target").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > F.lit(floor))
-           .join(seen, ["ctx", "target"], "left")
-           .select("ctx", "target", F.col("_c").alias("_hot_c"), F.lit(True).alias("_hot")))
+    """``agg`` with the model's count ``_c`` of each pair, in one shuffle of its rows.
+
+    Pairs with over HOT_SHARE of the model's count get theirs from a broadcast
+    and are spread over spare keys.  A pair that is frequent in the scored
+    texts only is left to Spark's skew join, which may split this side of a left join.
+    """
+    floor = (seen.agg(F.sum("_c")).first()[0] or 0) * HOT_SHARE
+    hot = seen.where(F.col("_c") > F.lit(floor)).select("ctx", "target", F.col("_c").alias("_hot_c"))
     rows = agg.join(F.broadcast(hot), ["ctx", "target"], "left")
     spare = (-1 - F.pmod(F.xxhash64(*by), F.lit(SPREAD_KEYS))).cast("int")
-    rows = rows.withColumn("_key", F.when(F.col("_hot"), spare).otherwise(F.col("ctx")))
+    rows = rows.withColumn("_key", F.when(F.col("_hot_c").isNotNull(), spare).otherwise(F.col("ctx")))
     found = rows.join(seen.withColumnRenamed("ctx", "_key"), ["_key", "target"], "left")
     return found.select(*by, "ctx", "target", "n", F.coalesce("_hot_c", "_c").alias("_c"))
 
@@ -67,15 +89,17 @@ def pair_nll(eval_pairs: DataFrame, model: DataFrame, alpha: float = 0.0,
              vocab_size: int | None = None, by: tuple = ()) -> DataFrame:
     """(by..., ctx, target, n, nll) with unseen pairs/contexts smoothed.
 
-    Evaluation pairs are counted per (by, ctx, target) first.  A pair that
-    many groups share still has a row in each, so pairs with over
-    ``HOT_SHARE`` of these rows (at most 1 / HOT_SHARE pairs) get their
-    counts from a broadcast and are spread over spare keys in the shuffle
-    join.  Both joins are left joins: an unseen pair keeps
+    ``eval_pairs`` are pairs (by..., ctx, target), counted here first, or the
+    rows of ``counted_pairs``, which have their count ``n`` already and are shuffled once,
+    to the model.  Both joins are left joins: an unseen pair keeps
     alpha / (total + alpha*V); an unseen context gets 1/V (or +inf when
     alpha = 0).
     """
-    agg = eval_pairs.groupBy(*by, "ctx", "target").agg(F.count(F.lit(1)).alias("n"))
+    agg = eval_pairs
+    if "n" not in agg.columns:
+        agg = agg.groupBy(*by, "ctx", "target").agg(F.count(F.lit(1)).alias("n"))
+    elif not by:
+        agg = agg.groupBy("ctx", "target").agg(F.sum("n").alias("n"))
     seen = model.select("ctx", F.col("token").alias("target"), F.col("count").alias("_c"))
     tot = context_totals(model).withColumnRenamed("ctx_total", "_t")
     # Contexts are vocabulary ids, so this table has at most V rows of about

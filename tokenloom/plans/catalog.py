@@ -328,7 +328,7 @@ def _val_nll(ids, s, docs=None):
     """Pair losses of the validation documents, or of those named in ``docs``."""
     chosen = s.where(F.col("split") == "val") if docs is None else docs
     val = _whole(ids).join(chosen.select("doc_id"), "doc_id", "left_semi")
-    return ngram.pair_nll(sequence.shifted_pairs(val), _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
+    return ngram.pair_nll(ngram.counted_pairs(val), _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
 
 
 def q_doc_perplexity(spark, sf):
@@ -357,7 +357,7 @@ def q_benchmark_perplexity(spark, sf):
     ids, s = _shared(spark, sf, v)
     items = spread(table(spark, sf, "benchmark").where(nonblank_col("text")), "item_id")
     item_ids = vc.encode(items.select("item_id", tokens_col("text").alias("tokens")), v, id_col="item_id")
-    pairs = sequence.shifted_pairs(_whole(item_ids.withColumnRenamed("item_id", "doc_id")))
+    pairs = ngram.counted_pairs(_whole(item_ids.withColumnRenamed("item_id", "doc_id")))
     ce = ngram.cross_entropy(pairs, _model(ids, s, materialize=True), ALPHA, V, by=("doc_id",))
     return ce.select(F.col("doc_id").alias("item_id"), F.round("loss", 9).alias("loss"),
                      F.round("perplexity", 6).alias("perplexity"), "n_tokens")

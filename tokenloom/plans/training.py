@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate
-from ..operators.ngram import fit_bigram, id_pairs, pair_nll
+from ..operators.ngram import counted_pairs, fit_bigram, id_pairs, pair_nll
 from ..operators.rank import epoch_shuffle
-from ..operators.sequence import shifted_pairs
 from ..operators.split import batch, exact_split, shard, update_groups
 
 
@@ -60,9 +59,9 @@ def fit_on_train(ids: DataFrame, split: DataFrame, eos_id: int | None = None) ->
 
 
 def val_pairs(seqs: DataFrame, split: DataFrame) -> DataFrame:
-    """P13/P14 pairs of the validation documents."""
+    """P13/P14 pairs of the validation documents, counted in their rows."""
     v = seqs.join(split.where(F.col("split") == "val").select("doc_id"), "doc_id", "left_semi")
-    return shifted_pairs(v)
+    return counted_pairs(v)
 
 
 def evaluate_split(seqs: DataFrame, split: DataFrame, model: DataFrame, alpha: float, vocab_size: int,
