@@ -8,15 +8,22 @@ checkpoint folder so a restarted job resumes where it stopped.
 
 from __future__ import annotations
 
+import threading
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from ..functions.text import nonblank_col, text_fallback_col, tokens_col
 from ..operators.rank import global_rank, hash_key
 from ..operators.sequence import label_mask, to_sequences
-from ..operators.telemetry import window_rows, window_sums
+from ..operators.telemetry import window_rows
 from ..operators.vocab import encode
+from ..plans.prepare import spread
+from ..sources.commits import get_record, last_number, put_record
 
 
 def _source(spark: SparkSession, src: str, schema: StructType | str | None, fmt: str,
@@ -27,33 +34,58 @@ def _source(spark: SparkSession, src: str, schema: StructType | str | None, fmt:
             .option("maxFilesPerTrigger", int(max_files_per_trigger)).load(src))
 
 
+def rows_ingested(spark: SparkSession, dst: str) -> int:
+    """Rows that ``stream_ingest`` has written to ``dst``, by its last record."""
+    record = get_record(spark, dst, last_number(spark, dst))
+    return int(record["rows"]) if record else 0
+
+
 def stream_ingest(spark: SparkSession, src: str, dst: str, checkpoint: str, limit: int | None,
                   schema: StructType | str | None = None, fmt: str = "parquet",
                   max_files_per_trigger: int = 1000):
     """ST1: copy at most ``limit`` rows of a file stream into the Parquet table at ``dst``.
 
     Each micro-batch writes its own ``batch_id=`` folder, so a replayed one
-    replaces its rows.  The room left is the limit less the rows of earlier
-    folders, and holds across restarts; the batch that passes it keeps its first rows by a
-    hash of the row, ranked in buckets and never in one task.
+    replaces its rows, and then a record of the rows written so far, which tells the
+    next one its room: earlier folders are not read again.  Only the batch
+    that passes the limit is ranked, by a hash of the row in buckets, and keeps
+    its first rows.  With the limit reached, the query stops and reads no further
+    files; a later start returns None at once.  The limit of a table is not to be changed.
     """
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
     cols = s.columns
+    full = threading.Event()
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = f"{dst}/batch_id={int(batch_id)}"
-        if limit is not None:
-            room = int(limit)
-            if batch_id > 0:
-                room -= spark.read.parquet(dst).where(F.col("batch_id") < int(batch_id)).count()
+        done = 0
+        if batch_id > 0:
+            before = get_record(spark, dst, batch_id - 1)
+            if before is None:
+                raise RuntimeError(f"{dst} has no record of micro-batch {batch_id - 1}")
+            done = int(before["rows"])
+        if limit is not None and done >= int(limit):  # started before the query could be stopped
+            put_record(spark, dst, batch_id, {"rows": done}, replace=True)
+            full.set()
+            return
+        rows = batch.count()
+        if limit is not None and rows > int(limit) - done:
+            rows = int(limit) - done
             keyed = batch.withColumn("_h", hash_key(F.xxhash64(*cols)))
             ranked = global_rank(keyed, "_h", cols[0], rank_col="_r", total_col=None)
-            batch = ranked.where(F.col("_r") < room).select(*cols)
-        batch.write.mode("overwrite").parquet(out)
-
+            batch = ranked.where(F.col("_r") < rows).select(*cols)
+        batch.write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
+        put_record(spark, dst, batch_id, {"rows": done + rows}, replace=True)
+        if limit is not None and done + rows >= int(limit):
+            full.set()
+
+    if limit is not None and rows_ingested(spark, dst) >= int(limit):
+        return None
     q = (s.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination()
+    while not q.awaitTermination(1):
+        if full.is_set():
+            q.stop()
+            break
     return q
 
 
@@ -62,43 +94,94 @@ def stream_tokenize(spark: SparkSession, src: str, dst: str, checkpoint: str, vo
                     max_files_per_trigger: int = 1000, id_col: str = "doc_id"):
     """ST2: text stream -> P1/P2/P4 -> frozen-vocabulary encode -> sequences, per micro-batch.
 
-    Every step is row-local.  Each micro-batch overwrites its own
+    Every step is row-local and part of the stream's own plan, so the vocabulary
+    is sent once for all micro-batches.  Each micro-batch overwrites its own
     ``batch_id=`` folder, so a replayed batch replaces rather than duplicates.
     """
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
-    cols = s.columns
-    docs = s.select(id_col, text_fallback_col(cols).alias("text")).where(nonblank_col("text"))
-    toks = docs.select(id_col, tokens_col("text").alias("tokens"))
-    frozen = vocab.select("tok", "id")
+    docs = s.select(id_col, text_fallback_col(s.columns).alias("text")).where(nonblank_col("text"))
+    toks = spread(docs, id_col).select(id_col, tokens_col("text").alias("tokens"))
+    ids = encode(toks, vocab.select("tok", "id"), max_length=max_length, id_col=id_col)
+    seqs = label_mask(to_sequences(ids, max_length, keep=(id_col,)))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ids = encode(batch, frozen, max_length=max_length, id_col=id_col)
-        seqs = label_mask(to_sequences(ids, max_length, keep=(id_col,)))
-        seqs.write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
+        batch.write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
 
-    q = (toks.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    q = (seqs.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
 
 
+SLICE = 64  # log windows of a run that share a state row
+_WINDOW_SUMS = "run_id bigint, m bigint, loss_sum double, n_micro bigint, ts_micros bigint"
+_SLICE_STATE = "sums array<double>, counts array<bigint>, last array<bigint>"
+
+
+def _window_state(span: int, idle_seconds: int | None):
+    """State function of ST3 for windows of ``span`` micro-batches."""
+
+    def step(key, frames, state):
+        if state.hasTimedOut:  # nothing came for the whole idle time: its open windows never end
+            state.remove()
+            return
+        run_id, part = key
+        if state.exists:
+            sums, counts, last = (np.array(x) for x in state.get)
+        else:
+            sums, counts, last = np.zeros(SLICE), np.zeros(SLICE, np.int64), np.full(SLICE, np.iinfo(np.int64).min)
+        before = counts >= span
+        for f in frames:
+            at = (f["n"].to_numpy() // span - part * SLICE).astype(np.int64)
+            np.add.at(sums, at, f["loss"].fillna(0.0).to_numpy() + np.where(f["is_nan"].to_numpy(), np.nan, 0.0))
+            np.add.at(counts, at, 1)
+            np.maximum.at(last, at, f["ts_micros"].to_numpy())
+        new = np.flatnonzero((counts >= span) & ~before)
+        if (counts >= span).all():
+            state.remove()
+        else:
+            state.update((sums.tolist(), counts.tolist(), last.tolist()))
+            if idle_seconds is not None:
+                state.setTimeoutTimestamp(max(int(last.max()) // 1000, state.getCurrentWatermarkMs()) + 1000 * idle_seconds)
+        yield pd.DataFrame({"run_id": run_id, "m": part * SLICE + new, "loss_sum": sums[new], "n_micro": counts[new],
+                            "ts_micros": last[new]})
+
+    return step
+
+
 def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str, every: int,
                        accumulation: int, schema: StructType | str | None = None, fmt: str = "parquet",
-                       max_files_per_trigger: int = 1000):
+                       max_files_per_trigger: int = 1000, idle_seconds: int | None = None):
     """ST3: streaming roll-up of a micro-batch log (run_id, n, ts, loss) into log windows.
 
-    The stream keeps no state: each micro-batch writes the partial sums of
-    its windows to its own ``batch_id=`` folder (replayed batches replace
-    theirs), however long runs are and however late rows come.
-    ``finish_log_windows`` adds the parts up and returns whole windows.
+    The stream's state holds the open windows, in rows of SLICE windows of a run, so
+    a long run is spread over many tasks.  A window is written once, in
+    the micro-batch that completes it, to that batch's ``batch_id=`` folder; a slice
+    whose windows are all written leaves the state.  A run's last, unfinished slice
+    stays, one row a run, unless ``idle_seconds`` is set: then a slice goes when the
+    log's clock has passed its newest row by that much, and rows older than
+    that are late and left out.  Each ``n`` of a run is expected once.
+    A null loss counts as 0; rows without ``n`` or ``ts`` belong to no window.
     """
     span = int(every) * int(accumulation)
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
+    loss = F.col("loss").cast("double")
+    rows = s.where(F.col("n").isNotNull() & F.col("ts").isNotNull()).select(
+        F.col("run_id").cast("bigint").alias("run_id"), F.expr(f"n div {span * SLICE}").alias("part"),
+        F.col("n").cast("bigint").alias("n"), F.col("ts").cast("timestamp").alias("ts"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_micros"),
+        F.coalesce(loss, F.lit(0.0)).alias("loss"), F.coalesce(F.isnan(loss), F.lit(False)).alias("is_nan"))
+    timer = GroupStateTimeout.NoTimeout
+    if idle_seconds is not None:
+        rows, timer = rows.withWatermark("ts", f"{int(idle_seconds)} seconds"), GroupStateTimeout.EventTimeTimeout
+    done = rows.groupBy("run_id", "part").applyInPandasWithState(
+        _window_state(span, idle_seconds), _WINDOW_SUMS, _SLICE_STATE, "append", timer)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        window_sums(batch, span).write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
+        rows = batch.withColumn("ts", F.timestamp_micros("ts_micros")).drop("ts_micros")
+        rows.write.mode("overwrite").parquet(f"{dst}/batch_id={int(batch_id)}")
 
-    q = (s.writeStream.foreachBatch(write_batch)
+    q = (done.writeStream.outputMode("append").foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -106,9 +189,8 @@ def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str,
 
 def finish_log_windows(spark: SparkSession, dst: str, every: int, accumulation: int, batch_size: int,
                        world: int = 1) -> DataFrame:
-    """Whole windows of the parts that ST3 wrote, as ``window_rows``."""
-    sums = spark.read.parquet(dst).groupBy("run_id", "m").agg(
-        F.sum("loss_sum").alias("loss_sum"), F.sum("n_micro").alias("n_micro"), F.max("ts").alias("ts"))
+    """The windows that ST3 wrote, as ``window_rows``: rates come from the run's window before, by an equi-join."""
+    sums = spark.read.parquet(dst).select("run_id", "m", "loss_sum", "n_micro", "ts")
     return window_rows(sums, every, accumulation, batch_size, world)
 
 
