@@ -1,5 +1,7 @@
 """Round trips, source kind, bounded ingest, manifest, metrics sink."""
 
+import gzip
+import io
 import json
 import os
 
@@ -10,7 +12,8 @@ from tokenloom.operators.sequence import label_mask, to_sequences
 from tokenloom.plans.prepare import PrepConfig, documents, prepare
 from tokenloom.plans.jobs import preparation_job, regex_tokenizer, training_sequences
 from tokenloom.sources.corpus import ingest_bounded, nth_key, nth_smallest, read_corpus, read_tokenized, source_kind
-from tokenloom.sources.sinks import append_metrics, write_manifest, write_tokenized
+from tokenloom.sources.lines import FIRST_NUMBER, lines_from, read_lines
+from tokenloom.sources.sinks import append_metrics, read_metrics, write_manifest, write_tokenized
 
 from conftest import SF001
 
@@ -123,3 +126,60 @@ def test_preparation_job_routes_and_counts(spark, tmp_path):
     assert preparation_job(spark, src, dst + "2", cfg, drop_blank=False).first().samples == 4
     with pytest.raises(ValueError):
         training_sequences(spark, str(tmp_path / "x.pt"), cfg)
+
+
+def _write_lines(folder):
+    folder.mkdir()
+    lines = [('{"text": "%s"}' % ("é" * (i * 37 % 400))) for i in range(300)]
+    (folder / "a.jsonl").write_text("\n".join(lines[:200]))
+    (folder / "b.jsonl").write_bytes(("\r\n".join(lines[200:]) + "\r\n\r\n").encode())
+    (folder / "c.jsonl").write_text("")
+    (folder / "_SUCCESS").write_text("no line")
+    return lines
+
+
+def test_line_ids_do_not_depend_on_splits(spark, tmp_path):
+    lines, seen = _write_lines(tmp_path / "in"), []
+    for split in (5000, 1 << 30):
+        rows = read_lines(spark, str(tmp_path / "in"), split).collect()
+        seen.append(sorted((r.number, r.line) for r in rows))
+        assert [line for _, line in seen[-1]] == lines and len(set(n for n, _ in seen[-1])) == 300
+    assert all(s == seen[0] for s in seen)
+    body = (tmp_path / "in" / "a.jsonl").read_bytes()
+    for number, line in seen[0][:200]:
+        at = (number - FIRST_NUMBER) % (1 << 40)
+        assert body[at:at + len(line.encode())].decode() == line
+    whole = list(lines_from(io.BytesIO(body), 0, len(body)))
+    for split in (1, 13, 64, 1000):
+        ranges = [(at, min(at + split, len(body))) for at in range(0, len(body), split)]
+        assert [x for a, b in ranges for x in lines_from(io.BytesIO(body), a, b)] == whole
+    packed = tmp_path / "packed"
+    packed.mkdir()
+    (packed / "a.jsonl.gz").write_bytes(gzip.compress(body))
+    assert sorted((r.number, r.line) for r in read_lines(spark, "file:" + str(packed), 64).collect()) == seen[0][:200]
+
+
+def test_corpus_by_place_has_no_exchange_and_fails_fast(spark, tmp_path):
+    p = tmp_path / "in.jsonl"
+    p.write_text('{"text": "a"}\n{"content": "b"}\n{"doc_id": 7, "text": "c", "extra": 1}\n{"text": " "}\n{"text": null}\n')
+    d = read_corpus(spark, str(p), ids="place")
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.text) for r in d.orderBy("text").collect()] == [
+        (FIRST_NUMBER, "a"), (FIRST_NUMBER + 14, "b"), (7, "c")]
+    assert read_corpus(spark, str(p), ids="place", drop_blank=False).count() == 5
+    p.write_text('{"text": "a"}\n{"text": \n')
+    with pytest.raises(Exception):
+        read_corpus(spark, str(p), ids="place").collect()
+    p.write_text("")
+    assert read_corpus(spark, str(p), ids="place").count() == 0
+    with pytest.raises(Exception):
+        read_lines(spark, str(tmp_path / "none")).collect()
+
+
+def test_repeated_append_replaces_its_rows(spark, tmp_path):
+    p = str(tmp_path / "metrics")
+    for loss, steps in ((1.0, (10, 20)), (2.0, (20, 30)), (2.0, (20, 30))):
+        append_metrics(spark.createDataFrame([(1, s, loss) for s in steps], "run_id long, step long, loss double"), p)
+    spark.createDataFrame([(1, 10, 9.0)], "run_id long, step long, loss double").write.parquet(p + "/part=unfinished")
+    got = sorted(tuple(r) for r in read_metrics(spark, p).collect())
+    assert got == [(1, 10, 1.0), (1, 20, 2.0), (1, 30, 2.0)]

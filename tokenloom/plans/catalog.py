@@ -22,7 +22,7 @@ from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evalua
 from ..operators import subword, udf, vectors, vocab as vc
 from ..sources.corpus import ingest_bounded
 from ..session import cut_lineage, ensure_checkpoint_dir, intermediate
-from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest
+from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest, read_metrics
 from .prepare import DEFAULT_VOCAB_SIZE, documents, spread, table, tokenized
 from .training import TrainConfig, train_batches, train_order, val_batches
 
@@ -401,7 +401,7 @@ def q_eval_records(spark, sf):
     row = evaluate_batches(batch_losses(val_batches(s, CFG), doc_loss_sums(_val_nll(ids, s))))
     path = intermediate(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/evaluations-{uuid.uuid4().hex}")
     append_metrics(eval_records(row, run_id=0, step=last), path)
-    back = spark.read.parquet(path)
+    back = read_metrics(spark, path)
     return back.select("run_id", "step", *[F.round(c, d).alias(c) for c, d in zip(EVAL_LOG_COLUMNS, (9, 6))])
 
 

@@ -40,7 +40,7 @@ def preparation_job(spark: SparkSession, src: str, dst: str, cfg: PrepConfig = P
     False keeps blank texts as empty sequences; ``tokenizer`` maps a
     pandas Series of texts to one of token lists (U1).
     """
-    docs = read_corpus(spark, src, drop_blank=drop_blank)
+    docs = read_corpus(spark, src, drop_blank=drop_blank, ids="place")
     if num_shards is not None:
         docs = ingest_bounded(docs, num_shards)
     _, _, seqs = prepare(spread(docs, "doc_id"), cfg, tokenizer=tokenizer)
@@ -58,7 +58,7 @@ def training_sequences(spark: SparkSession, path: str, cfg: PrepConfig = PrepCon
         raise ValueError(f"tensor files cannot be read: {path}")
     if kind == "pretokenized":
         return label_mask(read_tokenized(spark, path))
-    return prepare(spread(read_corpus(spark, path), "doc_id"), cfg)[2]
+    return prepare(spread(read_corpus(spark, path, ids="place"), "doc_id"), cfg)[2]
 
 
 def regex_tokenizer(texts: pd.Series) -> pd.Series:
@@ -72,10 +72,10 @@ def _joined(c):
 
 
 def q_read_jsonl(spark, sf):
-    """Documents written as text-only JSON lines and read back; an id for each line."""
+    """Documents written as text-only JSON lines and read back; an id for each line, from its file and offset."""
     path = fresh_folder(spark, "lines") + "/corpus.jsonl"
     table(spark, sf, "documents").select("text").write.json(path)
-    d = read_corpus(spark, path)
+    d = read_corpus(spark, path, ids="place")
     return d.groupBy(F.md5("text").alias("text_md5")).agg(F.count(F.lit(1)).alias("n_lines"),
                                                           F.count_distinct("doc_id").alias("n_ids"))
 

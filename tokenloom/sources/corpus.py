@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, text_fallback_col
 from ..operators.rank import global_rank, hash_key
+from .lines import SPLIT_BYTES, read_lines
 
 JSONL_SCHEMA = "text string, content string"
 PRETOKENIZED_COLUMNS = ("input_ids", "attention_mask")
@@ -39,7 +40,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
-                id_col: str = "doc_id", drop_blank: bool = True) -> DataFrame:
+                id_col: str = "doc_id", drop_blank: bool = True, ids: str = "content",
+                split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """S1/S2 + P1 + P2: (doc_id, text, ...) from JSONL or Parquet.
 
     JSONL is read with an explicit schema in FAILFAST mode, so a malformed
@@ -47,9 +49,17 @@ def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
     falls back to ``content`` and then to ''.  Blank rows (Python
     ``strip()`` semantics) are dropped unless ``drop_blank`` is False;
     the kept text is not stripped.  Rows without an id get one from their
-    content (``_with_content_ids``).
+    content (``_with_content_ids``), which shuffles them; with ``ids='place'`` a JSON line
+    gets it from its file and offset (``read_lines``), which shuffles nothing, and
+    rows of other formats keep theirs.
     """
     fmt = fmt or ("json" if path.endswith((".jsonl", ".json")) else "parquet")
+    if fmt == "json" and ids == "place" and id_col is not None:
+        row = F.from_json("line", f"{id_col} bigint, {JSONL_SCHEMA}", {"mode": "FAILFAST"})
+        raw = read_lines(spark, path, split_bytes).select("number", row.alias("_j"))
+        df = raw.select(F.coalesce(F.col("_j")[id_col], F.col("number")).alias(id_col),
+                        F.coalesce("_j.text", "_j.content", F.lit("")).alias("text"))
+        return df.where(nonblank_col("text")) if drop_blank else df
     if fmt == "json":
         schema = JSONL_SCHEMA if id_col is None else f"{id_col} bigint, {JSONL_SCHEMA}"
         raw = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
