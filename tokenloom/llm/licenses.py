@@ -2,7 +2,7 @@
 
 Words that occur once in the text and once in a template are anchors; the
 longest increasing subsequence of anchors is kept, and the gaps between them are aligned
-the same way.  A gap without anchors is aligned by longest common subsequence.
+the same way.  A gap without anchors, of any size, is aligned by longest common subsequence.
 Coverage is the share of the template's words that find a partner.
 """
 
@@ -20,7 +20,7 @@ from .storage import fresh_name
 from .textops import as_bytes, separator_table, word_hashes
 
 MIN_COVERAGE = 0.8
-GAP_CELLS = 250_000    # largest gap, words times words, that is aligned without anchors
+GAP_CELLS = 250_000    # gaps of more cells, words times words, are halved before they are aligned
 BATCH_TEXTS = 256
 
 # Public notices and license texts that are looked for.
@@ -88,10 +88,39 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _common_lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` with every prefix of ``b``, in one row of memory."""
+    row = np.zeros(len(b) + 1, dtype=np.int64)
+    for x in a:
+        # a place takes the best of the same place above and the match before it, then of all places to its left
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return row
+
+
 def _common(a: list, b: list) -> list[tuple[int, int]]:
-    """Longest common subsequence as pairs of places; for small gaps."""
-    if len(a) * len(b) > GAP_CELLS:
-        return []
+    """Longest common subsequence as pairs of places.
+
+    A large gap is halved: the place of ``b`` where the two halves of ``a`` meet
+    best splits it into two smaller ones, in memory linear in its words.
+    """
+    ids = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    left, right = (np.array([ids[w] for w in ws], dtype=np.int64) for ws in (a, b))
+    out, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        i, j, k, m = parts.pop()
+        if (j - i) * (m - k) <= GAP_CELLS or j - i < 2:
+            out += [(i + x, k + y) for x, y in _common_table(a[i:j], b[k:m])]
+            continue
+        mid = (i + j) // 2
+        ahead = _common_lengths(left[i:mid], right[k:m])
+        behind = _common_lengths(left[mid:j][::-1], right[k:m][::-1])[::-1]
+        cut = k + int(np.argmax(ahead + behind))
+        parts += [(i, mid, k, cut), (mid, j, cut, m)]
+    return sorted(out)
+
+
+def _common_table(a: list, b: list) -> list[tuple[int, int]]:
+    """The same from a table of all cells, for small gaps and for a single word."""
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -207,7 +236,9 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
                   min_coverage: float = MIN_COVERAGE) -> tuple[DataFrame, str]:
     """(docs with one more column, its name): array of license, coverage, start, end (code points, end exclusive).
 
-    Empty for a null or empty text.  Every input column stays; each row is scanned alone.
+    Empty for a null or empty text.  Every input column stays; each row is scanned alone, so repeated rows get
+    equal results and an empty table stays empty.  Of overlapping places with equal scores, the one with more
+    matched words, then the earlier one, then the first template by name counts.
     """
     name = fresh_name(docs.columns, "licenses")
     held = Templates(templates or TEMPLATES, min_coverage)
