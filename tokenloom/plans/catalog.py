@@ -20,6 +20,7 @@ from ..functions.text import nonblank_col, text_fallback_col, tokens_col
 from ..operators import decode, ngram, rank, sequence, split as sp, telemetry as tm
 from ..operators.evaluate import batch_losses, doc_loss_sums, evaluate as evaluate_batches, rank_reduce
 from ..operators import subword, udf, vectors, vocab as vc
+from ..sources.batches import read_batches, store_batches
 from ..sources.corpus import ingest_bounded
 from ..session import cut_lineage, ensure_checkpoint_dir, intermediate
 from ..sources.sinks import EVAL_LOG_COLUMNS, append_metrics, eval_records, manifest, read_metrics
@@ -267,6 +268,18 @@ def q_batches_val(spark, sf):
     return val_batches(_split(spark, sf), CFG).select("doc_id", "rank", "pos", "batch_id")
 
 
+def q_stored_batches(spark, sf):
+    """B2/B3 laid out: the first epoch's batches with their ids written in training order, read back and listed."""
+    ids, s = _shared(spark, sf)
+    path = intermediate(f"{ensure_checkpoint_dir(spark).rstrip('/')}/tokenloom-jobs/batches-{uuid.uuid4().hex}")
+    order = sp.batch(sp.shard(train_order(s, 0, CFG), CFG.world), CFG.batch_size, drop_last=True)
+    store_batches(order, ids, path)
+    rows = read_batches(spark, path).select("rank", "batch_id", F.struct("pos", _txt("ids").alias("ids")).alias("_r"))
+    docs = F.transform(F.array_sort(F.collect_list("_r")), lambda r: r["ids"])  # a batch's few documents
+    return rows.groupBy(F.col("rank").cast("bigint").alias("rank"), F.col("batch_id").cast("bigint").alias("batch_id")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.md5(F.array_join(docs, "|")).alias("ids_md5"))
+
+
 def q_update_groups(spark, sf):
     return train_batches(_split(spark, sf), 0, CFG).select("doc_id", "rank", "batch_id", "step")
 
@@ -619,6 +632,7 @@ QUERIES = {
     "split_sizes": q_split_sizes,
     "rank_shards": q_rank_shards,
     "batches_train": q_batches_train,
+    "stored_batches": q_stored_batches,
     "batches_val": q_batches_val,
     "update_groups": q_update_groups,
     "step_plan": q_step_plan,

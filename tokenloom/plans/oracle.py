@@ -190,6 +190,9 @@ SQL["split_sizes"] = w(DOCS, SPLIT) + "SELECT split, CAST(count(*) AS BIGINT) AS
 SQL["rank_shards"] = w(DOCS, SPLIT, ORDER(0), SHARD("ord", 7)) + "SELECT doc_id, rank, pos FROM sh"
 SQL["batches_train"] = w(DOCS, SPLIT, ORDER(0), SHARD("ord", W)) + (
     f"SELECT doc_id, rank, pos, CAST(pos // {B} AS BIGINT) AS batch_id FROM sh WHERE pos < rank_n // {B} * {B}")
+SQL["stored_batches"] = (
+    "SELECT CAST(rank AS BIGINT) AS rank, batch_id, count(*) AS n_docs, md5(string_agg(ids, '|' ORDER BY pos)) AS ids_md5 "
+    f"FROM ({SQL['batches_train']}) JOIN ({SQL['encode_documents']}) USING (doc_id) GROUP BY ALL")
 SQL["batches_val"] = w(DOCS, SPLIT, "vsrc AS (SELECT doc_id, idx, split_n AS n FROM split WHERE split = 'val')",
                        SHARD("vsrc", W)) + f"SELECT doc_id, rank, pos, CAST(pos // {B} AS BIGINT) AS batch_id FROM sh"
 SQL["update_groups"] = w(DOCS, SPLIT, ORDER(0), SHARD("ord", W)) + (
