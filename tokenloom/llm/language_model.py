@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood scores of a bidirectional window network (operator 4).
 
-Every word is predicted from the two words before and the two after it.  The
-network (numpy) gives the probability of the word's unit: frequent words are
-units of their own, all other words share hashed units.  Corpus counts give the
-probability of the word within its unit, so each word has a proper conditional
-probability.  A document's score is the sum of the logarithms.  The counts of the
-VOCABULARY most frequent words go to the tasks; those of all other words stay in
-a stored table that grows with the input and are joined to a document's words.
-
-The network is trained on every word: in each round, each input split trains a
-copy on every ROUNDS-th word of its texts, and the copies are averaged by words
+Every word is predicted from the two words before and the two after it, in two
+levels that both read the same hidden vector (numpy).  The first level chooses
+among the HEAD most frequent words and the classes, the second among the LEAVES of
+the class.  Each of the VOCABULARY most frequent words is a unit of its own; all
+other words share hashed leaves, and corpus counts share the probability of such a
+leaf among its words.  So each word has a proper conditional probability, and
+the context decides on every word's unit.  A document's score is the sum of the
+logarithms.  The counts of the KNOWN most frequent words go to the tasks; those of all other words
+stay in a stored table that grows with the input and are joined to a document's words.
+
+The network starts as the corpus shares and is trained on every word: in each
+round, each input split trains a copy on every ROUNDS-th word of its texts, and the copies are averaged by words
 seen; the rounds together take every word as a target once.
 """
 
@@ -23,24 +25,31 @@ from pyspark.sql import functions as F
 from .storage import Scratch, fresh_name
 from .textops import as_bytes, word_hashes
 
-VOCABULARY = 8192      # frequent words with an embedding of their own
+VOCABULARY = 8192      # frequent words with an embedding and a unit of their own
 HASHED = 1024          # embeddings shared by all other words
-FREQUENT_UNITS = 127   # most frequent words that are units of their own
-UNITS = 256
-DIM = 32
+KNOWN = 65536          # words whose counts go to the tasks
+HEAD = 32              # most frequent words that the first level chooses itself
+LEAVES = 128           # units of a class
+OWN_CLASSES = -(-(VOCABULARY - HEAD) // LEAVES)
+TAIL_CLASSES = 16      # classes of hashed leaves
+CLASSES = OWN_CLASSES + TAIL_CLASSES
+TAIL = HEAD + OWN_CLASSES * LEAVES  # first hashed unit
+UNITS = HEAD + CLASSES * LEAVES
+DIM = 24               # the last number of a hidden vector is always 1, so its weights are biases
 REACH = 2              # words on either side
 ROUNDS = 2             # rounds of training and averaging, each on every ROUNDS-th word, each on others
-BATCH = 2048
+BATCH = 4096
 RATE = 0.15
+START = {"e": 1e-7, "p": 1e-2, "w": 1e-2, "v": 1e-7}  # first sums of squared gradients
+BOUND = 80.0 / DIM     # weights stay within it, so no exponential leaves 32 bits
 SEED = 5
-PIECE = 1 << 16        # numbers of a copy's parameters in one shuffled row
+PIECE = 1 << 14        # numbers of a copy's parameters in one shuffled row
 FLUSH = 1_500_000
-SCORE_WORDS = 2048
-SAFE = 80.0            # exponentials of numbers up to this size are finite in 32 bits
+SCORE_WORDS = 4096
 PAD = VOCABULARY + HASHED
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
-_SHAPES = {"e": (PAD + 1, DIM), "p": (len(_OFFSETS), DIM), "b": (DIM,), "w": (DIM, UNITS), "c": (UNITS,)}
+_SHAPES = {"e": (PAD + 1, DIM), "p": (len(_OFFSETS), DIM), "w": (DIM, HEAD + CLASSES), "v": (CLASSES, DIM, LEAVES)}
 
 
 def _count_words(batches):
@@ -71,71 +80,79 @@ def _count_words(batches):
 
 
 class Vocabulary:
-    """Ids, units and within-unit log-probabilities of words by their hash; bounded by VOCABULARY and UNITS.
+    """Ids, units and within-unit log-probabilities of words by their hash; bounded by KNOWN and UNITS.
 
-    A word outside the table of frequent words is taken as seen once; ``counts`` has its own count.
+    A word outside the table of known words is taken as seen once; ``counts`` has its own count.
     """
 
-    def __init__(self, top: list[tuple[int, int]], unit_total: np.ndarray, counts: DataFrame | None = None):
-        """top: (hash, count) by count; unit_total: count of all words per unit; counts: stored (word, n) of all words."""
+    def __init__(self, top: list[tuple[int, int]], tail_total: np.ndarray, counts: DataFrame | None = None):
+        """top: (hash, count) by count; tail_total: count of all words per hashed unit; counts: stored (word, n) of all words."""
         self.counts = counts
         hashes = np.array([h for h, _ in top], dtype=np.int64).view(np.uint64)
-        counts = np.array([n for _, n in top], dtype=np.float64)
+        n = np.array([n for _, n in top], dtype=np.float64)
+        self.least = int(n.min()) if len(n) else 0
+        own = min(len(top), VOCABULARY)
+        unit = np.concatenate([np.arange(own), tail_units(hashes[own:])]).astype(np.int64)
+        total = np.maximum(tail_total, 1.0)
+        inside = np.zeros(len(top))
+        inside[own:] = np.log(n[own:] / total[unit[own:] - TAIL])
         order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order.astype(np.int32)
-        self.frequent = hashes[:FREQUENT_UNITS]
-        unit = np.array([i if i < FREQUENT_UNITS else shared_unit(h) for i, h in enumerate(hashes.tolist())], dtype=np.int64)
-        self.unit = unit
-        total = np.maximum(unit_total, 1.0)
-        self.inside = np.log(np.maximum(counts, 1.0) / total[unit]) if len(top) else np.zeros(0)
+        self.hashes, self.ids, self.unit, self.inside = hashes[order], order.astype(np.int32), unit[order], inside[order]
         self.once = -np.log(total)
+        self.share = np.concatenate([n[:own], np.zeros(TAIL - own), tail_total])  # count of every unit
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "counts": None}  # tasks do without the table
 
-    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(embedding ids, units, log-probability of the word within its unit)."""
-        if not len(self.hashes):
-            unit = shared_units(h)
-            return VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64), unit, self.once[unit]
-        near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[near] == h
-        rank = self.ids[near].astype(np.int64)
-        unit = np.where(known, self.unit[rank], shared_units(h))
-        ids = np.where(known, rank, VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64))
-        return ids, unit, np.where(known, self.inside[rank], self.once[unit])
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(embedding ids, units, log-probability of the word within its unit, whether its count is known) of words."""
+        ids = VOCABULARY + (h % np.uint64(HASHED)).astype(np.int64)
+        unit = tail_units(h)
+        inside, known = self.once[unit - TAIL], np.zeros(len(h), dtype=bool)
+        if len(self.hashes):
+            near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[near] == h
+            at = near[known]
+            unit[known], inside[known] = self.unit[at], self.inside[at]
+            ids = np.where(unit < VOCABULARY, unit, ids)
+        return ids, unit, inside, known
 
 
-def shared_units(h: np.ndarray) -> np.ndarray:
-    return FREQUENT_UNITS + ((h >> np.uint64(20)) % np.uint64(UNITS - FREQUENT_UNITS)).astype(np.int64)
-
-
-def shared_unit(h: int) -> int:
-    return FREQUENT_UNITS + (h >> 20) % (UNITS - FREQUENT_UNITS)
+def tail_units(h: np.ndarray) -> np.ndarray:
+    return TAIL + ((h >> np.uint64(20)) % np.uint64(UNITS - TAIL)).astype(np.int64)
 
 
 def build_vocabulary(docs: DataFrame, text: str, scratch: Scratch) -> Vocabulary:
-    """Counts of all words of all documents; what reaches the driver is VOCABULARY + UNITS rows."""
+    """Counts of all words of all documents; what reaches the driver is KNOWN rows and those of the hashed units."""
     counts, _ = scratch.store(docs.select(F.col(text).cast("string")).mapInArrow(_count_words, "word bigint, n bigint")
                               .groupBy("word").agg(F.sum("n").alias("n")))
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    listed = docs.sparkSession.createDataFrame([(h, i) for i, (h, _) in enumerate(top[:FREQUENT_UNITS])],
-                                               "word bigint, rank int")
-    # the unsigned shift and remainder of shared_unit, on signed 64-bit words
-    shared = F.pmod(F.shiftrightunsigned("word", 20), F.lit(UNITS - FREQUENT_UNITS)) + FREQUENT_UNITS
-    totals = np.zeros(UNITS)
-    for r in (counts.join(F.broadcast(listed), "word", "left").groupBy(F.coalesce("rank", shared).alias("unit"))
+    known = counts.orderBy(F.desc("n"), "word").limit(KNOWN).toArrow()
+    top = list(zip(known["word"].to_pylist(), known["n"].to_pylist()))
+    own = docs.sparkSession.createDataFrame([(h,) for h, _ in top[:VOCABULARY]], "word bigint")
+    # the unsigned shift and remainder of tail_units, on signed 64-bit words
+    unit = F.pmod(F.shiftrightunsigned("word", 20), F.lit(UNITS - TAIL))
+    totals = np.zeros(UNITS - TAIL)
+    for r in (counts.join(F.broadcast(own), "word", "left_anti").groupBy(unit.alias("unit"))
               .agg(F.sum("n").alias("n")).collect()):
         totals[int(r["unit"])] = r["n"]
     return Vocabulary(top, totals, counts)
 
 
-def initial_parameters() -> dict[str, np.ndarray]:
+def _bias(share: np.ndarray) -> np.ndarray:
+    """Logarithms of counts, centred in each row and held within BOUND."""
+    logs = np.log(np.maximum(share, 0.5))
+    return np.clip(logs - (logs.max(axis=-1, keepdims=True) + logs.min(axis=-1, keepdims=True)) / 2, -BOUND, BOUND)
+
+
+def initial_parameters(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """A network that gives every unit its share of the corpus in any context."""
     rng = np.random.default_rng(SEED)
     out = {k: np.zeros(s, dtype=np.float32) for k, s in _SHAPES.items()}
     out["e"] += rng.normal(0, 0.3, _SHAPES["e"]).astype(np.float32)
     out["p"] += 1.0
-    out["w"] += rng.normal(0, 0.1, _SHAPES["w"]).astype(np.float32)
+    leaves = vocabulary.share[HEAD:].reshape(CLASSES, LEAVES)
+    out["w"][-1] = _bias(np.concatenate([vocabulary.share[:HEAD], leaves.sum(axis=1)]))
+    out["v"][:, -1] = _bias(leaves)
     return out
 
 
@@ -169,17 +186,26 @@ def _hidden(q, embedded: list[np.ndarray]) -> np.ndarray:
     total = embedded[0] * q["p"][0]
     for j in range(1, len(_OFFSETS)):
         total += embedded[j] * q["p"][j]
-    total += q["b"]
-    return np.tanh(total, out=total)
+    np.tanh(total, out=total)
+    total[:, -1] = 1
+    return total
 
 
-def _logits(q, h: np.ndarray) -> np.ndarray:
-    """Numbers whose exponentials are finite, in proportion to the probabilities of the units."""
-    logits = h @ q["w"]
-    logits += q["c"]
-    if not np.max(np.abs(q["w"]).sum(axis=0) + np.abs(q["c"])) < SAFE:  # |h| <= 1 bounds every number by this
-        logits -= logits.max(axis=1, keepdims=True)
-    return logits
+def _levels(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], np.ndarray]:
+    """(first-level targets, words of classes in order of class, (class, start, end) in that order, their leaves)."""
+    first = np.where(unit < HEAD, unit, HEAD + (unit - HEAD) // LEAVES).astype(np.int16)
+    order = np.argsort(first, kind="stable")
+    order = order[np.searchsorted(first[order], HEAD):]
+    ends = np.searchsorted(first[order], np.arange(HEAD, HEAD + CLASSES + 1))
+    runs = [(k, a, b) for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if a < b]
+    return first, order, runs, (unit[order] - HEAD) % LEAVES
+
+
+def _leaf_logits(q, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    out = np.empty((len(h), LEAVES), dtype=np.float32)
+    for k, a, b in runs:
+        np.matmul(h[a:b], q["v"][k], out=out[a:b])
+    return out
 
 
 def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -188,39 +214,77 @@ def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     return picked - np.log(logits.sum(axis=1))
 
 
+def unit_logs(q, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Log-probability of each unit in its context."""
+    h = _hidden(q, _embedded(q, context))
+    first, order, runs, leaf = _levels(unit)
+    out = _log_softmax_at(h @ q["w"], first)
+    out[order] += _log_softmax_at(_leaf_logits(q, h[order], runs), leaf)
+    return out
+
+
+def _gradient(logits: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+    """Gradient of the mean loss over n words by the logits, in their place."""
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits.sum(axis=1) * n))[:, None]
+    logits[np.arange(len(target)), target] -= 1 / n
+    return logits
+
+
 class Trainer:
-    """Adagrad on one copy of the network."""
+    """Adagrad on one copy of the network; embeddings and leaves have one sum of squares per vector."""
 
     def __init__(self, q: dict[str, np.ndarray]):
         self.q = {k: v.copy() for k, v in q.items()}
-        self.s = {k: np.full(v.shape[:1] if k == "e" else v.shape, 1e-2, dtype=np.float32) for k, v in q.items()}
-
-    def _step(self, name: str, grad: np.ndarray) -> None:
-        self.s[name] += grad * grad
-        self.q[name] -= RATE * grad / np.sqrt(self.s[name])
+        shape = {"e": (PAD + 1,), "v": (CLASSES, LEAVES)}
+        self.s = {k: np.full(shape.get(k, v.shape), START[k], dtype=np.float32) for k, v in q.items()}
 
-    def batch(self, context: np.ndarray, target: np.ndarray) -> None:
-        q, n = self.q, np.float32(len(target))
+    def gradients(self, context: np.ndarray, unit: np.ndarray):
+        """Of the mean loss: (p, w, touched classes, their v, touched embeddings, their e)."""
+        q, n = self.q, np.float32(len(unit))
         embedded = _embedded(q, context)
         h = _hidden(q, embedded)
-        d = _logits(q, h)
-        np.exp(d, out=d)
-        total = d.sum(axis=1)
-        # the gradient is d / total / n; the rows are scaled where they are narrow
-        d[np.arange(len(target)), target] -= total
-        scale = 1 / (total * n)
-        dz = (d @ q["w"].T) * (scale[:, None] * (1 - h * h))
-        grads = {"w": (h * scale[:, None]).T @ d, "c": scale @ d, "b": dz.sum(axis=0),
-                 "p": np.stack([np.einsum("ij,ij->j", x, dz) for x in embedded])}
+        first, order, runs, leaf = _levels(unit)
+        d = _gradient(h @ q["w"], first, n)
+        dh = d @ q["w"].T
+        below = h[order]
+        d2 = _gradient(_leaf_logits(q, below, runs), leaf, n)
+        back = np.empty_like(below)
+        v = np.empty((len(runs), DIM, LEAVES), dtype=np.float32)
+        for i, (k, a, b) in enumerate(runs):
+            np.matmul(d2[a:b], q["v"][k].T, out=back[a:b])
+            np.matmul(below[a:b].T, d2[a:b], out=v[i])
+        dh[order] += back
+        dz = dh * (1 - h * h)  # 0 for the last number, which is 1
         rows = context.T.ravel().astype(np.int16)  # PAD fits; 16-bit numbers sort fast
         values = np.concatenate([dz * q["p"][j] for j in range(len(_OFFSETS))])
         order = np.argsort(rows, kind="stable")
         start = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
-        touched, grad = rows[order][start], np.add.reduceat(values[order], start, axis=0)
-        for k, g in grads.items():
-            self._step(k, g)
-        self.s["e"][touched] += (grad * grad).mean(axis=1)
-        q["e"][touched] -= RATE * grad / np.sqrt(self.s["e"][touched])[:, None]
+        return (np.stack([np.einsum("ij,ij->j", x, dz) for x in embedded]), h.T @ d, [k for k, _, _ in runs], v,
+                rows[order][start], np.add.reduceat(values[order], start, axis=0))
+
+    def batch(self, context: np.ndarray, unit: np.ndarray) -> None:
+        q, s = self.q, self.s
+        p, w, classes, v, touched, e = self.gradients(context, unit)
+        for name, grad in (("p", p), ("w", w)):
+            s[name] += grad * grad
+            q[name] -= RATE * grad / np.sqrt(s[name])
+        np.clip(q["w"], -BOUND, BOUND, out=q["w"])
+        s["v"][classes] += np.einsum("kij,kij->kj", v, v) / DIM
+        v *= (RATE / np.sqrt(s["v"][classes]))[:, None, :]
+        q["v"][classes] = np.clip(q["v"][classes] - v, -BOUND, BOUND)
+        s["e"][touched] += np.einsum("ij,ij->i", e, e) / DIM
+        q["e"][touched] -= e * (RATE / np.sqrt(s["e"][touched]))[:, None]
+
+
+PIECES = "piece int, salt int, numbers binary, seen bigint"
+
+
+def _piece(i: int, salt: int, numbers: np.ndarray, seen: int) -> pa.RecordBatch:
+    """Some parameters of a copy, or their mean over copies, and the words that it saw."""
+    return pa.record_batch([pa.array([i], pa.int32()), pa.array([salt], pa.int32()),
+                            pa.array([numbers.astype(np.float32).tobytes()], pa.binary()),
+                            pa.array([seen], pa.int64())], names=["piece", "salt", "numbers", "seen"])
 
 
 def _train(held, turn: int):
@@ -235,7 +299,7 @@ def _train(held, turn: int):
             for _, offsets, h in word_hashes(as_bytes(batch.column(0))):
                 if not len(h):
                     continue
-                ids, unit, _ = vocabulary.lookup(h)
+                ids, unit, _, _ = vocabulary.lookup(h)
                 padded, place = _padded(ids, offsets)
                 pick = np.arange(turn, len(h), ROUNDS)
                 contexts.append(np.stack([padded[place[pick] + o] for o in _OFFSETS], axis=1))
@@ -252,25 +316,24 @@ def _train(held, turn: int):
             trainer.batch(np.concatenate(contexts), np.concatenate(targets))
             seen += waiting
         if seen:
-            flat = _flat(trainer.q).astype(np.float64) * seen
+            flat = _flat(trainer.q)
             for i, at in enumerate(range(0, len(flat), PIECE)):
-                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([flat[at:at + PIECE].tobytes()], pa.binary()),
-                                       pa.array([seen], pa.int64())], names=["piece", "numbers", "seen"])
+                yield _piece(i, 0, flat[at:at + PIECE], seen)
     return run
 
 
 def _average(batches):
-    """Sum the pieces of one shuffle partition as they stream past."""
-    total: dict[int, np.ndarray] = {}
-    seen: dict[int, int] = {}
+    """Means of the pieces of one shuffle partition, weighted by words seen, as they stream past."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
-        for i, blob, n in zip(*(c.to_pylist() for c in batch.columns)):
-            part = np.frombuffer(blob, dtype=np.float64)
-            total[i] = total[i] + part if i in total else part
-            seen[i] = seen.get(i, 0) + n
-    for i, part in total.items():
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary()),
-                               pa.array([seen[i]], pa.int64())], names=["piece", "numbers", "seen"])
+        for i, salt, blob, n in zip(*(c.to_pylist() for c in batch.columns)):
+            part = np.frombuffer(blob, dtype=np.float32).astype(np.float64) * n
+            key = (i, salt)
+            total[key] = total[key] + part if key in total else part
+            seen[key] = seen.get(key, 0) + n
+    for (i, salt), part in total.items():
+        yield _piece(i, salt, part / seen[i, salt], seen[i, salt])
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, dict[str, np.ndarray]]:
@@ -278,32 +341,33 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, dict[str, np
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
     vocabulary = build_vocabulary(docs, text, scratch)
-    q = initial_parameters()
-    schema = "piece int, numbers binary, seen bigint"
+    q = initial_parameters(vocabulary)
+    # copies of a piece meet in as many tasks as their number asks for, then the means of these in one
+    salts = max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((vocabulary, q))
-        copies = docs.select(F.col(text).cast("string")).mapInArrow(_train(held, turn), schema)
-        rows = copies.repartition(8, "piece").mapInArrow(_average, schema).collect()
+        copies = docs.select(F.col(text).cast("string")).mapInArrow(_train(held, turn), PIECES)
+        salted = copies.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        means = salted.repartition("piece", "salt").mapInArrow(_average, PIECES).withColumn("salt", F.lit(0))
+        rows = means.repartition("piece").mapInArrow(_average, PIECES).collect()
         if rows:
-            flat = np.concatenate([np.frombuffer(r["numbers"], dtype=np.float64) / r["seen"]
-                                   for r in sorted(rows, key=lambda r: r["piece"])])
-            q = _shaped(flat)
+            q = _shaped(np.concatenate([np.frombuffer(r["numbers"], dtype=np.float32)
+                                        for r in sorted(rows, key=lambda r: r["piece"])]))
     return vocabulary, q
 
 
 def _scored(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]):
     """(words, summed conditional log-probability, distinct rare words, times of each) of each text."""
     for _, offsets, h in word_hashes(texts):
-        ids, unit, inside = vocabulary.lookup(h)
+        ids, unit, inside, known = vocabulary.lookup(h)
         padded, place = _padded(ids, offsets)
         logp = np.zeros(len(h) + 1)
         for at in range(0, len(h), SCORE_WORDS):
             end = min(len(h), at + SCORE_WORDS)
             context = np.stack([padded[place[at:end] + o] for o in _OFFSETS], axis=1)
-            logits = _logits(q, _hidden(q, _embedded(q, context)))
-            logp[at:end] = _log_softmax_at(logits, unit[at:end]) + inside[at:end]
+            logp[at:end] = unit_logs(q, context, unit[at:end]) + inside[at:end]
         total = np.concatenate(([0.0], np.cumsum(logp)))
-        rare = ids >= VOCABULARY
+        rare = ~known
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
             words, times = np.unique(h[a:b][rare[a:b]], return_counts=True)
             yield b - a, float(total[b] - total[a]), words.view(np.int64), times
@@ -344,7 +408,7 @@ def score_documents(docs: DataFrame, vocabulary: Vocabulary, q: dict[str, np.nda
     pairs = scored.select(row, F.explode(F.arrays_zip(F.col(name)["words"].alias("word"), F.col(name)["times"].alias("times")))
                           .alias("p")).select(row, F.col("p.word").alias("word"), F.col("p.times").alias("times"))
     own = fresh_name([*kept, name, row], "own")
-    counts = vocabulary.counts.where("n > 1")  # log 1 adds nothing
+    counts = vocabulary.counts.where(f"n between 2 and {vocabulary.least}")  # log 1 adds nothing, others are known
     logs = pairs.join(counts.hint("merge"), "word").groupBy(row).agg(F.sum(F.col("times") * F.log("n")).alias(own))
     return (scored.join(logs.hint("merge"), row, "left").select(*kept, F.struct(
         F.col(name)["n_words"].alias("n_words"),
