@@ -362,11 +362,22 @@ def test_pseudo_likelihood_trains_on_every_word(monkeypatch):
     held = types.SimpleNamespace(value=(vocabulary, m.initial_parameters(vocabulary)))
     targets = []
     monkeypatch.setattr(m.Trainer, "batch", lambda self, context, target: targets.extend(target.tolist()))
-    for turn in range(m.ROUNDS):
-        list(m._train(held, turn)([pa.record_batch([pa.array(texts)], names=["text"])]))
+    list(m._train(held)([pa.record_batch([pa.array(texts)], names=["text"])]))
     assert sorted(targets) == list(range(len(h)))
 
 
+def test_known_words_are_found_by_their_hash():
+    m, rng = language_model, np.random.default_rng(4)
+    hashes = rng.integers(-2**63, 2**63, 3000)
+    hashes[:40] = (7 << 60) + np.arange(40)  # one slot
+    hashes[40:44] = [-1, -2, 0, 1]           # first and last slots
+    v = m.Vocabulary([(int(x), 1) for x in hashes], np.ones(m.UNITS - m.TAIL))
+    asked = np.concatenate([hashes, hashes + 1, rng.integers(-2**63, 2**63, 3000)])
+    known = v.lookup(asked.view(np.uint64))[3]
+    assert (known == np.isin(asked, hashes)).all()
+    assert (v.lookup(hashes.view(np.uint64))[1] == np.arange(3000)).all()
+
+
 def test_pseudo_likelihood_averages_copies_by_words_seen():
     m = language_model
     copies = [(2, np.full(3, 1.0), 10), (2, np.full(3, 4.0), 20), (0, np.arange(3.0), 5)]

@@ -11,8 +11,8 @@ logarithms.  The counts of the KNOWN most frequent words go to the tasks; those
 stay in a stored table that grows with the input and are joined to a document's words.
 
 The network starts as the corpus shares and is trained on every word: in each
-round, each input split trains a copy on every ROUNDS-th word of its texts, and the copies are averaged by words
-seen; the rounds together take every word as a target once.
+round, each input split trains a copy on every word of a share of its texts, chosen by a hash of the text, and the
+copies are averaged by words seen; the rounds together take every word as a target once.
 """
 
 from __future__ import annotations
@@ -35,20 +35,24 @@ TAIL_CLASSES = 16      # classes of hashed leaves
 CLASSES = OWN_CLASSES + TAIL_CLASSES
 TAIL = HEAD + OWN_CLASSES * LEAVES  # first hashed unit
 UNITS = HEAD + CLASSES * LEAVES
-DIM = 24               # the last number of a hidden vector is always 1, so its weights are biases
+DIM = 16               # the last number of a hidden vector is always 1, so its weights are biases
 REACH = 2              # words on either side
-ROUNDS = 2             # rounds of training and averaging, each on every ROUNDS-th word, each on others
+ROUNDS = 2             # rounds of training and averaging, each on its share of the texts
 BATCH = 4096
 RATE = 0.15
 START = {"e": 1e-7, "p": 1e-2, "w": 1e-2, "v": 1e-7}  # first sums of squared gradients
-BOUND = 80.0 / DIM     # weights stay within it, so no exponential leaves 32 bits
+LIMIT = 36.0           # logits stay within it, so no probability leaves the normal numbers of 32 bits, where work is slow
+BIAS = 4.0             # of it, the part of the bias
 SEED = 5
 PIECE = 1 << 14        # numbers of a copy's parameters in one shuffled row
 FLUSH = 1_500_000
+SLOT_BITS = 18
+_SLOT_SHIFT = np.uint64(64 - SLOT_BITS)
 SCORE_WORDS = 4096
 PAD = VOCABULARY + HASHED
 
 _OFFSETS = [o for o in range(-REACH, REACH + 1) if o]
+_BOUND = np.array([(LIMIT - BIAS) / (DIM - 1)] * (DIM - 1) + [BIAS], dtype=np.float32)[:, None]
 _SHAPES = {"e": (PAD + 1, DIM), "p": (len(_OFFSETS), DIM), "w": (DIM, HEAD + CLASSES), "v": (CLASSES, DIM, LEAVES)}
 
 
@@ -98,6 +102,9 @@ class Vocabulary:
         inside[own:] = np.log(n[own:] / total[unit[own:] - TAIL])
         order = np.argsort(hashes)
         self.hashes, self.ids, self.unit, self.inside = hashes[order], order.astype(np.int32), unit[order], inside[order]
+        # where the hashes that share their first bits start; few words share a slot
+        self.slot = np.searchsorted(self.hashes, np.arange(1 << SLOT_BITS, dtype=np.uint64) << _SLOT_SHIFT).astype(np.int32)
+        self.most = int(np.diff(np.append(self.slot, len(hashes))).max())
         self.once = -np.log(total)
         self.share = np.concatenate([n[:own], np.zeros(TAIL - own), tail_total])  # count of every unit
 
@@ -110,8 +117,16 @@ class Vocabulary:
         unit = tail_units(h)
         inside, known = self.once[unit - TAIL], np.zeros(len(h), dtype=bool)
         if len(self.hashes):
-            near = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            near = np.minimum(self.slot[h >> _SLOT_SHIFT], len(self.hashes) - 1)
             known = self.hashes[near] == h
+            left = np.flatnonzero(~known)
+            for _ in range(1, self.most):
+                left = left[near[left] < len(self.hashes) - 1]
+                near[left] += 1
+                there = self.hashes[near[left]]
+                hit = there == h[left]
+                known[left[hit]] = True
+                left = left[there < h[left]]
             at = near[known]
             unit[known], inside[known] = self.unit[at], self.inside[at]
             ids = np.where(unit < VOCABULARY, unit, ids)
@@ -139,9 +154,9 @@ def build_vocabulary(docs: DataFrame, text: str, scratch: Scratch) -> Vocabulary
 
 
 def _bias(share: np.ndarray) -> np.ndarray:
-    """Logarithms of counts, centred in each row and held within BOUND."""
+    """Logarithms of counts, centred in each row and held within BIAS."""
     logs = np.log(np.maximum(share, 0.5))
-    return np.clip(logs - (logs.max(axis=-1, keepdims=True) + logs.min(axis=-1, keepdims=True)) / 2, -BOUND, BOUND)
+    return np.clip(logs - (logs.max(axis=-1, keepdims=True) + logs.min(axis=-1, keepdims=True)) / 2, -BIAS, BIAS)
 
 
 def initial_parameters(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -178,14 +193,32 @@ def _padded(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, place
 
 
-def _embedded(q, context: np.ndarray) -> list[np.ndarray]:
-    return [q["e"][context[:, j]] for j in range(len(_OFFSETS))]
+class Room:
+    """Arrays that one task uses for all its batches; fresh ones of this size cost more than the work on them."""
 
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-def _hidden(q, embedded: list[np.ndarray]) -> np.ndarray:
-    total = embedded[0] * q["p"][0]
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.empty(size, dtype=np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _take(rows: np.ndarray, at: np.ndarray, out: np.ndarray) -> np.ndarray:
+    return np.take(rows, at, axis=0, out=out, mode="clip")  # no index is outside; other modes copy once more
+
+
+def _embedded(q, context: np.ndarray, room: Room) -> list[np.ndarray]:
+    return [_take(q["e"], context[:, j], room(f"embedded{j}", len(context), DIM)) for j in range(len(_OFFSETS))]
+
+
+def _hidden(q, embedded: list[np.ndarray], room: Room) -> np.ndarray:
+    total = np.multiply(embedded[0], q["p"][0], out=room("hidden", *embedded[0].shape))
+    part = room("part", *embedded[0].shape)
     for j in range(1, len(_OFFSETS)):
-        total += embedded[j] * q["p"][j]
+        total += np.multiply(embedded[j], q["p"][j], out=part)
     np.tanh(total, out=total)
     total[:, -1] = 1
     return total
@@ -201,33 +234,42 @@ def _levels(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, i
     return first, order, runs, (unit[order] - HEAD) % LEAVES
 
 
-def _leaf_logits(q, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
-    out = np.empty((len(h), LEAVES), dtype=np.float32)
+def _first_logits(q, h: np.ndarray, room: Room) -> np.ndarray:
+    return np.matmul(h, q["w"], out=room("first", len(h), HEAD + CLASSES))
+
+
+def _leaf_logits(q, h: np.ndarray, runs: list[tuple[int, int, int]], room: Room) -> np.ndarray:
+    out = room("leaves", len(h), LEAVES)
     for k, a, b in runs:
         np.matmul(h[a:b], q["v"][k], out=out[a:b])
     return out
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones(rows.shape[1], dtype=np.float32)
+
+
 def _log_softmax_at(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
     picked = logits[np.arange(len(target)), target]
-    np.exp(logits, out=logits)
-    return picked - np.log(logits.sum(axis=1))
+    return picked - np.log(_sums(np.exp(logits, out=logits)))
 
 
-def unit_logs(q, context: np.ndarray, unit: np.ndarray) -> np.ndarray:
+def unit_logs(q, context: np.ndarray, unit: np.ndarray, room: Room | None = None) -> np.ndarray:
     """Log-probability of each unit in its context."""
-    h = _hidden(q, _embedded(q, context))
+    room = room or Room()
+    h = _hidden(q, _embedded(q, context, room), room)
     first, order, runs, leaf = _levels(unit)
-    out = _log_softmax_at(h @ q["w"], first)
-    out[order] += _log_softmax_at(_leaf_logits(q, h[order], runs), leaf)
+    out = _log_softmax_at(_first_logits(q, h, room), first)
+    below = _take(h, order, room("below", len(order), DIM))
+    out[order] += _log_softmax_at(_leaf_logits(q, below, runs, room), leaf)
     return out
 
 
-def _gradient(logits: np.ndarray, target: np.ndarray, n: np.float32) -> np.ndarray:
+def _gradient(logits: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     """Gradient of the mean loss over n words by the logits, in their place."""
     np.exp(logits, out=logits)
-    logits *= (1 / (logits.sum(axis=1) * n))[:, None]
-    logits[np.arange(len(target)), target] -= 1 / n
+    logits *= (1 / (_sums(logits) * np.float32(n)))[:, None]
+    logits[np.arange(len(target)), target] -= np.float32(1 / n)
     return logits
 
 
@@ -235,33 +277,38 @@ class Trainer:
     """Adagrad on one copy of the network; embeddings and leaves have one sum of squares per vector."""
 
     def __init__(self, q: dict[str, np.ndarray]):
-        self.q = {k: v.copy() for k, v in q.items()}
+        self.q, self.room = {k: v.copy() for k, v in q.items()}, Room()
         shape = {"e": (PAD + 1,), "v": (CLASSES, LEAVES)}
         self.s = {k: np.full(shape.get(k, v.shape), START[k], dtype=np.float32) for k, v in q.items()}
 
     def gradients(self, context: np.ndarray, unit: np.ndarray):
         """Of the mean loss: (p, w, touched classes, their v, touched embeddings, their e)."""
-        q, n = self.q, np.float32(len(unit))
-        embedded = _embedded(q, context)
-        h = _hidden(q, embedded)
+        q, room, n = self.q, self.room, len(unit)
+        embedded = _embedded(q, context, room)
+        h = _hidden(q, embedded, room)
         first, order, runs, leaf = _levels(unit)
-        d = _gradient(h @ q["w"], first, n)
-        dh = d @ q["w"].T
-        below = h[order]
-        d2 = _gradient(_leaf_logits(q, below, runs), leaf, n)
-        back = np.empty_like(below)
-        v = np.empty((len(runs), DIM, LEAVES), dtype=np.float32)
+        d = _gradient(_first_logits(q, h, room), first, n)
+        dh = np.matmul(d, q["w"].T, out=room("dh", n, DIM))
+        below = _take(h, order, room("below", len(order), DIM))
+        d2 = _gradient(_leaf_logits(q, below, runs, room), leaf, n)
+        back = room("back", len(order), DIM)
+        v = room("v", len(runs), DIM, LEAVES)
         for i, (k, a, b) in enumerate(runs):
             np.matmul(d2[a:b], q["v"][k].T, out=back[a:b])
             np.matmul(below[a:b].T, d2[a:b], out=v[i])
         dh[order] += back
-        dz = dh * (1 - h * h)  # 0 for the last number, which is 1
+        w = h.T @ d
+        dh *= 1 - h * h  # 0 for the last number, which is 1
+        values = room("values", len(_OFFSETS), n, DIM)
+        for j in range(len(_OFFSETS)):
+            np.multiply(dh, q["p"][j], out=values[j])
         rows = context.T.ravel().astype(np.int16)  # PAD fits; 16-bit numbers sort fast
-        values = np.concatenate([dz * q["p"][j] for j in range(len(_OFFSETS))])
         order = np.argsort(rows, kind="stable")
-        start = np.flatnonzero(np.concatenate(([True], np.diff(rows[order]) > 0)))
-        return (np.stack([np.einsum("ij,ij->j", x, dz) for x in embedded]), h.T @ d, [k for k, _, _ in runs], v,
-                rows[order][start], np.add.reduceat(values[order], start, axis=0))
+        rows = rows[order]
+        start = np.flatnonzero(np.concatenate(([True], rows[1:] > rows[:-1])))
+        sorted_values = _take(values.reshape(-1, DIM), order, room("sorted", len(order), DIM))
+        return (np.stack([np.einsum("ij,ij->j", x, dh) for x in embedded]), w, [k for k, _, _ in runs], v,
+                rows[start], np.add.reduceat(sorted_values, start, axis=0))
 
     def batch(self, context: np.ndarray, unit: np.ndarray) -> None:
         q, s = self.q, self.s
@@ -269,10 +316,13 @@ class Trainer:
         for name, grad in (("p", p), ("w", w)):
             s[name] += grad * grad
             q[name] -= RATE * grad / np.sqrt(s[name])
-        np.clip(q["w"], -BOUND, BOUND, out=q["w"])
+        np.clip(q["w"], -_BOUND, _BOUND, out=q["w"])
         s["v"][classes] += np.einsum("kij,kij->kj", v, v) / DIM
         v *= (RATE / np.sqrt(s["v"][classes]))[:, None, :]
-        q["v"][classes] = np.clip(q["v"][classes] - v, -BOUND, BOUND)
+        for i, k in enumerate(classes):
+            mine = q["v"][k]
+            mine -= v[i]
+            np.minimum(np.maximum(mine, -_BOUND, out=mine), _BOUND, out=mine)
         s["e"][touched] += np.einsum("ij,ij->i", e, e) / DIM
         q["e"][touched] -= e * (RATE / np.sqrt(s["e"][touched]))[:, None]
 
@@ -287,7 +337,7 @@ def _piece(i: int, salt: int, numbers: np.ndarray, seen: int) -> pa.RecordBatch:
                             pa.array([seen], pa.int64())], names=["piece", "salt", "numbers", "seen"])
 
 
-def _train(held, turn: int):
+def _train(held):
     """text -> pieces of the trained copy, weighted by the words it saw."""
     def run(batches):
         vocabulary, q = held.value
@@ -301,10 +351,9 @@ def _train(held, turn: int):
                     continue
                 ids, unit, _, _ = vocabulary.lookup(h)
                 padded, place = _padded(ids, offsets)
-                pick = np.arange(turn, len(h), ROUNDS)
-                contexts.append(np.stack([padded[place[pick] + o] for o in _OFFSETS], axis=1))
-                targets.append(unit[pick])
-                waiting += len(pick)
+                contexts.append(np.stack([padded[place + o] for o in _OFFSETS], axis=1))
+                targets.append(unit)
+                waiting += len(h)
                 if waiting >= BATCH:
                     c, t = np.concatenate(contexts), np.concatenate(targets)
                     full = len(t) // BATCH * BATCH
@@ -346,7 +395,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, dict[str, np
     salts = max(1, round(int(spark.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
     for turn in range(ROUNDS):
         held = spark.sparkContext.broadcast((vocabulary, q))
-        copies = docs.select(F.col(text).cast("string")).mapInArrow(_train(held, turn), PIECES)
+        part = docs.select(F.col(text).cast("string").alias("t")).where(F.pmod(F.xxhash64("t"), F.lit(ROUNDS)) == turn)
+        copies = part.mapInArrow(_train(held), PIECES)
         salted = copies.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         means = salted.repartition("piece", "salt").mapInArrow(_average, PIECES).withColumn("salt", F.lit(0))
         rows = means.repartition("piece").mapInArrow(_average, PIECES).collect()
@@ -358,6 +408,7 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, dict[str, np
 
 def _scored(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]):
     """(words, summed conditional log-probability, distinct rare words, times of each) of each text."""
+    room = Room()
     for _, offsets, h in word_hashes(texts):
         ids, unit, inside, known = vocabulary.lookup(h)
         padded, place = _padded(ids, offsets)
@@ -365,7 +416,7 @@ def _scored(texts: list[bytes], vocabulary: Vocabulary, q: dict[str, np.ndarray]
         for at in range(0, len(h), SCORE_WORDS):
             end = min(len(h), at + SCORE_WORDS)
             context = np.stack([padded[place[at:end] + o] for o in _OFFSETS], axis=1)
-            logp[at:end] = unit_logs(q, context, unit[at:end]) + inside[at:end]
+            logp[at:end] = unit_logs(q, context, unit[at:end], room) + inside[at:end]
         total = np.concatenate(([0.0], np.cumsum(logp)))
         rare = ~known
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
