@@ -152,6 +152,26 @@ def brute_secrets(t):
     return sorted(out)
 
 
+def test_sparse_strata_of_random_tokens_are_found():
+    rng = np.random.default_rng(6)
+
+    def recall(n, texts=0):
+        found = 0
+        for _ in range(200):
+            p = np.concatenate([rng.random(n), rng.beta(0.05, 20, texts)])
+            c = np.bincount(np.minimum((p * secrets.P_BINS).astype(int), secrets.P_BINS - 1), minlength=secrets.P_BINS).tolist()
+            found += (p[:n] >= secrets._limits({(64, 9): c}, 0.1).get((64, 9), 2)).sum()
+        return found / n / 200
+    assert recall(1) > 0.9 and recall(2) > 0.8 and recall(3) > 0.85 and recall(10) > 0.9 and recall(50) > 0.97
+    assert recall(500, 500) > 0.9
+    # texts of the neighbouring classes and of the encoding keep a doubtful lone token out
+    texts = [900, 60, 30, 10] + [0] * (secrets.P_BINS - 4)
+    lone = [0, 0, 1] + [0] * (secrets.P_BINS - 3)
+    assert secrets._limits({(64, 9): lone, (64, 10): texts}, 0.1)[64, 9] > 3 / secrets.P_BINS
+    assert secrets._limits({(64, 9): lone}, 0.1)[64, 9] <= 2 / secrets.P_BINS
+    assert secrets._limits({}, 0.1) == {}
+
+
 def test_secrets_equal_brute_force_and_find_random_tokens(spark):
     rng = random.Random(1)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

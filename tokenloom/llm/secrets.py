@@ -29,6 +29,7 @@ MIN_TOKEN = 20
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{%d,}"
 FALSE_DISCOVERIES = 0.1
 P_BINS = 50
+BORROWED = 20       # tokens that a histogram takes from the wider one it is shrunk to
 CHUNK = 256
 MASK = "[SECRET]"
 
@@ -169,7 +170,7 @@ def cutoffs(docs: DataFrame, text: str = "text", min_token: int = MIN_TOKEN, q:
     """Lowest accepted p-value per stratum, from the histogram over all tokens of all documents.
 
     The histogram has at most 4 alphabets x 2 x 31 length classes x 50 bins.
-    A stratum whose tokens all look like text, or that has none, accepts nothing.
+    Sparse strata borrow from their neighbours (``_limits``); a stratum without tokens accepts nothing.
     """
     pattern = token_pattern(min_token)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -177,18 +178,41 @@ def cutoffs(docs: DataFrame, text: str = "text", min_token: int = MIN_TOKEN, q:
               .select(F.explode(_matches(_without_assign(F.col("t")), pattern)).alias("m")).where(_is_candidate(F.col("m"))))
     bins = F.least(F.floor(randomness(F.col("m")) * P_BINS), F.lit(P_BINS - 1)).cast("int")
     rows = tokens.groupBy(_stratum(F.col("m")).alias("s"), bins.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
-    counts: dict[str, list[int]] = {}
+    counts: dict[tuple[int, int], list[int]] = {}
     for row in rows:
-        counts.setdefault(row["s"], [0] * P_BINS)[row["b"]] = row["c"]
+        size, length = row["s"].split("-")
+        counts.setdefault((int(size), int(length)), [0] * P_BINS)[row["b"]] = row["c"]
+    return {f"{size}-{length}": cut for (size, length), cut in _limits(counts, q).items()}
+
+
+def _limits(counts: dict[tuple[int, int], list[int]], q: float) -> dict[tuple[int, int], float]:
+    """(encoding, length class) -> histogram of p-values, to the lowest accepted p-value of each.
+
+    A histogram is shrunk, by BORROWED tokens each time, to that of itself and its two
+    neighbours in length, this to its encoding's, and this to one of random tokens and
+    texts in equal parts.  Random tokens above a p-value are estimated from the upper
+    half of the histogram, plus one standard error, so that an excess must be more than chance to move the cut-off.
+    """
+    start = [0.5 / P_BINS + 0.5 * (b == 0) for b in range(P_BINS)]
+
+    def shrunk(c: list[int], toward: list[float]) -> list[float]:
+        return [(x + BORROWED * t) / (sum(c) + BORROWED) for x, t in zip(c, toward)]
+
+    def added(parts: list[list[int]]) -> list[int]:
+        return [sum(xs) for xs in zip(*parts)]
+
     out = {}
-    for stratum, c in counts.items():
-        random = min(sum(c), 2 * sum(c[P_BINS // 2:]))
+    for (size, length), own in counts.items():
+        whole = shrunk(added([c for (k, _), c in counts.items() if k == size]), start)
+        near = shrunk(added([c for (k, at), c in counts.items() if k == size and abs(at - length) <= 1]), whole)
+        c = [x + BORROWED * t for x, t in zip(own, near)]
+        half = sum(c[P_BINS // 2:])
+        random = min(sum(c), 2 * (half + math.sqrt(half)))
         for b in range(P_BINS):
             above = sum(c[b:])
             # an infinite stratum of random tokens would have this many above the cut-off
-            expected = random * (1 - b / P_BINS)
-            if above and 1 - expected / above <= q:
-                out[stratum] = max(b / P_BINS, 0.001)
+            if 1 - random * (1 - b / P_BINS) / above <= q:
+                out[size, length] = max(b / P_BINS, 0.001)
                 break
     return out
 
