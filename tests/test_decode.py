@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators import decode
+from tokenloom.operators.joins import salted_join
 from tokenloom.operators.decode import (generate, greedy_next, next_token_dist, sample_next, softmax,
                                         top_k, top_p, uniform_draw)
 
@@ -159,3 +160,11 @@ def test_greedy_joins_grow_with_the_digits_of_the_length(spark):
         last = (last * 7 + 3) % 50 + 1
         want.append(last)
     assert out.first().ids == want
+
+
+def test_salted_join_never_broadcasts_its_copies(spark):
+    big = spark.range(200).selectExpr("id", "id % 7 AS k")
+    small = spark.range(5).selectExpr("id AS k", "array(id, id + 1) AS path")
+    out = salted_join(big, small, "k", "left")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, big.join(small, "k", "left").collect()))

@@ -37,10 +37,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str] | str, how: str
     """Join with every ``small`` row in ``salts`` copies, so a hot key of ``big`` is split over as many tasks.
 
     Each ``big`` row picks a copy by a hash of its own values
-    (deterministic, so task retries agree).  Spark may still broadcast
-    ``small`` by its own statistics.
+    (deterministic, so task retries agree).  The copies are shuffled and never
+    broadcast: Spark's estimate is of one of them, the driver would build them all.
     """
     on = [on] if isinstance(on, str) else list(on)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted_big = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    return salted_big.join(salted_small, on + ["_salt"], how).drop("_salt")
+    return salted_big.join(salted_small.hint("merge"), on + ["_salt"], how).drop("_salt")
