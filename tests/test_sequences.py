@@ -1,9 +1,13 @@
 """Encode, pad, mask, labels, re-cut, pairs, decode."""
 
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tokenloom.operators.sequence import label_mask, retruncate, shifted_pairs, to_sequences
 from tokenloom.operators.vocab import build_vocab, detokenize, encode
+from tokenloom.plans.prepare import tokenized
 
 
 def _ids(spark, rows):
@@ -100,3 +104,29 @@ def test_vocab_equals_a_full_sort_at_every_size(spark):
         got = {r.tok: r.id for r in build_vocab(toks, size).collect() if r.id > 1}
         assert got == {t: i + 2 for i, t in enumerate(order[:size - 2])}
 
+
+def test_batches_of_long_texts_are_cut_by_bytes(spark):
+    """A Python worker holds one Arrow batch: its size has a bound in bytes, whatever the texts' length."""
+    docs = spark.range(600).coalesce(1).selectExpr("id AS doc_id", "split(repeat('some words ', 4000), ' ') AS tokens")
+    vocab = spark.createDataFrame([("some", 5), ("words", 7)], "tok string, id int")
+    sizes = F.arrow_udf(lambda ids: pa.array([ids.nbytes] * len(ids), pa.int64()), "bigint")
+    row = (encode(docs, vocab).select("ids", sizes("ids").alias("n"))
+           .agg(F.max("n").alias("most"), F.sum(F.size("ids")).alias("ids"), F.max(F.size("ids")).alias("each")).first())
+    assert (row.ids, row.each) == (600 * 8001, 8001)
+    assert row.most < 6 << 20  # 600 rows at once: 19 MB
+
+
+def test_user_tokenizer_gets_a_bounded_part_of_a_batch(spark):
+    def chars(texts):
+        return texts.map(lambda t: [str(int(texts.str.len().sum()))] * (len(t) % 3))
+
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "repeat('x', int(1000 + id % 7)) AS text")
+    got = {r.doc_id: r.tokens for r in tokenized(docs, tokenizer=chars).collect()}
+    assert {i: len(t) for i, t in got.items()} == {i: (1000 + i % 7) % 3 for i in range(3000)}
+    assert max(int(t[0]) for t in got.values() if t) <= (1 << 20) + 1006
+
+
+def test_user_tokenizer_must_return_a_row_a_text(spark):
+    docs = spark.createDataFrame([(0, "a b"), (1, "c")], "doc_id long, text string").coalesce(1)
+    with pytest.raises(Exception, match="returned 1 rows for 2"):
+        tokenized(docs, tokenizer=lambda t: t.str.split(" ")[:1]).collect()

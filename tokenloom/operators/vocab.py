@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import bound_batches, cut_lineage
 from .rank import global_rank
 
 EOS_ID = 0
@@ -78,6 +78,7 @@ def build_vocab(tokens: DataFrame, size: int, col: str = "tokens") -> DataFrame:
 
 def _send(vocab: DataFrame):
     """(tokens, ids) of a vocabulary, sent to every task; its rows are bounded by the vocabulary size."""
+    bound_batches(vocab.sparkSession)
     table = vocab.select("tok", F.col("id").cast("int").alias("id")).toArrow()
     return vocab.sparkSession.sparkContext.broadcast(tuple(c.combine_chunks() for c in table.columns))
 

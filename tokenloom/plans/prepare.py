@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import nonblank_col, tokens_col
 from ..operators.sequence import label_mask, to_sequences
 from ..operators.vocab import EOS_ID, build_vocab, encode
+from ..session import bound_batches
 
 
 DEFAULT_VOCAB_SIZE = 151_936
@@ -47,15 +51,35 @@ def documents(spark: SparkSession, sf_dir: str, cols=("doc_id", "text", "lang",
     return spread(table(spark, sf_dir, "documents").select(*cols).where(nonblank_col("text")), "doc_id")
 
 
+TOKENIZE_BYTES = 1 << 20  # texts handed to a user's tokenizer at once
+
+
 def tokenized(docs: DataFrame, keep=("doc_id",), tokenizer=None) -> DataFrame:
-    """P4 (+P3): (keep..., tokens); ``tokenizer`` (U1) maps a pandas Series of texts to one of token lists."""
+    """P4 (+P3): (keep..., tokens); ``tokenizer`` (U1) maps a pandas Series of texts to one of token lists.
+
+    The tokenizer gets about TOKENIZE_BYTES of texts at a time, whose tokens leave Python's
+    objects before the next ones are made.
+    """
     if tokenizer is None:
         return docs.select(*keep, tokens_col("text").alias("tokens"))
 
-    def run(texts: pd.Series) -> pd.Series:
-        return tokenizer(texts)
+    def run(texts: pa.Array) -> pa.Array:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *(np.flatnonzero(np.diff(ends // TOKENIZE_BYTES)) + 1).tolist(), len(texts)]
+        made = [pa.array([], pa.list_(pa.string()))]
+        for start, end in zip(cuts, cuts[1:]):
+            if start < end:
+                made.append(_token_lists(tokenizer(texts.slice(start, end - start).to_pandas()), end - start))
+        return pa.concat_arrays(made)
+
+    bound_batches(docs.sparkSession)
+    return docs.select(*keep, F.arrow_udf(run, "array<string>")("text").alias("tokens"))
+
 
-    return docs.select(*keep, F.pandas_udf(run, "array<string>")("text").alias("tokens"))
+def _token_lists(lists: pd.Series, rows: int) -> pa.Array:
+    if len(lists) != rows:
+        raise ValueError(f"the tokenizer returned {len(lists)} rows for {rows}")
+    return pa.Array.from_pandas(pd.Series(lists), type=pa.list_(pa.string()))
 
 
 def prepare(docs: DataFrame, cfg: PrepConfig = PrepConfig(), keep=("doc_id",), tokenizer=None):

@@ -74,6 +74,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Cut the session's Arrow batches at ``spark.tokenloom.batchBytes`` (4m), besides Spark's bound on their rows.
+
+    Python workers hold a batch and what is made from it, a worker a core: with texts of any
+    length, rows alone do not bound that.  Spark reads the setting when a plan runs, so it stays set.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.tokenloom.batchBytes", "4m"))
+
+
 _stored: list[str] = []
 
 
