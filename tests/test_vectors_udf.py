@@ -1,11 +1,14 @@
 """V1, J2, J5, U1, U2."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tokenloom.operators.udf import map_batches, score_batches
-from tokenloom.operators.vectors import dot_scores_topk, gather, rms_normalize
+from tokenloom.operators.vectors import _score_cell, dot_scores_topk, gather, rms_normalize
 
 from conftest import SF001
 
@@ -77,3 +80,30 @@ def test_score_batches_loads_once_per_task(spark):
 
     out = score_batches(df, load, "doc_id long, loads long").collect()
     assert len(out) == 100 and {r.loads for r in out} == {1}
+
+
+def test_gather_of_a_small_table_does_not_shuffle_the_ids(spark):
+    ids = spark.range(1000).selectExpr("id AS doc_id", "int(id % 5) AS id")
+    e = spark.read.parquet(SF001 + "/embeddings.parquet").select("vec_id", "label")
+    small = gather(ids, e)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "explode" not in plan
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, ids.join(
+        e.selectExpr("int(vec_id) AS id", "label", "true AS found"), "id", "left").fillna(False, ["found"]).select(small.columns).collect()))
+
+
+def test_a_cell_is_not_widened_whole():
+    """Scores of a cell in float64, from vectors that stay as they are stored."""
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(60_000, 64)).astype(np.float32)
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), 64).cast(pa.list_(pa.float32()))
+    right = pa.table({"token": np.arange(len(m)), "vec": flat})
+    left = pa.table({"query": np.arange(40), "vec": flat.slice(0, 40)})
+    tracemalloc.start()
+    out = _score_cell(3, 1024)(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < m.nbytes  # widened and sorted copies of it: 4 times that
+    s = m[:40].astype(np.float64) @ m.astype(np.float64).T
+    want = [(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(len(m)), -s[i]))[:3]]
+    assert sorted(zip(out["query"].to_pylist(), out["token"].to_pylist())) == sorted(want)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mathx import rms_normalize_col
 from .decode import softmax, top_k
-from .joins import salted_join
+from .joins import fits_broadcast, salted_join
 
 
 def rms_normalize(vectors: DataFrame, col: str = "embedding", eps: float = 1e-6,
@@ -25,10 +25,17 @@ def rms_normalize(vectors: DataFrame, col: str = "embedding", eps: float = 1e-6,
     return vectors.withColumn(col, rms_normalize_col(col, eps, weight))
 
 
+GATHER_BYTES = 16 * 1024 * 1024  # as text, which is more than in memory
+
+
 def gather(ids: DataFrame, vectors: DataFrame, id_col: str = "id", key: str = "vec_id", salts: int = 16) -> DataFrame:
-    """Every id with its vector row; ``found`` is false (and the vector null) where there is none."""
+    """Every id with its vector row; ``found`` is false (and the vector null) where there is none.
+
+    Vectors that are measured under GATHER_BYTES are sent to the tasks, and ids are not shuffled.
+    """
     v = vectors.withColumnRenamed(key, id_col).withColumn("found", F.lit(True))
-    joined = salted_join(ids, v, id_col, "left", salts)
+    small = fits_broadcast(v, GATHER_BYTES)
+    joined = ids.join(F.broadcast(v), id_col, "left") if small else salted_join(ids, v, id_col, "left", salts)
     return joined.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
@@ -45,14 +52,16 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors of a column as they are stored: no copy but that of joining its chunks."""
     vectors = column.combine_chunks()
-    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
 
 
 def _score_cell(k: int, block_rows: int):
     """Queries and vectors of one cell of the grid -> the best k of its vectors for each of its queries.
 
-    Vectors are taken by descending norm, a block at a time.  A query whose
+    Vectors are taken by descending norm, a block at a time, and only a block is
+    widened to float64: a task holds its cell once, as it is stored.  A query whose
     norm times the block's largest norm stays below its k-th score so far
     needs no further block: no later vector can reach it.
     """
@@ -62,12 +71,13 @@ def _score_cell(k: int, block_rows: int):
         if not left.num_rows or not right.num_rows:
             return none
         ids, table = right.column("token").to_numpy(), _matrix(right.column("vec"))
-        norms = np.sqrt((table * table).sum(axis=1))
+        norms = np.concatenate([np.sqrt((x * x).sum(axis=1)) for x in (
+            table[t:t + block_rows].astype(np.float64) for t in range(0, len(ids), block_rows))])
         order = np.argsort(-norms, kind="stable")
-        ids, table, norms = ids[order], table[order], norms[order]
+        ids, norms = ids[order], norms[order]
         names, found = left.column("query").to_numpy(), [none]
         for at in range(0, len(names), block_rows):
-            q = _matrix(left.column("vec").slice(at, block_rows))
+            q = _matrix(left.column("vec").slice(at, block_rows)).astype(np.float64)
             reach, least = np.sqrt((q * q).sum(axis=1)), np.full(len(q), -np.inf)
             best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             for t in range(0, len(ids), block_rows):
@@ -75,7 +85,7 @@ def _score_cell(k: int, block_rows: int):
                 open_ = np.flatnonzero(reach * norms[t] * (1 + 1e-9) >= least)
                 if not len(open_):
                     break
-                s = q[open_] @ table[t:t + block_rows].T
+                s = q[open_] @ table[order[t:t + block_rows]].astype(np.float64).T
                 # all that reach the k-th score: ties at the cut go on to the comparison by id
                 cut = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(open_), -np.inf)
                 r, c = np.nonzero(s >= np.maximum(cut, least[open_])[:, None])
