@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
 from .vocab import _list_like
 
 ENCODE_BYTES = 1 << 20  # texts handed to the library at once
@@ -68,6 +69,7 @@ def encode_subwords(docs: DataFrame, path: str | None = None, max_length: int |
     Ids are the library's for the text without added special tokens.  A
     null or empty text has no ids.
     """
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(texts: pa.Array) -> pa.Array:
@@ -100,6 +102,7 @@ def decode_subwords(ids: DataFrame, vocab: DataFrame, col: str = "ids", id_col:
     The vocabulary goes to the tasks (as many rows as its file has); ids
     that it lacks, and special ones unless asked for, are skipped.
     """
+    bound_batches(ids.sparkSession)
     chosen = vocab.where(~F.col("special")) if skip_special else vocab
     table = chosen.select("id", "piece").toArrow().combine_chunks()
     sent = vocab.sparkSession.sparkContext.broadcast(tuple(c.combine_chunks() for c in table.columns))
