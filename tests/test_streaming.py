@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tokenloom.operators.telemetry import log_windows, micro_batches
 from tokenloom.operators.vocab import build_vocab, encode
 from tokenloom.operators.sequence import label_mask, to_sequences
+from tokenloom.plans.jobs import BATCHES, _stream_files
 from tokenloom.plans.prepare import documents, tokenized
+from tokenloom.sources.corpus import input_bytes
 from tokenloom.streaming.ingest import rows_ingested
 from tokenloom.streaming import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
                                  stream_tokenize)
@@ -129,3 +131,12 @@ def test_idle_slices_leave_the_state(spark, tmp_path):
     assert add(1, 1_700_000_000) == [1]
     add(2, 1_700_001_000)
     assert 1 not in add(3, 1_700_002_000)
+
+
+def test_a_stream_source_has_files_for_every_core(spark):
+    """Four micro-batches, each of as many files as there are cores."""
+    src, _, _, files = _stream_files(spark, spark.read.parquet(SF001 + "/documents.parquet").select("doc_id"), "files")
+    written = spark.read.parquet(src)
+    assert files == spark.sparkContext.defaultParallelism and len(written.inputFiles()) == BATCHES * files
+    assert written.count() == written.distinct().count() == 200
+    assert input_bytes(written) == sum(os.path.getsize(f.removeprefix("file://")) for f in written.inputFiles())

@@ -6,6 +6,7 @@ what it returns is read back from there.
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import pandas as pd
@@ -17,14 +18,15 @@ from ..operators import telemetry as tm
 from ..operators.sequence import label_mask
 from ..operators.vocab import build_vocab
 from ..session import ensure_checkpoint_dir, intermediate
-from ..sources.corpus import ingest_bounded, read_corpus, read_tokenized, source_kind
+from ..sources.corpus import ingest_bounded, input_bytes, read_corpus, read_tokenized, source_kind
 from ..sources.sinks import write_manifest, write_tokenized
 from ..streaming.ingest import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
                                 stream_tokenize)
 from .prepare import PrepConfig, prepare, spread, table, tokenized
 
 TOKENS = regex.compile(r"[\p{L}\p{N}]+|[^\p{L}\p{N}\x09-\x0D\x20]")  # as functions.text, in Python's notation
-FILES = 4  # files of a stream's source, read one per micro-batch
+BATCHES = 4  # micro-batches of a stream
+FILE_BYTES = 64 * 1024 * 1024  # of stored input a file of a stream's source
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -110,25 +112,31 @@ def q_user_tokenizer(spark, sf):
 
 
 def _stream_files(spark, df, name):
-    """(source folder with FILES files, output folder, progress folder)."""
+    """(source folder, output folder, progress folder, files of a micro-batch).
+
+    The source is dealt to BATCHES times as many files as the cluster has cores, or more where
+    these would pass FILE_BYTES: every micro-batch has work for all cores, no task more than a file.
+    """
     base = fresh_folder(spark, name)
-    df.repartition(FILES).write.parquet(f"{base}/src")
-    return f"{base}/src", f"{base}/out", f"{base}/progress"
+    each = max(spark.sparkContext.defaultParallelism, math.ceil(input_bytes(df) / (BATCHES * FILE_BYTES)))
+    df.repartition(BATCHES * each).write.parquet(f"{base}/src")
+    return f"{base}/src", f"{base}/out", f"{base}/progress", each
 
 
 def q_stream_ingest(spark, sf):
     """ST1: every row of a file stream, over several micro-batches."""
-    src, out, progress = _stream_files(spark, table(spark, sf, "documents").select("doc_id", "text"), "ingest")
-    stream_ingest(spark, src, out, progress, limit=None, max_files_per_trigger=1)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    src, out, progress, files = _stream_files(spark, docs, "ingest")
+    stream_ingest(spark, src, out, progress, limit=None, max_files_per_trigger=files)
     return spark.read.parquet(out).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
 def q_stream_ingest_bounded(spark, sf):
     """ST1 with its bound, which the third micro-batch passes: rows kept, their ids, those equal to the source."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    src, out, progress = _stream_files(spark, docs, "bounded")
+    src, out, progress, files = _stream_files(spark, docs, "bounded")
     total = docs.count()
-    stream_ingest(spark, src, out, progress, limit=total * 5 // 8, max_files_per_trigger=1)
+    stream_ingest(spark, src, out, progress, limit=total * 5 // 8, max_files_per_trigger=files)
     source = docs.select("doc_id", F.col("text").alias("_t"))
     kept = spark.read.parquet(out).join(source, "doc_id", "left")
     return kept.agg(F.count(F.lit(1)).alias("n_kept"), F.count_distinct("doc_id").alias("n_ids"),
@@ -138,18 +146,18 @@ def q_stream_ingest_bounded(spark, sf):
 def q_stream_tokenize(spark, sf):
     """ST2: documents as a stream, encoded with the vocabulary of the whole corpus."""
     docs = read_corpus(spark, f"{sf}/documents.parquet").select("doc_id", "text")
-    src, out, progress = _stream_files(spark, docs, "tokenize")
+    src, out, progress, files = _stream_files(spark, docs, "tokenize")
     cfg = PrepConfig()
     vocab = build_vocab(tokenized(spread(docs, "doc_id")), cfg.vocab_size)
-    stream_tokenize(spark, src, out, progress, vocab, cfg.max_length, max_files_per_trigger=1)
+    stream_tokenize(spark, src, out, progress, vocab, cfg.max_length, max_files_per_trigger=files)
     return spark.read.parquet(out).select("doc_id", _joined("input_ids").alias("input_ids"),
                                           _joined("labels").alias("labels"))
 
 
 def q_stream_log_windows(spark, sf):
     """ST3: the run log as a stream, rolled up to log windows."""
-    src, out, progress = _stream_files(spark, tm.micro_batches(table(spark, sf, "events")), "log")
-    stream_log_windows(spark, src, out, progress, every=1, accumulation=8, max_files_per_trigger=1)
+    src, out, progress, files = _stream_files(spark, tm.micro_batches(table(spark, sf, "events")), "log")
+    stream_log_windows(spark, src, out, progress, every=1, accumulation=8, max_files_per_trigger=files)
     w = finish_log_windows(spark, out, 1, 8, 8)
     return w.select("run_id", "step", F.round("loss", 9).alias("loss"),
                     F.round("ms_per_step", 6).alias("ms_per_step"))
@@ -158,9 +166,9 @@ def q_stream_log_windows(spark, sf):
 def q_stream_metrics(spark, sf):
     """Update metrics of every run appended by a stream; a second start adds nothing."""
     rows = tm.update_log(tm.micro_batches(table(spark, sf, "events")), 8).select("run_id", "step", "loss_sum")
-    src, out, progress = _stream_files(spark, rows, "metrics")
+    src, out, progress, files = _stream_files(spark, rows, "metrics")
     for _ in range(2):
-        stream_metrics(spark, src, out, progress, max_files_per_trigger=1)
+        stream_metrics(spark, src, out, progress, max_files_per_trigger=files)
     return spark.read.parquet(out).select("run_id", "step", F.round("loss_sum", 9).alias("loss_sum"))
 
 

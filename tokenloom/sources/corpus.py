@@ -39,6 +39,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Stored bytes of the files that ``df`` reads, from their file systems (no job)."""
+    spark = df.sparkSession
+    conf, paths = spark._jsc.hadoopConfiguration(), [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def read_corpus(spark: SparkSession, path: str, fmt: str | None = None,
                 id_col: str = "doc_id", drop_blank: bool = True, ids: str = "content",
                 split_bytes: int = SPLIT_BYTES) -> DataFrame:

@@ -143,8 +143,9 @@ def _window_state(span: int, idle_seconds: int | None):
             state.update((sums.tolist(), counts.tolist(), last.tolist()))
             if idle_seconds is not None:
                 state.setTimeoutTimestamp(max(int(last.max()) // 1000, state.getCurrentWatermarkMs()) + 1000 * idle_seconds)
-        yield pd.DataFrame({"run_id": run_id, "m": part * SLICE + new, "loss_sum": sums[new], "n_micro": counts[new],
-                            "ts_micros": last[new]})
+        if len(new):
+            yield pd.DataFrame({"run_id": run_id, "m": part * SLICE + new, "loss_sum": sums[new], "n_micro": counts[new],
+                                "ts_micros": last[new]})
 
     return step
 
