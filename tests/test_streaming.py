@@ -10,6 +10,7 @@ from tokenloom.operators.sequence import label_mask, to_sequences
 from tokenloom.plans.jobs import BATCHES, _stream_files
 from tokenloom.plans.prepare import documents, tokenized
 from tokenloom.sources.corpus import input_bytes
+from tokenloom.streaming import ingest
 from tokenloom.streaming.ingest import rows_ingested
 from tokenloom.streaming import (finish_log_windows, stream_ingest, stream_log_windows, stream_metrics,
                                  stream_tokenize)
@@ -120,6 +121,29 @@ def test_log_windows_are_written_once_and_state_survives_a_restart(spark, tmp_pa
     assert state.count() == 2 * 1  # 137 windows: two slices of 64 left the state, the third stays open
 
 
+def test_many_runs_share_the_state_rows(spark, tmp_path, monkeypatch):
+    """A state row a run would be 600 of them, and as many calls of Python in every micro-batch."""
+    monkeypatch.setattr(ingest, "BUCKETS", 16, raising=False)
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    log = spark.range(600 * 21).selectExpr(
+        "nullif(id div 21, 5) * 9007199254740993 AS run_id", "id % 21 AS n", "timestamp_seconds(id * 7) AS ts",
+        "CASE WHEN id % 50 > 0 THEN id / 8 END AS loss")
+    _split_files(log, src, 3)
+    stream_log_windows(spark, src, out, ck, every=1, accumulation=4, max_files_per_trigger=1)
+    log.where("n < 8 AND run_id % 2 = 0").coalesce(1).write.mode("append").parquet(src)  # their windows are written already
+    stream_log_windows(spark, src, out, ck, every=1, accumulation=4, max_files_per_trigger=1)
+    state = spark.read.format("statestore").load(ck)
+    assert 0 < state.count() <= 2 * 16
+    assert state.selectExpr("sum(size(value.groupState.run)) AS n").first().n == 600  # the sixth window of each run is open
+
+    def rows(w):
+        return sorted(str(r) for r in w.select("run_id", "step", F.round("loss", 9), F.round("ms_per_step", 6), "ts").collect())
+
+    got = finish_log_windows(spark, out, 1, 4, 8)
+    assert got.count() == 600 * 5
+    assert rows(got) == rows(log_windows(log, 1, 4, 8))
+
+
 def test_idle_slices_leave_the_state(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
 

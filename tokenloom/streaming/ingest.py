@@ -113,39 +113,69 @@ def stream_tokenize(spark: SparkSession, src: str, dst: str, checkpoint: str, vo
     return q
 
 
-SLICE = 64  # log windows of a run that share a state row
+SLICE = 64  # log windows of a run that leave the state together: a bit each in their slice's mask
+BUCKETS = 4096  # state rows that share the slices of all runs; a checkpoint keeps its number
 _WINDOW_SUMS = "run_id bigint, m bigint, loss_sum double, n_micro bigint, ts_micros bigint"
-_SLICE_STATE = "sums array<double>, counts array<bigint>, last array<bigint>"
+_BUCKET_STATE = ("run array<bigint>, m array<bigint>, sums array<double>, counts array<bigint>, last array<bigint>, "
+                 "done_run array<bigint>, done_part array<bigint>, done array<bigint>, newest bigint")
 
 
 def _window_state(span: int, idle_seconds: int | None):
-    """State function of ST3 for windows of ``span`` micro-batches."""
+    """State function of ST3 for windows of ``span`` micro-batches, for any number of slices a call.
+
+    The state has the open windows, and for each unfinished slice with written windows a mask of them.
+    """
+
+    def groups(first, second):
+        """(order, place of each group's first row in it, group of each row) by two columns."""
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        ids = np.empty(len(order), np.int64)
+        ids[order] = np.cumsum(new) - 1
+        return order, np.flatnonzero(new), ids
+
+    def summed(run, m, sums, counts, last):
+        order, starts, _ = groups(run, m)
+        return (run[order][starts], m[order][starts], np.add.reduceat(sums[order], starts),
+                np.add.reduceat(counts[order], starts), np.maximum.reduceat(last[order], starts))
 
     def step(key, frames, state):
         if state.hasTimedOut:  # nothing came for the whole idle time: its open windows never end
             state.remove()
             return
-        run_id, part = key
-        if state.exists:
-            sums, counts, last = (np.array(x) for x in state.get)
-        else:
-            sums, counts, last = np.zeros(SLICE), np.zeros(SLICE, np.int64), np.full(SLICE, np.iinfo(np.int64).min)
-        before = counts >= span
+        kinds = (np.int64, np.int64, np.float64, np.int64, np.int64)
+        stored = state.get if state.exists else ((),) * 8 + (np.iinfo(np.int64).min,)
+        parts = [tuple(np.array(x, t) for x, t in zip(stored[:5], kinds))]
+        done_run, done_part, done = (np.array(x, np.int64) for x in stored[5:8])
         for f in frames:
-            at = (f["n"].to_numpy() // span - part * SLICE).astype(np.int64)
-            np.add.at(sums, at, f["loss"].fillna(0.0).to_numpy() + np.where(f["is_nan"].to_numpy(), np.nan, 0.0))
-            np.add.at(counts, at, 1)
-            np.maximum.at(last, at, f["ts_micros"].to_numpy())
-        new = np.flatnonzero((counts >= span) & ~before)
-        if (counts >= span).all():
-            state.remove()
-        else:
-            state.update((sums.tolist(), counts.tolist(), last.tolist()))
+            run, m, loss, ts = (f[c].to_numpy() for c in ("run", "m", "loss", "ts_micros"))
+            parts.append(summed(run, m, loss, np.ones(len(f), np.int64), ts))
+        newest = max([stored[8], *(int(p[4].max()) for p in parts[1:])])
+        run, m, sums, counts, last = summed(*(np.concatenate(x) for x in zip(*parts)))
+
+        slices, bit = m // SLICE, np.left_shift(np.uint64(1), (m % SLICE).astype(np.uint64))
+        all_runs, all_parts = np.concatenate([run, done_run]), np.concatenate([slices, done_part])
+        order, starts, ids = groups(all_runs, all_parts)
+        written = np.zeros(len(starts), np.uint64)
+        written[ids[len(run):]] = done.view(np.uint64)
+        ids = ids[:len(run)]
+        left = (written[ids] & bit) == 0  # rows of a window that is written already count nowhere
+        new, still = left & (counts >= span), left & (counts < span)
+        np.bitwise_or.at(written, ids[new], bit[new])
+        kept = (written != 0) & (written != np.iinfo(np.uint64).max)
+        if still.any() or kept.any():
+            at = order[starts[kept]]
+            state.update(tuple(x.tolist() for x in (run[still], m[still], sums[still], counts[still], last[still],
+                                                    all_runs[at], all_parts[at], written[kept].view(np.int64))) + (newest,))
             if idle_seconds is not None:
-                state.setTimeoutTimestamp(max(int(last.max()) // 1000, state.getCurrentWatermarkMs()) + 1000 * idle_seconds)
-        if len(new):
-            yield pd.DataFrame({"run_id": run_id, "m": part * SLICE + new, "loss_sum": sums[new], "n_micro": counts[new],
-                                "ts_micros": last[new]})
+                state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + 1000 * idle_seconds)
+        elif state.exists:
+            state.remove()
+        if new.any():
+            yield pd.DataFrame({"run_id": None if key[-1] else run[new], "m": m[new], "loss_sum": sums[new],
+                                "n_micro": counts[new], "ts_micros": last[new]})
 
     return step
 
@@ -155,28 +185,33 @@ def stream_log_windows(spark: SparkSession, src: str, dst: str, checkpoint: str,
                        max_files_per_trigger: int = 1000, idle_seconds: int | None = None):
     """ST3: streaming roll-up of a micro-batch log (run_id, n, ts, loss) into log windows.
 
-    The stream's state holds the open windows, in rows of SLICE windows of a run, so
-    a long run is spread over many tasks.  A window is written once, in
+    The stream's state holds the open windows.  Slices of SLICE windows of a run are dealt by
+    their hash to BUCKETS state rows, so a long run is spread over many tasks and many
+    short ones share a call of the state function.  A window is written once, in
     the micro-batch that completes it, to that batch's ``batch_id=`` folder; a slice
     whose windows are all written leaves the state.  A run's last, unfinished slice
-    stays, one row a run, unless ``idle_seconds`` is set: then a slice goes when the
+    stays, unless ``idle_seconds`` is set: then a slice has a state row of its own and goes when the
     log's clock has passed its newest row by that much, and rows older than
     that are late and left out.  Each ``n`` of a run is expected once.
     A null loss counts as 0; rows without ``n`` or ``ts`` belong to no window.
     """
     span = int(every) * int(accumulation)
     s = _source(spark, src, schema, fmt, max_files_per_trigger)
-    loss = F.col("loss").cast("double")
+    run, ts = F.col("run_id").cast("bigint"), F.col("ts").cast("timestamp")
     rows = s.where(F.col("n").isNotNull() & F.col("ts").isNotNull()).select(
-        F.col("run_id").cast("bigint").alias("run_id"), F.expr(f"n div {span * SLICE}").alias("part"),
-        F.col("n").cast("bigint").alias("n"), F.col("ts").cast("timestamp").alias("ts"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_micros"),
-        F.coalesce(loss, F.lit(0.0)).alias("loss"), F.coalesce(F.isnan(loss), F.lit(False)).alias("is_nan"))
-    timer = GroupStateTimeout.NoTimeout
-    if idle_seconds is not None:
-        rows, timer = rows.withWatermark("ts", f"{int(idle_seconds)} seconds"), GroupStateTimeout.EventTimeTimeout
-    done = rows.groupBy("run_id", "part").applyInPandasWithState(
-        _window_state(span, idle_seconds), _WINDOW_SUMS, _SLICE_STATE, "append", timer)
+        run.alias("run_id"), F.coalesce(run, F.lit(0)).alias("run"), run.isNull().alias("no_run"),
+        F.expr(f"n div {span}").alias("m"), F.expr(f"n div {span * SLICE}").alias("part"),
+        ts.alias("ts"), F.unix_micros(ts).alias("ts_micros"),
+        F.coalesce(F.col("loss").cast("double"), F.lit(0.0)).alias("loss"))
+    if idle_seconds is None:
+        bucket = F.pmod(F.xxhash64("run_id", "part"), F.lit(BUCKETS)).alias("bucket")
+        rows = rows.select(bucket, "no_run", "run", "m", "ts_micros", "loss")
+        keys, timer = ("bucket", "no_run"), GroupStateTimeout.NoTimeout
+    else:
+        rows = rows.withWatermark("ts", f"{int(idle_seconds)} seconds")
+        keys, timer = ("run_id", "part", "no_run"), GroupStateTimeout.EventTimeTimeout
+    done = rows.groupBy(*keys).applyInPandasWithState(
+        _window_state(span, idle_seconds), _WINDOW_SUMS, _BUCKET_STATE, "append", timer)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("ts", F.timestamp_micros("ts_micros")).drop("ts_micros")
